@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat_format import format_chat, loss_text, parse_chat
 from .common import scratch, table
 from .kd_sharding import kd_shards
+from .langid import identify
+from .packing import pack_documents
 from .pfair_mix import mix
+from .quality import score
 
 
 def op1_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +21,26 @@ def op1_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(light, size="bytes").select("doc_id", "source", "bytes", F.col("mix_block").alias("block"), F.col("mix_slot").alias("slot"), F.col("mix_position").alias("position"))
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack_documents(table(spark, sf_dir, "documents"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def _crc_mod(n: int) -> Column:
+    """crc32 of the id as text, modulo n."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op4_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=_crc_mod(5) != 0, scratch=scratch)
+    return scored.select("doc_id", (_crc_mod(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op6_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = identify(table(spark, sf_dir, "documents"), learn=_crc_mod(4) != 2, keep=["doc_id"])
+    return found.select("doc_id", (_crc_mod(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(table(spark, sf_dir, "documents"), 24)
 
@@ -56,6 +79,9 @@ FROM said GROUP BY conv_id
 def queries() -> dict:
     return {
         "op1_pfair_mix": op1_pfair_mix,
+        "op3_best_fit_packing": op3_best_fit_packing,
+        "op4_quality_qda": op4_quality_qda,
+        "op6_cross_parsing": op6_cross_parsing,
         "op8_kd_shards": op8_kd_shards,
         "op10_typed_parts": op10_typed_parts,
     }
