@@ -54,8 +54,7 @@ def _cut(sums: dict[int, float], target: float) -> tuple[int, float]:
 def kd_shards(docs: DataFrame, shards: int = 24, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", bins: int = BINS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard; sizes of shards are near equal."""
     spark = docs.sparkSession
-    base = scratch(metadata(docs, doc_id, text, lang), "kd")
-    rows = base.withColumn("node", F.lit(1).cast("long"))
+    rows = base = scratch(metadata(docs, doc_id, text, lang).withColumn("node", F.lit(1).cast("long")), "kd")
     open_nodes, leaves = {1: (shards, 0)}, {}
     n_dims = 3
     while open_nodes:
@@ -99,7 +98,7 @@ def kd_shards(docs: DataFrame, shards: int = 24, *, doc_id: str = "doc_id", text
                 left[n] = rest
         cuts = small_frame(spark, [(n, *c) for n, c in found.items()], "node long, __c0 int, __c1 int, __c2 int")
         below = F.expr("b0 < __c0 OR (b0 = __c0 AND (b1 < __c1 OR (b1 = __c1 AND b2 < __c2)))")
-        rows = placed.join(F.broadcast(cuts), "node", "left").withColumn("node", F.when(F.col("__c0").isNull(), F.col("node")).otherwise(F.col("node") * 2 + F.when(below, 0).otherwise(1))).select(*base.columns, "node")
+        rows = placed.join(F.broadcast(cuts), "node", "left").withColumn("node", F.when(F.col("__c0").isNull(), F.col("node")).otherwise(F.col("node") * 2 + F.when(below, 0).otherwise(1))).select(*base.columns)
         nxt = {n: v for n, v in open_nodes.items() if n not in boxes}
         for n in boxes:
             k, first = open_nodes[n]

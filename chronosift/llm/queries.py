@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .chat_format import format_chat, loss_text, parse_chat
 from .common import scratch, table
+from .fingerprints import edited, encode, fingerprint, likeness, with_next
 from .kd_sharding import kd_shards
 from .langid import identify
+from .line_dedup import remove_repeated
 from .packing import pack_documents
 from .pfair_mix import mix
 from .quality import score
@@ -21,6 +23,25 @@ def op1_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(light, size="bytes").select("doc_id", "source", "bytes", F.col("mix_block").alias("block"), F.col("mix_slot").alias("slot"), F.col("mix_position").alias("position"))
 
 
+def op2_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = with_next(table(spark, sf_dir, "documents"))
+    both = rows.withColumn("edited", edited(F.col("text"), F.col("next_text")))
+    keys = ["part", "at", "kind", "doc_id", "closing", "n_chars", "edited_sha256"]
+    texts = both.select(
+        "part", "at", "doc_id", "closing", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        F.explode(F.array(F.struct(F.lit(0).alias("kind"), "text"), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("v"),
+    ).filter("v.kind = 0 OR NOT closing").select(*(k for k in keys if k != "kind"), "v.kind", "v.text")
+    signed = fingerprint(texts, keys)
+    # a document's edited text, and the next document, follow it in its part
+    order = Window.partitionBy("part").orderBy("at", "kind")
+    own, changed, following = F.col("signature"), F.lead("signature", 1).over(order), F.lead("signature", 2).over(order)
+    side = signed.withColumns({"s1": changed, "s2": following}).filter("kind = 0 AND NOT closing")
+    return side.select(
+        "doc_id", "n_chars", "edited_sha256", encode(own).alias("fingerprint"), encode(F.col("s1")).alias("edited_fingerprint"),
+        likeness(own, F.col("s1")).alias("near_edited"), likeness(own, F.col("s2")).alias("near_next"),
+    )
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack_documents(table(spark, sf_dir, "documents"))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
@@ -41,6 +62,11 @@ def op6_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_crc_mod(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeated(docs).select("doc_id", "n_lines", "n_chunks", "removed_chunks", "removed_lines", "text")
+
+
 def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(table(spark, sf_dir, "documents"), 24)
 
@@ -76,16 +102,42 @@ FROM said GROUP BY conv_id
 """
 
 
+OP7_SQL = """
+WITH l AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+h AS (
+  SELECT *, list_transform(lines, lambda x: CAST('0x' || substr(md5(x), 1, 7) AS BIGINT)) AS hashes FROM l),
+e AS (
+  SELECT *, list_filter(range(1, len(lines) + 1), lambda i: i = len(lines) OR (hashes[i] + coalesce(CASE WHEN i > 1 THEN hashes[i - 1] END, 0) * 31) % 2 = 0) AS ends FROM h),
+c AS (
+  SELECT doc_id, text, lines, unnest(range(1, len(ends) + 1)) AS chunk, ends FROM e),
+s AS (
+  SELECT doc_id, text, chunk, ends[chunk] - coalesce(CASE WHEN chunk > 1 THEN ends[chunk - 1] END, 0) AS n,
+    array_to_string(lines[coalesce(CASE WHEN chunk > 1 THEN ends[chunk - 1] END, 0) + 1 : ends[chunk]], chr(10)) AS said FROM c),
+f AS (
+  SELECT *, n >= 2 AND regexp_matches(said, '[\\p{L}\\p{N}]')
+    AND row_number() OVER (PARTITION BY said, n >= 2 ORDER BY doc_id, chunk) > 1 AS gone FROM s),
+g AS (
+  SELECT doc_id, CAST(sum(n) AS INTEGER) AS n_lines, CAST(count(*) AS INTEGER) AS n_chunks, CAST(count(*) FILTER (WHERE gone) AS INTEGER) AS removed_chunks,
+    CAST(coalesce(sum(n) FILTER (WHERE gone), 0) AS INTEGER) AS removed_lines,
+    coalesce(string_agg(said, chr(10) ORDER BY chunk) FILTER (WHERE NOT gone), '') AS text FROM f GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_chunks, 0) AS n_chunks, coalesce(removed_chunks, 0) AS removed_chunks,
+  coalesce(removed_lines, 0) AS removed_lines, g.text FROM documents d LEFT JOIN g USING (doc_id)
+"""
+
+
 def queries() -> dict:
     return {
         "op1_pfair_mix": op1_pfair_mix,
+        "op2_weighted_sampling": op2_weighted_sampling,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_quality_qda": op4_quality_qda,
         "op6_cross_parsing": op6_cross_parsing,
+        "op7_line_chunks": op7_line_chunks,
         "op8_kd_shards": op8_kd_shards,
         "op10_typed_parts": op10_typed_parts,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_typed_parts": OP10_SQL}
+    return {"op7_line_chunks": OP7_SQL, "op10_typed_parts": OP10_SQL}
