@@ -11,6 +11,7 @@ from .fingerprints import edited, encode, fingerprint, likeness, with_next
 from .kd_sharding import kd_shards
 from .langid import identify
 from .line_dedup import remove_repeated
+from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .pfair_mix import mix
 from .quality import score
@@ -57,6 +58,10 @@ def op4_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_crc_mod(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op5_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=4)
+
+
 def op6_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = identify(table(spark, sf_dir, "documents"), learn=_crc_mod(4) != 2, keep=["doc_id"])
     return found.select("doc_id", (_crc_mod(4) == 2).alias("held_out"), "lang_pred", "score")
@@ -132,6 +137,7 @@ def queries() -> dict:
         "op2_weighted_sampling": op2_weighted_sampling,
         "op3_best_fit_packing": op3_best_fit_packing,
         "op4_quality_qda": op4_quality_qda,
+        "op5_chosen_path": op5_chosen_path,
         "op6_cross_parsing": op6_cross_parsing,
         "op7_line_chunks": op7_line_chunks,
         "op8_kd_shards": op8_kd_shards,
