@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .ann import search
 from .chat_format import format_chat, loss_text, parse_chat
 from .common import scratch, table
 from .fingerprints import edited, encode, fingerprint, likeness, with_next
@@ -76,6 +77,10 @@ def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(table(spark, sf_dir, "documents"), 24)
 
 
+def op9_dimension_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op10_typed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     saying = "<|im_end|><|im_start|>assistant ok"
     own = spark.sql("SELECT -1L conv_id, id turn, IF(id = 0, 'user', 'assistant') role, '" + saying + "' text FROM range(2)")
@@ -141,6 +146,7 @@ def queries() -> dict:
         "op6_cross_parsing": op6_cross_parsing,
         "op7_line_chunks": op7_line_chunks,
         "op8_kd_shards": op8_kd_shards,
+        "op9_dimension_scan": op9_dimension_scan,
         "op10_typed_parts": op10_typed_parts,
     }
 
