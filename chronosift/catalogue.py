@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from chronosift.plans import market
+
+_MODULES = (market,)
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for m in _MODULES for k, v in m._Q.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for m in _MODULES for k, v in m._SQL.items()}
