@@ -127,11 +127,12 @@ def train(texts: dict[str, str], classes: int = CLASSES) -> dict:
     tables, starts, base = [], [], 0
     for k in langs:
         steps = automaton(kinds[normal[k]], classes)
-        again = np.where(steps[0] >= 0, steps[0], 0)
-        table = np.where(steps >= 0, (steps + base) * 2, (again[None, :] + base) * 2 + 1)
-        tables.append(table.astype(np.int32))
-        starts.append(base)
-        base += len(steps)
+        fresh = len(steps)  # a state before any phrase: every character begins one
+        again = (np.where(steps[0] >= 0, steps[0], fresh) + base) * 2 + 1
+        table = np.where(steps >= 0, (steps + base) * 2, again[None, :])
+        tables.append(np.concatenate([table, again[None, :]]).astype(np.int32))
+        starts.append(base + fresh)
+        base += fresh + 1
     return {"langs": langs, "kinds": kinds, "classes": classes, "table": np.concatenate(tables).ravel() if tables else np.empty(0, np.int32), "starts": np.array(starts, np.int32)}
 
 
@@ -148,19 +149,18 @@ def phrases(model: dict, texts: list[np.ndarray]) -> np.ndarray:
         for j, (_, x) in enumerate(part):
             grid[: len(x), j] = model["kinds"][x]
         state = np.repeat(starts[:, None], len(part), axis=1)
-        count = np.ones((len(starts), len(part)), np.int64)  # the first phrase of each span
+        count = np.zeros((len(starts), len(part)), np.int64)
         active = np.searchsorted(-lengths, -np.arange(1, lengths[0] + 1), side="right")
         for j, n in enumerate(active.tolist()):
             step = table[state[:, :n] * classes + grid[j, :n]]
-            if j:
-                count[:, :n] += step & 1
+            count[:, :n] += step & 1
             state[:, :n] = step >> 1
         np.add.at(out, np.array([i for i, _ in part]), count.T)
     return out
 
 
-def identify(docs: DataFrame, *, learn: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", keep: list[str] | None = None, sample_chars: int = SAMPLE_CHARS, sample_docs: int = SAMPLE_DOCS, classes: int = CLASSES) -> DataFrame:
-    """The columns `keep` of docs (all by default), lang_pred and score.
+def identify(docs: DataFrame, *, learn: Column, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", keep: list[str] | None = None, found: str = "lang_pred", sure: str = "score", sample_chars: int = SAMPLE_CHARS, sample_docs: int = SAMPLE_DOCS, classes: int = CLASSES) -> DataFrame:
+    """The columns `keep` of docs (all by default), and the language and score as `found` and `sure`.
 
     learn: which rows may be learned from. score: the winner's share of exp(-SHARPNESS * phrases
     a character) over all languages.
@@ -168,7 +168,7 @@ def identify(docs: DataFrame, *, learn: Column, doc_id: str = "doc_id", text: st
     spark = docs.sparkSession
     model = train(sample(docs, text, lang, learn, sample_chars, sample_docs, doc_id), classes)
     shared = spark.sparkContext.broadcast(model)
-    keep = keep or docs.columns
+    keep = [c for c in keep or docs.columns if c not in (found, sure)]
     said = "__said" if text in keep else text
     columns = [F.col(c) for c in keep] + ([F.col(text).alias(said)] if said != text or text not in keep else [])
     source = docs.select(*columns)
@@ -190,7 +190,7 @@ def identify(docs: DataFrame, *, learn: Column, doc_id: str = "doc_id", text: st
                 score = np.where(known, 1 / share.sum(axis=1), 0.0)
                 names = [own["langs"][b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
             out = batch.select(keep)
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())], names=[*keep, found, sure])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    return source.mapInArrow(predict, f"{kinds}, lang_pred string, score double")
+    return source.mapInArrow(predict, f"{kinds}, `{found}` string, `{sure}` double")

@@ -11,7 +11,7 @@ each; texts are moved for nominated chunks alone, and once more where a document
 
 Defined results: a null text stays null; lines end at \\n, and a last empty line counts as a line;
 rows of one id that hold equal text are one document and lose the same; a null id sorts first;
-repeated chunks within one document go as well; other columns are kept as they are; an
+repeated chunks within one document go as well; other columns are kept as they are (but for former ones of the counts' names); an
 empty table gives no rows.
 """
 
@@ -38,7 +38,8 @@ def chunks(docs: DataFrame, text: str = "text", divisor: int = DIVISOR) -> DataF
 
 def remove_repeated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", divisor: int = DIVISOR, min_lines: int = MIN_LINES) -> DataFrame:
     """docs with text without repeated chunks, and n_lines, n_chunks, removed_chunks, removed_lines."""
-    cols = docs.columns
+    cols = [c for c in docs.columns if c not in ("n_lines", "n_chunks", "removed_chunks", "removed_lines")]
+    docs = docs.select(*cols)
     keyed = docs.withColumns({"__id": F.col(doc_id), "__row": F.xxhash64(text)})
     cut = chunks(keyed.select("__id", "__row", F.col(text).alias("__text")), "__text", divisor)
     spans = F.transform(

@@ -15,7 +15,7 @@ the block size grows with the corpus. Sources are ranked by hash chunks, so a so
 of all rows is no single task's work.
 
 Defined results: a null source is a source of its own; a null text counts as empty; every row
-weighs its UTF-8 bytes plus 1; rows keep all their columns; an empty table gives no rows.
+weighs its UTF-8 bytes plus 1; rows keep all their columns (but for former ones of the three names); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -68,7 +68,8 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, *, temp
     weighs its bytes to the power 1 / temperature. size: a column with the bytes, else text's.
     """
     spark = docs.sparkSession
-    cols = docs.columns
+    cols = [c for c in docs.columns if c not in ("mix_block", "mix_slot", "mix_position")]
+    docs = docs.select(*cols)
     key = F.when(F.col(source).isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), F.col(source)))
     bytes_ = F.col(size) if size else F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
     tie = F.xxhash64(text) if text in cols else F.lit(0).cast("long")
@@ -88,15 +89,15 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, *, temp
     counts = [(t[0], t[1]) for t in totals] or [("", 0)]
     by = ["__key", "__tie"]
     keyed = rows.withColumn("__key", F.col(doc_id))
-    light = rank_within(keyed.select("__source", "__bytes", *by), "__source", by, counts, weight="__bytes")
+    light = rank_within(keyed.select("__source", "__bytes", *by), "__source", by, counts, weight="__bytes", rank="__rank", before="__before")
     starts = (
-        light.select("__source", (F.col("weight_before") / block).cast("long").alias("mix_block"), "rank")
+        light.select("__source", (F.col("__before") / block).cast("long").alias("mix_block"), "__rank")
         .groupBy("__source", "mix_block")
-        .agg(F.min("rank").alias("__first"), F.count(F.lit(1)).alias("__n"))
+        .agg(F.min("__rank").alias("__first"), F.count(F.lit(1)).alias("__n"))
         .join(F.broadcast(plan), ["__source", "mix_block"])
     )  # a row a block at most
     before = F.coalesce(F.sum("__n").over(Window.orderBy("mix_slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = starts.withColumn("__start", before).select("__source", "mix_block", "mix_slot", (F.col("__start") - F.col("__first")).alias("__shift"))
-    ranked = rank_within(keyed, "__source", by, counts, weight="__bytes").withColumn("mix_block", (F.col("weight_before") / block).cast("long"))
+    ranked = rank_within(keyed, "__source", by, counts, weight="__bytes", rank="__rank", before="__before").withColumn("mix_block", (F.col("__before") / block).cast("long"))
     out = ranked.join(F.broadcast(placed), ["__source", "mix_block"])
-    return out.select(*cols, "mix_block", "mix_slot", (F.col("rank") + F.col("__shift")).alias("mix_position"))
+    return out.select(*cols, "mix_block", "mix_slot", (F.col("__rank") + F.col("__shift")).alias("mix_position"))
