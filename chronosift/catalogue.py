@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from chronosift.plans import market
+from chronosift.plans import market, research
 
-_MODULES = (market,)
+_MODULES = (market, research)
 
 
 def queries() -> dict:

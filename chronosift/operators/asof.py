@@ -33,7 +33,9 @@ def asof_join(left: DataFrame, right: DataFrame, *, on: list[str] | None = None,
     near = F.col("__side") if not (strict ^ forward) else -F.col("__side")
     keys = list(on)
     if slices and not forward:
-        both = both.withColumn("__slice", F.window("__t", slices).getField("start"))
+        us = lambda c: F.unix_micros(c.cast("timestamp"))
+        width = us(F.expr(f"TIMESTAMP '1970-01-01 00:00:00' + INTERVAL {slices}")) - us(F.expr("TIMESTAMP '1970-01-01 00:00:00'"))
+        both = both.withColumn("__slice", F.floor(us(F.col("__t")) / width))
         newest = both.filter("__side = 1").groupBy(*on, "__slice").agg(F.max_by("__r", F.struct("__t", "__seq")).alias("__r"))
         present = both.select(*on, "__slice").distinct()
         over = Window.partitionBy(*on).orderBy("__slice")

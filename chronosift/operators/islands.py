@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from .rolling import SERIES
+from .rolling import series
 
 
 def with_runs(df: DataFrame, state: str, *, partition: list[str] = ["series_id"], order: str = "time", run: str = "run") -> DataFrame:  # noqa: B006
@@ -25,9 +25,9 @@ def streaks(df: DataFrame, r: str, out: str = "streak", partition: list[str] = [
     return runs.withColumn(out, (F.col("__sign") * F.row_number().over(w)).cast("long")).drop("__sign", "__run")
 
 
-def latch(enter_long: Column, exit_long: Column, enter_short: Column, exit_short: Column, base: WindowSpec = SERIES) -> Column:
+def latch(enter_long: Column, exit_long: Column, enter_short: Column, exit_short: Column, base: WindowSpec | None = None) -> Column:
     """Position -1, 0 or 1: each side holds from entry to exit, entry first; both at once are flat."""
-    up_to = base.rowsBetween(Window.unboundedPreceding, 0)
+    up_to = (base or series()).rowsBetween(Window.unboundedPreceding, 0)
     held = lambda enter, leave: F.coalesce(F.last(F.when(enter, 1).when(leave, 0), ignorenulls=True).over(up_to), F.lit(0))
     return held(enter_long, exit_long) - held(enter_short, exit_short)
 

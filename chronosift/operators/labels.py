@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .rolling import SERIES
+from .rolling import series
 
 
 def fixed_horizon(bars: DataFrame, horizon: int, threshold: float = 0.0) -> DataFrame:
     """Adds ret = ln(close in `horizon` bars / close) and label, its sign beyond the threshold."""
-    r = F.ln(F.lead("close", horizon).over(SERIES) / F.col("close"))
+    r = F.ln(F.lead("close", horizon).over(series()) / F.col("close"))
     out = bars.withColumn("ret", r)
     return out.withColumn("label", F.when(F.col("ret").isNull(), None).when(F.abs("ret") > threshold, F.signum("ret")).otherwise(0.0))
 
@@ -23,8 +23,8 @@ def triple_barrier(bars: DataFrame, *, target: str, pt_mult: float, sl_mult: flo
     'ambiguous' (label 0, filled at its close). Without a touch the bar `horizon` ahead ends it at its close.
     The look ahead is a bounded frame, so no self-join is needed.
     """
-    ahead = SERIES.rowsBetween(1, horizon)
-    rows = bars.withColumn("t_idx", F.row_number().over(SERIES) - 1)
+    ahead = series().rowsBetween(1, horizon)
+    rows = bars.withColumn("t_idx", F.row_number().over(series()) - 1)
     rows = rows.withColumn("__path", F.collect_list(F.struct("t_idx", "open", "high", "low", "close")).over(ahead))
     rows = rows.filter(F.col(target) > 0).withColumns({"upper": F.col("close") * F.exp(pt_mult * F.col(target)), "lower": F.col("close") * F.exp(-sl_mult * F.col(target))})
     hit = F.filter("__path", lambda b: (b["high"] >= F.col("upper")) | (b["low"] <= F.col("lower")))

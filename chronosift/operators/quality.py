@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rolling import SERIES
+from .rolling import series
 
 
 def classify_gap(start: Column, hours: Column) -> Column:
@@ -29,7 +29,7 @@ def spread_report(bars: DataFrame) -> DataFrame:
 
 def outliers(bars: DataFrame, n: int = 50, sigma: float = 5.0, top: int = 10) -> DataFrame:
     """The `top` largest returns in units of the preceding n bars' median |return| / 0.6745."""
-    r = bars.withColumn("r", F.ln(F.col("close") / F.lag("close").over(SERIES)))
-    scale = F.median(F.abs("r")).over(SERIES.rowsBetween(-n, -1)) / 0.6745
-    z = r.withColumn("n", F.count("r").over(SERIES.rowsBetween(-n, -1))).withColumn("z", F.try_divide(F.abs("r"), F.when(F.col("n") == n, scale)))
+    r = bars.withColumn("r", F.ln(F.col("close") / F.lag("close").over(series())))
+    scale = F.percentile(F.abs("r"), F.lit(0.5)).over(series().rowsBetween(-n, -1)) / 0.6745
+    z = r.withColumn("n", F.count("r").over(series().rowsBetween(-n, -1))).withColumn("z", F.try_divide(F.abs("r"), F.when(F.col("n") == n, scale)))
     return z.filter(F.col("z") > sigma).orderBy(F.desc("z"), "time").limit(top).select("time", "r", "z")

@@ -11,7 +11,7 @@ from chronosift.operators import islands, labels, rolling
 from chronosift.operators.asof import asof_join
 from chronosift.operators.intervals import blackout_spans, within
 from chronosift.operators.resample import resample_bars
-from chronosift.operators.rolling import SERIES
+from chronosift.operators.rolling import series
 from chronosift.sources import tables as T
 
 TICKS = "ticks AS (SELECT user_id AS series_id, ts AS time, value + 1 AS price, event_id AS seq, 0.1 + 0.001 * (event_id % 50)::DOUBLE AS spread FROM events)"
@@ -167,7 +167,7 @@ BPY = 6048.0
 
 
 def _frame(spark: SparkSession, sf: str) -> DataFrame:
-    return T.bars(spark, sf).withColumns({"r": rolling.log_return(F.col("close")), "pos": F.row_number().over(SERIES).cast("double"), "gap": F.ln(F.col("open") / F.lag("close").over(SERIES)), "d": F.col("close") - F.lag("close").over(SERIES)})
+    return T.bars(spark, sf).withColumns({"r": rolling.log_return(F.col("close")), "pos": F.row_number().over(series()).cast("double"), "gap": F.ln(F.col("open") / F.lag("close").over(series())), "d": F.col("close") - F.lag("close").over(series())})
 
 
 @register(f"WITH {_LR} SELECT time, r, {g(f'(close - avg(close) {w(20)}) / nullif(stddev_samp(close) {w(20)}, 0)', 'close', 20)} AS z20, {g(f'(close - avg(close) {w(50)}) / nullif(stddev_samp(close) {w(50)}, 0)', 'close', 50)} AS z50 FROM f")
@@ -211,7 +211,7 @@ _A, _B = _PAIR.format("r"), _PAIR.format("r1")
 
 @register(f"WITH {_LR}, l AS (SELECT *, lag(r) {W} AS r1 FROM f) SELECT time, CASE WHEN count({_A}) {w(50)} = 50 THEN covar_samp({_A}, {_B}) {w(50)} / nullif(stddev_samp({_A}) {w(50)} * stddev_samp({_B}) {w(50)}, 0) END AS autocorr FROM l")
 def rolling_corr_lag1(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _frame(spark, sf).withColumn("r1", F.lag("r").over(SERIES))
+    rows = _frame(spark, sf).withColumn("r1", F.lag("r").over(series()))
     return rows.select("time", rolling.correlation(F.col("r"), F.col("r1"), 50).alias("autocorr"))
 
 
@@ -257,7 +257,7 @@ _GAP = "CASE WHEN h <= 1 THEN 'none' WHEN h >= 24 AND isodow(p) >= 5 THEN 'weeke
 def gap_classes(spark: SparkSession, sf: str) -> DataFrame:
     from chronosift.operators.quality import classify_gap
 
-    rows = T.bars(spark, sf, "1 day", by_series=True).select("time", F.lag("time").over(SERIES).alias("p")).filter("p IS NOT NULL")
+    rows = T.bars(spark, sf, "1 day", by_series=True).select("time", F.lag("time").over(series()).alias("p")).filter("p IS NOT NULL")
     rows = rows.withColumn("h", F.timestamp_diff("HOUR", F.col("p"), F.col("time")))
     return rows.groupBy(classify_gap(F.col("p"), F.col("h")).alias("gap")).agg(F.count(F.lit(1)).alias("n"), F.max("h").alias("longest_hours"))
 
@@ -338,13 +338,13 @@ _CONC = f"{_TB}, y AS (SELECT {_TB_OUT} FROM p), n AS (SELECT (pos - 1)::INTEGER
 
 @register(f"WITH {_CONC} SELECT pos, active FROM a")
 def label_concurrency(spark: SparkSession, sf: str) -> DataFrame:
-    positions = T.bars(spark, sf).select("series_id", (F.row_number().over(SERIES) - 1).alias("pos"))
+    positions = T.bars(spark, sf).select("series_id", (F.row_number().over(series()) - 1).alias("pos"))
     return labels.concurrency(_barriers(spark, sf), positions).select("pos", "active")
 
 
 @register(f"WITH {_CONC} SELECT t_idx, t1_idx, coalesce((SELECT avg(1.0::DOUBLE / active) FROM a WHERE a.pos > y.t_idx AND a.pos <= y.t1_idx), 1.0::DOUBLE) AS uniqueness FROM y WHERE t1_idx IS NOT NULL")
 def label_uniqueness(spark: SparkSession, sf: str) -> DataFrame:
-    positions = T.bars(spark, sf).select("series_id", (F.row_number().over(SERIES) - 1).alias("pos"))
+    positions = T.bars(spark, sf).select("series_id", (F.row_number().over(series()) - 1).alias("pos"))
     y = _barriers(spark, sf)
     return labels.uniqueness(y, labels.concurrency(y, positions)).select("t_idx", "t1_idx", "uniqueness")
 
