@@ -7,8 +7,9 @@ bounded sample, but every vector is in its list and every list is complete. A qu
 lists. Within a list the distances to all candidates are built up block by block: after d of D
 components a candidate is abandoned if sqrt(D / d * partial) exceeds (1 + EPSILON / sqrt(d)) times
 the query's limit, the hypothesis that it still belongs to the nearest having become untenable. The
-limit is the k-th least full distance among the query's first candidates. What survives is scored by the
-exact inner product of the original vectors, in double precision.
+limit is the least distance that k others among LIMIT_ROWS sampled vectors of the probed lists don't
+exceed, so that many candidates of the probed lists are always found. What survives is scored by the exact
+inner product of the original vectors, in double precision.
 
 Lists are dealt out in blocks of at most BLOCK_ROWS vectors, and queries go to every block of their lists,
 so a vector that a third of all rows share is many tasks' work. Each block keeps a query's k best.
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import scratch
 
-#: Vectors that k-means is fitted on at most, lists at most, rounds.
-SAMPLE_ROWS, MAX_LISTS, ROUNDS = 20_000, 4096, 8
+#: Vectors that k-means is fitted on at most, lists at most, rounds, and vectors that limits come from.
+SAMPLE_ROWS, MAX_LISTS, ROUNDS, LIMIT_ROWS = 20_000, 4096, 8, 4096
 ROWS_A_LIST, PROBED, BLOCK_ROWS, COLUMNS, EPSILON = 400, 0.75, 4096, 16, 2.1
 
 
@@ -64,12 +65,20 @@ def fit(sample: np.ndarray, lists: int, rounds: int = ROUNDS, seed: int = 3) ->
     return centres
 
 
-def scan(queries: np.ndarray, limits_from: int, vectors: np.ndarray, k: int, columns: int = COLUMNS, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
-    """(query, vector) index pairs that survive the adaptive scan of rotated vectors."""
+def limits(queries: np.ndarray, probed: np.ndarray, sample: np.ndarray, lists: np.ndarray, k: int) -> np.ndarray:
+    """For each query the k-th least distance to sampled vectors of its probed lists."""
+    if len(sample) < k:
+        return np.full(len(queries), np.inf)
+    far = (queries**2).sum(axis=1)[:, None] + (sample**2).sum(axis=1)[None, :] - 2 * queries @ sample.T
+    open_ = np.zeros((len(queries), int(max(lists.max(), probed.max())) + 1), bool)
+    np.put_along_axis(open_, probed, True, axis=1)
+    far[~open_[:, lists]] = np.inf
+    return np.sqrt(np.maximum(np.partition(far, k - 1, axis=1)[:, k - 1], 0))
+
+
+def scan(queries: np.ndarray, limit: np.ndarray, vectors: np.ndarray, columns: int = COLUMNS, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
+    """(query, vector) index pairs of rotated vectors that survive the adaptive scan against limits."""
     d = vectors.shape[1]
-    first = vectors[:limits_from]
-    full = (queries**2).sum(axis=1)[:, None] + (first**2).sum(axis=1)[None, :] - 2 * queries @ first.T
-    limit = np.sqrt(np.maximum(np.partition(full, k - 1, axis=1)[:, k - 1], 0)) if first.shape[0] >= k else np.full(len(queries), np.inf)
     part = None
     q = v = None
     for s in range(0, d, columns):
@@ -104,18 +113,18 @@ def search(rows: DataFrame, is_query: Column, *, vec_id: str = "vec_id", vector:
     share = min(1.0, SAMPLE_ROWS / n)
     drawn = good.filter(F.pmod(F.xxhash64("id", "x"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("x").limit(2 * SAMPLE_ROWS).toPandas()["x"]
 
-    def turned(x: np.ndarray, query: bool = False) -> np.ndarray:
-        more = np.zeros(len(x)) if query else np.sqrt(np.maximum(reach**2 - (x**2).sum(axis=1), 0))
-        return np.column_stack([x, more]) @ turn
+    def turned(x: np.ndarray) -> np.ndarray:
+        return np.column_stack([x, np.sqrt(np.maximum(reach**2 - (x**2).sum(axis=1), 0))]) @ turn
 
     lists = int(max(1, min(MAX_LISTS, n // rows_a_list)))
     sample = turned(np.vstack(drawn.to_list())) if len(drawn) else np.zeros((1, d + 1))
     centres = fit(sample, lists)
     probes = max(1, min(len(centres), int(np.ceil(len(centres) * probed))))
-    shared = spark.sparkContext.broadcast((turn, centres, reach))
+    some = sample[np.random.default_rng(11).permutation(len(sample))[:LIMIT_ROWS]] if len(drawn) else sample[:0]
+    shared = spark.sparkContext.broadcast((turn, centres, reach, some, _nearest(some, centres)[:, 0] if len(some) else np.empty(0, int)))
 
     def file_(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        turn, centres, reach = shared.value
+        turn, centres, reach, _, _ = shared.value
         for batch in batches:
             if len(batch):
                 x = np.vstack(batch["x"].to_list())
@@ -123,23 +132,29 @@ def search(rows: DataFrame, is_query: Column, *, vec_id: str = "vec_id", vector:
                 yield pd.DataFrame({"list": _nearest(np.column_stack([x, more]) @ turn, centres)[:, 0].astype(np.int32), "id": batch["id"], "raw": [r.tobytes() for r in x]})
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        turn, centres, _ = shared.value
+        turn, centres, _, some, of = shared.value
         for batch in batches:
             if len(batch):
                 x = np.vstack(batch["x"].to_list())
-                near = _nearest(np.column_stack([x, np.zeros(len(x))]) @ turn, centres, probes)
-                yield pd.DataFrame({"list": near.ravel().astype(np.int32), "id": np.repeat(batch["id"].to_numpy(), near.shape[1]), "raw": np.repeat(np.array([r.tobytes() for r in x], object), near.shape[1])})
+                for s in range(0, len(x), 1024):
+                    y, ids = x[s : s + 1024], batch["id"].to_numpy()[s : s + 1024]
+                    q = np.column_stack([y, np.zeros(len(y))]) @ turn
+                    near = _nearest(q, centres, probes)
+                    n = near.shape[1]
+                    # one more than k, for a query isn't its own candidate
+                    limit = limits(q, near, some, of, k + 1)
+                    yield pd.DataFrame({"list": near.ravel().astype(np.int32), "id": np.repeat(ids, n), "raw": np.repeat(np.array([r.tobytes() for r in y], object), n), "limit": np.repeat(limit, n)})
 
     kinds = "list int, id long, raw binary"
     filed = scratch(good.select("id", "x").mapInPandas(file_, kinds), "lists")
     # lists longer than a block are dealt out by hash; queries go to all blocks of their lists
     blocks = {r["list"]: -(-r["count"] // BLOCK_ROWS) for r in filed.groupBy("list").count().collect()}
     count = F.element_at(F.from_json(F.lit("{" + ",".join(f'"{x}":{b}' for x, b in blocks.items()) + "}"), "map<string,int>"), F.col("list").cast("string"))
-    stored = filed.withColumns({"block": F.pmod(F.xxhash64("id"), F.coalesce(count, F.lit(1))).cast("int"), "asks": F.lit(False)})
-    asked = good.filter("asks").select("id", "x").mapInPandas(ask, kinds).withColumns({"block": F.explode(F.sequence(F.lit(0), F.coalesce(count, F.lit(1)) - 1)), "asks": F.lit(True)})
+    stored = filed.withColumns({"block": F.pmod(F.xxhash64("id"), F.coalesce(count, F.lit(1))).cast("int"), "asks": F.lit(False), "limit": F.lit(None).cast("double")})
+    asked = good.filter("asks").select("id", "x").mapInPandas(ask, kinds + ", limit double").withColumns({"block": F.explode(F.sequence(F.lit(0), F.coalesce(count, F.lit(1)) - 1)), "asks": F.lit(True)})
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        turn, _, reach = shared.value
+        turn, _, reach, _, _ = shared.value
         held: list[pd.DataFrame] = []
 
         def one(group: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -150,11 +165,10 @@ def search(rows: DataFrame, is_query: Column, *, vec_id: str = "vec_id", vector:
             ids = group["id"].to_numpy()[~mine]
             v = np.column_stack([x, np.sqrt(np.maximum(reach**2 - (x**2).sum(axis=1), 0))]) @ turn
             everyone = np.frombuffer(b"".join(group["raw"][mine]), np.float64).reshape(-1, turn.shape[0] - 1)
-            names = group["id"].to_numpy()[mine]
+            names, bounds = group["id"].to_numpy()[mine], group["limit"].to_numpy(float)[mine]
             for s in range(0, len(names), 256):
                 y, name = everyone[s : s + 256], names[s : s + 256]
-                # one more than k, for a query isn't its own candidate
-                qi, vi = scan(np.column_stack([y, np.zeros(len(y))]) @ turn, max(k + 1, len(v) // 4), v, k + 1)
+                qi, vi = scan(np.column_stack([y, np.zeros(len(y))]) @ turn, bounds[s : s + 256], v)
                 other = name[qi] != ids[vi]
                 qi, vi = qi[other], vi[other]
                 score = np.array([]) if not len(qi) else (y[qi] * x[vi]).sum(axis=1)
