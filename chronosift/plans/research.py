@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from chronosift.functions import ewm
 from chronosift.functions.scalars import normal_quantile
 from chronosift.operators import drawdown as dd
-from chronosift.operators import execution, quality, risk, splits
+from chronosift.operators import execution, quality, risk, rolling, splits
 from chronosift.operators.rolling import series
 from chronosift.plans import features, rules
 from chronosift.plans.market import BARS, CALENDAR, DAILY, MACRO, RETURNS, SERIES_BARS, W
@@ -255,7 +255,7 @@ def _forecasts(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("time", ((F.col("seq") % 11 - 5) / 5.0).alias("a"), ((F.col("seq") % 7 - 3) / 2.0).alias("b"), F.when(F.col("seq") % 5 > 0, (F.col("seq") % 3 - 1).cast("double")).alias("c"), fold.alias("fold"))
 
 
-_CLIP = "coalesce(greatest(least({}, 1), -1), 0)"
+_CLIP = "greatest(least(coalesce({}, 0), 1), -1)"
 
 
 @register(f"WITH {_FC} SELECT time, greatest(least(1.3::DOUBLE * (0.5::DOUBLE * {_CLIP.format('a')} + 0.3::DOUBLE * {_CLIP.format('b')} + 0.2::DOUBLE * {_CLIP.format('c')}), 1), -1) + 0.0::DOUBLE AS combined FROM f")
@@ -337,3 +337,65 @@ def cusum_events(spark: SparkSession, sf: str) -> DataFrame:
     return ewm.with_kernels(T.bars(spark, sf), {"event": lambda p: ewm.cusum_events(p, 2.0)}).filter("event != 0").select("time", "event")
 
 
+
+
+@register()
+def garch_by_series(spark: SparkSession, sf: str) -> DataFrame:
+    from chronosift.plans import models
+
+    rows = T.bars(spark, sf).withColumn("r", rolling.log_return(F.col("close")))
+    return models.garch(rows)
+
+
+@register()
+def hmm_regimes(spark: SparkSession, sf: str) -> DataFrame:
+    from chronosift.plans import models
+
+    rows = T.bars(spark, sf).withColumn("r", rolling.log_return(F.col("close")))
+    return models.regimes(rows, "2024-01-15")
+
+
+@register(
+    f"WITH {BARS}, r AS (SELECT pow(ln(close / lag(close) {W}), 2) AS r2, (available_at - INTERVAL 1 MICROSECOND)::DATE AS d FROM bars), k AS (SELECT CASE isodow(d) WHEN 6 THEN d + 2 WHEN 7 THEN d + 1 ELSE d END::DATE AS date, r2 FROM r WHERE r2 IS NOT NULL) SELECT date, sum(r2) AS rv, count(*) AS n FROM k GROUP BY 1"
+)
+def daily_realised_variance(spark: SparkSession, sf: str) -> DataFrame:
+    from chronosift.plans import models
+
+    return models.daily_realised_variance(T.bars(spark, sf)).select("date", "rv", "n")
+
+
+@register()
+def har_forecast(spark: SparkSession, sf: str) -> DataFrame:
+    from chronosift.plans import models
+
+    daily = T.table(spark, sf, "orders").groupBy(F.lit(0).cast("long").alias("series_id"), F.to_date("o_orderdate").alias("date")).agg(F.var_samp("o_totalprice").alias("rv")).filter("rv IS NOT NULL")
+    return models.har(daily, "1999-01-01")
+
+
+@register()
+def walk_forward_book(spark: SparkSession, sf: str) -> DataFrame:
+    from chronosift.plans import research_runs as runs
+
+    picked = {n: rules.RULES[n] for n in ("donchian", "zscore_fade", "bollinger_revert")}
+    return runs.walk_forward(T.bars(spark, sf), picked, splits.walk_forward(700, 200, 100, purge=2, embargo=2), COSTS).select("time", "fold", "combined", "position", "pnl", "equity")
+
+
+@register()
+def sweep_zscore_fade(spark: SparkSession, sf: str) -> DataFrame:
+    from chronosift.plans import research_runs as runs
+
+    return runs.sweep(T.bars(spark, sf), rules.RULES["zscore_fade"], "zscore_fade", {"n": [10, 20, 40], "enter": [1.5, 2.0]}, COSTS)
+
+
+@register()
+def boosted_direction(spark: SparkSession, sf: str) -> DataFrame:
+    """Triple-barrier direction from features, by calibrated boosted trees fitted on the first half."""
+    from chronosift.operators import labels
+    from chronosift.plans import models
+
+    rows = T.bars(spark, sf).withColumn("r", rolling.log_return(F.col("close"))).withColumn("t", rolling.std(F.col("r"), 20))
+    y = labels.triple_barrier(rows, target="t", pt_mult=1.0, sl_mult=1.0, horizon=10).select("series_id", F.col("t_event").alias("time"), (F.col("label") > 0).cast("double").alias("y"))
+    x = features.GROUPS["meanrev"](T.bars(spark, sf)).select("series_id", "time", "meanrev_z_20", "meanrev_z_50", "meanrev_pct_b", F.col("meanrev_streak").cast("double").alias("meanrev_streak"))
+    both = x.join(y, ["series_id", "time"])
+    out = models.boosted_probability(both, ["meanrev_z_20", "meanrev_z_50", "meanrev_pct_b", "meanrev_streak"], "y", F.col("time") < F.lit("2024-01-15").cast("timestamp_ntz"), rounds=5)
+    return out.select("time", "y", "p", models.bet_size(F.col("p")).alias("size"))
