@@ -399,3 +399,57 @@ def boosted_direction(spark: SparkSession, sf: str) -> DataFrame:
     both = x.join(y, ["series_id", "time"])
     out = models.boosted_probability(both, ["meanrev_z_20", "meanrev_z_50", "meanrev_pct_b", "meanrev_streak"], "y", F.col("time") < F.lit("2024-01-15").cast("timestamp_ntz"), rounds=5)
     return out.select("time", "y", "p", models.bet_size(F.col("p")).alias("size"))
+
+
+_ORD = "o AS (SELECT event_id, value / 10 - 25 AS wanted, (event_id % 9 - 4)::DOUBLE AS current, CASE WHEN event_id % 17 = 0 THEN 0.0::DOUBLE ELSE 100000.0 END AS equity, 100.0::DOUBLE AS price, (event_id % 30) / 20.0::DOUBLE AS spread, (event_id % 100) * 80.0::DOUBLE AS age, event_id % 23 AS trades_today, event_id % 11 = 0 AS blackout, event_id % 97 = 0 AS halted FROM events)"
+_NNR = "CASE WHEN current > 0 THEN least(greatest(capped, 0), current) WHEN current < 0 THEN greatest(least(capped, 0), current) ELSE 0.0 END"
+_TZ = "CASE WHEN wanted > 0 THEN least(greatest(capped, 0), wanted) WHEN wanted < 0 THEN greatest(least(capped, 0), wanted) ELSE 0.0 END"
+
+
+@register(
+    f"WITH {_ORD}, c AS (SELECT *, greatest(least(wanted, least(3.0::DOUBLE * equity / (price * 100), 50)), -least(3.0::DOUBLE * equity / (price * 100), 50)) AS capped FROM o), "
+    "r AS (SELECT *, CASE WHEN halted THEN 'halted' WHEN NOT (equity > 0 AND price > 0) THEN 'invalid' WHEN blackout THEN 'blackout' WHEN spread > 1 THEN 'spread' WHEN age > 7200 THEN 'stale' WHEN trades_today >= 20 THEN 'trades' WHEN capped <> wanted THEN 'exposure' ELSE 'ok' END AS reason FROM c) "
+    f"SELECT event_id, reason, CASE WHEN reason = 'halted' THEN 0.0 WHEN reason = 'invalid' THEN current WHEN reason IN ('blackout', 'spread', 'stale', 'trades') THEN {_NNR} ELSE {_TZ} END + 0.0::DOUBLE AS approved FROM r"
+)
+def risk_approval(spark: SparkSession, sf: str) -> DataFrame:
+    from chronosift.operators import desk
+
+    e = F.col("event_id")
+    orders = T.table(spark, sf, "events").select(
+        "event_id", (F.col("value") / 10 - 25).alias("wanted"), (e % 9 - 4).cast("double").alias("current"), F.when(e % 17 == 0, 0.0).otherwise(100_000.0).alias("equity"), F.lit(100.0).alias("price"),
+        ((e % 30) / 20.0).alias("spread"), ((e % 100) * 80.0).alias("age"), (e % 23).alias("trades_today"), (e % 11 == 0).alias("blackout"), (e % 97 == 0).alias("halted"),
+    )
+    return desk.approve(orders, costs=execution.Costs()).select("event_id", "reason", (F.col("approved") + 0.0).alias("approved"))
+
+
+@register("SELECT user_id AS cycle_id, arg_max(CASE WHEN event_type = 'purchase' THEN props END, CASE WHEN event_type = 'purchase' THEN event_id END) AS decision, arg_max(CASE WHEN event_type = 'signup' THEN props END, CASE WHEN event_type = 'signup' THEN event_id END) AS policy, count(*) FILTER (WHERE event_type = 'click') AS tool_calls, 0::BIGINT AS tool_errors, sum(event_id)::BIGINT AS tokens FROM events GROUP BY 1")
+def journal_summary(spark: SparkSession, sf: str) -> DataFrame:
+    from chronosift.operators import desk
+
+    kind = F.col("event_type")
+    name = F.when(kind == "purchase", "decision").when(kind == "signup", "policy").when(kind == "click", "tool_call").otherwise(kind)
+    rows = T.table(spark, sf, "events").select(F.col("user_id").alias("cycle_id"), F.col("event_id").alias("seq"), name.alias("event"), F.col("props").alias("status"), F.col("event_id").alias("tokens"))
+    return desk.journal_summary(rows)
+
+
+@register()
+def opening_range_breakout(spark: SparkSession, sf: str) -> DataFrame:
+    return rules.orb(T.bars(spark, sf)).select("time", "orb")
+
+
+@register()
+def seasonality_forecast(spark: SparkSession, sf: str) -> DataFrame:
+    rows = T.bars(spark, sf)
+    fitted = rules.fit_seasonality(rows.filter("time < TIMESTAMP_NTZ '2024-01-22'"))
+    return rules.seasonality(rows, fitted).select("time", "intraday_seasonality")
+
+
+@register()
+def macro_forecast(spark: SparkSession, sf: str) -> DataFrame:
+    signs = {"1-URGENT": -1.0, "2-HIGH": 1.0}
+    return rules.macro_factor(T.bars(spark, sf), T.macro(spark, sf), signs).select("time", "macro_factor")
+
+
+@register()
+def managed_allocation(spark: SparkSession, sf: str) -> DataFrame:
+    return rules.managed(T.bars(spark, sf)).select("time", "managed")

@@ -7,13 +7,14 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronosift.functions import ewm
 from chronosift.functions.scalars import clip, safe_div, tsmom_response
 from chronosift.functions.statistics import diversification_multiplier, overlap_correlation
 from chronosift.operators import islands, rolling
+from chronosift.operators.asof import asof_join
 from chronosift.operators.rolling import series
 
 RULES: dict[str, Callable[..., DataFrame]] = {}
@@ -155,3 +156,76 @@ def stream_statistics(forecasts: DataFrame, names: list[str], cost: float = 0.0)
         x = F.col(n) * F.col("__next") - cost * F.col(f"__d_{n}")
         aggs.append(F.struct(F.lit(n).alias("strategy"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.avg(f"__d_{n}").alias("turnover")).alias(n))
     return rows.agg(F.array(*aggs).alias("a")).select(F.inline("a"))
+
+
+@rule
+def orb(bars: DataFrame, zone: str = "Europe/London", opens: int = 8, hours: int = 2, closes: int = 17) -> DataFrame:
+    """Opening range breakout: the first close beyond the local session's opening range holds to its end."""
+    local = F.from_utc_timestamp(F.col("time").cast("timestamp"), zone)
+    day = Window.partitionBy("series_id", "__day")
+    rows = bars.withColumns({"__day": F.to_date(local), "__h": F.hour(local)})
+    opening = (F.col("__h") >= opens) & (F.col("__h") < opens + hours)
+    so_far = day.orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"__hi": F.max(F.when(opening, F.col("high"))).over(so_far), "__lo": F.min(F.when(opening, F.col("low"))).over(so_far)})
+    live = (F.col("__h") >= opens + hours) & (F.col("__h") < closes)
+    side = F.when(live & (F.col("close") > F.col("__hi")), 1.0).when(live & (F.col("close") < F.col("__lo")), -1.0)
+    rows = rows.withColumn("__side", side)
+    held = F.first("__side", ignorenulls=True).over(so_far)
+    # flat from the session's last bar on: its fill would come after the end
+    open_ = (F.col("__h") >= opens + hours) & (F.col("__h") < closes - 1)
+    return rows.withColumn("orb", F.when(open_, F.coalesce(held, F.lit(0.0))).otherwise(0.0)).drop("__day", "__h", "__hi", "__lo", "__side")
+
+
+def fit_seasonality(train: DataFrame, *, zone: str = "America/New_York") -> DataFrame:
+    """(key, n, mean, shrunk): mean next-bar log return by local hour of the week, shrunk to the grand mean.
+
+    The between-key variance is DerSimonian and Laird's; at most 168 rows.
+    """
+    nxt = F.ln(F.lead("close").over(series()) / F.lead("open").over(series()))
+    rows = train.withColumns({"y": nxt, "key": hour_of_week(F.lead("time").over(series()), zone)}).filter("y IS NOT NULL")
+    keys = rows.groupBy("key").agg(F.count("y").alias("n"), F.avg("y").alias("mean"), F.var_samp("y").alias("var")).filter("n > 1 AND var > 0")
+    whole = Window.partitionBy(F.lit(0))
+    w = F.col("n") / F.col("var")
+    keys = keys.withColumns({"w": w, "w1": F.sum(w).over(whole), "w2": F.sum(w * w).over(whole), "wm": F.sum(w * F.col("mean")).over(whole), "k": F.count(F.lit(1)).over(whole)})
+    keys = keys.withColumn("grand", F.col("wm") / F.col("w1")).withColumn("q", F.sum(F.col("w") * (F.col("mean") - F.col("grand")) * (F.col("mean") - F.col("grand"))).over(whole))
+    tau2 = F.greatest(F.lit(0.0), F.coalesce(F.try_divide(F.col("q") - (F.col("k") - 1), F.col("w1") - F.col("w2") / F.col("w1")), F.lit(0.0)))
+    shrink = F.try_divide(tau2, tau2 + F.col("var") / F.col("n"))
+    return keys.select("key", "n", "mean", (F.col("grand") + F.coalesce(shrink, F.lit(0.0)) * (F.col("mean") - F.col("grand"))).alias("shrunk"))
+
+
+def hour_of_week(time, zone: str):
+    local = F.from_utc_timestamp(time.cast("timestamp"), zone)
+    return F.weekday(local) * 24 + F.hour(local)
+
+
+def seasonality(bars: DataFrame, table: DataFrame, *, zone: str = "America/New_York", scale: float = 20.0) -> DataFrame:
+    """Adds intraday_seasonality: the fitted table's value for the next hour, in units of recent volatility."""
+    rows = ewm.with_kernels(bars, {"__v": lambda p: ewm.ewma_vol(p, 50, 20)}).withColumn("key", hour_of_week(F.col("available_at"), zone))
+    out = rows.join(F.broadcast(table.select("key", "shrunk")), "key", "left")
+    return out.withColumn("intraday_seasonality", clip(F.coalesce(safe_div(F.col("shrunk"), F.col("__v")), F.lit(0.0)) * scale, -1, 1)).drop("__v", "key", "shrunk")
+
+
+def macro_factor(bars: DataFrame, macro: DataFrame, signs: dict[str, float], *, days: int = 20, window: int = 60) -> DataFrame:
+    """Adds macro_factor: the signed z-scores of macro changes published by each bar, over the root of their number."""
+    w = Window.partitionBy("name").orderBy("date")
+    long_ = w.rowsBetween(-(window - 1), 0)
+    rows = macro.withColumn("c", F.ln(F.col("value") / F.lag("value", days).over(w)))
+    z = F.when(F.count("c").over(long_) == window, F.try_divide(F.col("c"), F.stddev_samp("c").over(long_)))
+    rows = rows.withColumn("z", z)
+    out = bars
+    for i, (name, sign) in enumerate(sorted(signs.items())):
+        one = rows.filter(F.col("name") == name).select(F.col("available_at").alias("published"), (F.col("z") * sign).alias(f"__z{i}"))
+        out = asof_join(out, one, left_time="available_at", right_time="published", columns=[f"__z{i}"])
+    zs = [F.col(f"__z{i}") for i in range(len(signs))]
+    n = sum((x.isNotNull().cast("int") for x in zs), F.lit(0))
+    total = sum((F.coalesce(x, F.lit(0.0)) for x in zs), F.lit(0.0))
+    return out.withColumn("macro_factor", clip(F.when(n > 0, total / F.sqrt(n.cast("double"))).otherwise(0.0) / 2.0, -1, 1)).drop(*[f"__z{i}" for i in range(len(signs))])
+
+
+def managed(bars: DataFrame, *, base: float = 0.5, span: int = 100) -> DataFrame:
+    """Adds managed: a long base that halves while price is below its average and volatility is high, with hysteresis."""
+    rows = ewm.with_kernels(bars, {"__e": lambda p: ewm.ema(p["close"], span), "__a": lambda p: ewm.ewma_vol(p, 20, 10), "__b": lambda p: ewm.ewma_vol(p, 200, 50)})
+    ratio = safe_div(F.col("__a"), F.col("__b"))
+    rows = rows.withColumns({"__on": (F.col("close") < F.col("__e")) & (ratio > 1.2), "__off": (F.col("close") > F.col("__e")) | (ratio < 0.9)})
+    risk = islands.latch(F.col("__on"), F.col("__off"), F.lit(False), F.lit(False))
+    return rows.withColumn("managed", F.lit(base) * F.when(risk == 1, 0.5).otherwise(1.0)).drop("__e", "__a", "__b", "__on", "__off")
