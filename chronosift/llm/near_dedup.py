@@ -3,19 +3,22 @@
 A document's set are the hashes of its distinct word shingles; POSITIONS minwise hashes stand for it.
 Equal word sequences form a class first, of which one representative goes on. In each of TREES
 independent trees a node picks one or two token positions (1 / 0.8 on average) by hash, and a
-document moves on to the child of each picked position and its token there. Nodes of at most LEAF
-documents are compared exhaustively. A larger node is compared with a few pivots first: if that connects
-it, it is finished; if few members remain unconnected, those are compared with all; else the node branches
-again. Nodes that are still large after MAX_LEVEL levels compare their unconnected members with all,
-so nothing is dropped or capped. Estimates from the tokens only nominate pairs (FLOOR is four
-standard errors below the threshold); links are confirmed on the full sets.
+document moves on to the child of each picked position and its token there; the first two levels are
+taken at once. Nodes of at most LEAF documents are compared exhaustively. A larger node is compared
+with a pivot first: if that connects it, it is finished; if few members remain unconnected, those are
+compared with all; else the node branches again. Nodes that are still large after MAX_LEVEL levels
+compare their unconnected members with all, so nothing is dropped or capped. Estimates from the tokens
+only nominate pairs (FLOOR is four standard errors below the threshold); links are confirmed on
+the full sets.
 
 A link is missed only if no tree keeps the pair together: at similarity 0.8 a tree does with a
-probability of 0.84 after one level and about 0.65 after three, so eight trees miss 4e-7 to 2e-4.
+probability of 0.73 after two levels, 0.64 after three and 0.58 after four, so ten trees miss
+2e-6 to 2e-4.
 
 Where a group's members are already connected, further pairs aren't compared: components are the
 same, and groups of thousands of near copies cost as many comparisons as they have members, not
 their square. Components come from alternating large-star and small-star steps, in tables.
+Tables of tokens are cut down to the documents that a step needs before they are joined.
 
 Defined results: a null or wordless text has no set, links with nothing and stays; rows of one id
 are one document with the links of all its texts; a row with a null id is kept, with a null component;
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import scratch
 
 WIDTH, THRESHOLD = 5, 80
-POSITIONS, TREES, LEAF, PIVOTS, REST, MAX_LEVEL, FLOOR = 128, 8, 192, 3, 16, 8, 0.65
+POSITIONS, TREES, LEAF, REST, MAX_LEVEL, FLOOR = 128, 10, 192, 16, 5, 0.65
 #: Ids that may be broadcast (16 MB); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _PIECE = 1 << 21
@@ -139,26 +142,26 @@ def _matrix(tokens: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(tokens), np.uint32).reshape(len(tokens), POSITIONS)
 
 
-def _branch(rows: DataFrame) -> DataFrame:
-    """The children (node, rep) of rows (node, rep, tokens)."""
+def _branch(rows: DataFrame, levels: int = 1) -> DataFrame:
+    """The descendants (node, rep, mark) of rows (node, rep, mark, tokens) so many levels below."""
 
     def move(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not len(batch):
                 continue
-            node, rep, tokens = batch["node"].to_numpy(np.int64).astype(np.uint64), batch["rep"].to_numpy(), _matrix(batch["tokens"])
+            node, at, tokens = batch["node"].to_numpy(np.int64).astype(np.uint64), np.arange(len(batch)), _matrix(batch["tokens"])
             with np.errstate(over="ignore"):
-                pick = mix(node + np.uint64(0x632BE59BD9B4E019))
-                out = []
-                for k, chosen in ((0, np.ones(len(node), bool)), (1, (pick >> np.uint64(40)) % np.uint64(4) == 0)):
+                for _ in range(levels):
+                    pick = mix(node + np.uint64(0x632BE59BD9B4E019))
                     first = (pick % np.uint64(POSITIONS)).astype(np.int64)
-                    place = (first + k * (1 + ((pick >> np.uint64(20)) % np.uint64(POSITIONS - 1)).astype(np.int64))) % POSITIONS
-                    token = tokens[np.arange(len(node)), place].astype(np.uint64)
-                    child = mix(node * np.uint64(0xD6E8FEB86659FD93) + token * np.uint64(256) + place.astype(np.uint64))
-                    out.append(pd.DataFrame({"node": child[chosen].astype(np.int64), "rep": rep[chosen]}))
-            yield pd.concat(out)
+                    second = (first + 1 + ((pick >> np.uint64(20)) % np.uint64(POSITIONS - 1)).astype(np.int64)) % POSITIONS
+                    twice = (pick >> np.uint64(40)) % np.uint64(4) == 0
+                    place = np.concatenate([first, second[twice]])
+                    node, at = np.concatenate([node, node[twice]]), np.concatenate([at, at[twice]])
+                    node = mix(node * np.uint64(0xD6E8FEB86659FD93) + tokens[at, place].astype(np.uint64) * np.uint64(256) + place.astype(np.uint64))
+            yield pd.DataFrame({"node": node.astype(np.int64), "rep": batch["rep"].to_numpy()[at], "mark": batch["mark"].astype("Int64").array[at]})
 
-    return rows.select("node", "rep", "tokens").mapInPandas(move, "node long, rep long")
+    return rows.select("node", "rep", "mark", "tokens").mapInPandas(move, "node long, rep long, mark long")
 
 
 def _groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
@@ -275,21 +278,23 @@ class _Join:
         self.tokens = self.reps.select("rep", "tokens")
         self.links: list[DataFrame] = []
 
+    def only(self, table: DataFrame, wanted: DataFrame) -> DataFrame:
+        """The rows of a table by rep that are wanted; few enough ids are broadcast, more are shuffled."""
+        wanted = scratch(wanted.select("rep").distinct(), "wanted")
+        return table.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "rep", "left_semi")
+
     def sets(self, wanted: DataFrame) -> DataFrame:
         """(rep, shingles) of the wanted documents, from their texts."""
-        wanted = scratch(wanted.distinct(), "wanted")
-        few = wanted.count() <= BROADCAST_IDS
         width = self.width
 
         def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 yield pd.DataFrame({"rep": batch["rep"], "shingles": [own.tobytes() for _, own in shingle_sets(batch["text"].to_list(), width)]})
 
-        rows = self.docs.join(F.broadcast(wanted) if few else wanted, "rep", "left_semi")
-        return scratch(rows.select("rep", "text").mapInPandas(measure, "rep long, shingles binary"), "sets")
+        return scratch(self.only(self.docs, wanted).select("rep", "text").mapInPandas(measure, "rep long, shingles binary"), "sets")
 
-    def confirm(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) that link."""
+    def confirm(self, pairs: DataFrame, tokens: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) that link; tokens hold all their documents."""
         threshold = self.threshold
 
         def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -302,60 +307,62 @@ class _Join:
                 keep = [_alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), threshold) for x, y in zip(batch["sa"], batch["sb"], strict=True)]
                 yield batch.loc[np.array(keep, bool), ["a", "b"]]
 
-        token = lambda s: self.tokens.select(F.col("rep").alias(s), F.col("tokens").alias(f"t{s}"))
+        token = lambda s: tokens.select(F.col("rep").alias(s), F.col("tokens").alias(f"t{s}"))
         maybe = scratch(pairs.filter("a != b").distinct().join(token("a"), "a").join(token("b"), "b").mapInPandas(near, "a long, b long").distinct(), "pairs")
         sets = self.sets(maybe.select(F.col("a").alias("rep")).union(maybe.select("b")))
         side = lambda s: sets.select(F.col("rep").alias(s), F.col("shingles").alias(f"s{s}"))
-        found = scratch(maybe.join(side("a"), "a").join(side("b"), "b").mapInPandas(exact, "a long, b long"), "links")
+        found = scratch(maybe.join(side("a"), "a").join(side("b"), "b").mapInPandas(exact, "a long, b long").distinct(), "links")
         self.links.append(found)
         return found
 
     def run(self) -> DataFrame:
-        start = self.tokens.withColumn("node", F.explode(F.array(*[F.lit(i).cast("long") for i in range(TREES)])))
-        rows = scratch(_branch(start), "nodes")
-        leaves = []
+        start = self.tokens.withColumn("mark", F.lit(None).cast("long")).select("*", F.explode(F.array(*[F.lit(i).cast("long") for i in range(TREES)])).alias("node"))
+        rows = scratch(_branch(start, 2), "nodes")
+        leaves, tokens = [], None
         for level in range(1, MAX_LEVEL + 1):
-            sized = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-            sized = scratch(sized, "sizes")
-            small, large = sized.filter(F.col("n") <= LEAF).select("node"), scratch(sized.filter(F.col("n") > LEAF).select("node"), "large")
+            # a node whose members all hang on one pivot is finished
+            sized = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(F.coalesce("mark", "rep")).alias("lo"), F.max(F.coalesce("mark", "rep")).alias("hi"))
+            sized = scratch(sized.filter("n > 1 AND lo != hi").select("node", "n"), "sizes")
+            small, large = sized.filter(F.col("n") <= LEAF).select("node"), sized.filter(F.col("n") > LEAF).select("node")
             # at most LEAF members each; the same members in several trees are one leaf
             leaves.append(scratch(rows.join(small, "node").groupBy("node").agg(F.sort_array(F.collect_set("rep")).alias("members")).filter(F.size("members") > 1).select("members").distinct(), "leaves"))
             if large.isEmpty():
                 break
-            rows = self.thin(rows.join(large, "node"), last=level == MAX_LEVEL)
+            rows = scratch(rows.join(large, "node").select("node", "rep", "mark"), "large-nodes")
+            tokens = scratch(self.only(tokens or self.tokens, rows), "large-tokens")
+            rows = self.thin(rows, tokens, last=level == MAX_LEVEL)
             if rows is None:
                 break
-            rows = scratch(_branch(rows.join(self.tokens, "rep")), "nodes")
+            rows = scratch(_branch(rows.join(tokens, "rep")), "nodes")
         sets = leaves[0]
         for x in leaves[1:]:
             sets = sets.union(x)
-        members = sets.distinct().select(F.xxhash64("members").alias("leaf"), F.explode("members").alias("rep"))
-        clusters = scratch(_clusters(members.join(self.tokens, "rep")), "clusters")
-        full = self.sets(clusters.select("rep"))
+        members = scratch(sets.distinct().select(F.xxhash64("members").alias("leaf"), F.explode("members").alias("rep")), "members")
+        clusters = scratch(_clusters(members.join(self.only(self.tokens, members), "rep")), "clusters")
+        full = self.sets(clusters)
         self.links.append(_forest(clusters.join(full, "rep"), self.threshold))
         links = self.links[0]
         for x in self.links[1:]:
             links = links.union(x)
         return links
 
-    def thin(self, rows: DataFrame, last: bool) -> DataFrame | None:
-        """Compares large nodes with pivots; the rows (node, rep) of those that must branch on."""
-        rows = scratch(rows.select("node", "rep"), "large-nodes")
-        spot = lambda k: F.min_by("rep", F.xxhash64("rep", F.lit(k)))
-        pivots = scratch(rows.groupBy("node").agg(*[spot(k).alias(f"p{k}") for k in range(PIVOTS)]), "pivots")
-        pairs = rows.join(pivots, "node").select(F.col("rep").alias("a"), F.explode(F.array(*[F.col(f"p{k}") for k in range(PIVOTS)])).alias("b"))
-        found = self.confirm(pairs)
-        labels = scratch(connected_components(found), "labels")
-        own = rows.join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("node", "rep", F.coalesce("component", "rep").alias("component"))
-        main = pivots.join(labels.withColumnRenamed("v", "p0"), "p0", "left").select("node", F.coalesce("component", "p0").alias("main"))
-        loose = scratch(own.join(main, "node").filter("component != main").select("node", F.col("rep").alias("b")), "loose")
-        counts = scratch(loose.groupBy("node").count(), "counts")
+    def thin(self, rows: DataFrame, tokens: DataFrame, last: bool) -> DataFrame | None:
+        """Compares large nodes with a pivot; the rows (node, rep, mark) of those that must branch on."""
+        # the pivot is a member that hangs on none yet
+        free = F.when(F.col("mark").isNull(), F.xxhash64("rep"))
+        pivots = rows.groupBy("node").agg(F.min_by("rep", free).alias("pivot")).filter("pivot IS NOT NULL")
+        paired = scratch(rows.join(pivots, "node", "left"), "pivots")
+        found = self.confirm(paired.filter("pivot IS NOT NULL").select(F.col("rep").alias("a"), F.col("pivot").alias("b")), tokens)
+        hangs = found.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), F.lit(True).alias("linked"))
+        own = F.coalesce(F.col("linked"), F.col("rep") == F.col("pivot"), F.lit(False))
+        rows = scratch(paired.join(hangs, ["rep", "pivot"], "left").select("node", "rep", F.when(own, F.col("pivot")).otherwise(F.col("mark")).alias("mark"), own.alias("own")), "marked")
+        counts = scratch(rows.filter("NOT own").groupBy("node").count(), "counts")
         few = counts if last else counts.filter(F.col("count") <= REST)
         if not few.isEmpty():
-            rest = loose.join(few.select("node"), "node")
-            self.confirm(rows.join(rest, "node").select(F.col("rep").alias("a"), "b"))
+            rest = rows.filter("NOT own").join(few.select("node"), "node").select("node", F.col("rep").alias("b"))
+            self.confirm(rows.join(rest, "node").select(F.col("rep").alias("a"), "b"), tokens)
         many = counts.filter(F.col("count") > REST).select("node")
-        return None if last or many.isEmpty() else rows.join(many, "node")
+        return None if last or many.isEmpty() else rows.join(many, "node").select("node", "rep", "mark")
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
