@@ -4,12 +4,12 @@ A document's set are the hashes of its distinct word shingles; POSITIONS minwise
 Equal word sequences form a class first, of which one representative goes on. In each of TREES
 independent trees a node picks one or two token positions (1 / 0.8 on average) by hash, and a
 document moves on to the child of each picked position and its token there; the first two levels are
-taken at once. Nodes of at most LEAF documents are compared exhaustively. A larger node is compared
-with a pivot first: if that connects it, it is finished; if few members remain unconnected, those are
-compared with all; else the node branches again. Nodes that are still large after MAX_LEVEL levels
-compare their unconnected members with all, so nothing is dropped or capped. Estimates from the tokens
-only nominate pairs (FLOOR is four standard errors below the threshold); links are confirmed on
-the full sets.
+taken at once. Nodes of at most LEAF documents are compared exhaustively. A larger node is compared with
+ROUNDS pivots first, each a member that is linked to nothing yet: a node whose members are all connected
+is finished; if few members are outside its largest component, those are compared with all; else the
+node branches again. Nodes that are still large after MAX_LEVEL levels compare their other members with
+all, so nothing is dropped or capped. Estimates from the tokens only nominate pairs (FLOOR is four
+standard errors below the threshold); links are confirmed on the full sets.
 
 A link is missed only if no tree keeps the pair together: at similarity 0.8 a tree does with a
 probability of 0.73 after two levels, 0.64 after three and 0.58 after four, so ten trees miss
@@ -32,16 +32,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import scratch
 
 WIDTH, THRESHOLD = 5, 80
-POSITIONS, TREES, LEAF, REST, MAX_LEVEL, FLOOR = 128, 10, 192, 16, 5, 0.65
-#: Ids that may be broadcast (16 MB); more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
-_PIECE = 1 << 21
+POSITIONS, TREES, LEAF, ROUNDS, REST, MAX_LEVEL, FLOOR = 128, 10, 1024, 3, 16, 5, 0.65
+#: Rows of a few ids, rows of tokens, and bytes of sets that may be broadcast; more are joined by a shuffle.
+BROADCAST_IDS, BROADCAST_TOKENS, BROADCAST_SETS = 250_000, 20_000, 32 << 20
+#: Links that one task may connect (8 MB); more take large-star and small-star steps.
+LOCAL_LINKS = 500_000
+_PIECE = 1 << 19
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -143,7 +145,7 @@ def _matrix(tokens: pd.Series) -> np.ndarray:
 
 
 def _branch(rows: DataFrame, levels: int = 1) -> DataFrame:
-    """The descendants (node, rep, mark) of rows (node, rep, mark, tokens) so many levels below."""
+    """The descendants (node, rep) of rows (node, rep, tokens) so many levels below."""
 
     def move(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -159,9 +161,9 @@ def _branch(rows: DataFrame, levels: int = 1) -> DataFrame:
                     place = np.concatenate([first, second[twice]])
                     node, at = np.concatenate([node, node[twice]]), np.concatenate([at, at[twice]])
                     node = mix(node * np.uint64(0xD6E8FEB86659FD93) + tokens[at, place].astype(np.uint64) * np.uint64(256) + place.astype(np.uint64))
-            yield pd.DataFrame({"node": node.astype(np.int64), "rep": batch["rep"].to_numpy()[at], "mark": batch["mark"].astype("Int64").array[at]})
+            yield pd.DataFrame({"node": node.astype(np.int64), "rep": batch["rep"].to_numpy()[at]})
 
-    return rows.select("node", "rep", "mark", "tokens").mapInPandas(move, "node long, rep long, mark long")
+    return rows.select("node", "rep", "tokens").mapInPandas(move, "node long, rep long")
 
 
 def _groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
@@ -194,15 +196,14 @@ def _clusters(leaves: DataFrame) -> DataFrame:
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in _groups(batches, "leaf"):
             tokens, reps = _matrix(group["tokens"]), group["rep"].to_list()
-            parent = {i: i for i in range(len(reps))}
+            own = np.arange(len(reps))
             for i in range(len(reps) - 1):
-                for j in np.flatnonzero((tokens[i + 1 :] == tokens[i]).mean(axis=1) >= FLOOR):
-                    a, b = _find(parent, i), _find(parent, i + 1 + int(j))
-                    if a != b:
-                        parent[b] = a
+                hit = (tokens[i + 1 :] == tokens[i]).mean(axis=1) >= FLOOR
+                for other in np.unique(own[i + 1 :][hit]):
+                    own[own == other] = own[i]
             members: dict[int, list] = {}
-            for i in range(len(reps)):
-                members.setdefault(_find(parent, i), []).append(reps[i])
+            for i, k in enumerate(own.tolist()):
+                members.setdefault(k, []).append(reps[i])
             for m in members.values():
                 if len(m) > 1:
                     name = np.frombuffer(hashlib.blake2b(np.sort(np.array(m, np.int64)).tobytes(), digest_size=8).digest(), np.int64)[0]
@@ -226,14 +227,15 @@ def _forest(clusters: DataFrame, threshold: int) -> DataFrame:
         for group in _groups(batches, "cluster"):
             reps = group["rep"].to_list()
             sets = [np.frombuffer(s, np.uint64) for s in group["shingles"]]
-            parent = {r: r for r in reps}
+            _, own = np.unique(reps, return_inverse=True)
             links = []
             for i in range(len(reps)):
                 for j in range(i + 1, len(reps)):
-                    a, b = _find(parent, reps[i]), _find(parent, reps[j])
-                    if a != b and _alike(sets[i], sets[j], threshold):
-                        parent[b] = a
+                    if own[i] != own[j] and _alike(sets[i], sets[j], threshold):
+                        own[own == own[j]] = own[i]
                         links.append((reps[i], reps[j]))
+                if (own == own[0]).all():
+                    break
             if links:
                 yield pd.DataFrame(links, columns=["a", "b"])
 
@@ -241,14 +243,39 @@ def _forest(clusters: DataFrame, threshold: int) -> DataFrame:
     return dealt.mapInPandas(confirm, "a long, b long")
 
 
+def _light(rows: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
+    """A stored table, broadcast if it has few enough rows."""
+    return F.broadcast(rows) if rows.count() <= limit else rows
+
+
+def _connect(links: DataFrame) -> DataFrame:
+    """(v, u): every vertex of a task's links (v, u) and the least vertex that it reaches there."""
+
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parent: dict[int, int] = {}
+        for batch in batches:
+            for a, b in zip(batch["v"].to_list(), batch["u"].to_list(), strict=True):
+                parent.setdefault(a, a)
+                parent.setdefault(b, b)
+                x, y = _find(parent, a), _find(parent, b)
+                parent[max(x, y)] = min(x, y)
+        v = np.fromiter(parent, np.int64, len(parent))
+        yield pd.DataFrame({"v": v, "u": np.fromiter((_find(parent, x) for x in v.tolist()), np.int64, len(v))})
+
+    return links.mapInPandas(join, "v long, u long")
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """(v, component) of every end of links (a, b); component is the least id that v reaches.
 
-    Large-star and small-star steps alternate until nothing changes. Each step is a partial
-    aggregate and a join; no list of neighbours is gathered.
+    Few links are connected by one task, whose work LOCAL_LINKS bounds. Else large-star and small-star
+    steps alternate until nothing changes; each is a partial aggregate and a join, and no list
+    of neighbours is gathered.
     """
     # big > small in all tables
     edges = scratch(links.filter("a != b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "links")
+    if edges.count() <= LOCAL_LINKS:
+        return _connect(edges.coalesce(1)).withColumnRenamed("u", "component")
     while True:
         both = edges.select("v", "u").union(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m"))
@@ -280,8 +307,7 @@ class _Join:
 
     def only(self, table: DataFrame, wanted: DataFrame) -> DataFrame:
         """The rows of a table by rep that are wanted; few enough ids are broadcast, more are shuffled."""
-        wanted = scratch(wanted.select("rep").distinct(), "wanted")
-        return table.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "rep", "left_semi")
+        return table.join(_light(scratch(wanted.select("rep").distinct(), "wanted")), "rep", "left_semi")
 
     def sets(self, wanted: DataFrame) -> DataFrame:
         """(rep, shingles) of the wanted documents, from their texts."""
@@ -293,47 +319,51 @@ class _Join:
 
         return scratch(self.only(self.docs, wanted).select("rep", "text").mapInPandas(measure, "rep long, shingles binary"), "sets")
 
-    def confirm(self, pairs: DataFrame, tokens: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) that link; tokens hold all their documents."""
+    def confirm(self, maybe: DataFrame) -> None:
+        """Keeps those of the nominated pairs (a, b) that link."""
         threshold = self.threshold
 
-        def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if len(batch):
-                    yield batch.loc[(_matrix(batch["ta"]) == _matrix(batch["tb"])).mean(axis=1) >= FLOOR, ["a", "b"]]
-
         def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 keep = [_alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), threshold) for x, y in zip(batch["sa"], batch["sb"], strict=True)]
                 yield batch.loc[np.array(keep, bool), ["a", "b"]]
 
-        token = lambda s: tokens.select(F.col("rep").alias(s), F.col("tokens").alias(f"t{s}"))
-        maybe = scratch(pairs.filter("a != b").distinct().join(token("a"), "a").join(token("b"), "b").mapInPandas(near, "a long, b long").distinct(), "pairs")
+        maybe = scratch(maybe.distinct(), "pairs")
         sets = self.sets(maybe.select(F.col("a").alias("rep")).union(maybe.select("b")))
-        side = lambda s: sets.select(F.col("rep").alias(s), F.col("shingles").alias(f"s{s}"))
-        found = scratch(maybe.join(side("a"), "a").join(side("b"), "b").mapInPandas(exact, "a long, b long").distinct(), "links")
-        self.links.append(found)
-        return found
+        small = (sets.agg(F.sum(F.length("shingles"))).head()[0] or 0) <= BROADCAST_SETS
+        side = lambda s: (F.broadcast if small else lambda t: t)(sets.select(F.col("rep").alias(s), F.col("shingles").alias(f"s{s}")))
+        self.links.append(scratch(maybe.join(side("a"), "a").join(side("b"), "b").mapInPandas(exact, "a long, b long"), "links"))
+
+    def all_links(self) -> DataFrame:
+        out = self.links[0]
+        for x in self.links[1:]:
+            out = out.union(x)
+        return out
+
+    def labelled(self, rows: DataFrame) -> DataFrame:
+        """rows (node, rep) with label, the component so far, and whether rep is linked at all."""
+        if not self.links:
+            return rows.select("node", "rep", F.col("rep").alias("label"), F.lit(False).alias("linked"))
+        labels = scratch(connected_components(self.all_links()), "labels").select(F.col("v").alias("rep"), "component")
+        return rows.join(_light(labels), "rep", "left").select("node", "rep", F.coalesce("component", "rep").alias("label"), F.col("component").isNotNull().alias("linked"))
 
     def run(self) -> DataFrame:
-        start = self.tokens.withColumn("mark", F.lit(None).cast("long")).select("*", F.explode(F.array(*[F.lit(i).cast("long") for i in range(TREES)])).alias("node"))
+        start = self.tokens.select("*", F.explode(F.array(*[F.lit(i).cast("long") for i in range(TREES)])).alias("node"))
         rows = scratch(_branch(start, 2), "nodes")
-        leaves, tokens = [], None
+        leaves, tokens = [], self.tokens
         for level in range(1, MAX_LEVEL + 1):
-            # a node whose members all hang on one pivot is finished
-            sized = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(F.coalesce("mark", "rep")).alias("lo"), F.max(F.coalesce("mark", "rep")).alias("hi"))
-            sized = scratch(sized.filter("n > 1 AND lo != hi").select("node", "n"), "sizes")
+            sized = scratch(self.labelled(rows).groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("node", "n"), "sizes")
             small, large = sized.filter(F.col("n") <= LEAF).select("node"), sized.filter(F.col("n") > LEAF).select("node")
             # at most LEAF members each; the same members in several trees are one leaf
-            leaves.append(scratch(rows.join(small, "node").groupBy("node").agg(F.sort_array(F.collect_set("rep")).alias("members")).filter(F.size("members") > 1).select("members").distinct(), "leaves"))
+            leaves.append(scratch(rows.join(_light(small), "node").groupBy("node").agg(F.sort_array(F.collect_set("rep")).alias("members")).filter(F.size("members") > 1).select("members").distinct(), "leaves"))
             if large.isEmpty():
                 break
-            rows = scratch(rows.join(large, "node").select("node", "rep", "mark"), "large-nodes")
-            tokens = scratch(self.only(tokens or self.tokens, rows), "large-tokens")
+            rows = scratch(rows.join(_light(large), "node").select("node", "rep"), "large-nodes")
+            tokens = scratch(self.only(tokens, rows), "large-tokens")
             rows = self.thin(rows, tokens, last=level == MAX_LEVEL)
             if rows is None:
                 break
-            rows = scratch(_branch(rows.join(tokens, "rep")), "nodes")
+            rows = scratch(_branch(rows.join(_light(tokens, BROADCAST_TOKENS), "rep")), "nodes")
         sets = leaves[0]
         for x in leaves[1:]:
             sets = sets.union(x)
@@ -341,28 +371,51 @@ class _Join:
         clusters = scratch(_clusters(members.join(self.only(self.tokens, members), "rep")), "clusters")
         full = self.sets(clusters)
         self.links.append(_forest(clusters.join(full, "rep"), self.threshold))
-        links = self.links[0]
-        for x in self.links[1:]:
-            links = links.union(x)
-        return links
+        return self.all_links()
+
+    def against(self, rows: DataFrame, few: DataFrame, tokens: DataFrame) -> DataFrame:
+        """Nominated pairs (a, b) of rows (node, rep) with the few (node, b) of each node."""
+        tokens = _light(tokens, BROADCAST_TOKENS)
+        picked = few.join(tokens.withColumnRenamed("rep", "b"), "b").groupBy("node").agg(F.collect_list("b").alias("bs"), F.collect_list("tokens").alias("ts"))
+
+        def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if len(batch):
+                    own, out = _matrix(batch["tokens"]), []
+                    for i, (rep, bs, ts) in enumerate(zip(batch["rep"], batch["bs"], batch["ts"], strict=True)):
+                        hit = (_matrix(list(ts)) == own[i]).mean(axis=1) >= FLOOR
+                        out += [(rep, b) for b in np.asarray(bs)[hit].tolist() if b != rep]
+                    yield pd.DataFrame(out, columns=["a", "b"])
+
+        return rows.join(picked, "node").join(tokens, "rep").select("rep", "tokens", "bs", "ts").mapInPandas(near, "a long, b long")
 
     def thin(self, rows: DataFrame, tokens: DataFrame, last: bool) -> DataFrame | None:
-        """Compares large nodes with a pivot; the rows (node, rep, mark) of those that must branch on."""
-        # the pivot is a member that hangs on none yet
-        free = F.when(F.col("mark").isNull(), F.xxhash64("rep"))
-        pivots = rows.groupBy("node").agg(F.min_by("rep", free).alias("pivot")).filter("pivot IS NOT NULL")
-        paired = scratch(rows.join(pivots, "node", "left"), "pivots")
-        found = self.confirm(paired.filter("pivot IS NOT NULL").select(F.col("rep").alias("a"), F.col("pivot").alias("b")), tokens)
-        hangs = found.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), F.lit(True).alias("linked"))
-        own = F.coalesce(F.col("linked"), F.col("rep") == F.col("pivot"), F.lit(False))
-        rows = scratch(paired.join(hangs, ["rep", "pivot"], "left").select("node", "rep", F.when(own, F.col("pivot")).otherwise(F.col("mark")).alias("mark"), own.alias("own")), "marked")
-        counts = scratch(rows.filter("NOT own").groupBy("node").count(), "counts")
-        few = counts if last else counts.filter(F.col("count") <= REST)
-        if not few.isEmpty():
-            rest = rows.filter("NOT own").join(few.select("node"), "node").select("node", F.col("rep").alias("b"))
-            self.confirm(rows.join(rest, "node").select(F.col("rep").alias("a"), "b"), tokens)
+        """Compares large nodes with pivots; the rows (node, rep) of those that must branch on."""
+        for k in range(ROUNDS):
+            own = self.labelled(rows)
+            free = F.when(~F.col("linked"), F.xxhash64("rep", F.lit(k)))
+            open_ = own.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by("rep", free).alias("b"), F.count(free).alias("n"))
+            pivots = scratch(open_.filter("lo != hi AND n > 0").select("node", "b"), "pivots")
+            if pivots.isEmpty():
+                break
+            self.confirm(self.against(rows, pivots, tokens))
+        own = scratch(self.labelled(rows), "labelled")
+        main = own.groupBy("node", "label").count().groupBy("node").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
+        outside = own.join(main, "node").filter("label != main").select("node", F.col("rep").alias("b"))
+        counts = scratch(outside.groupBy("node").count(), "counts")
+        rest = scratch(outside.join(_light(counts.filter(F.col("count") <= REST).select("node")), "node"), "rest")
+        if not rest.isEmpty():
+            self.confirm(self.against(rows, rest, tokens))
         many = counts.filter(F.col("count") > REST).select("node")
-        return None if last or many.isEmpty() else rows.join(many, "node").select("node", "rep", "mark")
+        if many.isEmpty():
+            return None
+        if last:  # in portions of REST, so that no row grows beyond bounds
+            part = F.floor((F.row_number().over(Window.partitionBy("node").orderBy("b")) - 1) / REST)
+            portions = scratch(outside.join(many, "node").withColumn("part", part), "portions")
+            spread = rows.join(portions.select("node", "part").distinct(), "node").select(F.xxhash64("node", "part").alias("node"), "rep")
+            self.confirm(self.against(spread, portions.select(F.xxhash64("node", "part").alias("node"), "b"), tokens))
+            return None
+        return rows.join(_light(many), "node").select("node", "rep")
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:

@@ -2,6 +2,7 @@ import hashlib
 import math
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from chronosift.llm import fingerprints, langid, line_dedup, near_dedup, quality
@@ -147,6 +148,7 @@ def test_large_nodes_branch_on(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "LEAF", 4)
     monkeypatch.setattr(near_dedup, "REST", 2)
     monkeypatch.setattr(near_dedup, "MAX_LEVEL", 3)
+    monkeypatch.setattr(near_dedup, "ROUNDS", 1)
     rows = _near_docs(spark)[-150:]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = _components(rows, 4)
@@ -154,7 +156,9 @@ def test_large_nodes_branch_on(spark, monkeypatch):
     assert all(r["component_id"] == want[r["doc_id"]] for r in got)
 
 
-def test_components_of_a_long_path(spark):
+@pytest.mark.parametrize("local", [0, 500_000])
+def test_components_of_a_long_path(spark, monkeypatch, local):
+    monkeypatch.setattr(near_dedup, "LOCAL_LINKS", local)
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 502), (500, 502), (7, 7)], "a long, b long")
     got = {r["v"]: r["component"] for r in near_dedup.connected_components(links).collect()}
     assert got == {**dict.fromkeys(range(201), 0), 500: 500, 501: 500, 502: 500}
