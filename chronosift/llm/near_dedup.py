@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import scratch as _scratch
 
 WIDTH, THRESHOLD = 5, 80
 POSITIONS, TREES, LEAF, ROUNDS, REST, MAX_LEVEL, FLOOR = 128, 10, 1024, 3, 16, 5, 0.65
@@ -50,6 +50,11 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _CACHE: dict[str, np.ndarray] = {}
 
 
+def scratch(df: DataFrame, name: str) -> DataFrame:
+    """A stored table, written by no more than four tasks a core: most of them are small."""
+    return _scratch(df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism), name)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser."""
     with np.errstate(over="ignore"):
@@ -298,10 +303,10 @@ class _Join:
     def __init__(self, docs: DataFrame, doc_id: str, text: str, width: int, threshold: int) -> None:
         self.docs = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text"))
         self.width, self.threshold = width, threshold
-        self.signed = scratch(signatures(docs, doc_id, text, width), "signatures")
+        self.signed = _scratch(signatures(docs, doc_id, text, width), "signatures")
         known = self.signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
         self.classes = known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"))
-        self.reps = scratch(self.classes.select("k1", "k2", "rep", "tokens"), "representatives")
+        self.reps = _scratch(self.classes.select("k1", "k2", "rep", "tokens"), "representatives")
         self.tokens = self.reps.select("rep", "tokens")
         self.links: list[DataFrame] = []
 
@@ -317,7 +322,7 @@ class _Join:
             for batch in batches:
                 yield pd.DataFrame({"rep": batch["rep"], "shingles": [own.tobytes() for _, own in shingle_sets(batch["text"].to_list(), width)]})
 
-        return scratch(self.only(self.docs, wanted).select("rep", "text").mapInPandas(measure, "rep long, shingles binary"), "sets")
+        return _scratch(self.only(self.docs, wanted).select("rep", "text").mapInPandas(measure, "rep long, shingles binary"), "sets")
 
     def confirm(self, maybe: DataFrame) -> None:
         """Keeps those of the nominated pairs (a, b) that link."""
@@ -373,6 +378,19 @@ class _Join:
         self.links.append(_forest(clusters.join(full, "rep"), self.threshold))
         return self.all_links()
 
+    def paired(self, pairs: DataFrame, tokens: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) that the tokens nominate; the same pair in several nodes counts once."""
+
+        def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if len(batch):
+                    yield batch.loc[(_matrix(batch["ta"]) == _matrix(batch["tb"])).mean(axis=1) >= FLOOR, ["a", "b"]]
+
+        few = tokens.count() <= BROADCAST_TOKENS
+        token = lambda s: (F.broadcast if few else lambda t: t)(tokens.select(F.col("rep").alias(s), F.col("tokens").alias(f"t{s}")))
+        once = scratch(pairs.filter("a != b").distinct(), "pivot-pairs")
+        return once.join(token("a"), "a").join(token("b"), "b").mapInPandas(near, "a long, b long")
+
     def against(self, rows: DataFrame, few: DataFrame, tokens: DataFrame) -> DataFrame:
         """Nominated pairs (a, b) of rows (node, rep) with the few (node, b) of each node."""
         tokens = _light(tokens, BROADCAST_TOKENS)
@@ -398,7 +416,7 @@ class _Join:
             pivots = scratch(open_.filter("lo != hi AND n > 0").select("node", "b"), "pivots")
             if pivots.isEmpty():
                 break
-            self.confirm(self.against(rows, pivots, tokens))
+            self.confirm(self.paired(rows.join(_light(pivots), "node").select(F.col("rep").alias("a"), "b"), tokens))
         own = scratch(self.labelled(rows), "labelled")
         main = own.groupBy("node", "label").count().groupBy("node").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
         outside = own.join(main, "node").filter("label != main").select("node", F.col("rep").alias("b"))
