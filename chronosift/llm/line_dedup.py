@@ -13,11 +13,15 @@ Defined results: a null text stays null; lines end at \\n, and a last empty line
 rows of one id that hold equal text are one document and lose the same; a null id sorts first;
 repeated chunks within one document go as well; other columns are kept as they are (but for former ones of the counts' names); an
 empty table gives no rows.
+
+remove_repeated() takes whole chunks alone, so what a chunk's ends cut off from a repeated passage stays.
+remove_runs() anchors at every pair of neighbouring lines instead: a run of two or more lines occurred
+before exactly if each of its pairs did, so whole runs go, whatever surrounds them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOW, DIVISOR, MIN_LINES = 2, 2, 2
@@ -73,3 +77,46 @@ def remove_repeated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         "__new": F.when(F.col("__gone").isNull(), F.col("__whole")).otherwise(F.array_join(kept_lines, "\n")),
     })
     return out.select(*[F.col("__new").alias(c) if c == text else F.col(c) for c in cols], "n_lines", "n_chunks", "removed_chunks", "removed_lines")
+
+
+def remove_runs(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with text without repeated runs of lines, and n_lines, removed_runs, removed_lines.
+
+    A line goes if it and a neighbour occurred next to each other before (in an earlier document, or further up
+    without overlap) and a letter or digit is in the run of such lines. The first occurrence of every line stays.
+    """
+    cols = [c for c in docs.columns if c not in ("n_lines", "removed_runs", "removed_lines")]
+    # both joins of the texts see the same columns, so that they can share one shuffle
+    keyed = docs.select(*cols).withColumn("__row", F.xxhash64(text))
+    lines = F.split(F.col(text), "\n", -1)
+    hashes = F.transform(F.sequence(F.lit(1), F.size("__lines") - 1), lambda i: F.xxhash64(F.get("__lines", i - 1), F.get("__lines", i)))
+    several = keyed.select(F.col(doc_id).alias("__id"), "__row", lines.alias("__lines")).filter(F.size("__lines") > 1)
+    pairs = several.select("__id", "__row", F.posexplode(hashes).alias("__at", "__h"))
+    # nominated by hash: a few bytes a line
+    often = pairs.groupBy("__h").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("__h")
+    nominated = pairs.join(often, "__h", "left_semi").groupBy("__id", "__row").agg(F.sort_array(F.collect_set("__at")).alias("__pairs"))
+    same_doc = lambda a: F.col(doc_id).eqNullSafe(F.col(f"{a}_id")) & (F.col("__row") == F.col(f"{a}_row"))
+    at_docs = keyed.join(nominated.select(F.col("__id").alias("__n_id"), F.col("__row").alias("__n_row"), "__pairs"), same_doc("__n"))
+    each = at_docs.select(F.col(doc_id).alias("__id"), "__row", lines.alias("__lines"), "__pairs").select("__id", "__row", "__lines", F.explode("__pairs").alias("__at"))
+    each = each.select("__id", "__row", "__at", F.concat_ws("\n", F.get("__lines", F.col("__at")), F.get("__lines", F.col("__at") + 1)).alias("__said"))
+    # compared by bytes: the text itself is the key; the first occurrence stays
+    place = F.struct("__id", "__row", "__at")
+    same = each.groupBy("__said").agg(F.min(place).alias("__first"), F.count(F.lit(1)).alias("__n")).filter("__n > 1").select(F.col("__said").alias("__same"), "__first")
+    apart = ~(F.col("__id").eqNullSafe(F.col("__first.__id")) & (F.col("__row") == F.col("__first.__row"))) | (F.col("__at") > F.col("__first.__at") + 1)
+    again = each.join(same, F.col("__said") == F.col("__same")).filter(apart).groupBy("__id", "__row", "__at").agg(F.max(F.col("__said").rlike(r"[\p{L}\p{N}]")).alias("__says"))
+    # pairs in a row are one run
+    run = (F.col("__at") - F.row_number().over(Window.partitionBy("__id", "__row").orderBy("__at"))).alias("__run")
+    runs = again.select("__id", "__row", "__at", "__says", run).groupBy("__id", "__row", "__run").agg(F.min("__at").alias("start"), (F.max("__at") + 2).alias("stop"), F.max("__says").alias("__says")).filter("__says")
+    lost = runs.groupBy(F.col("__id").alias("__l_id"), F.col("__row").alias("__l_row")).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("__runs"))
+    joined = keyed.join(lost, same_doc("__l"), "left").withColumn("__lines", lines)
+    # what lies before each run, and behind the last
+    before = F.transform("__runs", lambda r, i: F.struct(F.when(i > 0, F.get("__runs", i - 1)["stop"]).otherwise(0).alias("start"), r["start"].alias("stop")))
+    stays = F.concat(before, F.array(F.struct(F.element_at("__runs", -1)["stop"].alias("start"), F.size("__lines").alias("stop"))))
+    kept_lines = F.flatten(F.transform(stays, lambda s: F.slice("__lines", s["start"] + 1, s["stop"] - s["start"])))
+    out = joined.withColumns({
+        "n_lines": F.coalesce(F.size("__lines"), F.lit(0)),
+        "removed_runs": F.coalesce(F.size("__runs"), F.lit(0)),
+        "removed_lines": F.coalesce(F.aggregate("__runs", F.lit(0), lambda n, r: n + r["stop"] - r["start"]), F.lit(0)),
+        "__new": F.when(F.col("__runs").isNull(), F.col(text)).otherwise(F.array_join(kept_lines, "\n")),
+    })
+    return out.select(*[F.col("__new").alias(c) if c == text else F.col(c) for c in cols], "n_lines", "removed_runs", "removed_lines")

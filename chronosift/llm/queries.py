@@ -11,7 +11,7 @@ from .common import scratch, table
 from .fingerprints import edited, encode, fingerprint, likeness, with_next
 from .kd_sharding import kd_shards
 from .langid import identify
-from .line_dedup import remove_repeated
+from .line_dedup import remove_repeated, remove_runs
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .pfair_mix import mix
@@ -73,6 +73,11 @@ def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated(docs).select("doc_id", "n_lines", "n_chunks", "removed_chunks", "removed_lines", "text")
 
 
+def op7_whole_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_runs(docs).select("doc_id", "n_lines", "removed_runs", "removed_lines", "text")
+
+
 def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(table(spark, sf_dir, "documents"), 24)
 
@@ -145,6 +150,7 @@ def queries() -> dict:
         "op5_chosen_path": op5_chosen_path,
         "op6_cross_parsing": op6_cross_parsing,
         "op7_line_chunks": op7_line_chunks,
+        "op7_whole_runs": op7_whole_runs,
         "op8_kd_shards": op8_kd_shards,
         "op9_dimension_scan": op9_dimension_scan,
         "op10_typed_parts": op10_typed_parts,

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from chronosift.llm.common import scratch, table
 from chronosift.llm.langid import UNKNOWN, identify
-from chronosift.llm.line_dedup import remove_repeated
+from chronosift.llm.line_dedup import remove_runs
 from chronosift.llm.near_dedup import BROADCAST_IDS, near_duplicates
 from chronosift.llm.packing import pack_documents
 from chronosift.llm.pfair_mix import mix
@@ -24,10 +24,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes repeated multi-line chunks, and documents of which nothing else was left."""
-    # the row number keeps the optimiser from working the chunks out again for each use in the filter
-    lean = remove_repeated(docs).withColumn("__at", F.monotonically_increasing_id()).filter((F.col("__at") >= 0) & ((F.col("removed_chunks") == 0) | (F.trim("text") != "")))
-    n = F.when(F.col("removed_chunks") > 0, F.char_length("text").cast("long"))
+    """Removes repeated runs of lines, and documents of which nothing else was left."""
+    # the row number keeps the optimiser from working the text out again for each use in the filter
+    lean = remove_runs(docs).withColumn("__at", F.monotonically_increasing_id()).filter((F.col("__at") >= 0) & ((F.col("removed_runs") == 0) | (F.trim("text") != "")))
+    n = F.when(F.col("removed_runs") > 0, F.char_length("text").cast("long"))
     return lean.withColumn("n_chars", F.coalesce(n, F.col("n_chars"))).select(*docs.columns)
 
 

@@ -92,6 +92,57 @@ def test_line_dedup(spark):
     assert line_dedup.remove_repeated(nothing(spark)).count() == 0
 
 
+def _without_runs(docs):
+    """Brute force over (doc_id, text) in order; also how many lines went."""
+    first, out = {}, {}
+    for key, text in docs:
+        lines = text.split("\n")
+        again = set()
+        for i, pair in enumerate(zip(lines, lines[1:], strict=False)):
+            before = first.setdefault(pair, (key, text, i))
+            if before[:2] != (key, text) or i > before[2] + 1:
+                again.add(i)
+        gone = set()
+        while again:
+            i = j = min(again)
+            while j in again:
+                again.discard(j)
+                j += 1
+            if any(c.isalnum() for x in lines[i : j + 1] for c in x):
+                gone |= set(range(i, j + 1))
+        out[key, text] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    return out
+
+
+def test_whole_runs_go(spark):
+    rows, words = [], [f"w{i}" for i in range(50)]
+    for n in range(2, 9):
+        passage = "\n".join(f"Shared line {i} of the passage of {n}." if i != 3 else "" for i in range(n))
+        for k in range(6):
+            before, behind = (" ".join(words[(n * 7 + k * 5 + j) % 50] for j in range(4)) + f" {n} {k} {side}" for side in ("a", "b"))
+            rows.append((100 * n + k, f"{before}\n{passage}\n{behind}"))
+    rows += [(2000, "x\n\n\n\ny"), (2001, "x\n\n\n\ny\nz"), (2002, "a\na\na"), (2003, "p\np\np\np"), (2004, "r\ns\nr\ns\nr"), (2005, "\n\n\n"), (2006, "one"), (2007, "--\n--\nown"), (2008, "else\n--\n--")]
+    got = {r["doc_id"]: r for r in line_dedup.remove_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = _without_runs(rows)
+    assert {k: r["text"] for k, r in got.items()} == {k: t for (k, _), t in want.items()}
+    for n in range(2, 9):
+        for k in range(1, 6):
+            assert (got[100 * n + k]["removed_runs"], got[100 * n + k]["removed_lines"], got[100 * n + k]["n_lines"]) == (1, n, n + 2)
+    assert [got[k]["text"] for k in (2001, 2002, 2003, 2004, 2005, 2008)] == ["z", "a\na\na", "p\np", "r\ns", "\n\n\n", "else\n--\n--"]
+
+
+def test_whole_runs_of_awkward_rows(spark):
+    docs = documents(spark)
+    got = line_dedup.remove_runs(docs).collect()
+    distinct = sorted({(r["doc_id"] is not None, r["doc_id"] or 0, r["text"]) for r in docs.collect() if r["text"] is not None})
+    want = _without_runs([((has, key), text) for has, key, text in distinct])
+    assert len(got) == docs.count()
+    for r in got:
+        assert r["text"] in [t if t is None else want[(r["doc_id"] is not None, r["doc_id"] or 0), t] for t in (x["text"] for x in docs.collect() if x["doc_id"] == r["doc_id"])]
+    assert sum(r["removed_lines"] for r in got) == 6
+    assert line_dedup.remove_runs(nothing(spark)).count() == 0
+
+
 def _components(rows, width):
     low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     sets, parent = {}, {}
