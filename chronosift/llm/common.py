@@ -48,6 +48,22 @@ def drop_scratch(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def written_order(docs: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """docs with their position (from 0) in the order of the files they are read from, and their number."""
+    spark = docs.sparkSession
+    if not docs.inputFiles():
+        docs = scratch(docs, "ordered")
+    part = F.coalesce(F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).try_cast("long"), F.lit(0))
+    files = sorted(tuple(r) for r in docs.select(part.alias("part"), F.col("_metadata.file_name").alias("file")).groupBy("part", "file").count().collect())
+    starts, n = [], 0
+    for _, file, count in files:
+        starts.append((file, n))
+        n += count
+    begin = small_frame(spark, starts or [("", 0)], "__file string, __begin long")
+    rows = docs.select(*docs.columns, F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__index"))
+    return rows.join(F.broadcast(begin), "__file").select(*docs.columns, (F.col("__begin") + F.col("__index")).alias(name)), n
+
+
 def small_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A frame of driver rows whose number a parameter bounds."""
     names = [x.split()[0] for x in schema.split(",")]
@@ -56,19 +72,21 @@ def small_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     return spark.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(said), f"array<struct<{fields}>>")))
 
 
-def rank_within(df: DataFrame, group: str, by: list[str], counts: list[tuple], *, weight: str | None = None, rank: str = "rank", before: str = "weight_before", key_type: str = "string") -> DataFrame:
+def rank_within(df: DataFrame, group: str, by: list[str], counts: list[tuple], *, weight: str | None = None, rank: str = "rank", before: str = "weight_before", key_type: str = "string", along: str | None = None, upto: int = 1) -> DataFrame:
     """Adds each row's gapless rank (from 0) within its group and, for a weight, the weight before it.
 
     counts has (group, rows) pairs, as many as there are groups, which must be bounded.
     A group is cut into hash chunks of about CHUNK_ROWS rows, so that a group with a third of
     all rows is ranked by many tasks; a prefix sum over chunk totals joins the chunks up.
-    The order is by chunk, then `by`. The group must not be null.
+    The order is by chunk, then `by`. The group must not be null. along: a column from 0 to below upto
+    that cuts the chunks by range instead of by hash; with it first in `by`, ranks follow it.
     """
     spark = df.sparkSession
     chunks = [(g, max(1, min(MAX_CHUNKS, -(-n // CHUNK_ROWS)))) for g, n in counts]
     cut = small_frame(spark, chunks, f"{group} {key_type}, __chunks int")
     cols = df.columns
-    dealt = df.join(F.broadcast(cut), group).withColumn("__chunk", F.pmod(F.xxhash64(*by), F.col("__chunks")).cast("int")).drop("__chunks")
+    chunk = F.floor(F.col(along) * F.col("__chunks") / max(1, upto)) if along else F.pmod(F.xxhash64(*by), F.col("__chunks"))
+    dealt = df.join(F.broadcast(cut), group).withColumn("__chunk", chunk.cast("int")).drop("__chunks")
     whole = Window.partitionBy(group, "__chunk").orderBy(*by)
     earlier = Window.partitionBy(group).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     sums = [F.count(F.lit(1)).alias("__n")] + ([F.sum(weight).alias("__w")] if weight else [])

@@ -9,6 +9,10 @@ down and what remains is packed by best fit: the longest piece left, filled up a
 sums allow. The plan says, for each length, which places its pieces take in turn; every
 piece finds its own by its rank within its length.
 
+With positions (say, of a mixture) ranks follow them, the plan is used in slices with a share of
+each pattern, so that the pieces of a sequence come from nearby, and sequences are numbered by the
+mean position of their tokens. The number of sequences stays the same.
+
 Token ids come from a byte-level BPE rank file through tiktoken: the ids of the same vocabulary
 in the `tokenizers` format, several times as fast. Strings of special tokens are ordinary text.
 
@@ -30,6 +34,8 @@ from pyspark.sql import functions as F
 from .common import rank_within, scratch
 
 CAPACITY, END_ID, ROUNDS, STEP, LEARNING, BEND = 1024, 2, 300, 0.5, 0.2, 1.1
+#: Slices of a plan at most, and entries of the plan in slices.
+MAX_SLICES, MAX_ENTRIES = 4096, 1 << 15
 _ENCODERS: dict[str, object] = {}
 
 
@@ -58,27 +64,28 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return ([(0, first)] if first else []) + [(s, capacity) for s in range(first, n, capacity)]
 
 
-def pieces(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, ranks: str | None = None, with_ids: bool = True) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and, if asked for, the ids themselves."""
+def pieces(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, ranks: str | None = None, with_ids: bool = True, position: str | None = None) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 and, if asked for, the ids themselves and the row's position."""
     path = ranks or default_ranks()
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = _encoder(path)
         for batch in batches:
             out = []
-            for key, said in zip(batch["doc_id"], batch["text"], strict=True):
+            for key, said, *at in zip(*(batch[c] for c in batch.columns), strict=True):
                 ids = np.append(encoder.encode_to_numpy(said, disallowed_special=()) if said else np.empty(0, np.uint32), end_id).astype("<u4")
                 for k, (start, length) in enumerate(cut(len(ids), capacity)):
                     own = ids[start : start + length]
                     row = (key, k, start, length, zlib.crc32(own.tobytes()))
-                    out.append((*row, own.astype(np.int32)) if with_ids else row)
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
+                    out.append((*row, *[own.astype(np.int32)] * with_ids, *at))
+            names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids + ["position"] * bool(position)
             frame = pd.DataFrame(out, columns=names)
             frame["doc_id"] = frame["doc_id"].astype("Int64")
             yield frame
 
-    kinds = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).mapInPandas(encode, kinds)
+    kinds = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids + ", position long" * bool(position)
+    cols = [F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")]
+    return docs.select(*cols, *([F.col(position).alias("position")] if position else [])).mapInPandas(encode, kinds)
 
 
 def price(values: np.ndarray, lengths: np.ndarray, capacity: int) -> list[int]:
@@ -192,16 +199,32 @@ def places(plan: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
     return {"length": table[:, 0], "from": table[:, 1], "sequence": table[:, 2], "each": table[:, 3], "offset": table[:, 4], "sequences": np.array([sequences])}
 
 
+def in_slices(plan: list[tuple[tuple[int, ...], int]]) -> list[tuple[tuple[int, ...], int]]:
+    """The plan dealt over slices: each has its share of every pattern (to the next whole number)."""
+    times, slices = np.array([n for _, n in plan], dtype=np.int64), MAX_SLICES
+    while slices > 1 and np.minimum(times, slices).sum() > MAX_ENTRIES:
+        slices //= 2
+    phase = np.arange(len(plan)) * 0.6180339887 % 1
+    upto = np.floor(times[:, None] * (np.arange(slices + 1) / slices) + phase[:, None]).astype(np.int64)
+    own = np.diff(upto, axis=1)
+    return [(plan[p][0], int(own[p, e])) for e, p in np.argwhere(own.T)]
+
+
 _RANK_BITS = 48
 
 
-def pack(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to a table of pieces, which is read three times."""
+def pack(cut_pieces: DataFrame, capacity: int = CAPACITY, positions: int | None = None) -> DataFrame:
+    """Adds sequence_id and offset to a table of pieces, which is read three times.
+
+    positions: their number; pieces then have a position below it, which ranks and sequences follow.
+    """
     sizes = {int(r["length"]): int(r["count"]) for r in cut_pieces.groupBy("length").count().collect()}
-    at = places(solve(sizes, capacity))
+    plan = solve(sizes, capacity)
+    at = places(plan if positions is None else in_slices(plan))
     keys = (at["length"] << _RANK_BITS) | at["from"]
     cols = cut_pieces.columns
-    ranked = rank_within(cut_pieces, "length", ["doc_id", "piece", "ids_crc32"], sorted(sizes.items()) or [(0, 0)], key_type="long")
+    by, range_ = ["doc_id", "piece", "ids_crc32"], {} if positions is None else {"along": "position", "upto": positions}
+    ranked = rank_within(cut_pieces, "length", ["position", *by] if range_ else by, sorted(sizes.items()) or [(0, 0)], key_type="long", **range_)
 
     def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -214,9 +237,23 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield batch.drop(columns="rank")
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut_pieces.schema.fields)
-    return ranked.select(*cols, "rank").mapInPandas(put, f"{kinds}, sequence_id long, offset long")
+    packed = ranked.select(*cols, "rank").mapInPandas(put, f"{kinds}, sequence_id long, offset long")
+    return packed if positions is None else _numbered(scratch(packed, "packed"), int(at["sequences"][0]), positions)
+
+
+def _numbered(packed: DataFrame, sequences: int, positions: int) -> DataFrame:
+    """packed with sequences numbered by the mean position of their tokens."""
+    middle = F.floor(F.sum(F.col("position") * F.col("length")) / F.sum("length")).alias("__middle")
+    middles = packed.groupBy("sequence_id").agg(middle).withColumn("__all", F.lit(0).cast("long"))
+    numbers = rank_within(middles, "__all", ["__middle", "sequence_id"], [(0, sequences)], rank="__number", key_type="long", along="__middle", upto=positions)
+    out = packed.join(numbers.select("sequence_id", "__number"), "sequence_id")
+    return out.select(*[F.col("__number").alias(c) if c == "sequence_id" else F.col(c) for c in packed.columns])
+
 
+def pack_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, ranks: str | None = None, with_ids: bool = False, position: str | None = None, positions: int | None = None) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, (ids, position,) sequence_id, offset for every piece.
 
-def pack_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, ranks: str | None = None, with_ids: bool = False) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, (ids,) sequence_id, offset for every piece."""
-    return pack(scratch(pieces(docs, doc_id=doc_id, text=text, capacity=capacity, end_id=end_id, ranks=ranks, with_ids=with_ids), "pieces"), capacity)
+    position: a column with the rows' places in an order that the sequences follow, from 0 to below positions.
+    """
+    cut_pieces = pieces(docs, doc_id=doc_id, text=text, capacity=capacity, end_id=end_id, ranks=ranks, with_ids=with_ids, position=position)
+    return pack(scratch(cut_pieces, "pieces"), capacity, positions if position else None)

@@ -9,13 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronosift.llm.common import scratch, table
+from chronosift.llm.common import scratch, table, written_order
 from chronosift.llm.langid import UNKNOWN, identify
 from chronosift.llm.line_dedup import remove_runs
 from chronosift.llm.near_dedup import BROADCAST_IDS, near_duplicates
 from chronosift.llm.packing import pack_documents
 from chronosift.llm.pfair_mix import mix
 
+#: Target weights of the mixture by source; None: bytes to the power 1 / 2.
+WEIGHTS = None
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in no language: null texts and texts without letters."""
@@ -44,12 +47,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts all documents into the order of the mixture; files and rows follow it."""
-    return mix(docs).repartitionByRange("mix_position").sortWithinPartitions("mix_position").select(*docs.columns)
+    return mix(docs, WEIGHTS).repartitionByRange("mix_position").sortWithinPartitions("mix_position").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences of at most 1024 tokens."""
-    return pack_documents(docs).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    """The pieces of all documents and their places in sequences of at most 1024 tokens, which follow the written order."""
+    placed, n = written_order(docs, "__mixed")
+    return pack_documents(placed, position="__mixed", positions=n).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("packing", packing)]

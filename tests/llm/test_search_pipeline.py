@@ -67,3 +67,28 @@ def test_pipeline(spark, tmp_path):
     assert sorted(map(str, ids("mixing"))) == sorted(map(str, ids("near_dedup"))) == sorted({str(i) for i in ids("packing")})
     nothing(spark).drop("size", "rank", "part").write.parquet(f"{tmp_path}/none/documents.parquet")
     assert C.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_sequences_follow_the_mixture(spark, tmp_path, monkeypatch):
+    import corpus_pipeline as C
+
+    rows = [(i, f"{i} " + "some words here " * (20 + i // 2 * 7919 % 90), "en", "ab"[i % 2], 0) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    tables = {}
+    for k, weights in enumerate([{"a": 3, "b": 1}, {"a": 1, "b": 3}]):
+        monkeypatch.setattr(C, "WEIGHTS", weights)
+        C.mixing(spark, docs, "").write.parquet(f"{tmp_path}/{k}")
+        mixed = spark.read.parquet(f"{tmp_path}/{k}")
+        tables[k] = got = C.packing(spark, mixed, "").collect()
+        sequences = sorted({r["sequence_id"] for r in got})
+        assert sequences == list(range(len(sequences)))
+        # the first 40 % of sequences: both sources are there, three to one
+        early = [r for r in got if r["sequence_id"] < 0.4 * len(sequences)]
+        share = sum(r["length"] for r in early if "ab"[r["doc_id"] % 2] == "a") / sum(r["length"] for r in early)
+        assert abs(share - weights["a"] / 4) < 0.08
+        spans = {}
+        for r in got:
+            spans.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        assert all(sum(n for _, n in s) <= 1024 and [o for o, _ in sorted(s)] == [sum(n for _, n in sorted(s)[:i]) for i in range(len(s))] for s in spans.values())
+    assert {tuple(r) for r in tables[0]} != {tuple(r) for r in tables[1]}
+    assert len(tables[0]) == len(tables[1]) and {r["sequence_id"] for r in tables[0]} == {r["sequence_id"] for r in tables[1]}
