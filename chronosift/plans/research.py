@@ -118,6 +118,13 @@ def walk_forward_membership(spark: SparkSession, sf: str) -> DataFrame:
     return splits.membership(pos, splits.folds_frame(spark, _FOLDS))
 
 
+@register()
+def walk_forward_membership_all(spark: SparkSession, sf: str) -> DataFrame:
+    """As walk_forward_membership, whose SQL ends at position 2000, with folds over all days."""
+    pos = T.daily_totals(spark, sf).select((F.row_number().over(Window.orderBy("date")) - 1).cast("long").alias("pos"))
+    return splits.membership(pos, splits.folds_frame(spark, splits.walk_forward(pos.count(), 500, 250, purge=10, embargo=5)))
+
+
 @register("WITH l AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS t, 1 + o_orderkey % 7 AS h FROM orders), n AS (SELECT count(*) AS n FROM l), f AS (SELECT k::INTEGER AS fold, k * (n // 5) + least(k, n % 5) AS a, (k + 1) * (n // 5) + least(k + 1, n % 5) AS b FROM n, range(5) r(k)) SELECT fold, t AS pos FROM l JOIN f ON NOT (t < b + 3 AND t + h >= a)")
 def purged_kfold_train(spark: SparkSession, sf: str) -> DataFrame:
     rows = T.table(spark, sf, "orders").select((F.row_number().over(Window.orderBy("o_orderkey")) - 1).cast("long").alias("t_idx"), (1 + F.col("o_orderkey") % 7).alias("h"))
@@ -386,7 +393,8 @@ def walk_forward_book(spark: SparkSession, sf: str) -> DataFrame:
     from chronosift.plans import research_runs as runs
 
     picked = {n: rules.RULES[n] for n in ("donchian", "zscore_fade", "bollinger_revert")}
-    return runs.walk_forward(T.bars(spark, sf), picked, splits.walk_forward(700, 200, 100, purge=2, embargo=2), COSTS).select("time", "fold", "combined", "position", "pnl", "equity")
+    bars = T.bars(spark, sf)
+    return runs.walk_forward(bars, picked, splits.walk_forward(bars.count(), 200, 100, purge=2, embargo=2), COSTS).select("time", "fold", "combined", "position", "pnl", "equity")
 
 
 @register()

@@ -27,3 +27,17 @@ def test_rollover_nights_of_all_events(spark, sf):
         at = [dt.datetime(2023, 12, 30, 21) + dt.timedelta(days=i) for i in range(60)]
         want[e["event_id"]] = sum((1, 1, 3, 1, 1, 0, 0)[x.weekday()] for x in at if e["ts"] < x <= stop)
     assert len(got) == HOURS and got == want
+
+
+def test_folds_reach_the_last_day(spark, sf):
+    got = {tuple(r) for r in catalogue.queries()["walk_forward_membership_all"](spark, sf).select("fold", "part", "pos").collect()}
+    want = set()
+    for fold, start in enumerate(range(500, DAYS - 15, 250)):
+        want |= {(fold, "train", i) for i in range(start - 500, start)} | {(fold, "test", i) for i in range(start + 15, min(start + 265, DAYS))}
+    assert got == want and max(p for _, part, p in got if part == "test") == DAYS - 1
+
+
+def test_book_reaches_the_last_bar(spark, sf):
+    got = catalogue.queries()["walk_forward_book"](spark, sf).select("time", "fold").collect()
+    start = dt.datetime(2024, 1, 1)
+    assert sorted(r["time"] for r in got) == [start + dt.timedelta(hours=i) for i in range(204, HOURS)]
