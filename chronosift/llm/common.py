@@ -5,13 +5,17 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows that one window task ranks, and chunks that one group is cut into at most.
+#: Rows that one window task ranks, and chunks whose totals one window task adds up.
 CHUNK_ROWS = 500
-MAX_CHUNKS = 8192
+TOTALS = 4096
+#: Bytes of text that a Python worker takes in hand at a time, but for a single longer text.
+BATCH_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,10 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    A local folder of our own is used only where the session names none, as in tests.
+    A local folder of our own is used only where the session names none and runs on one machine, as in tests.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="chronosift-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -41,11 +48,40 @@ def scratch(df: DataFrame, name: str = "scratch") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes the files of a table that scratch() made and nothing reads any more."""
-    for f in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+class Tables:
+    """The scratch tables of one job, to be deleted when it needs them no more."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def store(self, df: DataFrame, name: str, *, keep: bool = False) -> DataFrame:
+        """A table that drop() deletes, unless it is to be kept for the result."""
+        path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        if not keep:
+            self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        for path in self.paths:
+            place = hadoop.Path(path)
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+        self.paths = []
+
+
+def small_batches(batches: Iterator, column: str, most: int = BATCH_BYTES) -> Iterator:
+    """Arrow batches cut into slices with at most so many bytes of a text column, or one row."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        total = np.concatenate(([0], np.cumsum(sizes + 1, dtype=np.int64)))
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(total, total[at] + most, side="right")) - 1)
+            yield batch.slice(at, end - at)
+            at = end
 
 
 def written_order(docs: DataFrame, name: str) -> tuple[DataFrame, int]:
@@ -72,29 +108,46 @@ def small_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     return spark.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(said), f"array<struct<{fields}>>")))
 
 
-def rank_within(df: DataFrame, group: str, by: list[str], counts: list[tuple], *, weight: str | None = None, rank: str = "rank", before: str = "weight_before", key_type: str = "string", along: str | None = None, upto: int = 1) -> DataFrame:
+def running(totals: DataFrame, keys: list[str], at: str, sums: dict[str, str], cut: int = TOTALS) -> DataFrame:
+    """keys, at and, for each column of sums, its sum over smaller `at` of the same keys, under the new name.
+
+    totals has one row a (keys, at). Runs of `cut` values of `at` are added up by tasks of their own, and
+    a window over the runs' sums carries on from one to the next.
+    """
+    run = F.floor(F.col(at) / cut)
+    own = Window.partitionBy(*keys, "__run").orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+    runs = Window.partitionBy(*keys).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
+    rows = totals.withColumn("__run", run)
+    carried = rows.groupBy(*keys, "__run").agg(*[F.sum(c).alias(f"__t_{c}") for c in sums]).select(*keys, "__run", *[F.coalesce(F.sum(f"__t_{c}").over(runs), F.lit(0)).alias(f"__c_{c}") for c in sums])
+    within = rows.select(*keys, at, "__run", *[F.coalesce(F.sum(c).over(own), F.lit(0)).alias(f"__w_{c}") for c in sums])
+    return within.join(carried, [*keys, "__run"]).select(*keys, at, *[(F.col(f"__w_{c}") + F.col(f"__c_{c}")).alias(name) for c, name in sums.items()])
+
+
+def rank_within(df: DataFrame, group: str, by: list[str], counts: list[tuple], *, weight: str | None = None, rank: str = "rank", before: str = "weight_before", key_type: str = "string", along: str | None = None, upto: int = 1, totals: int = TOTALS) -> DataFrame:
     """Adds each row's gapless rank (from 0) within its group and, for a weight, the weight before it.
 
     counts has (group, rows) pairs, as many as there are groups, which must be bounded.
     A group is cut into hash chunks of about CHUNK_ROWS rows, so that a group with a third of
-    all rows is ranked by many tasks; a prefix sum over chunk totals joins the chunks up.
+    all rows is ranked by many tasks; prefix sums over chunk totals join the chunks up, in runs of
+    `totals` chunks where there are more.
     The order is by chunk, then `by`. The group must not be null. along: a column from 0 to below upto
     that cuts the chunks by range instead of by hash; with it first in `by`, ranks follow it.
     """
     spark = df.sparkSession
-    chunks = [(g, max(1, min(MAX_CHUNKS, -(-n // CHUNK_ROWS)))) for g, n in counts]
-    cut = small_frame(spark, chunks, f"{group} {key_type}, __chunks int")
+    chunks = [(g, max(1, -(-n // CHUNK_ROWS))) for g, n in counts]
+    cut = small_frame(spark, chunks, f"{group} {key_type}, __chunks long")
     cols = df.columns
     chunk = F.floor(F.col(along) * F.col("__chunks") / max(1, upto)) if along else F.pmod(F.xxhash64(*by), F.col("__chunks"))
-    dealt = df.join(F.broadcast(cut), group).withColumn("__chunk", chunk.cast("int")).drop("__chunks")
+    dealt = df.join(F.broadcast(cut), group).withColumn("__chunk", chunk.cast("long")).drop("__chunks")
     whole = Window.partitionBy(group, "__chunk").orderBy(*by)
-    earlier = Window.partitionBy(group).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     sums = [F.count(F.lit(1)).alias("__n")] + ([F.sum(weight).alias("__w")] if weight else [])
-    totals = dealt.groupBy(group, "__chunk").agg(*sums)
-    offsets = [F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__n0")]
-    if weight:
-        offsets.append(F.coalesce(F.sum("__w").over(earlier), F.lit(0)).alias("__w0"))
-    offset = totals.select(group, "__chunk", *offsets)
+    of_chunks = dealt.groupBy(group, "__chunk").agg(*sums)
+    named = {"__n": "__n0"} | ({"__w": "__w0"} if weight else {})
+    if max((n for _, n in chunks), default=1) > totals:
+        offset = running(of_chunks, [group], "__chunk", named, totals)
+    else:
+        earlier = Window.partitionBy(group).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+        offset = of_chunks.select(group, "__chunk", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(name) for c, name in named.items()])
     out = dealt.withColumn("__r", F.row_number().over(whole))
     if weight:
         out = out.withColumn("__s", F.coalesce(F.sum(weight).over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

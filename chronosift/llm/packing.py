@@ -4,9 +4,12 @@ Documents become pieces: only one longer than the capacity is cut, into full pie
 piece that takes the remainder. The number of sequences then depends on the histogram of piece
 lengths alone, which has at most `capacity` entries whatever the corpus. Over it the driver solves
 the configuration linear program (fewest patterns of lengths that cover the histogram) by
-multiplicative weights, pricing patterns with a knapsack dynamic program; the solution is rounded
-down and what remains is packed by best fit: the longest piece left, filled up as far as subset
-sums allow. The plan says, for each length, which places its pieces take in turn; every
+multiplicative weights: each length has a dual weight, a knapsack dynamic program prices the pattern of
+most weight, and the weights of what it covers fall. Every pricing also gives a lower bound of the
+program (all pieces' weight over the best pattern's), so the plan comes with a figure that no packing can
+go below. The solution is rounded down and what remains is packed by best fit: the longest piece left, filled up
+as far as subset sums allow. Where the bound isn't met, further learning rates are tried, and best fit alone (with subset sums, and decreasing); the
+plan with the fewest sequences counts. The plan says, for each length, which places its pieces take in turn; every
 piece finds its own by its rank within its length.
 
 With positions (say, of a mixture) ranks follow them, the plan is used in slices with a share of
@@ -14,7 +17,8 @@ each pattern, so that the pieces of a sequence come from nearby, and sequences a
 mean position of their tokens. The number of sequences stays the same.
 
 Token ids come from a byte-level BPE rank file through tiktoken: the ids of the same vocabulary
-in the `tokenizers` format, several times as fast. Strings of special tokens are ordinary text.
+in the `tokenizers` format, several times as fast. The added tokens of that format keep their own ids where
+their strings stand in a text, as `tokenizers` has it by default; with as_text they are ordinary text.
 
 Defined results: a null text counts as empty, and an empty document is its end token alone;
 repeated rows are packed each for itself; other columns are ignored; an empty table gives no rows.
@@ -23,6 +27,8 @@ repeated rows are packed each for itself; other columns are ignored; an empty ta
 from __future__ import annotations
 
 import base64
+import json
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -31,23 +37,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rank_within, scratch
+from .common import rank_within, scratch, small_batches
 
-CAPACITY, END_ID, ROUNDS, STEP, LEARNING, BEND = 1024, 2, 300, 0.5, 0.2, 1.1
+CAPACITY, END_ID, ROUNDS, STEP, BEND = 1024, 2, 300, 0.5, 1.1
+#: Learning rates, the first of which is used alone if its plan meets the bound.
+LEARNING = (0.2, 1.0, 4.0)
 #: Slices of a plan at most, and entries of the plan in slices.
 MAX_SLICES, MAX_ENTRIES = 4096, 1 << 15
-_ENCODERS: dict[str, object] = {}
 
 
-def _encoder(path: str):
-    if path not in _ENCODERS:
-        import public_tokenizers
-        import tiktoken
+def _encoder(ranks_path: str, special: dict[str, int]):
+    import public_tokenizers
+    import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _ENCODERS[path] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODERS[path]
+    with open(ranks_path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 def default_ranks() -> str:
@@ -56,6 +61,16 @@ def default_ranks() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def added_tokens(path: str | None = None) -> dict[str, int]:
+    """The added tokens of a vocabulary in the `tokenizers` format."""
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path, encoding="utf-8") as f:
+        return {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
+
+
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n ids; the first may be shorter."""
     if n <= capacity:
@@ -64,32 +79,40 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return ([(0, first)] if first else []) + [(s, capacity) for s in range(first, n, capacity)]
 
 
-def pieces(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, ranks: str | None = None, with_ids: bool = True, position: str | None = None) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and, if asked for, the ids themselves and the row's position."""
-    path = ranks or default_ranks()
+def pieces(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, ranks: str | None = None, added: dict[str, int] | None = None, as_text: bool = False, with_ids: bool = True, position: str | None = None) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 and, if asked for, the ids themselves and the row's position.
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = _encoder(path)
-        for batch in batches:
-            out = []
-            for key, said, *at in zip(*(batch[c] for c in batch.columns), strict=True):
-                ids = np.append(encoder.encode_to_numpy(said, disallowed_special=()) if said else np.empty(0, np.uint32), end_id).astype("<u4")
+    added: the strings with ids of their own, by default those of the public vocabulary; as_text: none.
+    """
+    path, special = ranks or default_ranks(), {} if as_text else added_tokens() if added is None else added
+
+    def encode(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        encoder = _encoder(path, special)
+        for batch in small_batches(batches, "text"):
+            rows, all_ids = [], []
+            for i, said in enumerate(batch.column("text").to_pylist()):
+                found = encoder.encode_to_numpy(said, allowed_special="all", disallowed_special=()) if said else np.empty(0, np.uint32)
+                ids = np.append(found, end_id).astype("<u4")
                 for k, (start, length) in enumerate(cut(len(ids), capacity)):
                     own = ids[start : start + length]
-                    row = (key, k, start, length, zlib.crc32(own.tobytes()))
-                    out.append((*row, *[own.astype(np.int32)] * with_ids, *at))
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids + ["position"] * bool(position)
-            frame = pd.DataFrame(out, columns=names)
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
+                    rows.append((i, k, start, length, zlib.crc32(own.tobytes())))
+                    if with_ids:
+                        all_ids.append(own.astype(np.int32))
+            table = np.array(rows, np.int64).reshape(-1, 5)
+            at = pa.array(table[:, 0])
+            columns = [batch.column("doc_id").take(at), pa.array(table[:, 1].astype(np.int32)), *[pa.array(table[:, k]) for k in (2, 3, 4)]]
+            columns += [pa.array(all_ids, pa.list_(pa.int32()))] * with_ids + ([batch.column("position").take(at)] if position else [])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids + ["position"] * bool(position))
 
     kinds = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids + ", position long" * bool(position)
     cols = [F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")]
-    return docs.select(*cols, *([F.col(position).alias("position")] if position else [])).mapInPandas(encode, kinds)
+    return docs.select(*cols, *([F.col(position).cast("long").alias("position")] if position else [])).mapInArrow(encode, kinds)
 
 
-def price(values: np.ndarray, lengths: np.ndarray, capacity: int) -> list[int]:
-    """Indices into lengths of the most valuable pattern (an item may come several times)."""
+def price(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[list[int], float]:
+    """Indices into lengths of the most valuable pattern (an item may come several times), and its value."""
     best = np.zeros(capacity + 1)
     taken = np.full(capacity + 1, -1)
     upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
@@ -107,7 +130,7 @@ def price(values: np.ndarray, lengths: np.ndarray, capacity: int) -> list[int]:
         else:
             out.append(int(taken[c]))
             c -= int(lengths[taken[c]])
-    return out
+    return out, float(best[capacity])
 
 
 def _fill(left: dict[int, int], room: int) -> list[int]:
@@ -137,38 +160,8 @@ def _fill(left: dict[int, int], room: int) -> list[int]:
     return out
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, step: float = STEP, learning: float = LEARNING, bend: float = BEND) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns (lengths, longest first) and how often each is used; they use every piece once."""
-    plan: dict[tuple[int, ...], int] = {}
-    left = {n: k for n, k in histogram.items() if k > 0}
-    if capacity in left:
-        plan[(capacity,)] = left.pop(capacity)
-    lengths = np.array(sorted(left), dtype=np.int64)
-    if len(lengths) > 1:
-        need = np.array([left[n] for n in lengths], float)
-        covered, x = np.zeros(len(lengths)), {}
-        for _ in range(rounds):
-            open_ = need - covered
-            if open_.max() < 1:
-                break
-            # the more of a length is covered, beyond the others, the less its pieces are worth
-            share = covered / need
-            values = np.where(open_ >= 1, (lengths / capacity) ** bend * np.exp(-learning * (share - share.min())), 0)
-            chosen = np.bincount(price(values, lengths, capacity), minlength=len(lengths))
-            used = np.flatnonzero(chosen * (open_ >= 1))
-            if not len(used):
-                break
-            amount = max(step * (open_[used] / chosen[used]).min(), min(1.0, (open_[used] / chosen[used]).min()))
-            chosen = np.where(open_ >= 1, chosen, 0)
-            covered += amount * chosen
-            key = tuple(int(lengths[i]) for i in used[::-1] for _ in range(chosen[i]))
-            x[key] = x.get(key, 0.0) + amount
-        for key, amount in sorted(x.items(), key=lambda p: (sum(p[0]), p[1], p[0]), reverse=True):
-            times = int(min(amount + 1e-9, *(left[n] // key.count(n) for n in set(key))))
-            if times > 0:
-                plan[key] = plan.get(key, 0) + times
-                for n in key:
-                    left[n] -= times
+def _best_fit(left: dict[int, int], capacity: int, plan: dict[tuple[int, ...], int]) -> None:
+    """Packs what is left into the plan."""
     left = {n: k for n, k in left.items() if k > 0}
     while left:
         first = max(left)
@@ -180,7 +173,101 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROU
         for n in key:
             left[n] -= times
         left = {n: k for n, k in left.items() if k > 0}
-    return sorted(plan.items())
+
+
+def _best_fit_decreasing(left: dict[int, int], capacity: int) -> dict[tuple[int, ...], int]:
+    """Each piece, longest first, into the fullest sequence with room; equal sequences are counted together."""
+    rooms: dict[int, dict[tuple[int, ...], int]] = {}
+    for n in sorted(left, reverse=True):
+        k = left[n]
+        while k > 0:
+            room = min((r for r in rooms if r >= n), default=capacity)
+            if room in rooms:
+                key = next(iter(rooms[room]))
+                times = min(k, rooms[room][key])
+                rooms[room][key] -= times
+                if not rooms[room][key]:
+                    del rooms[room][key]
+                if not rooms[room]:
+                    del rooms[room]
+            else:
+                each = capacity // n
+                key, times = (), max(1, k // each)
+                if each > 1 and k >= each:  # equal pieces fill whole sequences one after the other
+                    own = rooms.setdefault(capacity - each * n, {})
+                    own[(n,) * each] = own.get((n,) * each, 0) + times
+                    k -= each * times
+                    continue
+                times = 1
+            own = rooms.setdefault(room - n, {})
+            own[(*key, n)] = own.get((*key, n), 0) + times
+            k -= times
+    out: dict[tuple[int, ...], int] = {}
+    for own in rooms.values():
+        for key, times in own.items():
+            out[key] = out.get(key, 0) + times
+    return out
+
+
+def _program(left: dict[int, int], capacity: int, rounds: int, step: float, learning: float, bend: float) -> tuple[dict[tuple[int, ...], int], float]:
+    """One run of multiplicative weights over the lengths left: the rounded plan, and a lower bound."""
+    lengths = np.array(sorted(left), dtype=np.int64)
+    need = np.array([left[n] for n in lengths], float)
+    plan: dict[tuple[int, ...], int] = {}
+    covered, x, bound = np.zeros(len(lengths)), {}, float((need * lengths).sum()) / capacity
+    for _ in range(rounds):
+        open_ = need - covered
+        if open_.max() < 1:
+            break
+        # the more of a length is covered, beyond the others, the less its pieces are worth
+        share = covered / need
+        values = np.where(open_ >= 1, (lengths / capacity) ** bend * np.exp(-learning * (share - share.min())), 0)
+        pattern, worth = price(values, lengths, capacity)
+        # weights over the best pattern's worth are a solution of the dual program
+        bound = max(bound, float((need * values).sum()) / worth) if worth > 0 else bound
+        chosen = np.bincount(pattern, minlength=len(lengths))
+        used = np.flatnonzero(chosen * (open_ >= 1))
+        if not len(used):
+            break
+        amount = max(step * (open_[used] / chosen[used]).min(), min(1.0, (open_[used] / chosen[used]).min()))
+        chosen = np.where(open_ >= 1, chosen, 0)
+        covered += amount * chosen
+        key = tuple(int(lengths[i]) for i in used[::-1] for _ in range(chosen[i]))
+        x[key] = x.get(key, 0.0) + amount
+    rest = dict(left)
+    for key, amount in sorted(x.items(), key=lambda p: (sum(p[0]), p[1], p[0]), reverse=True):
+        times = int(min(amount + 1e-9, *(rest[n] // key.count(n) for n in set(key))))
+        if times > 0:
+            plan[key] = plan.get(key, 0) + times
+            for n in key:
+                rest[n] -= times
+    _best_fit(rest, capacity, plan)
+    return plan, bound
+
+
+def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, step: float = STEP, learning: tuple[float, ...] = LEARNING, bend: float = BEND) -> tuple[list[tuple[tuple[int, ...], int]], int]:
+    """Patterns (lengths, longest first) and how often each is used, and a lower bound of sequences.
+
+    They use every piece once.
+    """
+    left = {n: k for n, k in histogram.items() if k > 0}
+    full = left.pop(capacity, 0)
+    best: dict[tuple[int, ...], int] = {}
+    bound = 0.0
+    if left:
+        _best_fit(dict(left), capacity, best)
+        plain = _best_fit_decreasing(left, capacity)
+        best = plain if sum(plain.values()) < sum(best.values()) else best
+        for rate in learning:
+            plan, low = _program(left, capacity, rounds, step, rate, bend)
+            bound = max(bound, low)
+            if sum(plan.values()) <= sum(best.values()):
+                best = plan
+            if sum(best.values()) <= math.ceil(bound - 1e-6):
+                break
+    if full:
+        best[(capacity,)] = full
+    return sorted(best.items()), full + math.ceil(bound - 1e-6)
 
 
 def places(plan: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
@@ -219,7 +306,7 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY, positions: int | None
     positions: their number; pieces then have a position below it, which ranks and sequences follow.
     """
     sizes = {int(r["length"]): int(r["count"]) for r in cut_pieces.groupBy("length").count().collect()}
-    plan = solve(sizes, capacity)
+    plan, _ = solve(sizes, capacity)
     at = places(plan if positions is None else in_slices(plan))
     keys = (at["length"] << _RANK_BITS) | at["from"]
     cols = cut_pieces.columns

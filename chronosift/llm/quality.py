@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 POOL, RIDGE = 0.1, 0.02
 STATISTICS = ("log_chars", "log_words", "word_length", "letters", "upper", "digits", "marks", "odd_marks", "blanks", "distinct", "repeated", "lines_repeated", "line_length", "title_words", "ends")
 #: Kinds of characters: other, blank, upper-case letter, letter, digit, common mark, other mark.
@@ -85,7 +87,7 @@ def with_statistics(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     def measure(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in small_batches(batches, "__text"):
             x = pa.array([statistics(t) for t in batch.column("__text").to_pylist()], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*batch.select(keep).columns, x], names=[*keep, "x"])
 

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 
 from chronosift.llm import packing
 from chronosift.llm.kd_sharding import kd_shards
-from chronosift.llm.pfair_mix import mix, schedule, windows
+from chronosift.llm.pfair_mix import mix, schedule, units, whole_weights, windows
 
 from .data import documents, nothing
 
@@ -40,6 +40,58 @@ def test_schedule_stays_within_a_block(sources):
             assert all(abs(f - d) < 1 for f, d in zip(fluid, done, strict=True))
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(1, 7)), min_size=1, max_size=6))
+def test_units_put_together_are_a_schedule(sources):
+    """Every block of every unit has a slot of its own within its window, however many units there are."""
+    blocks, weights = [b for b, _ in sources], [w for _, w in sources]
+    runs, due, got = units(blocks, weights), windows(blocks, weights), []
+    plans = [{(s, i): slot for s, i, slot in schedule(own, weights)} for _, _, own in runs]
+    assert len(runs) <= 2 * len(sources) + 1
+    for s, n in enumerate(blocks):
+        for i in range(n):
+            m = i // weights[s]
+            r = max(k for k, run in enumerate(runs) if run[0] <= m)
+            slot = runs[r][1] + (m - runs[r][0]) * sum(runs[r][2]) + plans[r][s, i - m * weights[s]]
+            assert due[s][i][0] <= slot < due[s][i][1]
+            got.append(slot)
+    assert sorted(got) == list(range(sum(blocks)))
+
+
+def test_whole_weights():
+    assert whole_weights([0.75, 0.25]) == [3, 1] and whole_weights([0.7, 0.2, 0.1]) == [7, 2, 1]
+    assert whole_weights([1e9, 1.0, 0.5]) == [16383, 1, 1] and whole_weights([]) == []
+    rough = whole_weights([2**0.5, 3**0.5])
+    assert sum(rough) <= 1 << 14 and abs(rough[0] / sum(rough) - 2**0.5 / (2**0.5 + 3**0.5)) < 1e-4
+
+
+def test_mixed_rows_stay_within_a_block_of_their_shares(spark):
+    """Rows of one byte a block, over many units: the rows themselves against the fluid schedule."""
+    rows = [(i, "", "abc"[0 if i < 400 else 1 if i < 650 else 2]) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted(mix(docs, {"a": 0.5, "b": 0.3, "c": 0.2}, block_bytes=1, unit=16).collect(), key=lambda r: r["mix_position"])
+    assert [r["mix_position"] for r in got] == list(range(900))
+    left, fluid, done, w = {"a": 400, "b": 250, "c": 250}, dict.fromkeys("abc", Fraction(0)), Counter(), {"a": 5, "b": 3, "c": 2}
+    for r in got:
+        rest = Fraction(1)
+        while rest and any(fluid[s] < left[s] for s in "abc"):
+            open_ = [s for s in "abc" if fluid[s] < left[s]]
+            step = min([rest, *[(left[s] - fluid[s]) * sum(w[x] for x in open_) / w[s] for s in open_]])
+            for s in open_:
+                fluid[s] += step * w[s] / sum(w[x] for x in open_)
+            rest -= step
+        done[r["source"]] += 1
+        assert all(abs(fluid[s] - done[s]) < 1 for s in "abc")
+
+
+def test_mix_query(spark, tmp_path):
+    from chronosift.llm.queries import op1_pfair_mix
+
+    documents(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    got = op1_pfair_mix(spark, str(tmp_path)).collect()
+    assert sorted(r["position"] for r in got) == list(range(documents(spark).count()))
+
+
 def test_mix_keeps_every_row(spark):
     docs = documents(spark)
     got = mix(docs, block_bytes=500).collect()
@@ -78,8 +130,9 @@ def test_pieces_and_ids(spark):
     import public_tokenizers as P
 
     own = tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    own.encode_special_tokens = True
-    docs = documents(spark)
+    odd = [(500, "x <|endoftext|> y"), (501, "<|endoftext|>"), (502, "<|endoftext|><|endoftext|>a<|endoftext"), (503, "word <|endoftext|> " * 2000), (504, "no newline at the end \n\n")]
+    docs = documents(spark).select("doc_id", "text", "size").unionByName(spark.createDataFrame([(*r, 1) for r in odd], "doc_id long, text string, size int"))
+    assert packing.added_tokens() == {"<|endoftext|>": 50256}
     got = packing.pack_documents(docs, with_ids=True).collect()
     parts = defaultdict(list)
     for r in got:
@@ -105,12 +158,15 @@ def test_pieces_and_ids(spark):
             at += n
         assert at <= 1024
     assert packing.pack_documents(nothing(spark)).count() == 0
+    plain = packing.pieces(docs.filter("doc_id = 500"), as_text=True).head()["ids"]
+    own.encode_special_tokens = True
+    assert plain == own.encode("x <|endoftext|> y", add_special_tokens=False).ids + [2]
 
 
 @settings(max_examples=40, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 60), min_size=1, max_size=30))
 def test_plan_uses_each_piece_once(histogram):
-    plan = packing.solve(histogram, 64, rounds=40)
+    plan, bound = packing.solve(histogram, 64, rounds=40)
     used = Counter()
     for key, times in plan:
         assert sum(key) <= 64 and times > 0
@@ -118,12 +174,51 @@ def test_plan_uses_each_piece_once(histogram):
             used[n] += times
     assert used == Counter(histogram)
     total, sequences = sum(n * k for n, k in histogram.items()), sum(t for _, t in plan)
-    first_fit = []
+    rooms: list[int] = []  # best fit decreasing, piece by piece
     for n in sorted((n for n, k in histogram.items() for _ in range(k)), reverse=True):
-        for i, room in enumerate(first_fit):
-            if room >= n:
-                first_fit[i] -= n
-                break
+        room = min((r for r in rooms if r >= n), default=None)
+        if room is None:
+            rooms.append(64 - n)
         else:
-            first_fit.append(64 - n)
-    assert -(-total // 64) <= sequences <= len(first_fit) * 1.05 + 1
+            rooms[rooms.index(room)] = room - n
+    assert -(-total // 64) <= bound <= sequences <= len(rooms)
+
+
+def _fewest(items, capacity):
+    """The fewest sequences, by trying everything."""
+    best, rooms = len(items), []
+
+    def put(i):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if i == len(items):
+            best = len(rooms)
+            return
+        for k in range(len(rooms)):
+            if rooms[k] >= items[i] and rooms[k] not in rooms[:k]:
+                rooms[k] -= items[i]
+                put(i + 1)
+                rooms[k] += items[i]
+        rooms.append(capacity - items[i])
+        put(i + 1)
+        rooms.pop()
+
+    put(0)
+    return best
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=9))
+def test_bound_and_plan_against_everything_tried(items):
+    plan, bound = packing.solve(Counter(items), 20, rounds=40)
+    least = _fewest(sorted(items, reverse=True), 20)
+    assert bound <= least <= sum(t for _, t in plan) <= least + 1
+
+
+def test_program_beats_best_fit_where_three_pieces_barely_fit():
+    sizes = {300 + i: 200 + (i * 37) % 41 for i in range(121)}
+    plan, bound = packing.solve(sizes)
+    alone: dict = {}
+    packing._best_fit(dict(sizes), 1024, alone)
+    assert bound <= sum(t for _, t in plan) <= 0.96 * sum(alone.values())

@@ -194,6 +194,19 @@ def test_near_duplicates(spark):
     assert near_dedup.near_duplicates(nothing(spark)).count() == 0
 
 
+def test_ids_with_several_texts(spark):
+    """Rows of one id are one document: it links what its texts link."""
+    say = lambda k: " ".join(f"{k}{i}" for i in range(30))
+    rows = [(1, say("a")), (5, say("a")), (5, say("b")), (9, say("b")), (9, None), (9, say("c")), (12, say("c") + " more"), (20, ""), (20, say("d")), (19, say("d")), (30, None), (30, say("e"))]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, component_id string, own int")
+    got = near_dedup.near_duplicates(docs, width=4).collect()
+    assert len(got) == len(rows)
+    want = _components(rows, 4)
+    for r in got:
+        assert r["component_id"] == want[r["doc_id"]] and r["kept"] == (r["doc_id"] == r["component_id"])
+    assert {r["doc_id"]: r["component_id"] for r in got} == {1: 1, 5: 1, 9: 1, 12: 1, 19: 19, 20: 19, 30: 30}
+
+
 def test_large_nodes_branch_on(spark, monkeypatch):
     """With tiny leaves everything goes through pivots, rests and deeper levels."""
     monkeypatch.setattr(near_dedup, "LEAF", 4)
@@ -208,30 +221,44 @@ def test_large_nodes_branch_on(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("local", [0, 500_000])
-def test_components_of_a_long_path(spark, monkeypatch, local):
-    monkeypatch.setattr(near_dedup, "LOCAL_LINKS", local)
+def test_components_of_a_long_path(spark, local):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 502), (500, 502), (7, 7)], "a long, b long")
-    got = {r["v"]: r["component"] for r in near_dedup.connected_components(links).collect()}
+    got = {r["v"]: r["component"] for r in near_dedup.connected_components(links, local=local).collect()}
     assert got == {**dict.fromkeys(range(201), 0), 500: 500, 501: 500, 502: 500}
 
 
+def _phrases(said, own):
+    """Greedy longest matches, by searching."""
+    at = count = 0
+    while at < len(said):
+        n = 0
+        while at + n < len(said) and said[at : at + n + 1] in own:
+            n += 1
+        at += max(n, 1)
+        count += 1
+    return count
+
+
 def test_suffix_automaton_phrases():
-    texts = {"a": "abracadabra abracad", "b": "banana bandana cabana"}
-    model = langid.train(texts, 32)
-    for said in ("abra", "banana", "zzz", "cadabra banana", "abracadabrabanana" * 60):
-        got = langid.phrases(model, [langid.normalise(said)])[0]
-        for k, n in zip(model["langs"], got, strict=True):
-            own = "".join(chr(int(c)) if c else " " for c in langid.normalise(texts[k]))
-            whole, want = "".join(chr(int(c)) if c else " " for c in langid.normalise(said)), 0
-            for s in range(0, len(whole), langid.SPAN):
-                text, at = whole[s : s + langid.SPAN], 0
-                while at < len(text):
-                    n_match = 0
-                    while at + n_match < len(text) and text[at : at + n_match + 1] in own:
-                        n_match += 1
-                    at += max(n_match, 1)
-                    want += 1
-            assert int(n) == want
+    han = ["".join(chr(0x4E00 + 2 * ((i * i + 7 * i) % 1000) + k) for i in range(3000)) for k in (0, 1)]
+    texts = {"a": "abracadabra abracad", "b": "banana bandana cabana", "x": han[0], "y": han[1]}
+    model, letters = langid.train(texts), langid._letters()
+    read = lambda t: "".join(chr(int(c)) if c else " " for c in langid.normalise(t, letters))
+    said = ["abra", "banana", "zzz", "cadabra banana", "abracadabrabanana" * 6000, han[0][500:900], han[1][7:40] + han[0][:3], "", "ß", "b" * 100_000]
+    for batch in (said, said * 3, said[4:5]):  # few and many at a time, texts of 100,000 characters whole
+        got = langid.phrases(model, [langid.normalise(t, letters) for t in batch])
+        for t, row in zip(batch, got, strict=True):
+            assert row.tolist() == [_phrases(read(t), read(texts[k])) for k in model["langs"]]
+    two = langid.phrases(model, [langid.normalise(han[1][100:400], letters)])[0]
+    assert two[3] < 10 and two[2] == 300  # scripts with thousands of letters stay apart
+
+
+def test_language_samples(spark):
+    rows = [(i, f"word{i} " * (5000 if i == 3 else 20), "en") for i in range(400)] + [(500, "kurz", "de")] + [(7, "dupl", "fr")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.sample(docs, "text", "lang", F.lit(True), 2000, "doc_id")
+    assert len(got["en"]) == 2000 and len(set(got["en"].split())) > 10 and got["de"] == "kurz" and got["fr"] == "dupl"
+    assert got == langid.sample(docs.repartition(7), "text", "lang", F.lit(True), 2000, "doc_id")
 
 
 def test_language_id(spark, tmp_path):
