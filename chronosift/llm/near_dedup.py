@@ -12,17 +12,19 @@ all, so nothing is dropped or capped. Estimates from the tokens only nominate pa
 standard errors below the threshold); links are confirmed on the full sets.
 
 A link is missed only if no tree keeps the pair together: at similarity 0.8 a tree does with a
-probability of 0.73 after two levels, 0.64 after three and 0.58 after four, so ten trees miss
-2e-6 to 2e-4.
+probability of 0.73 after two levels, 0.64 after three, 0.58 after four, 0.52 after five and 0.48 after
+six, the deepest, so ten trees miss 2e-6 to 2e-4, and 6e-4 to 1.5e-3 in nodes that stay large for so long.
 
 Where a group's members are already connected, further pairs aren't compared: components are the
 same, and groups of thousands of near copies cost as many comparisons as they have members, not
 their square. Components come from alternating large-star and small-star steps, in tables.
-Tables of tokens are cut down to the documents that a step needs before they are joined.
+Tables of tokens are cut down to the documents that a step needs before they are joined. Memberships are kept
+as one row a representative with its nodes, so that labels and tokens are joined once a representative.
 
 Defined results: a null or wordless text has no set, links with nothing and stays; rows of one id
-are one document with the links of all its texts; a row with a null id is kept, with a null component;
-other columns are ignored; an empty table gives no rows.
+are one document with the links of all its texts, a wordless one among them included; equal rows get equal
+results; a row with a null id is kept, with a null component; other columns are ignored, whatever their
+names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,10 +34,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch as _scratch
+from .common import Tables, small_batches
 
 WIDTH, THRESHOLD = 5, 80
 POSITIONS, TREES, LEAF, ROUNDS, REST, MAX_LEVEL, FLOOR = 128, 10, 1024, 3, 16, 5, 0.65
@@ -50,11 +52,6 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _CACHE: dict[str, np.ndarray] = {}
 
 
-def scratch(df: DataFrame, name: str) -> DataFrame:
-    """A stored table, written by no more than four tasks a core: most of them are small."""
-    return _scratch(df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism), name)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser."""
     with np.errstate(over="ignore"):
@@ -64,12 +61,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_CACHE.get("up", ())) < n:
-        size = max(n, _PIECE + 1)
-        up, down = np.full(size, _BASE), np.full(size, np.uint64(pow(int(_BASE), -1, 1 << 64)))
-        up[0] = down[0] = 1
-        _CACHE["up"], _CACHE["down"] = np.multiply.accumulate(up), np.multiply.accumulate(down)
-    return _CACHE["up"][:n], _CACHE["down"][:n]
+    if n <= _PIECE + 1 and "up" in _CACHE:
+        return _CACHE["up"][:n], _CACHE["down"][:n]
+    size = max(n, _PIECE + 1)
+    up, down = np.full(size, _BASE), np.full(size, np.uint64(pow(int(_BASE), -1, 1 << 64)))
+    up[0] = down[0] = 1
+    up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    if size == _PIECE + 1:  # those of longer texts don't stay in the worker
+        _CACHE["up"], _CACHE["down"] = up, down
+    return up[:n], down[:n]
 
 
 def _word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -132,17 +132,20 @@ def minwise(shingles: np.ndarray, n: int = POSITIONS) -> np.ndarray:
 def signatures(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
     """doc_id, k1 and k2 (of the word sequence), n_shingles, tokens."""
 
-    def sign(batches: Iterator) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def sign(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in small_batches(batches, "text"):
             keys, counts, tokens = [], [], []
-            for words, own in shingle_sets(batch["text"].to_list(), width):
+            for words, own in shingle_sets(batch.column("text").to_pylist(), width):
                 keys.append(np.frombuffer(hashlib.blake2b(words.tobytes(), digest_size=16).digest(), np.int64))
                 counts.append(len(own))
                 tokens.append(minwise(own).tobytes() if len(own) else None)
             k = np.array(keys, np.int64).reshape(-1, 2)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "k1": k[:, 0], "k2": k[:, 1], "n_shingles": np.array(counts, np.int64), "tokens": tokens})
+            columns = [batch.column("doc_id"), pa.array(k[:, 0]), pa.array(k[:, 1]), pa.array(counts, pa.int64()), pa.array(tokens, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "k1", "k2", "n_shingles", "tokens"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(sign, "doc_id long, k1 long, k2 long, n_shingles long, tokens binary")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(sign, "doc_id long, k1 long, k2 long, n_shingles long, tokens binary")
 
 
 def _matrix(tokens: pd.Series) -> np.ndarray:
@@ -150,13 +153,14 @@ def _matrix(tokens: pd.Series) -> np.ndarray:
 
 
 def _branch(rows: DataFrame, levels: int = 1) -> DataFrame:
-    """The descendants (node, rep) of rows (node, rep, tokens) so many levels below."""
+    """(rep, nodes): the descendants, so many levels below, of rows (rep, nodes, tokens)."""
 
     def move(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not len(batch):
                 continue
-            node, at, tokens = batch["node"].to_numpy(np.int64).astype(np.uint64), np.arange(len(batch)), _matrix(batch["tokens"])
+            tokens, at = _matrix(batch["tokens"]), np.repeat(np.arange(len(batch)), batch["nodes"].map(len))
+            node = np.concatenate(batch["nodes"].to_list()).astype(np.int64).astype(np.uint64)
             with np.errstate(over="ignore"):
                 for _ in range(levels):
                     pick = mix(node + np.uint64(0x632BE59BD9B4E019))
@@ -166,9 +170,15 @@ def _branch(rows: DataFrame, levels: int = 1) -> DataFrame:
                     place = np.concatenate([first, second[twice]])
                     node, at = np.concatenate([node, node[twice]]), np.concatenate([at, at[twice]])
                     node = mix(node * np.uint64(0xD6E8FEB86659FD93) + tokens[at, place].astype(np.uint64) * np.uint64(256) + place.astype(np.uint64))
-            yield pd.DataFrame({"node": node.astype(np.int64), "rep": batch["rep"].to_numpy()[at]})
+            order = np.argsort(at, kind="stable")
+            yield pd.DataFrame({"rep": batch["rep"].to_numpy(), "nodes": np.split(node[order].astype(np.int64), np.searchsorted(at[order], np.arange(1, len(batch))))})
 
-    return rows.select("node", "rep", "tokens").mapInPandas(move, "node long, rep long")
+    return rows.select("rep", "nodes", "tokens").mapInPandas(move, "rep long, nodes array<long>")
+
+
+def _flat(rows: DataFrame) -> DataFrame:
+    """(node, rep) of rows (rep, nodes)."""
+    return rows.select(F.explode("nodes").alias("node"), "rep")
 
 
 def _groups(batches: Iterator[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:
@@ -248,6 +258,11 @@ def _forest(clusters: DataFrame, threshold: int) -> DataFrame:
     return dealt.mapInPandas(confirm, "a long, b long")
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """df by no more than four tasks a core, for tables of counts, pairs and ids."""
+    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def _light(rows: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
     """A stored table, broadcast if it has few enough rows."""
     return F.broadcast(rows) if rows.count() <= limit else rows
@@ -270,16 +285,17 @@ def _connect(links: DataFrame) -> DataFrame:
     return links.mapInPandas(join, "v long, u long")
 
 
-def connected_components(links: DataFrame) -> DataFrame:
+def connected_components(links: DataFrame, store=None, local: int = LOCAL_LINKS) -> DataFrame:
     """(v, component) of every end of links (a, b); component is the least id that v reaches.
 
-    Few links are connected by one task, whose work LOCAL_LINKS bounds. Else large-star and small-star
+    Few links are connected by one task, whose work `local` bounds. Else large-star and small-star
     steps alternate until nothing changes; each is a partial aggregate and a join, and no list
     of neighbours is gathered.
     """
+    store = store or Tables(links.sparkSession).store
     # big > small in all tables
-    edges = scratch(links.filter("a != b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "links")
-    if edges.count() <= LOCAL_LINKS:
+    edges = store(links.filter("a != b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "links")
+    if edges.count() <= local:
         return _connect(edges.coalesce(1)).withColumnRenamed("u", "component")
     while True:
         both = edges.select("v", "u").union(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
@@ -289,7 +305,7 @@ def connected_components(links: DataFrame) -> DataFrame:
         # small star: what is below v, and v, is hung on the least below
         below = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(below, "v").select(F.explode(F.array(F.struct(F.col("u").alias("v"), F.col("m").alias("u")), F.struct(F.col("v"), F.col("m").alias("u")))).alias("e")).select("e.v", "e.u").filter("v != u").distinct()
-        new = scratch(small, "stars")
+        new = store(small, "stars")
         # stars alone: no vertex has two edges upward, and no centre hangs on another
         loose = new.groupBy("v").count().filter("count > 1").select("v").union(new.select(F.col("u").alias("v")).join(new.select("v"), "v", "left_semi"))
         if loose.isEmpty():
@@ -303,26 +319,38 @@ class _Join:
     def __init__(self, docs: DataFrame, doc_id: str, text: str, width: int, threshold: int) -> None:
         self.docs = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text"))
         self.width, self.threshold = width, threshold
-        self.signed = _scratch(signatures(docs, doc_id, text, width), "signatures")
+        self.tables = Tables(docs.sparkSession)
+        self.signed = self.tables.store(signatures(docs, doc_id, text, width), "signatures", keep=True)
         known = self.signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-        self.classes = known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"))
-        self.reps = _scratch(self.classes.select("k1", "k2", "rep", "tokens"), "representatives")
+        classes = known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"))
+        self.reps = self.tables.store(classes.select("k1", "k2", "rep", "tokens"), "representatives", keep=True)
         self.tokens = self.reps.select("rep", "tokens")
+        self.several = self.store(known_twice(self.signed), "several", keep=True)
         self.links: list[DataFrame] = []
+        if not self.several.isEmpty():
+            rows = self.signed.select("doc_id", "k1", "k2").join(_light(self.several), "doc_id", "left_semi").distinct()
+            self.links.append(self.store(rows.join(self.reps.select("k1", "k2", "rep"), ["k1", "k2"]).filter("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "id-links"))
+
+    def store(self, df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+        """A small stored table."""
+        return self.tables.store(_few(df), name, keep=keep)
 
     def only(self, table: DataFrame, wanted: DataFrame) -> DataFrame:
         """The rows of a table by rep that are wanted; few enough ids are broadcast, more are shuffled."""
-        return table.join(_light(scratch(wanted.select("rep").distinct(), "wanted")), "rep", "left_semi")
+        return table.join(_light(self.store(wanted.select("rep").distinct(), "wanted")), "rep", "left_semi")
 
     def sets(self, wanted: DataFrame) -> DataFrame:
         """(rep, shingles) of the wanted documents, from their texts."""
         width = self.width
 
-        def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                yield pd.DataFrame({"rep": batch["rep"], "shingles": [own.tobytes() for _, own in shingle_sets(batch["text"].to_list(), width)]})
+        def measure(batches: Iterator) -> Iterator:
+            import pyarrow as pa
+
+            for batch in small_batches(batches, "text"):
+                sets = [own.tobytes() for _, own in shingle_sets(batch.column("text").to_pylist(), width)]
+                yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(sets, pa.binary())], names=["rep", "shingles"])
 
-        return _scratch(self.only(self.docs, wanted).select("rep", "text").mapInPandas(measure, "rep long, shingles binary"), "sets")
+        return self.tables.store(self.only(self.docs, wanted).select("rep", "text").mapInArrow(measure, "rep long, shingles binary"), "sets")
 
     def confirm(self, maybe: DataFrame) -> None:
         """Keeps those of the nominated pairs (a, b) that link."""
@@ -333,11 +361,11 @@ class _Join:
                 keep = [_alike(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), threshold) for x, y in zip(batch["sa"], batch["sb"], strict=True)]
                 yield batch.loc[np.array(keep, bool), ["a", "b"]]
 
-        maybe = scratch(maybe.distinct(), "pairs")
+        maybe = self.store(maybe.distinct(), "pairs")
         sets = self.sets(maybe.select(F.col("a").alias("rep")).union(maybe.select("b")))
         small = (sets.agg(F.sum(F.length("shingles"))).head()[0] or 0) <= BROADCAST_SETS
         side = lambda s: (F.broadcast if small else lambda t: t)(sets.select(F.col("rep").alias(s), F.col("shingles").alias(f"s{s}")))
-        self.links.append(scratch(maybe.join(side("a"), "a").join(side("b"), "b").mapInPandas(exact, "a long, b long"), "links"))
+        self.links.append(self.store(maybe.join(side("a"), "a").join(side("b"), "b").mapInPandas(exact, "a long, b long"), "links"))
 
     def all_links(self) -> DataFrame:
         out = self.links[0]
@@ -346,36 +374,41 @@ class _Join:
         return out
 
     def labelled(self, rows: DataFrame) -> DataFrame:
-        """rows (node, rep) with label, the component so far, and whether rep is linked at all."""
+        """(node, rep) of rows (rep, nodes) with label, the component so far, and whether rep is linked at all."""
         if not self.links:
-            return rows.select("node", "rep", F.col("rep").alias("label"), F.lit(False).alias("linked"))
-        labels = scratch(connected_components(self.all_links()), "labels").select(F.col("v").alias("rep"), "component")
-        return rows.join(_light(labels), "rep", "left").select("node", "rep", F.coalesce("component", "rep").alias("label"), F.col("component").isNotNull().alias("linked"))
+            return _flat(rows).select("node", "rep", F.col("rep").alias("label"), F.lit(False).alias("linked"))
+        labels = self.store(connected_components(self.all_links(), self.store), "labels").select(F.col("v").alias("rep"), "component")
+        known = rows.join(_light(labels), "rep", "left")
+        return known.select(F.explode("nodes").alias("node"), "rep", F.coalesce("component", "rep").alias("label"), F.col("component").isNotNull().alias("linked"))
+
+    def within(self, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+        """rows (rep, nodes) cut down to some nodes."""
+        return self.tables.store(_flat(rows).join(_light(nodes), "node").groupBy("rep").agg(F.collect_list("node").alias("nodes")), "large-nodes")
 
     def run(self) -> DataFrame:
-        start = self.tokens.select("*", F.explode(F.array(*[F.lit(i).cast("long") for i in range(TREES)])).alias("node"))
-        rows = scratch(_branch(start, 2), "nodes")
+        start = self.tokens.withColumn("nodes", F.array(*[F.lit(i).cast("long") for i in range(TREES)]))
+        rows = self.tables.store(_branch(start, 2), "nodes")
         leaves, tokens = [], self.tokens
         for level in range(1, MAX_LEVEL + 1):
-            sized = scratch(self.labelled(rows).groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("node", "n"), "sizes")
+            sized = self.store(self.labelled(rows).groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("node", "n"), "sizes")
             small, large = sized.filter(F.col("n") <= LEAF).select("node"), sized.filter(F.col("n") > LEAF).select("node")
             # at most LEAF members each; the same members in several trees are one leaf
-            leaves.append(scratch(rows.join(_light(small), "node").groupBy("node").agg(F.sort_array(F.collect_set("rep")).alias("members")).filter(F.size("members") > 1).select("members").distinct(), "leaves"))
+            leaves.append(self.tables.store(_flat(rows).join(_light(small), "node").groupBy("node").agg(F.sort_array(F.collect_set("rep")).alias("members")).filter(F.size("members") > 1).select("members").distinct(), "leaves"))
             if large.isEmpty():
                 break
-            rows = scratch(rows.join(_light(large), "node").select("node", "rep"), "large-nodes")
-            tokens = scratch(self.only(tokens, rows), "large-tokens")
+            rows = self.within(rows, large)
+            tokens = self.tables.store(self.only(tokens, rows), "large-tokens")
             rows = self.thin(rows, tokens, last=level == MAX_LEVEL)
             if rows is None:
                 break
-            rows = scratch(_branch(rows.join(_light(tokens, BROADCAST_TOKENS), "rep")), "nodes")
+            rows = self.tables.store(_branch(rows.join(_light(tokens, BROADCAST_TOKENS), "rep")), "nodes")
         sets = leaves[0]
         for x in leaves[1:]:
             sets = sets.union(x)
-        members = scratch(sets.distinct().select(F.xxhash64("members").alias("leaf"), F.explode("members").alias("rep")), "members")
-        clusters = scratch(_clusters(members.join(self.only(self.tokens, members), "rep")), "clusters")
+        members = self.tables.store(sets.distinct().select(F.xxhash64("members").alias("leaf"), F.explode("members").alias("rep")), "members")
+        clusters = self.store(_clusters(members.join(self.only(self.tokens, members), "rep")), "clusters")
         full = self.sets(clusters)
-        self.links.append(_forest(clusters.join(full, "rep"), self.threshold))
+        self.links.append(self.store(_forest(clusters.join(full, "rep"), self.threshold), "links"))
         return self.all_links()
 
     def paired(self, pairs: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -388,7 +421,7 @@ class _Join:
 
         few = tokens.count() <= BROADCAST_TOKENS
         token = lambda s: (F.broadcast if few else lambda t: t)(tokens.select(F.col("rep").alias(s), F.col("tokens").alias(f"t{s}")))
-        once = scratch(pairs.filter("a != b").distinct(), "pivot-pairs")
+        once = self.store(pairs.filter("a != b").distinct(), "pivot-pairs")
         return once.join(token("a"), "a").join(token("b"), "b").mapInPandas(near, "a long, b long")
 
     def against(self, rows: DataFrame, few: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -409,31 +442,38 @@ class _Join:
 
     def thin(self, rows: DataFrame, tokens: DataFrame, last: bool) -> DataFrame | None:
         """Compares large nodes with pivots; the rows (node, rep) of those that must branch on."""
+        flat = _flat(rows)
         for k in range(ROUNDS):
             own = self.labelled(rows)
             free = F.when(~F.col("linked"), F.xxhash64("rep", F.lit(k)))
             open_ = own.groupBy("node").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min_by("rep", free).alias("b"), F.count(free).alias("n"))
-            pivots = scratch(open_.filter("lo != hi AND n > 0").select("node", "b"), "pivots")
+            pivots = self.store(open_.filter("lo != hi AND n > 0").select("node", "b"), "pivots")
             if pivots.isEmpty():
                 break
-            self.confirm(self.paired(rows.join(_light(pivots), "node").select(F.col("rep").alias("a"), "b"), tokens))
-        own = scratch(self.labelled(rows), "labelled")
+            self.confirm(self.paired(flat.join(_light(pivots), "node").select(F.col("rep").alias("a"), "b"), tokens))
+        own = self.tables.store(self.labelled(rows), "labelled")
         main = own.groupBy("node", "label").count().groupBy("node").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
         outside = own.join(main, "node").filter("label != main").select("node", F.col("rep").alias("b"))
-        counts = scratch(outside.groupBy("node").count(), "counts")
-        rest = scratch(outside.join(_light(counts.filter(F.col("count") <= REST).select("node")), "node"), "rest")
+        counts = self.store(outside.groupBy("node").count(), "counts")
+        rest = self.store(outside.join(_light(counts.filter(F.col("count") <= REST).select("node")), "node"), "rest")
         if not rest.isEmpty():
-            self.confirm(self.against(rows, rest, tokens))
-        many = counts.filter(F.col("count") > REST).select("node")
+            self.confirm(self.against(flat, rest, tokens))
+        many = counts.filter(F.col("count") > REST)
         if many.isEmpty():
             return None
-        if last:  # in portions of REST, so that no row grows beyond bounds
-            part = F.floor((F.row_number().over(Window.partitionBy("node").orderBy("b")) - 1) / REST)
-            portions = scratch(outside.join(many, "node").withColumn("part", part), "portions")
-            spread = rows.join(portions.select("node", "part").distinct(), "node").select(F.xxhash64("node", "part").alias("node"), "rep")
+        if last:  # in portions of about REST, so that no row and no task grows beyond bounds
+            part = F.pmod(F.xxhash64("b"), F.ceil(F.col("count") / REST))
+            portions = self.tables.store(outside.join(many, "node").select("node", "b", part.alias("part")), "portions")
+            spread = flat.join(portions.select("node", "part").distinct(), "node").select(F.xxhash64("node", "part").alias("node"), "rep")
             self.confirm(self.against(spread, portions.select(F.xxhash64("node", "part").alias("node"), "b"), tokens))
             return None
-        return rows.join(_light(many), "node").select("node", "rep")
+        return self.within(rows, many.select("node"))
+
+
+def known_twice(signed: DataFrame) -> DataFrame:
+    """The ids (doc_id) of several different texts."""
+    own = F.xxhash64("k1", "k2", "n_shingles")
+    return signed.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).filter("lo != hi").select("doc_id")
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
@@ -442,11 +482,15 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     Documents link if 100 * shared shingles >= threshold * all shingles of both.
     """
     job = _Join(docs, doc_id, text, width, threshold)
-    groups = scratch(connected_components(job.run()), "components")
+    groups = job.tables.store(_few(connected_components(job.run(), job.store)), "components", keep=True)
+    job.tables.drop()
     # classes of several documents, and their components
     of_class = job.reps.select("k1", "k2", "rep").join(groups.withColumnRenamed("v", "rep"), "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
     with_set = F.col("n_shingles") > 0
+    component = F.when(with_set, F.col("component"))
     out = job.signed.drop("tokens").join(of_class, ["k1", "k2"], "left")
-    component = F.when(with_set & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    # an id shared by several texts may stand in two classes: the links of rows with one id are joined above
+    if not job.several.isEmpty():
+        own = job.several.join(groups, F.col("doc_id") == F.col("v"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("own"))
+        out, component = out.join(_light(own), "doc_id", "left"), F.coalesce("own", component)
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce(component, F.col("doc_id")))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
