@@ -1,23 +1,28 @@
 """Approximate nearest neighbours by adaptive dimension scan within inverted lists.
 
-Largest inner products become least distances by one more component: a vector x gets
-sqrt(M^2 - |x|^2) for the greatest norm M, a query 0. A random rotation then spreads every
-difference evenly over the components, which are kept in column blocks. Lists come from k-means on a
-bounded sample, but every vector is in its list and every list is complete. A query probes its nearest
-lists. Within a list the distances to all candidates are built up block by block: after d of D
+Largest inner products become least distances by one more component: vectors are divided by the greatest norm and a
+vector x gets sqrt(1 - |x|^2); a query, whose length doesn't matter, is divided by its own and gets 0. A random rotation
+then spreads every difference evenly over the components, which are kept in column blocks. Lists come from k-means on a
+bounded sample, but every vector is in its list and every list is complete.
+
+A query first scans its NEAR nearest lists in full; its k-th best there is its limit. Any other list is
+probed unless the hypothesis that it holds something within the limit is untenable: a member at
+distance r from the centre c is at sqrt(|q - c|^2 + r^2 - 2 s |q - c| r / sqrt(D)) for a cross term s that is near standard
+normal after the rotation, and a list is left out if even s = REACH_Z leaves all r of the list beyond the limit. Within
+a list the distances to all candidates are built up block by block: after d of D
 components a candidate is abandoned if sqrt(D / d * partial) exceeds (1 + EPSILON / sqrt(d)) times
-the query's limit, the hypothesis that it still belongs to the nearest having become untenable. The
-limit is the least distance that k others among LIMIT_ROWS sampled vectors of the probed lists don't
-exceed, so that many candidates of the probed lists are always found. What survives is scored by the exact
-inner product of the original vectors, in double precision.
+the query's limit. What survives is scored by the exact inner product of the original vectors, in double precision.
 
-Lists are dealt out in blocks of at most BLOCK_ROWS vectors, and queries go to every block of their lists,
-so a vector that a third of all rows share is many tasks' work. Each block keeps a query's k best.
+Lists grow with the root of the number of vectors, and are dealt out in blocks of at most BLOCK_ROWS vectors; queries
+go to every block of their lists, so a vector that a third of all rows share is many tasks' work. A task holds
+one block of vectors while queries stream past it. Each block keeps a query's k best.
 
 Defined results: vectors that are null, zero or hold a null or non-finite component, or are of
 another length than most, take no part; equal scores go to the smaller id; rows with equal ids are
-separate candidates, but none is a candidate of a query with its id; with fewer than k candidates
-all are found; other columns are ignored; an empty table gives no rows.
+separate candidates, but none is a candidate of a query with its id; equal query rows are one query, and rows of one id
+with different vectors are queries with ranks of their own; inner products that overflow are infinite scores (where they
+cancel out, the lowest); with fewer than k candidates all are found; other columns are ignored, whatever
+their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,9 +36,10 @@ from pyspark.sql import functions as F
 
 from .common import scratch
 
-#: Vectors that k-means is fitted on at most, lists at most, rounds, and vectors that limits come from.
-SAMPLE_ROWS, MAX_LISTS, ROUNDS, LIMIT_ROWS = 20_000, 4096, 8, 4096
-ROWS_A_LIST, PROBED, BLOCK_ROWS, COLUMNS, EPSILON = 400, 0.75, 4096, 16, 2.1
+#: Vectors that k-means is fitted on (in expectation), lists at most, and rounds.
+SAMPLE_ROWS, MAX_LISTS, ROUNDS = 20_000, 4096, 8
+#: A list has LIST_ROWS vectors at least, else LIST_ROOT times the root of the number of all.
+LIST_ROWS, LIST_ROOT, NEAR, BLOCK_ROWS, COLUMNS, EPSILON, REACH_Z = 400, 4, 4, 4096, 16, 2.1, 2.0
 
 
 def usable(vector: Column) -> Column:
@@ -65,15 +71,18 @@ def fit(sample: np.ndarray, lists: int, rounds: int = ROUNDS, seed: int = 3) ->
     return centres
 
 
-def limits(queries: np.ndarray, probed: np.ndarray, sample: np.ndarray, lists: np.ndarray, k: int) -> np.ndarray:
-    """For each query the k-th least distance to sampled vectors of its probed lists."""
-    if len(sample) < k:
-        return np.full(len(queries), np.inf)
-    far = (queries**2).sum(axis=1)[:, None] + (sample**2).sum(axis=1)[None, :] - 2 * queries @ sample.T
-    open_ = np.zeros((len(queries), int(max(lists.max(), probed.max())) + 1), bool)
-    np.put_along_axis(open_, probed, True, axis=1)
-    far[~open_[:, lists]] = np.inf
-    return np.sqrt(np.maximum(np.partition(far, k - 1, axis=1)[:, k - 1], 0))
+def norms(x: np.ndarray) -> np.ndarray:
+    """Lengths of rows, without overflow on the way."""
+    big = np.abs(x).max(axis=1)
+    return big * np.sqrt(((x / big[:, None]) ** 2).sum(axis=1))
+
+
+def probes(near: np.ndarray, limit: np.ndarray, least: np.ndarray, most: np.ndarray, d: int, z: float = REACH_Z) -> np.ndarray:
+    """Which lists (columns) may hold something within each query's limit, by squared distances to their centres."""
+    side = np.sqrt(np.maximum(near, 0))
+    slope = z / np.sqrt(d) * side
+    r = np.clip(slope, least[None, :], most[None, :])
+    return near + r * r - 2 * slope * r <= (limit**2)[:, None] + 1e-9
 
 
 def scan(queries: np.ndarray, limit: np.ndarray, vectors: np.ndarray, columns: int = COLUMNS, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
@@ -97,103 +106,130 @@ def scan(queries: np.ndarray, limit: np.ndarray, vectors: np.ndarray, columns: i
     return q, v
 
 
-def search(rows: DataFrame, is_query: Column, *, vec_id: str = "vec_id", vector: str = "embedding", k: int = 20, probed: float = PROBED, rows_a_list: int = ROWS_A_LIST) -> DataFrame:
+def best(queries: np.ndarray, names: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query index, id, score) of the k best of the pairs of each query; none with the query's own id."""
+    q, v = pairs
+    other = names[q] != ids[v]
+    q, v = q[other], v[other]
+    with np.errstate(over="ignore", invalid="ignore"):
+        score = (queries[q] * vectors[v]).sum(axis=1) if len(q) else np.empty(0)
+    score = np.where(np.isnan(score), -np.inf, score)
+    order = np.lexsort((ids[v], -score, q))
+    q, v, score = q[order], v[order], score[order]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[keep], ids[v[keep]], score[keep]
+
+
+def search(rows: DataFrame, is_query: Column, *, vec_id: str = "vec_id", vector: str = "embedding", k: int = 20, near: int = NEAR, reach_z: float = REACH_Z, list_rows: int = LIST_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest that each query finds, nearest first."""
     spark = rows.sparkSession
     good = rows.select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x"), F.coalesce(is_query, F.lit(False)).alias("asks")).filter(usable(F.col("x")) & F.col("id").isNotNull())
     lengths = good.groupBy(F.size("x").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").head(1)
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if not lengths:
-        return empty
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     d, n = lengths[0]["d"], lengths[0]["n"]
     good = scratch(good.filter(F.size("x") == d), "vectors")
-    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, x: s + x * x))
-    reach = good.agg(F.max(norm)).head()[0] * (1 + 1e-12)
+    big = F.array_max(F.transform("x", F.abs))
+    norm = big * F.sqrt(F.aggregate(F.transform("x", lambda v: v / big), F.lit(0.0), lambda s, v: s + v * v))
+    longest = min(good.agg(F.max(norm)).head()[0], 1.7e308)
     turn = rotation(d + 1)
     share = min(1.0, SAMPLE_ROWS / n)
-    drawn = good.filter(F.pmod(F.xxhash64("id", "x"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("x").limit(2 * SAMPLE_ROWS).toPandas()["x"]
+    drawn = good.filter(F.pmod(F.xxhash64("id", "x"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("id", "x").distinct().toPandas().sort_values("id")["x"]
 
     def turned(x: np.ndarray) -> np.ndarray:
-        return np.column_stack([x, np.sqrt(np.maximum(reach**2 - (x**2).sum(axis=1), 0))]) @ turn
+        x = x / longest
+        return np.column_stack([x, np.sqrt(np.maximum(1 - (x**2).sum(axis=1), 0))]) @ turn
 
-    lists = int(max(1, min(MAX_LISTS, n // rows_a_list)))
-    sample = turned(np.vstack(drawn.to_list())) if len(drawn) else np.zeros((1, d + 1))
-    centres = fit(sample, lists)
-    probes = max(1, min(len(centres), int(np.ceil(len(centres) * probed))))
-    some = sample[np.random.default_rng(11).permutation(len(sample))[:LIMIT_ROWS]] if len(drawn) else sample[:0]
-    shared = spark.sparkContext.broadcast((turn, centres, reach, some, _nearest(some, centres)[:, 0] if len(some) else np.empty(0, int)))
+    def asking(x: np.ndarray) -> np.ndarray:
+        return np.column_stack([x / norms(x)[:, None], np.zeros(len(x))]) @ turn
 
-    def file_(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        turn, centres, reach, _, _ = shared.value
-        for batch in batches:
-            if len(batch):
-                x = np.vstack(batch["x"].to_list())
-                more = np.sqrt(np.maximum(reach**2 - (x**2).sum(axis=1), 0))
-                yield pd.DataFrame({"list": _nearest(np.column_stack([x, more]) @ turn, centres)[:, 0].astype(np.int32), "id": batch["id"], "raw": [r.tobytes() for r in x]})
+    lists = int(max(1, min(MAX_LISTS, n // max(list_rows, int(LIST_ROOT * n**0.5)))))
+    centres = fit(turned(np.vstack(drawn.to_list())), lists) if len(drawn) else np.zeros((1, d + 1))
 
-    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        turn, centres, _, some, of = shared.value
+    def file_(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
                 x = np.vstack(batch["x"].to_list())
-                for s in range(0, len(x), 1024):
-                    y, ids = x[s : s + 1024], batch["id"].to_numpy()[s : s + 1024]
-                    q = np.column_stack([y, np.zeros(len(y))]) @ turn
-                    near = _nearest(q, centres, probes)
-                    n = near.shape[1]
-                    # one more than k, for a query isn't its own candidate
-                    limit = limits(q, near, some, of, k + 1)
-                    yield pd.DataFrame({"list": near.ravel().astype(np.int32), "id": np.repeat(ids, n), "raw": np.repeat(np.array([r.tobytes() for r in y], object), n), "limit": np.repeat(limit, n)})
+                y = turned(x)
+                own = _nearest(y, centres)[:, 0]
+                yield pd.DataFrame({"list": own.astype(np.int32), "id": batch["id"], "raw": [r.tobytes() for r in x], "r": np.sqrt(((y - centres[own]) ** 2).sum(axis=1))})
 
     kinds = "list int, id long, raw binary"
-    filed = scratch(good.select("id", "x").mapInPandas(file_, kinds), "lists")
-    # lists longer than a block are dealt out by hash; queries go to all blocks of their lists
-    blocks = {r["list"]: -(-r["count"] // BLOCK_ROWS) for r in filed.groupBy("list").count().collect()}
-    count = F.element_at(F.from_json(F.lit("{" + ",".join(f'"{x}":{b}' for x, b in blocks.items()) + "}"), "map<string,int>"), F.col("list").cast("string"))
-    stored = filed.withColumns({"block": F.pmod(F.xxhash64("id"), F.coalesce(count, F.lit(1))).cast("int"), "asks": F.lit(False), "limit": F.lit(None).cast("double")})
-    asked = good.filter("asks").select("id", "x").mapInPandas(ask, kinds + ", limit double").withColumns({"block": F.explode(F.sequence(F.lit(0), F.coalesce(count, F.lit(1)) - 1)), "asks": F.lit(True)})
+    filed = scratch(good.select("id", "x").mapInPandas(file_, kinds + ", r double"), "lists")
+    known = {r["list"]: (-(-r["n"] // BLOCK_ROWS), r["lo"], r["hi"]) for r in filed.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("lo"), F.max("r").alias("hi")).collect()}
+    # an empty list is nearer than none
+    least, most = (np.array([known.get(i, (0, np.inf, np.inf))[s] for i in range(len(centres))]) for s in (1, 2))
+    filled = np.flatnonzero(np.isfinite(least))
+    near = min(near, len(filled))
+
+    def distances(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Squared distances to the centres of the lists that aren't empty, and which of these lists are nearest."""
+        far = 1 + (centres[filled] ** 2).sum(axis=1)[None, :] - 2 * q @ centres[filled].T
+        return far, np.argpartition(far, near - 1, axis=1)[:, :near]
+
+    def asked(second: bool):
+        def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for s in range(0, len(batch), 256):
+                    part = batch.iloc[s : s + 256]
+                    x = np.vstack(part["x"].to_list())
+                    far, first = distances(asking(x))
+                    go = np.zeros(far.shape, bool)
+                    np.put_along_axis(go, first, True, axis=1)
+                    limit = np.full(len(x), np.inf)
+                    if second:
+                        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+                            inner = part["least"].to_numpy(float) / norms(x) / longest
+                        sure = (part["n"].to_numpy(float) >= k) & np.isfinite(inner)
+                        limit[sure] = np.sqrt(np.maximum(2 - 2 * inner[sure], 0))
+                        go = ~go & probes(far, limit, least[filled], most[filled], d + 1, reach_z)
+                    q, at = np.nonzero(go)
+                    raw = np.array([r.tobytes() for r in x], object)
+                    yield pd.DataFrame({"list": filled[at].astype(np.int32), "id": part["id"].to_numpy()[q], "raw": raw[q], "qh": part["qh"].to_numpy()[q], "limit": limit[q]})
+
+        return ask
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        turn, _, reach, _, _ = shared.value
-        held: list[pd.DataFrame] = []
-
-        def one(group: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            mine = group["asks"].to_numpy()
-            if mine.all() or not mine.any():
-                return
-            x = np.frombuffer(b"".join(group["raw"][~mine]), np.float64).reshape(-1, turn.shape[0] - 1)
-            ids = group["id"].to_numpy()[~mine]
-            v = np.column_stack([x, np.sqrt(np.maximum(reach**2 - (x**2).sum(axis=1), 0))]) @ turn
-            everyone = np.frombuffer(b"".join(group["raw"][mine]), np.float64).reshape(-1, turn.shape[0] - 1)
-            names, bounds = group["id"].to_numpy()[mine], group["limit"].to_numpy(float)[mine]
-            for s in range(0, len(names), 256):
-                y, name = everyone[s : s + 256], names[s : s + 256]
-                qi, vi = scan(np.column_stack([y, np.zeros(len(y))]) @ turn, bounds[s : s + 256], v)
-                other = name[qi] != ids[vi]
-                qi, vi = qi[other], vi[other]
-                score = np.array([]) if not len(qi) else (y[qi] * x[vi]).sum(axis=1)
-                order = np.lexsort((ids[vi], -score, qi))
-                qi, vi, score = qi[order], vi[order], score[order]
-                begin = np.searchsorted(qi, qi)
-                keep = np.arange(len(qi)) - begin < k
-                yield pd.DataFrame({"query_id": name[qi[keep]], "vec_id": ids[vi[keep]], "score": score[keep]})
-
+        key, held, block = None, [], None
         for batch in batches:
             if not len(batch):
                 continue
-            key = batch["list"].to_numpy().astype(np.int64) * (1 << 32) + batch["block"].to_numpy()
-            edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
-            for s, e in zip(edges, edges[1:], strict=False):
+            keys, asks = batch["list"].to_numpy().astype(np.int64) << 32 | batch["block"].to_numpy(), batch["asks"].to_numpy()
+            edges = np.flatnonzero((keys[1:] != keys[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for s, e in zip([0, *edges], [*edges, len(batch)], strict=True):
                 part = batch.iloc[s:e]
-                if held and (held[0]["list"].iloc[0], held[0]["block"].iloc[0]) != (part["list"].iloc[0], part["block"].iloc[0]):
-                    yield from one(pd.concat(held))
-                    held.clear()
-                held.append(part)
-        if held:
-            yield from one(pd.concat(held))
-
-    dealt = stored.unionByName(asked).repartition("list", "block").sortWithinPartitions("list", "block", "asks")
-    found = dealt.mapInPandas(find, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+                if keys[s] != key:
+                    key, held, block = keys[s], [], None
+                if not asks[s]:
+                    held.append(part[["id", "raw"]])
+                    continue
+                if block is None:
+                    if not held:
+                        continue
+                    own = pd.concat(held)
+                    x = np.frombuffer(b"".join(own["raw"]), np.float64).reshape(-1, d)
+                    block, held = (x, own["id"].to_numpy(), turned(x)), []
+                x, ids, v = block
+                for a in range(0, len(part), 256):
+                    some = part.iloc[a : a + 256]
+                    y, names, hashes = np.frombuffer(b"".join(some["raw"]), np.float64).reshape(-1, d), some["id"].to_numpy(), some["qh"].to_numpy()
+                    q, found, score = best(y, names, scan(asking(y), some["limit"].to_numpy(float), v), x, ids, k)
+                    yield pd.DataFrame({"query_id": names[q], "qh": hashes[q], "vec_id": found, "score": score})
+
+    count = F.element_at(F.from_json(F.lit("{" + ",".join(f'"{x}":{b[0]}' for x, b in known.items()) + "}"), "map<string,int>"), F.col("list").cast("string"))
+    stored = filed.select("list", "id", "raw").withColumns({"block": F.pmod(F.xxhash64("id", "raw"), count).cast("int"), "asks": F.lit(False), "qh": F.lit(None).cast("long"), "limit": F.lit(None).cast("double")})
+    order = Window.partitionBy("query_id", "qh").orderBy(F.desc("score"), "vec_id")
+
+    def found_in(queries: DataFrame, second: bool) -> DataFrame:
+        sent = queries.mapInPandas(asked(second), kinds + ", qh long, limit double").withColumns({"block": F.explode(F.sequence(F.lit(0), count - 1)), "asks": F.lit(True)})
+        dealt = stored.unionByName(sent).repartition("list", "block").sortWithinPartitions("list", "block", "asks")
+        return dealt.mapInPandas(find, "query_id long, qh long, vec_id long, score double")
+
+    def top(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+    queries = good.filter("asks").select("id", "x").distinct().withColumn("qh", F.xxhash64("x"))
+    first = scratch(top(found_in(queries, False)).drop("rank"), "near-lists")
+    limits = first.groupBy(F.col("query_id").alias("id"), "qh").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
+    others = found_in(queries.join(limits, ["id", "qh"], "left").na.fill({"n": 0}), True)
+    return top(first.unionByName(others)).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

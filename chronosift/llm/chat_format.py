@@ -5,11 +5,13 @@ parts as escaped text and every other part as a placeholder; it records each att
 reference and expanded token count. Only DataFrame functions are used.
 
 Escaping is reversible: in a text every `<|` becomes `<||`, in a role also every newline becomes
-`<|n|>`. Template marks have a letter after `<|`, so no text can imitate one.
+`<|n|>`. Template marks have a letter after `<|`, so no text can imitate one; nor can two text parts that
+follow each other and end with `<` and begin with `|`.
 
 Defined results: a null text, role or part list counts as empty; turns with equal numbers follow
 each other by role, then content; null turns come first; rows with a null conversation form one
-conversation; repeated rows are repeated turns; other columns are ignored; an empty table gives none.
+conversation; repeated rows are repeated turns; other columns are ignored, whatever their names; an empty table
+gives none. Texts are formatted whole, however long.
 """
 
 from __future__ import annotations
@@ -49,8 +51,11 @@ def _is_text(part: Column) -> Column:
     return F.coalesce(part["kind"], F.lit("text")) == "text"
 
 
-def _render(part: Column) -> Column:
-    out = F.when(_is_text(part), escape(F.coalesce(part["text"], F.lit(""))))
+def _render(part: Column, before: Column) -> Column:
+    """A part as text; before: the part in front of it, if any."""
+    said = F.coalesce(part["text"], F.lit(""))
+    split_mark = F.coalesce(_is_text(before) & F.endswith(before["text"], F.lit("<")), F.lit(False)) & F.startswith(said, F.lit("|"))
+    out = F.when(_is_text(part), F.concat(F.when(before.isNotNull() & split_mark, F.lit("|")).otherwise(F.lit("")), escape(said)))
     for kind, mark in PLACEHOLDERS.items():
         out = out.when(part["kind"] == kind, F.lit(mark))
     return out.otherwise(F.lit(PLACEHOLDERS["file"]))
@@ -68,9 +73,10 @@ def _tokens(part: Column) -> Column:
 
 
 def format_chat(messages: DataFrame, *, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", parts: str | None = None, loss_role: str = "assistant") -> DataFrame:
-    """One row per conversation: conv_id, n_turns, formatted, segments, attachments.
+    """One row per conversation: conv_id, n_turns, formatted, segments, loss_spans, attachments.
 
-    segments (text, loss) concatenate to formatted; loss marks the bodies of loss_role's turns.
+    segments (text, loss) concatenate to formatted; loss marks the bodies of loss_role's turns, and loss_spans
+    (start, length) are their places in formatted, in code points from 0.
     attachments (position, turn, kind, ref, tokens) are in the order of their placeholders.
     """
     content = F.coalesce(F.col(parts).cast(f"array<{PART}>"), F.array().cast(f"array<{PART}>")) if parts else text_part(F.col(text))
@@ -79,8 +85,8 @@ def format_chat(messages: DataFrame, *, conv: str = "conv_id", turn: str = "turn
         lambda p: F.struct(p["kind"].alias("kind"), p["ref"].alias("ref"), _tokens(p).alias("tokens")),
     )
     # a message is rendered before rows are gathered
-    rendered = messages.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), content.alias("parts")).select(
-        "conv_id", "turn", "role", F.array_join(F.transform("parts", _render), "").alias("body"), attached.alias("attached")
+    rendered = messages.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), content.alias("parts")).withColumn("said", F.filter("parts", lambda p: ~_is_text(p) | (F.coalesce(p["text"], F.lit("")) != ""))).select(
+        "conv_id", "turn", "role", F.array_join(F.transform("said", lambda p, i: _render(p, F.get("said", i - 1))), "").alias("body"), attached.alias("attached")
     )
     turns = rendered.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "body", "attached"))).alias("turns"))
     segments = F.flatten(
@@ -98,7 +104,11 @@ def format_chat(messages: DataFrame, *, conv: str = "conv_id", turn: str = "turn
         lambda a, i: F.struct(i.alias("position"), a["turn"].alias("turn"), a["kind"].alias("kind"), a["ref"].alias("ref"), a["tokens"].alias("tokens")),
     )
     built = turns.select("conv_id", F.size("turns").cast("long").alias("n_turns"), segments.alias("segments"), attachments.alias("attachments"))
-    return built.withColumn("formatted", F.array_join(F.transform("segments", lambda s: s["text"]), ""))
+    whole = built.withColumn("formatted", F.array_join(F.transform("segments", lambda s: s["text"]), ""))
+    # an assistant's place is the length of all that lies before it
+    ends = F.aggregate("segments", F.array().cast("array<bigint>"), lambda a, s: F.array_append(a, F.coalesce(F.element_at(F.when(F.size(a) > 0, a), -1), F.lit(0)) + F.char_length(s["text"])))
+    spans = F.transform("segments", lambda s, i: F.when(s["loss"], F.struct((F.get("__ends", i) - F.char_length(s["text"])).alias("start"), F.char_length(s["text"]).cast("long").alias("length"))))
+    return whole.withColumn("__ends", ends).withColumn("loss_spans", F.filter(spans, lambda x: x.isNotNull())).drop("__ends")
 
 
 def parse_chat(formatted: Column) -> Column:
@@ -112,6 +122,6 @@ def parse_chat(formatted: Column) -> Column:
     )
 
 
-def loss_text(segments: Column) -> Column:
-    """All text under the loss mask, unescaped."""
-    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
+def loss_text(formatted: Column, spans: Column) -> Column:
+    """All text under the loss mask, read back from the formatted conversation and unescaped."""
+    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")

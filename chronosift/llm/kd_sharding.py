@@ -1,43 +1,45 @@
 """Sharding by a k-d tree over document metadata.
 
-A node that must hold k shards is cut along the widest of its (normalised) metadata dimensions at
-the distributed weighted quantile floor(k/2)/k of its bytes, until every leaf holds one shard. A
-quantile is found by histograms: over the dimension, then, within the bin that holds it, over text
-hashes, then over row hashes; so equal texts part only where a cut falls among them, and a value
+Dimensions are the logarithms of a document's bytes and characters, and its language and source, as the places
+of these names in their order. Each dimension counts in units of its range over all rows. A node that must hold
+k shards is cut along the dimension in which it is widest, at the distributed weighted quantile floor(k/2)/k of
+its bytes, until every leaf holds one shard. A quantile is found by histograms: over the dimension, twice, the second
+time within the bin that holds it, then, for ties, over text hashes, and at last over row hashes; so equal values
+and equal texts part only where a cut falls among them, and a value
 that a third of all rows share is cut as finely as any other. Each histogram is a partial
-aggregate, and the driver sees at most `bins` rows a node; nothing else reaches it.
+aggregate, and the driver sees at most `bins` rows a node; nothing else reaches it. Each level is a table of its own.
 
-Defined results: a null text counts as empty (8 bytes); null metadata as an empty string; rows with
-equal id and text stay together; other columns are ignored; an empty table gives no rows.
+Defined results: a null text counts as empty (8 bytes); null names as empty strings, names that agree in their first
+six bytes are ties; columns of names may lack; rows with equal id and text stay together; other columns are ignored,
+whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import rank_within, scratch, small_frame
+from .common import Tables, rank_within, small_frame
 
-BINS = 1024
+BINS, STEPS = 1024, 4
 
 
-def _unit(hash64):
-    """A 64-bit hash as a number from 0 to below 1."""
-    return F.shiftrightunsigned(hash64, 11) / float(1 << 53)
+def _place(name: Column) -> Column:
+    """A name's place in the order of names: its first six bytes as a number."""
+    return F.conv(F.rpad(F.hex(F.substring(F.encode(F.coalesce(name, F.lit("")), "utf-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
 
 
-def metadata(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """doc_id, size, text_crc32, hashes and the dimensions: log size, language, content."""
+def metadata(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", names: tuple[str, ...] = ("lang", "source")) -> DataFrame:
+    """doc_id, size, text_crc32, hashes and the dimensions: log bytes, log characters, places of the names."""
     whole = F.coalesce(F.col(text), F.lit(""))
     size = F.octet_length(whole).cast("long") + 8
-    language = F.coalesce(F.col(lang), F.lit("")) if lang in docs.columns else F.lit("")
     return docs.select(
         F.col(doc_id).cast("long").alias("doc_id"),
         size.alias("size"),
         F.crc32(F.encode(whole, "utf-8")).alias("text_crc32"),
         F.xxhash64(whole).alias("text_hash"),
         F.xxhash64(F.col(doc_id), whole).alias("row_hash"),
-        F.array((F.log2(size.cast("double")) / 40.0), _unit(F.xxhash64(language)), F.crc32(F.encode(whole, "utf-8")) / float(1 << 32)).alias("dims"),
+        F.array(F.log2(size.cast("double")), F.log2(F.char_length(whole) + 1.0), *[_place(F.col(c)) for c in names if c in docs.columns]).alias("dims"),
     )
 
 
@@ -51,63 +53,65 @@ def _cut(sums: dict[int, float], target: float) -> tuple[int, float]:
     return 0, 0.0
 
 
-def kd_shards(docs: DataFrame, shards: int = 24, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", bins: int = BINS) -> DataFrame:
+def _ranges(rows: DataFrame, n_dims: int) -> list:
+    """Bytes and range of each dimension of every node."""
+    sides = [f(F.col("dims")[i]).alias(f"{n}{i}") for i in range(n_dims) for n, f in (("lo", F.min), ("hi", F.max))]
+    return rows.groupBy("node").agg(F.sum("size").alias("total"), *sides).collect()
+
+
+def kd_shards(docs: DataFrame, shards: int = 24, *, doc_id: str = "doc_id", text: str = "text", names: tuple[str, ...] = ("lang", "source"), bins: int = BINS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard; sizes of shards are near equal."""
     spark = docs.sparkSession
-    rows = base = scratch(metadata(docs, doc_id, text, lang).withColumn("node", F.lit(1).cast("long")), "kd")
-    open_nodes, leaves = {1: (shards, 0)}, {}
-    n_dims = 3
+    tables = Tables(spark)
+    rows = tables.store(metadata(docs, doc_id, text, names).withColumn("node", F.lit(1).cast("long")), "kd")
+    n_dims = 2 + sum(c in docs.columns for c in names)
+    open_nodes, leaves, unit = {1: (shards, 0)}, {}, None
     while open_nodes:
         leaves |= {n: first for n, (k, first) in open_nodes.items() if k == 1}
         open_nodes = {n: v for n, v in open_nodes.items() if v[0] > 1}
-        if not open_nodes:
+        stats = _ranges(rows.filter(F.col("node").isin(list(open_nodes))), n_dims) if open_nodes else []
+        if not stats:  # all leaves, or no rows at all
             break
-        low = [F.min(F.col("dims")[i]).alias(f"lo{i}") for i in range(n_dims)]
-        high = [F.max(F.col("dims")[i]).alias(f"hi{i}") for i in range(n_dims)]
-        stats = rows.filter(F.col("node").isin(list(open_nodes))).groupBy("node").agg(F.sum("size").alias("total"), *low, *high).collect()
+        unit = unit or [max(stats[0][f"hi{i}"] - stats[0][f"lo{i}"], 1e-12) for i in range(n_dims)]
         boxes = {}
         for s in stats:
-            wide = max(range(n_dims), key=lambda i: s[f"hi{i}"] - s[f"lo{i}"])
+            wide = max(range(n_dims), key=lambda i: (s[f"hi{i}"] - s[f"lo{i}"]) / unit[i])
             k = open_nodes[s["node"]][0]
             boxes[s["node"]] = [wide, s[f"lo{wide}"], max(s[f"hi{wide}"] - s[f"lo{wide}"], 1e-12), s["total"] * (k // 2) / k]
-        if not boxes:  # no rows at all
-            break
         box = small_frame(spark, [(n, b[0], b[1], b[2]) for n, b in boxes.items()], "node long, __dim int, __lo double, __width double")
-        at = F.least(F.floor((F.element_at("dims", F.col("__dim") + 1) - F.col("__lo")) / F.col("__width") * bins), F.lit(bins - 1)).cast("int")
-        placed = rows.join(F.broadcast(box), "node", "left").withColumn("b0", at).drop("__dim", "__lo", "__width")
-        placed = placed.withColumn("b1", F.shiftrightunsigned("text_hash", 54).cast("int")).withColumn("b2", F.shiftrightunsigned("row_hash", 54).cast("int"))
+        fine = F.least(F.floor((F.element_at("dims", F.col("__dim") + 1) - F.col("__lo")) / F.col("__width") * bins * bins), F.lit(bins * bins - 1)).cast("int")
+        hashed = lambda c: F.shiftrightunsigned(c, 54).cast("int")
+        placed = rows.join(F.broadcast(box), "node", "left").withColumn("b1", fine)
+        placed = placed.withColumns({"b0": F.floor(F.col("b1") / bins).cast("int"), "b2": hashed("text_hash"), "b3": hashed("row_hash")}).drop("__dim", "__lo", "__width")
         found: dict[int, list[int]] = {n: [] for n in boxes}
         left = {n: b[3] for n, b in boxes.items()}
-        for step in range(3):
-            inside = placed
+        for step in range(STEPS):
+            inside = placed.filter(F.col("b0").isNotNull())
             if step:
                 cuts = small_frame(spark, [(n, *c) for n, c in found.items()], "node long, " + ", ".join(f"__c{i} int" for i in range(step)))
                 inside = placed.join(F.broadcast(cuts), "node")
                 for i in range(step):
                     inside = inside.filter(F.col(f"b{i}") == F.col(f"__c{i}"))
-            else:
-                inside = placed.filter(F.col("b0").isNotNull())
             sums: dict[int, dict[int, float]] = {}
             for r in inside.groupBy("node", f"b{step}").agg(F.sum("size").alias("w")).collect():
                 sums.setdefault(r["node"], {})[r[f"b{step}"]] = r["w"]
             for n in boxes:
                 b, rest = _cut(sums[n], left[n])
-                if step == 2 and rest * 2 > sums[n][b]:  # the nearer edge of the last bin
+                if step == STEPS - 1 and rest * 2 > sums[n][b]:  # the nearer edge of the last bin
                     b += 1
                 found[n].append(b)
                 left[n] = rest
-        cuts = small_frame(spark, [(n, *c) for n, c in found.items()], "node long, __c0 int, __c1 int, __c2 int")
-        below = F.expr("b0 < __c0 OR (b0 = __c0 AND (b1 < __c1 OR (b1 = __c1 AND b2 < __c2)))")
-        rows = placed.join(F.broadcast(cuts), "node", "left").withColumn("node", F.when(F.col("__c0").isNull(), F.col("node")).otherwise(F.col("node") * 2 + F.when(below, 0).otherwise(1))).select(*base.columns)
-        nxt = {n: v for n, v in open_nodes.items() if n not in boxes}
+        cuts = small_frame(spark, [(n, *c) for n, c in found.items()], "node long, " + ", ".join(f"__c{i} int" for i in range(STEPS)))
+        below = F.struct(*[F.col(f"b{i}") for i in range(STEPS)]) < F.struct(*[F.col(f"__c{i}").alias(f"b{i}") for i in range(STEPS)])
+        child = F.when(F.col("__c0").isNull(), F.col("node")).otherwise(F.col("node") * 2 + F.when(below, 0).otherwise(1))
+        rows = tables.store(placed.join(F.broadcast(cuts), "node", "left").withColumn("node", child).select(*rows.columns), "kd")
         for n in boxes:
-            k, first = open_nodes[n]
-            nxt |= {2 * n: (k // 2, first), 2 * n + 1: (k - k // 2, first + k // 2)}
-        open_nodes = {n: v for n, v in nxt.items() if n not in leaves}
-        if all(n not in boxes and n // 2 not in boxes for n in open_nodes):
-            break
+            k, first = open_nodes.pop(n)
+            open_nodes |= {2 * n: (k // 2, first), 2 * n + 1: (k - k // 2, first + k // 2)}
+        open_nodes = {n: v for n, v in open_nodes.items() if n // 2 in boxes}
     leaf = small_frame(spark, [(n, first) for n, first in leaves.items()] or [(0, 0)], "node long, shard int")
-    sharded = scratch(rows.join(F.broadcast(leaf), "node").select("doc_id", "size", "text_crc32", "row_hash", "shard"), "kd-shards")
+    sharded = tables.store(rows.join(F.broadcast(leaf), "node").select("doc_id", "size", "text_crc32", "row_hash", "shard"), "kd-shards", keep=True)
+    tables.drop()
     counts = [(r["shard"], r["count"]) for r in sharded.groupBy("shard").count().collect()]
     ranked = rank_within(sharded, "shard", ["row_hash", "doc_id"], counts or [(0, 0)], rank="slot", key_type="int")
     return ranked.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -15,8 +15,12 @@ repeated chunks within one document go as well; other columns are kept as they a
 empty table gives no rows.
 
 remove_repeated() takes whole chunks alone, so what a chunk's ends cut off from a repeated passage stays.
-remove_runs() anchors at every pair of neighbouring lines instead: a run of two or more lines occurred
+remove_runs() rolls the hash over every two lines and puts a chunk's boundaries where the rolled hashes begin and cease to
+have occurred before: boundaries that the content alone decides and that shift with it. A run of two or more lines occurred
 before exactly if each of its pairs did, so whole runs go, whatever surrounds them.
+
+A pair of lines that very many documents share is counted by partial aggregates; where its occurrences are joined,
+Spark's adaptive execution splits the skewed partition.
 """
 
 from __future__ import annotations
@@ -24,6 +28,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import scratch
+
+#: Documents with repeated runs that are broadcast; more are joined by a shuffle of the texts.
+BROADCAST_DOCS = 50_000
 WINDOW, DIVISOR, MIN_LINES = 2, 2, 2
 
 
@@ -79,7 +87,7 @@ def remove_repeated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     return out.select(*[F.col("__new").alias(c) if c == text else F.col(c) for c in cols], "n_lines", "n_chunks", "removed_chunks", "removed_lines")
 
 
-def remove_runs(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_runs(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", broadcast_docs: int = BROADCAST_DOCS) -> DataFrame:
     """docs with text without repeated runs of lines, and n_lines, removed_runs, removed_lines.
 
     A line goes if it and a neighbour occurred next to each other before (in an earlier document, or further up
@@ -94,9 +102,10 @@ def remove_runs(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     pairs = several.select("__id", "__row", F.posexplode(hashes).alias("__at", "__h"))
     # nominated by hash: a few bytes a line
     often = pairs.groupBy("__h").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select("__h")
-    nominated = pairs.join(often, "__h", "left_semi").groupBy("__id", "__row").agg(F.sort_array(F.collect_set("__at")).alias("__pairs"))
+    nominated = scratch(pairs.join(often, "__h", "left_semi").groupBy("__id", "__row").agg(F.sort_array(F.collect_set("__at")).alias("__pairs")), "nominated-lines")
+    light = lambda df: F.broadcast(df) if df.count() <= broadcast_docs else df
     same_doc = lambda a: F.col(doc_id).eqNullSafe(F.col(f"{a}_id")) & (F.col("__row") == F.col(f"{a}_row"))
-    at_docs = keyed.join(nominated.select(F.col("__id").alias("__n_id"), F.col("__row").alias("__n_row"), "__pairs"), same_doc("__n"))
+    at_docs = keyed.join(light(nominated).select(F.col("__id").alias("__n_id"), F.col("__row").alias("__n_row"), "__pairs"), same_doc("__n"))
     each = at_docs.select(F.col(doc_id).alias("__id"), "__row", lines.alias("__lines"), "__pairs").select("__id", "__row", "__lines", F.explode("__pairs").alias("__at"))
     each = each.select("__id", "__row", "__at", F.concat_ws("\n", F.get("__lines", F.col("__at")), F.get("__lines", F.col("__at") + 1)).alias("__said"))
     # compared by bytes: the text itself is the key; the first occurrence stays
@@ -107,8 +116,8 @@ def remove_runs(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     # pairs in a row are one run
     run = (F.col("__at") - F.row_number().over(Window.partitionBy("__id", "__row").orderBy("__at"))).alias("__run")
     runs = again.select("__id", "__row", "__at", "__says", run).groupBy("__id", "__row", "__run").agg(F.min("__at").alias("start"), (F.max("__at") + 2).alias("stop"), F.max("__says").alias("__says")).filter("__says")
-    lost = runs.groupBy(F.col("__id").alias("__l_id"), F.col("__row").alias("__l_row")).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("__runs"))
-    joined = keyed.join(lost, same_doc("__l"), "left").withColumn("__lines", lines)
+    lost = scratch(runs.groupBy(F.col("__id").alias("__l_id"), F.col("__row").alias("__l_row")).agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("__runs")), "repeated-runs")
+    joined = keyed.join(light(lost), same_doc("__l"), "left").withColumn("__lines", lines)
     # what lies before each run, and behind the last
     before = F.transform("__runs", lambda r, i: F.struct(F.when(i > 0, F.get("__runs", i - 1)["stop"]).otherwise(0).alias("start"), r["start"].alias("stop")))
     stays = F.concat(before, F.array(F.struct(F.element_at("__runs", -1)["stop"].alias("start"), F.size("__lines").alias("stop"))))

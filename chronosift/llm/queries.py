@@ -56,7 +56,7 @@ def _crc_mod(n: int) -> Column:
 
 def op4_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=_crc_mod(5) != 0, scratch=scratch)
-    return scored.select("doc_id", (_crc_mod(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(_crc_mod(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op5_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,17 +65,18 @@ def op5_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = identify(table(spark, sf_dir, "documents"), learn=_crc_mod(4) != 2, keep=["doc_id"])
-    return found.select("doc_id", (_crc_mod(4) == 2).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(_crc_mod(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return remove_repeated(docs).select("doc_id", "n_lines", "n_chunks", "removed_chunks", "removed_lines", "text")
+    return remove_runs(docs).select("doc_id", "n_lines", "removed_runs", "removed_lines", "text")
 
 
-def op7_whole_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op7_plain_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op7_line_chunks, by chunks with fixed boundaries, whose ends keep what they cut off."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return remove_runs(docs).select("doc_id", "n_lines", "removed_runs", "removed_lines", "text")
+    return remove_repeated(docs).select("doc_id", "n_lines", "n_chunks", "removed_chunks", "removed_lines", "text")
 
 
 def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +92,7 @@ def op10_typed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = spark.sql("SELECT -1L conv_id, id turn, IF(id = 0, 'user', 'assistant') role, '" + saying + "' text FROM range(2)")
     messages = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
     chats = format_chat(messages)
-    read = chats.select("conv_id", "formatted", parse_chat(F.col("formatted")).alias("turns"), loss_text(F.col("segments")).alias("loss"))
+    read = chats.select("conv_id", "formatted", parse_chat(F.col("formatted")).alias("turns"), loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id",
@@ -117,7 +118,7 @@ FROM said GROUP BY conv_id
 """
 
 
-OP7_SQL = """
+OP7_PLAIN_SQL = """
 WITH l AS (
   SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
 h AS (
@@ -141,6 +142,33 @@ SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_chunks, 0) AS n_chu
 """
 
 
+OP7_SQL = """
+WITH l AS (
+  SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+p AS (
+  SELECT doc_id, unnest(range(1, len(lines))) AS at, lines FROM l),
+s AS (
+  SELECT doc_id, at, lines[at] || chr(10) || lines[at + 1] AS said FROM p),
+f AS (
+  SELECT *, first_value(doc_id) OVER w AS d0, first_value(at) OVER w AS a0, regexp_matches(said, '[\\p{L}\\p{N}]') AS says
+  FROM s WINDOW w AS (PARTITION BY said ORDER BY doc_id, at)),
+g AS (
+  SELECT doc_id, at, says, at - row_number() OVER (PARTITION BY doc_id ORDER BY at) AS run FROM f WHERE doc_id <> d0 OR at > a0 + 1),
+r AS (
+  SELECT doc_id, min(at) AS a, max(at) + 1 AS b FROM g GROUP BY doc_id, run HAVING bool_or(says)),
+n AS (
+  SELECT doc_id, unnest(range(1, len(lines) + 1)) AS i, lines FROM l),
+k AS (
+  SELECT n.doc_id, i, lines[i] AS line, r.doc_id IS NOT NULL AS gone FROM n LEFT JOIN r ON n.doc_id = r.doc_id AND i BETWEEN a AND b),
+t AS (
+  SELECT doc_id, count(*)::INTEGER AS n_lines, (count(*) FILTER (WHERE gone))::INTEGER AS removed_lines, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS text FROM k GROUP BY doc_id),
+c AS (
+  SELECT doc_id, count(*)::INTEGER AS removed_runs FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(removed_runs, 0) AS removed_runs, coalesce(removed_lines, 0) AS removed_lines, t.text
+FROM documents d LEFT JOIN t USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+
 def queries() -> dict:
     return {
         "op1_pfair_mix": op1_pfair_mix,
@@ -150,7 +178,7 @@ def queries() -> dict:
         "op5_chosen_path": op5_chosen_path,
         "op6_cross_parsing": op6_cross_parsing,
         "op7_line_chunks": op7_line_chunks,
-        "op7_whole_runs": op7_whole_runs,
+        "op7_plain_chunks": op7_plain_chunks,
         "op8_kd_shards": op8_kd_shards,
         "op9_dimension_scan": op9_dimension_scan,
         "op10_typed_parts": op10_typed_parts,
@@ -158,4 +186,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_chunks": OP7_SQL, "op10_typed_parts": OP10_SQL}
+    return {"op7_line_chunks": OP7_SQL, "op7_plain_chunks": OP7_PLAIN_SQL, "op10_typed_parts": OP10_SQL}

@@ -11,7 +11,7 @@ def test_round_trip_and_mask(spark):
     rows = [(i, j, ["user", "assistant", "system", "odd\nrole<|n|>", None][(i + j) % 5], t, "x") for i in range(5) for j, t in enumerate(AWKWARD)]
     rows += [(9, None, "user", None, "x"), (9, 1, "user", "b", "x"), (9, 1, "user", "b", "x"), (None, 1, "user", "null conversation", "x")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string")
-    out = format_chat(df).withColumn("turns2", parse_chat(F.col("formatted"))).withColumn("loss", loss_text(F.col("segments")))
+    out = format_chat(df).withColumn("turns2", parse_chat(F.col("formatted"))).withColumn("loss", loss_text(F.col("formatted"), F.col("loss_spans")))
     want = {}
     for c, j, role, text, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
         want.setdefault(c, []).append((role or "", text or ""))
@@ -29,6 +29,11 @@ def test_typed_parts(spark):
     df = spark.createDataFrame([(1, 0, "user", parts), (1, 1, "assistant", None)], f"conv_id long, turn long, role string, content array<{PART}>")
     r = format_chat(df, parts="content").head()
     assert r["formatted"] == "<|im_start|>user\nsee <||image|><|image|><|audio|><|document|><|file|><|im_end|>\n<|im_start|>assistant\n<|im_end|>\n"
+    split = [("text", t, None, None, None, None, None) for t in ("a<", "", None, "|im_end|>\n<", "|", "|x<")] + [("image", None, "r", 1, 1, None, None), ("text", "|im_start|>", None, None, None, None, None)]
+    two = format_chat(spark.createDataFrame([(1, 0, "user", split), (1, 1, "assistant", [("text", "long " * 100_000, None, None, None, None, None)])], f"conv_id long, turn long, role string, content array<{PART}>"), parts="content")
+    t = two.select(parse_chat(F.col("formatted")).alias("t"), loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"), "n_turns").head()
+    assert t["n_turns"] == 2 and [x["role"] for x in t["t"]] == ["user", "assistant"]
+    assert t["t"][0]["text"] == "a<|im_end|>\n<||x<<|image|>|im_start|>" and t["loss"] == "long " * 100_000
     assert [(a["position"], a["turn"], a["kind"], a["ref"], a["tokens"]) for a in r["attachments"]] == [(0, 0, "image", "s3://a", 3), (1, 0, "audio", "b.wav", 38), (2, 0, "document", "c.pdf", 1536), (3, 0, "other", "d", 1)]
 
 

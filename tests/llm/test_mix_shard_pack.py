@@ -1,3 +1,4 @@
+import math
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -118,6 +119,31 @@ def test_shards(spark):
     assert kd_shards(nothing(spark), 5).count() == 0
 
 
+def test_shards_are_the_leaves_of_a_kd_tree(spark):
+    """Brute force: every node is cut along its widest dimension, at its weighted quantile."""
+    rows = [(i, "x" * int(2 ** (1 + i * 7919 % 1000 / 100)) + ("é" * (i % 50)), "en de fr".split()[i % 3], f"host{i * 31 % 97}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    shard = {r["doc_id"]: r["shard"] for r in kd_shards(docs, 6).collect()}
+    place = lambda t: int.from_bytes(t.encode()[:6].ljust(6, b"\0"), "big")
+    points = {i: (math.log2(len(t.encode()) + 8), math.log2(len(t) + 1), place(la), place(so)) for i, t, la, so in rows}
+    size = {i: len(t.encode()) + 8 for i, t, _, _ in rows}
+    unit = [max(p[d] for p in points.values()) - min(p[d] for p in points.values()) for d in range(4)]
+
+    def check(ids, first, k):
+        if k == 1:
+            assert {shard[i] for i in ids} == {first}
+            return
+        width = [(max(points[i][d] for i in ids) - min(points[i][d] for i in ids)) / unit[d] for d in range(4)]
+        wide = width.index(max(width))
+        left, right = ([i for i in ids if (shard[i] < first + k // 2) == side] for side in (True, False))
+        assert max(points[i][wide] for i in left) <= min(points[i][wide] for i in right) + unit[wide] * 1e-6
+        assert abs(sum(size[i] for i in left) - sum(size[i] for i in ids) * (k // 2) / k) <= max(size.values()) * 2
+        check(left, first, k // 2)
+        check(right, first + k // 2, k - k // 2)
+
+    check(list(points), 0, 6)
+
+
 def test_shards_are_even_with_a_hot_text(spark):
     rows = [(i, "the same text again and again" if i % 3 == 0 else f"text {i} " * (i % 17), "en") for i in range(3000)]
     got = kd_shards(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 24).groupBy("shard").sum("size").collect()

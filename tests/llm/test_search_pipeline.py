@@ -47,6 +47,43 @@ def test_few_and_none(spark):
     assert search(spark.createDataFrame([], KIND), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_awkward_vectors(spark):
+    """Overflowing lengths, repeated query ids, equal query rows, clashing names, more queries than a batch."""
+    big = [[1e200, 0.0], [0.0, -1e200], [3e-200, 1.0]]
+    rows = [(i, big[i % 3] if i < 3 else [float(i % 7) + 1, float(i % 5)], 0, "x", "y") for i in range(1, 400)]
+    rows += [(400, [1.0, 0.0], 0, "x", "y"), (400, [0.0, 1.0], 0, "x", "y"), (400, [0.0, 1.0], 0, "x", "y")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, list string, block string")
+    got = search(df, F.col("vec_id") % 20 == 0, list_rows=30).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["query_id"], []).append(r)
+    assert set(by) == set(range(20, 401, 20)) and all(len(v) == 20 for k, v in by.items() if k < 400) and len(by[400]) == 40
+    for k in (20, 380):
+        x = np.array([r[1] for r in rows])
+        want = _exact(x, np.array([r[0] for r in rows]), k - 1, 20)
+        assert [(r["vec_id"], r["score"]) for r in sorted(by[k], key=lambda r: r["rank"])] == want
+
+
+def test_search_query(spark, tmp_path):
+    from chronosift.llm.queries import op9_dimension_scan
+
+    spark.createDataFrame([(i, [float(i % 3), 1.0], 0) for i in range(50)], KIND).write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert op9_dimension_scan(spark, str(tmp_path)).count() == 60
+
+
+def test_language_stage_decides(spark):
+    """It drops what no language parses, fills null languages, and keeps clean documents."""
+    import corpus_pipeline as C
+
+    rows = [(i, f"The story number {i} is about a small fox and its friends in the woods.", "en", "a", 1, "k") for i in range(40)]
+    rows += [(100, "The fox and the woods.", None, "a", 1, "k"), (101, "".join(chr(0x0E01 + i % 40) for i in range(300)), None, "a", 1, "k"), (102, None, "en", "a", 1, "k"), (103, "12 34", "en", "a", 1, "k"), (104, "A", None, None, 1, "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, __lang string")
+    got = {r["doc_id"]: r for r in C.language_id(spark, docs, "").collect()}
+    assert set(got) == {*range(40), 100, 104} and got[100]["lang"] == "en" and got[100]["__lang"] == "k"
+    bare = C.language_id(spark, docs.withColumn("lang", F.lit(None).cast("string")), "").collect()
+    assert {r["doc_id"] for r in bare} == {*range(40), 100, 101, 104}  # nothing to learn from: only letterless texts go
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as C
 

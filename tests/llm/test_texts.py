@@ -23,6 +23,39 @@ def test_gamma_quantiles():
     assert all(abs(1 - (1 + x) * math.exp(-x) - (i + 0.5) / 1000) < 1e-9 for i, x in enumerate(q))
 
 
+def test_tails_of_the_gamma_tables():
+    t = fingerprints.gamma_tables(64)
+    assert len(t) == 192 and t[63] < t[191] and t[64] < t[0] and sorted(t[64:128]) == t[64:128] and sorted(t[128:]) == t[128:]
+    for i in (0, 31, 63):
+        p = (i + 0.5) / 64**2
+        x = t[64 + i]
+        assert abs((1 - (1 + x) * math.exp(-x)) / p - 1) < 1e-6
+        x = t[191 - i]
+        assert abs((1 + x) * math.exp(-x) / p - 1) < 1e-9
+    fine = fingerprints.gamma_quantiles(4096, 0.0, 1 / 4096)
+    assert abs(fine[0] - (2 * 0.5 / 4096**2) ** 0.5) < 1e-6
+
+
+def test_fingerprint_of_a_very_long_text(spark):
+    """Half of the words are frequent and shared, half rare and replaced: the likeness is a third."""
+    common = " ".join(f"common{i % 50}" for i in range(60_000))
+    rows = [(k, common + " " + " ".join(f"rare{k}x{i}" for i in range(60_000))) for k in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    near = fingerprints.fingerprint(docs, ["doc_id"], samples=256).collect()
+    a, b = (r["signature"] for r in near)
+    assert abs(sum(x == y for x, y in zip(a, b, strict=True)) / 256 - 1 / 3) < 0.1
+
+
+@pytest.mark.parametrize("part_bytes", [40, 400, 1 << 22])
+def test_next_document_over_many_parts(spark, part_bytes):
+    rows = [(i * i % 1009 - 300, f"text {i} " * (1 + i % 9)) for i in range(200)] + [(None, "none"), (None, "other"), (5_000_000_000, "far"), (5_000_000_001, None)]
+    rows = list({r[0]: r for r in rows}.values())
+    got = fingerprints.with_next(spark.createDataFrame(rows, "doc_id long, text string"), part_bytes=part_bytes).filter("NOT closing").collect()
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    want = {a[0]: b[1] or "" for a, b in zip(order, order[1:] + order[:1], strict=True)}
+    assert {r["doc_id"]: r["next_text"] for r in got} == want and len(got) == len(rows)
+
+
 def test_fingerprint_query(spark, tmp_path):
     from chronosift.llm.queries import op2_weighted_sampling
 
@@ -140,6 +173,8 @@ def test_whole_runs_of_awkward_rows(spark):
     for r in got:
         assert r["text"] in [t if t is None else want[(r["doc_id"] is not None, r["doc_id"] or 0), t] for t in (x["text"] for x in docs.collect() if x["doc_id"] == r["doc_id"])]
     assert sum(r["removed_lines"] for r in got) == 6
+    shuffled = line_dedup.remove_runs(docs, broadcast_docs=0).collect()
+    assert sorted(map(repr, shuffled)) == sorted(map(repr, got))
     assert line_dedup.remove_runs(nothing(spark)).count() == 0
 
 
