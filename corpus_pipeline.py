@@ -20,10 +20,27 @@ from chronosift.llm.pfair_mix import mix
 WEIGHTS = None
 
 
+#: Phrases (behind the first) a letter of the best language from which on a text is in none of the languages
+#: learned. Their own texts have about 0.17; an unknown script has 1.
+FOREIGN = 0.6
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in no language: null texts and texts without letters."""
-    found = identify(docs, learn=F.lit(True), keep=docs.columns, found="__lang", sure="__sure")
-    return found.filter(F.col("__lang") != UNKNOWN).select(*docs.columns)
+    """Drops documents in no language: null texts, texts without letters, and those that no language parses.
+
+    A text whose best language needs more than FOREIGN phrases a letter goes, if there are labelled texts to
+    learn from at all; without any, only letterless texts go. A null lang becomes the language found; others stay.
+    Repeated rows meet the same fate; an empty table stays empty; extra columns stay, whatever their names.
+    """
+    names = [f"__{x}" for x in ("lang", "sure", "rate")]
+    while set(names) & set(docs.columns):
+        names = [f"_{x}" for x in names]
+    found, sure, rate = names
+    marked = identify(docs, learn=F.lit(True), keep=docs.columns, found=found, sure=sure, rate=rate)
+    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    stays = F.when(F.col(found) == UNKNOWN, letters).otherwise(F.col(rate) <= FOREIGN)
+    known = F.coalesce("lang", F.when(F.col(found) != UNKNOWN, F.col(found)))
+    return marked.filter(stays).select(*[known.alias(c) if c == "lang" else F.col(c) for c in docs.columns])
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
