@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from chronosift.plans import market, research
+from chronosift.plans import accounts, evidence, market, research
 
-_MODULES = (market, research)
+_MODULES = (market, research, accounts, evidence)
 
 
 def queries() -> dict:

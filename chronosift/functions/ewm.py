@@ -6,22 +6,58 @@ Weights, warm-up and null rules are those of pandas.ewm (ignore_na=False).
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
 
+def whole_series(batches: Iterator[pd.DataFrame], by: str) -> Iterator[pd.DataFrame]:
+    """Frames that hold complete series, of batches sorted by series; only the last series of a batch is held back."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        keys = batch[by].to_numpy()
+        last = len(keys) - int(np.argmax(keys[::-1] != keys[-1])) if (keys != keys[-1]).any() else 0
+        if last == 0 and held and held[-1][by].iloc[-1] == keys[0]:
+            held.append(batch)
+            continue
+        done = [*held, batch.iloc[:last]]
+        done = [d for d in done if len(d)]
+        if done:
+            yield pd.concat(done, ignore_index=True) if len(done) > 1 else done[0].reset_index(drop=True)
+        held = [batch.iloc[last:]]
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def spans(keys: np.ndarray) -> Iterator[tuple[int, int]]:
+    """The bounds of runs of equal keys."""
+    edges = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+    yield from zip([0, *edges.tolist()], [*edges.tolist(), len(keys)], strict=True)
+
+
+def by_series(df: DataFrame, by: str, order: str) -> DataFrame:
+    """df dealt out by series and sorted, for mapInPandas: thousands of short series share a task's batches."""
+    return df.repartition(by).sortWithinPartitions(by, order)
+
+
 def with_kernels(bars: DataFrame, kernels: dict[str, Callable[[pd.DataFrame], pd.Series]], *, by: str = "series_id", order: str = "time", kind: str = "double") -> DataFrame:
     """bars with a column per kernel; a kernel gets a series in time order and returns as many values."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        return pdf.assign(**{n: pd.Series(np.asarray(k(pdf), dtype=float), index=pdf.index) for n, k in kernels.items()})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in whole_series(batches, by):
+            out = {n: np.empty(len(whole)) for n in kernels}
+            for s, e in spans(whole[by].to_numpy()):
+                one = whole.iloc[s:e].reset_index(drop=True)
+                for n, k in kernels.items():
+                    out[n][s:e] = np.asarray(k(one), dtype=float)
+            yield whole.assign(**out)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema.fields)
-    return bars.groupBy(by).applyInPandas(run, fields + "".join(f", `{n}` {kind}" for n in kernels))
+    return by_series(bars, by, order).mapInPandas(run, fields + "".join(f", `{n}` {kind}" for n in kernels))
 
 
 def ema(x: pd.Series, span: float, least: int | None = None) -> pd.Series:

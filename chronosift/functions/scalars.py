@@ -63,3 +63,57 @@ def normal_quantile(p: float) -> float:
 def chi2_tail(x: float) -> float:
     """The upper tail of chi-squared with one degree of freedom."""
     return math.erfc(math.sqrt(max(x, 0.0) / 2))
+
+
+#: Terms of the series for the normal distribution; enough for |x| up to LARGE.
+TERMS, LARGE = 90, 6.5
+
+
+def normal_cdf_of(x: Column) -> Column:
+    """The normal distribution function by its series 1/2 + density * (x + x^3 / 3 + x^5 / 15 + ..)."""
+    y = F.greatest(F.least(x, F.lit(LARGE)), F.lit(-LARGE))
+    total = F.lit(1.0)
+    for k in range(TERMS, 0, -1):
+        total = 1 + y * y / (2 * k + 1) * total
+    inner = 0.5 + F.exp(-y * y / 2) / math.sqrt(2 * math.pi) * y * total
+    return F.when(x >= LARGE, 1.0).when(x <= -LARGE, 0.0).otherwise(inner)
+
+
+def z_to_forecast(z: Column, scalar: float = 0.5) -> Column:
+    return clip(z * scalar, -1, 1)
+
+
+def regime_scale(p_ok: Column, flat: float, full: float) -> Column:
+    """0 up to flat, 1 from full on, linear between."""
+    return clip((p_ok - flat) / (full - flat), 0, 1)
+
+
+def discretise(m: Column, step: float) -> Column:
+    """m to the nearest multiple of step, halves to even, within [-1, 1]."""
+    return clip(F.bround(m / step) * step, -1, 1)
+
+
+def carver_scalar(mean_abs: Column, target: float, largest: float = 10.0) -> Column:
+    """What brings forecasts of this mean size to the target, capped; 1 for a size of 0."""
+    return F.coalesce(F.least(F.try_divide(F.lit(target), mean_abs), F.lit(largest)), F.lit(1.0))
+
+
+def garch_half_life(alpha: Column, beta: Column) -> Column:
+    return F.ln(F.lit(0.5)) / F.ln(alpha + beta)
+
+
+def garch_level(omega: Column, alpha: Column, beta: Column) -> Column:
+    return F.try_divide(omega, 1 - alpha - beta)
+
+
+def garch_ahead(variance: Column, omega: Column, alpha: Column, beta: Column, steps: int) -> Column:
+    """The mean variance of the next `steps` returns, which falls back to its level."""
+    level, persistence = garch_level(omega, alpha, beta), alpha + beta
+    return level + (variance - level) * F.try_divide(1 - F.pow(persistence, F.lit(steps)), steps * (1 - persistence))
+
+
+def blend_variance(vols: list[Column], weights: list[float]) -> Column:
+    """The root of the weighted mean of the variances that aren't null."""
+    got = [F.when(v.isNotNull(), F.lit(float(w))).otherwise(0.0) for v, w in zip(vols, weights, strict=True)]
+    total = sum((F.coalesce(v * v, F.lit(0.0)) * w for v, w in zip(vols, weights, strict=True)), F.lit(0.0))
+    return F.sqrt(F.try_divide(total, sum(got, F.lit(0.0))))

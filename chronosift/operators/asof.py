@@ -6,7 +6,8 @@ last by seq wins. Left rows are all kept, also those whose time is null.
 
 One union and one window do it, so the cost is a sort. With `slices`, time is cut into slices as well, so that
 one long key is many tasks' work: the newest right row of each slice is carried to all later slices
-that lack one by a window over slices alone, and opens each slice.
+that lack one by a window over slices alone, and opens each slice (forward: the first row of a slice, to all earlier
+ones, and closes them). Without keys slices of SLICE are the default; only the slices are then one task's work.
 """
 
 from __future__ import annotations
@@ -15,13 +16,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Width of slices where there are no keys.
+SLICE = "1 day"
+
+
 def asof_join(left: DataFrame, right: DataFrame, *, on: list[str] | None = None, left_time: str = "time", right_time: str = "available_at", columns: list[str] | None = None, seq: str | None = None, tolerance: str | None = None, slices: str | None = None, forward: bool = False, strict: bool = False) -> DataFrame:
     """left with `columns` of right (all but keys by default).
 
     forward: the first right row at or after the left time instead. strict: equal times don't match.
-    slices: a width such as '1 day'.
+    slices: a width such as '1 day'; by default none with keys, and SLICE without.
     """
     on = on or []
+    slices = slices or (None if on else SLICE)
     columns = columns or [c for c in right.columns if c not in on and c not in left.columns]
     carried = F.struct(*[F.col(c) for c in columns], F.col(right_time).alias("__at"))
     order_seq = F.col(seq) if seq else F.lit(0)
@@ -31,23 +37,27 @@ def asof_join(left: DataFrame, right: DataFrame, *, on: list[str] | None = None,
     both = r.unionByName(l, allowMissingColumns=True)
     # equal times: matching right rows stand on the near side of left rows
     near = F.col("__side") if not (strict ^ forward) else -F.col("__side")
-    keys = list(on)
-    if slices and not forward:
+    keys, edge = list(on), F.lit(1)
+    if slices:
         us = lambda c: F.unix_micros(c.cast("timestamp"))
         width = us(F.expr(f"TIMESTAMP '1970-01-01 00:00:00' + INTERVAL {slices}")) - us(F.expr("TIMESTAMP '1970-01-01 00:00:00'"))
         both = both.withColumn("__slice", F.floor(us(F.col("__t")) / width))
-        newest = both.filter("__side = 1").groupBy(*on, "__slice").agg(F.max_by("__r", F.struct("__t", "__seq")).alias("__r"))
+        place = F.struct("__t", (-F.col("__seq") if forward else F.col("__seq")).alias("__seq"))
+        nearest = both.filter("__side = 1").groupBy(*on, "__slice").agg((F.min_by if forward else F.max_by)("__r", place).alias("__r"))
         present = both.select(*on, "__slice").distinct()
-        over = Window.partitionBy(*on).orderBy("__slice")
-        opening = present.join(newest, [*on, "__slice"], "left").select(*on, "__slice", F.last("__r", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("__r")).filter("__r IS NOT NULL")
-        both = both.unionByName(opening.withColumns({"__side": F.lit(0), "__seq": F.lit(None).cast("long"), "__t": F.lit(None).cast(both.schema["__t"].dataType)}), allowMissingColumns=True)
+        over = Window.partitionBy(*on).orderBy(F.col("__slice").desc() if forward else F.col("__slice"))
+        carried = F.last("__r", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1))
+        more = present.join(nearest, [*on, "__slice"], "left").select(*on, "__slice", carried.alias("__r")).filter("__r IS NOT NULL AND __slice IS NOT NULL")
+        both = both.unionByName(more.withColumns({"__side": F.lit(0), "__seq": F.lit(None).cast("long"), "__t": F.lit(None).cast(both.schema["__t"].dataType)}), allowMissingColumns=True)
         keys.append("__slice")
-    by = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+        # the carried row opens its slice, or closes it
+        edge = F.when(F.col("__side") == 0, 2 if forward else 0).otherwise(1)
+    by = Window.partitionBy(*keys)
     if forward:
-        order = by.orderBy(F.col("__t").asc_nulls_first(), near, F.col("__seq").desc()).rowsBetween(0, Window.unboundedFollowing)
+        order = by.orderBy(edge, F.col("__t").asc_nulls_first(), near, F.col("__seq").desc()).rowsBetween(0, Window.unboundedFollowing)
         picked = F.first("__r", ignorenulls=True).over(order)
     else:
-        order = by.orderBy(F.col("__t").asc_nulls_first(), near, "__seq").rowsBetween(Window.unboundedPreceding, 0)
+        order = by.orderBy(edge, F.col("__t").asc_nulls_first(), near, "__seq").rowsBetween(Window.unboundedPreceding, 0)
         picked = F.last("__r", ignorenulls=True).over(order)
     out = both.withColumn("__p", picked).filter("__side = 2")
     ok = F.col("__t").isNotNull()

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronosift.functions.ewm import by_series, spans, whole_series
+
 from .rolling import series
 
 
@@ -110,42 +113,52 @@ def simulate(bars: DataFrame, forecast: str, costs: Costs, *, vol: str = "vol",
     A bar's forecast trades at the next open; the order within a bar is gap, fill, protective exit, mark.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("time", kind="stable")
+    names = ["open", "high", "low", "close", "spread", forecast, vol]
+    out_names = [c.split()[0] for c in SIM.split(", ")]
+
+    def book(rows: list[list[float]]) -> list[tuple]:
         cash, peak, pos, stop, halted, wanted, out, last = equity, equity, 0.0, None, False, 0.0, [], None
-        for b in pdf.itertuples(index=False):
+        for open_, high, low, close, spread, f, v in zip(*rows, strict=True):
             reason, before = "", cash
             if last is not None:
-                cash += pos * costs.contract * (b.open - last)
+                cash += pos * costs.contract * (open_ - last)
             if wanted != pos:
                 size = abs(wanted - pos)
-                cash -= size * costs.contract * (max(b.spread * costs.spread_mult, costs.min_spread) / 2 + costs.slippage(b.high - b.low, size)) + size * costs.commission
+                cash -= size * costs.contract * (max(spread * costs.spread_mult, costs.min_spread) / 2 + costs.slippage(high - low, size)) + size * costs.commission
                 if stop_mult is not None and wanted and (pos == 0 or wanted * pos < 0):
-                    v = getattr(b, vol)
-                    gap = stop_mult * (v if v == v and v is not None else 0.0) * b.open
-                    stop = b.open - math.copysign(gap, wanted) if gap > 0 else None
+                    gap = stop_mult * (v if v == v else 0.0) * open_
+                    stop = open_ - math.copysign(gap, wanted) if gap > 0 else None
                 pos, reason = wanted, "fill"
                 stop = stop if pos else None
-            why, level = intrabar_exit(pos, b.open, b.high, b.low, stop, None)
-            at = b.open
+            why, level = intrabar_exit(pos, open_, high, low, stop, None) if stop is not None else (None, None)
+            at = open_
             if why:
                 cash += pos * costs.contract * (level - at) - abs(pos) * costs.commission
                 pos, stop, reason = 0.0, None, why
-            cash += pos * costs.contract * (b.close - at)
+            cash += pos * costs.contract * (close - at)
             peak = max(peak, cash)
             if cash <= 0 or cash < peak * (1 - max_drawdown):
                 halted = True
-            f, v = getattr(b, forecast), getattr(b, vol)
-            share = 0.0 if f is None or f != f or v is None or v != v or v <= 0 else max(-max_leverage, min(max_leverage, f * target / v))
-            lots = math.floor(abs(share) * max(cash, 0) / (b.close * costs.contract) / costs.lot_step + 1e-9) * costs.lot_step
+            share = 0.0 if f != f or v != v or v <= 0 else max(-max_leverage, min(max_leverage, f * target / v))
+            lots = math.floor(abs(share) * max(cash, 0) / (close * costs.contract) / costs.lot_step + 1e-9) * costs.lot_step
             ask = math.copysign(min(lots, costs.max_lot), share) if lots else 0.0
-            full = max_leverage * max(cash, 0) / (b.close * costs.contract)
+            full = max_leverage * max(cash, 0) / (close * costs.contract)
             wanted = 0.0 if halted else ask if abs(ask - pos) >= band * full or ask * pos < 0 or not ask else pos
-            out.append((b.series_id, b.time, pos, b.close, cash - before, cash, halted, reason))
-            last = b.close
-        return pd.DataFrame(out, columns=[c.split()[0] for c in SIM.split(", ")])
-
-    return bars.groupBy("series_id").applyInPandas(run, SIM)
+            out.append((pos, cash - before, cash, halted, reason))
+            last = close
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in whole_series(batches, "series_id"):
+            columns = [whole[c].to_numpy(float).tolist() for c in names]
+            done: list[tuple] = []
+            for s, e in spans(whole["series_id"].to_numpy()):
+                done += book([c[s:e] for c in columns])
+            pos, pnl, cash, halted, reason = zip(*done, strict=True)
+            yield pd.DataFrame({"series_id": whole["series_id"], "time": whole["time"], "position": pos, "price": whole["close"], "pnl": pnl, "equity": cash, "halted": halted, "reason": reason})[out_names]
+
+    needed = bars.select("series_id", "time", *dict.fromkeys(names))
+    return by_series(needed, "series_id", "time").mapInPandas(run, SIM)
 
 
 def trade_stats(book: DataFrame) -> DataFrame:

@@ -72,3 +72,43 @@ def uniqueness(labels: DataFrame, active: DataFrame) -> DataFrame:
     b = sums.select("series_id", F.col("pos").alias("t1_idx"), F.col("s").alias("s1"))
     mean = F.when(F.col("t1_idx") > F.col("t_idx"), (F.col("s1") - F.col("s0")) / (F.col("t1_idx") - F.col("t_idx"))).otherwise(1.0)
     return done.join(a, ["series_id", "t_idx"]).join(b, ["series_id", "t1_idx"]).withColumn("uniqueness", mean).drop("s0", "s1")
+
+
+def return_weights(labels: DataFrame, active: DataFrame, returns: DataFrame, ret: str = "r") -> DataFrame:
+    """labels with weight: |sum of return / concurrency over the span|, of mean 1 in each series, by prefix sums."""
+    w = Window.partitionBy("series_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    own = F.when(F.col("active") > 0, F.coalesce(F.col(ret), F.lit(0.0)) / F.col("active")).otherwise(0.0)
+    sums = active.join(returns.select("series_id", "pos", ret), ["series_id", "pos"]).select("series_id", "pos", F.sum(own).over(w).alias("s"))
+    a = sums.select("series_id", F.col("pos").alias("t_idx"), F.col("s").alias("s0"))
+    b = sums.select("series_id", F.col("pos").alias("t1_idx"), F.col("s").alias("s1"))
+    done = labels.filter("t1_idx IS NOT NULL").join(a, ["series_id", "t_idx"]).join(b, ["series_id", "t1_idx"]).withColumn("__w", F.abs(F.col("s1") - F.col("s0")))
+    return mean_one(done, "__w", "weight").drop("s0", "s1", "__w")
+
+
+def mean_one(rows: DataFrame, column: str, out: str) -> DataFrame:
+    """rows with the column divided by its mean in each series (unless that is 0)."""
+    mean = F.avg(column).over(Window.partitionBy("series_id"))
+    return rows.withColumn(out, F.when(mean > 0, F.col(column) / mean).otherwise(F.col(column)))
+
+
+def decay_weights(rows: DataFrame, last: float, *, column: str = "uniqueness", order: str = "t_idx", out: str = "decay") -> DataFrame:
+    """Linear decay over cumulative uniqueness: 1 for the newest, `last` for the oldest; below 0 that share of the oldest gets 0."""
+    if not -1 < last <= 1:
+        raise ValueError("last must be above -1 and at most 1")
+    whole = Window.partitionBy("series_id")
+    total = F.sum(column).over(whole)
+    so_far = F.sum(column).over(whole.orderBy(order).rangeBetween(Window.unboundedPreceding, 0))
+    slope = (1 - last) / total if last >= 0 else 1 / ((last + 1) * total)
+    return rows.withColumn(out, F.greatest(F.lit(0.0), 1 - slope * total + slope * so_far))
+
+
+def label_ends(labels: DataFrame, positions: DataFrame) -> DataFrame:
+    """positions (series_id, pos) with label_end: the last bar of the labels that start there, else the bar itself."""
+    ends = labels.groupBy("series_id", F.col("t_idx").alias("pos")).agg(F.max("t1_idx").alias("__e"))
+    return positions.join(ends, ["series_id", "pos"], "left").withColumn("label_end", F.greatest(F.col("pos"), F.coalesce("__e", "pos"))).drop("__e")
+
+
+def with_tail(rows: DataFrame, holding: int, pos: str = "pos") -> DataFrame:
+    """rows with stays: whether a label of the longest holding time ends within the data."""
+    last = F.max(pos).over(Window.partitionBy("series_id"))
+    return rows.withColumn("stays", F.col(pos) <= last - holding)

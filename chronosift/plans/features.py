@@ -207,10 +207,9 @@ class Pipeline:
             if g == "macro" and "macro" not in inputs or g == "calendar" and "events" not in inputs:
                 continue
             more = {"macro": {"macro": inputs.get("macro")}, "calendar": {"events": inputs.get("events")}}.get(g, {})
-            own = GROUPS[g](bars, **more, **self.params.get(g, {}))
-            new = [c for c in own.columns if c not in bars.columns]
-            out = out.join(own.select("series_id", "time", *new), ["series_id", "time"])
-        return out
+            # each group adds its columns to the same frame: no join back
+            out = GROUPS[g](out, **more, **self.params.get(g, {}))
+        return out.select(*bars.columns, *[c for c in out.columns if c not in bars.columns])
 
     def fit(self, train: DataFrame) -> Pipeline:
         """One aggregate: location and scale of every column; constant columns are dropped."""

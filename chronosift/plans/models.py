@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronosift.functions.scalars import normal_cdf_of
+
 
 def garch_filter(r: np.ndarray, omega: float, alpha: float, beta: float, start: float) -> np.ndarray:
     """Variance of each return given those before it; a missing return is replaced by its variance."""
@@ -79,6 +81,26 @@ def garch(returns: DataFrame, ret: str = "r", least: int = 250) -> DataFrame:
     return returns.groupBy("series_id").applyInPandas(run, "series_id long, mu double, omega double, alpha double, beta double, loss double, n long")
 
 
+def garch_forecast(returns: np.ndarray, model: dict, horizon: int = 1) -> float:
+    """The mean variance of the next `horizon` returns after the (possibly missing) returns given."""
+    level = model["omega"] / max(1 - model["alpha"] - model["beta"], 1e-12)
+    v = level
+    for x in returns - model["mu"]:
+        v = model["omega"] + model["alpha"] * (x * x if np.isfinite(x) else v) + model["beta"] * v
+    k = model["alpha"] + model["beta"]
+    return level + (v - level) * ((1 - k**horizon) / (horizon * (1 - k)) if k < 1 else 1.0)
+
+
+def simulate_garch(n: int, omega: float, alpha: float, beta: float, *, mu: float = 0.0, seed: int = 0, burn: int = 500) -> np.ndarray:
+    """n returns of a process that has run for `burn` steps before."""
+    z = np.random.default_rng(seed).standard_normal(n + burn)
+    v, out = omega / (1 - alpha - beta), np.empty(n + burn)
+    for i, e in enumerate(z):
+        out[i] = math.sqrt(v) * e
+        v = omega + alpha * out[i] ** 2 + beta * v
+    return mu + out[burn:]
+
+
 class GaussianHmm:
     """Diagonal Gaussian regimes in one dimension, sorted by variance; missing values say nothing."""
 
@@ -98,6 +120,32 @@ class GaussianHmm:
             p = out[i] @ self.move
         return out
 
+    def following(self, x: np.ndarray) -> np.ndarray:
+        """P(next state | values so far)."""
+        return self.filter(x) @ self.move
+
+    def states(self, x: np.ndarray) -> np.ndarray:
+        """The likeliest state given the values so far."""
+        return self.filter(x).argmax(axis=1)
+
+    def score(self, x: np.ndarray) -> float:
+        """The log likelihood of the values."""
+        d, p, total = self._density(x), self.start, 0.0
+        for row in d:
+            q = p * row
+            total += math.log(q.sum())
+            p = q / q.sum() @ self.move
+        return total
+
+    def stationary(self) -> np.ndarray:
+        """The distribution of states in the long run."""
+        a = np.vstack([self.move.T - np.eye(self.k), np.ones(self.k)])
+        return np.linalg.lstsq(a, np.append(np.zeros(self.k), 1.0), rcond=None)[0]
+
+    def durations(self) -> np.ndarray:
+        """How many steps a state is expected to last."""
+        return 1 / (1 - np.diag(self.move))
+
     def fit(self, x: np.ndarray) -> GaussianHmm:
         good = x[np.isfinite(x)]
         self.mean, self.var = np.full(self.k, good.mean()), good.var() * np.geomspace(0.5, 2.0, self.k)
@@ -164,6 +212,50 @@ def har(daily: DataFrame, train_to: str) -> DataFrame:
     return rows.withColumn("har", F.greatest(fit, F.lit(0.0))).drop("y", "ydate")
 
 
+def har_walk(daily: DataFrame, *, least: int = 100, every: int = 21, window: int | None = None, log: bool = False) -> DataFrame:
+    """Adds har: as har(), but refitted every so many days on all days before, or on the last `window` of them.
+
+    A series is one task's work: a few thousand days with three regressors.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date").reset_index(drop=True)
+        rv = pdf["rv"].astype(float)
+        base = np.log(rv.clip(lower=1e-12)) if log else rv
+        x = np.column_stack([np.ones(len(rv)), *[base.rolling(k).mean() for k in (1, 5, 22)]])
+        y, out, beta, noise = base.shift(-1).to_numpy(), np.full(len(rv), np.nan), None, 0.0
+        ok = np.isfinite(x).all(axis=1)
+        for i in range(len(rv)):
+            if not ok[i]:
+                continue
+            # the last pair known at i is (i - 1, i)
+            known = np.flatnonzero(ok[:i])
+            known = known[known >= i - window] if window else known
+            if len(known) >= least and (beta is None or (i - first) % every == 0):
+                first = i if beta is None else first
+                beta = np.linalg.lstsq(x[known], y[known], rcond=None)[0]
+                noise = float(np.var(y[known] - x[known] @ beta))
+            if beta is not None:
+                got = float(x[i] @ beta)
+                out[i] = math.exp(got + noise / 2) if log else max(got, 0.0)
+        return pdf.assign(har=out)
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in daily.schema.fields)
+    return daily.groupBy("series_id").applyInPandas(run, fields + ", har double")
+
+
+def weighted_losses(rows: DataFrame, p: str = "p", y: str = "y", weight: str | None = None) -> DataFrame:
+    """One row: logloss and auc of probabilities, weighted. Ties count half."""
+    w = F.col(weight) if weight else F.lit(1.0)
+    q = F.greatest(F.least(F.col(p), F.lit(1 - 1e-15)), F.lit(1e-15))
+    loss = rows.agg((-F.sum(w * F.when(F.col(y) > 0, F.ln(q)).otherwise(F.ln(1 - q))) / F.sum(w)).alias("logloss"))
+    by = rows.groupBy(F.col(p).alias("s")).agg(F.sum(F.when(F.col(y) > 0, w).otherwise(0.0)).alias("up"), F.sum(F.when(F.col(y) > 0, 0.0).otherwise(w)).alias("down"))
+    # one row a distinct probability
+    below = F.coalesce(F.sum("down").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    auc = by.select("up", "down", below.alias("b")).agg(F.try_divide(F.sum(F.col("up") * (F.col("b") + F.col("down") / 2)), F.sum("up") * F.sum("down")).alias("auc"))
+    return loss.crossJoin(auc)
+
+
 def boosted_probability(rows: DataFrame, features: list[str], label: str, train: Column, *, weight: str | None = None, rounds: int = 20) -> DataFrame:
     """Adds p: boosted trees on the training rows, calibrated by a logistic on their log odds."""
     from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -182,6 +274,4 @@ def boosted_probability(rows: DataFrame, features: list[str], label: str, train:
 def bet_size(p: Column, classes: int = 2) -> Column:
     """2 Phi(z) - 1 with z = (p - 1 / classes) / sqrt(p (1 - p))."""
     z = F.try_divide(p - 1.0 / classes, F.sqrt(p * (1 - p)))
-    t = 1 / (1 + 0.2316419 * F.abs(z))
-    tail = 0.3989422804014327 * F.exp(-z * z / 2) * t * (0.31938153 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    return F.signum(z) * (1 - 2 * tail)
+    return 2 * normal_cdf_of(z) - 1

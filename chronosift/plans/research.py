@@ -106,21 +106,11 @@ def gap_shocks(spark: SparkSession, sf: str) -> DataFrame:
     return risk.gap_shocks(p, [-0.1, -0.05, 0.05, 0.1]).select("id", "shock", "pnl", "equity_after")
 
 
-_N = 2000
-_FOLDS = splits.walk_forward(_N, 500, 250, purge=10, embargo=5)
-_FV = ",".join(f"({f['fold']},{f['train_from']},{f['train_to']},{f['test_from']},{f['test_to']})" for f in _FOLDS)
-_POS = f"SELECT row_number() OVER (ORDER BY date) - 1 AS pos FROM daily QUALIFY pos < {_N}"
-
-
-@register(f"WITH {DAILY}, x AS ({_POS}), f(fold, a, b, c, d) AS (VALUES {_FV}) SELECT fold, CASE WHEN pos >= a AND pos < b THEN 'train' ELSE 'test' END AS part, pos FROM x JOIN f ON pos >= a AND pos < b OR pos >= c AND pos < d")
+@register(
+    f"WITH {DAILY}, x AS (SELECT row_number() OVER (ORDER BY date) - 1 AS pos, count(*) OVER () AS n FROM daily), f AS (SELECT k::INTEGER AS fold, k * 250 AS a, 500 + k * 250 AS b, 515 + k * 250 AS c, least(765 + k * 250, n) AS d FROM (SELECT max(n) AS n FROM x), range(1000) r(k) WHERE 515 + k * 250 < n) SELECT fold, CASE WHEN pos < b THEN 'train' ELSE 'test' END AS part, pos FROM x JOIN f ON pos >= a AND pos < b OR pos >= c AND pos < d"
+)
 def walk_forward_membership(spark: SparkSession, sf: str) -> DataFrame:
-    pos = T.daily_totals(spark, sf).select((F.row_number().over(Window.orderBy("date")) - 1).cast("long").alias("pos")).filter(F.col("pos") < _N)
-    return splits.membership(pos, splits.folds_frame(spark, _FOLDS))
-
-
-@register()
-def walk_forward_membership_all(spark: SparkSession, sf: str) -> DataFrame:
-    """As walk_forward_membership, whose SQL ends at position 2000, with folds over all days."""
+    """Folds over all days, planned from their number."""
     pos = T.daily_totals(spark, sf).select((F.row_number().over(Window.orderBy("date")) - 1).cast("long").alias("pos"))
     return splits.membership(pos, splits.folds_frame(spark, splits.walk_forward(pos.count(), 500, 250, purge=10, embargo=5)))
 
@@ -162,16 +152,11 @@ def buy_and_hold(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register(
-    "WITH e AS (SELECT event_id, ts AS a, ts + to_hours((event_id % 200)::BIGINT) AS b FROM events WHERE event_id % 10 = 3), d AS (SELECT x::TIMESTAMP + INTERVAL 21 HOUR AS r, CASE isodow(x) WHEN 3 THEN 3 WHEN 6 THEN 0 WHEN 7 THEN 0 ELSE 1 END AS n FROM generate_series(TIMESTAMP '2023-12-25', TIMESTAMP '2024-03-01', INTERVAL 1 DAY) s(x)) "
-    "SELECT event_id, coalesce((SELECT sum(n) FROM d WHERE r > a AND r <= b), 0)::BIGINT AS nights FROM e"
+    "WITH e AS (SELECT event_id, ts AS a, ts + to_hours((event_id % 200)::BIGINT) AS b FROM events), d AS (SELECT x + INTERVAL 21 HOUR AS r, sum(CASE isodow(x) WHEN 3 THEN 3 WHEN 6 THEN 0 WHEN 7 THEN 0 ELSE 1 END) OVER (ORDER BY x) AS upto FROM generate_series(TIMESTAMP '2023-12-25', TIMESTAMP '2024-03-01', INTERVAL 1 DAY) s(x)), "
+    "f AS (SELECT event_id, b, upto AS before FROM e ASOF JOIN d ON a >= r) SELECT event_id, (upto - before)::BIGINT AS nights FROM f ASOF JOIN d ON b >= r"
 )
 def rollover_nights(spark: SparkSession, sf: str) -> DataFrame:
-    return _nights(T.table(spark, sf, "events").filter("event_id % 10 = 3"))
-
-
-@register()
-def rollover_nights_all(spark: SparkSession, sf: str) -> DataFrame:
-    """As rollover_nights, whose SQL takes every tenth event, over all events."""
+    """Weighted nights of all events' spans."""
     return _nights(T.table(spark, sf, "events"))
 
 
@@ -411,10 +396,13 @@ def boosted_direction(spark: SparkSession, sf: str) -> DataFrame:
     from chronosift.plans import models
 
     rows = T.bars(spark, sf).withColumn("r", rolling.log_return(F.col("close"))).withColumn("t", rolling.std(F.col("r"), 20))
-    y = labels.triple_barrier(rows, target="t", pt_mult=1.0, sl_mult=1.0, horizon=10).select("series_id", F.col("t_event").alias("time"), (F.col("label") > 0).cast("double").alias("y"))
+    y = labels.triple_barrier(rows, target="t", pt_mult=1.0, sl_mult=1.0, horizon=10).select("series_id", F.col("t_event").alias("time"), "t1_idx", (F.col("label") > 0).cast("double").alias("y"))
+    # a label is known when its last bar is
+    ends = rows.select("series_id", (F.row_number().over(rolling.series()) - 1).alias("t1_idx"), F.col("time").alias("label_end"))
+    y = y.join(ends, ["series_id", "t1_idx"], "left").drop("t1_idx")
     x = features.GROUPS["meanrev"](T.bars(spark, sf)).select("series_id", "time", "meanrev_z_20", "meanrev_z_50", "meanrev_pct_b", F.col("meanrev_streak").cast("double").alias("meanrev_streak"))
     both = x.join(y, ["series_id", "time"])
-    out = models.boosted_probability(both, ["meanrev_z_20", "meanrev_z_50", "meanrev_pct_b", "meanrev_streak"], "y", F.col("time") < F.lit("2024-01-15").cast("timestamp_ntz"), rounds=5)
+    out = models.boosted_probability(both, ["meanrev_z_20", "meanrev_z_50", "meanrev_pct_b", "meanrev_streak"], "y", F.col("label_end") < F.lit("2024-01-15").cast("timestamp_ntz"), rounds=5)
     return out.select("time", "y", "p", models.bet_size(F.col("p")).alias("size"))
 
 

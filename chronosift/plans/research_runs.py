@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
@@ -64,24 +65,17 @@ def sharpe_table(book: DataFrame, keys: list[str]) -> DataFrame:
     return book.groupBy(*keys).agg(F.count("pnl").alias("bars"), F.try_divide(F.avg("pnl"), F.stddev_samp("pnl")).alias("sr"), F.skewness("pnl").alias("skew"), (F.kurtosis("pnl") + 3).alias("kurt"))
 
 
-def sweep(bars: DataFrame, rule: Rule, name: str, axes: dict[str, list], costs: Costs, *, lots: float = 1.0) -> DataFrame:
-    """(axes.., bars, sr, skew, kurt) of every grid point, with plateau (mean of the neighbours' sr).
+#: A rule over rows beside their parameters: (rows, window by point and series) to rows with a column `position`.
+PointRule = Callable[..., DataFrame]
 
-    Points are independent jobs over the same bars; each keeps its own rows, and only one row a point is
-    gathered.
-    """
-    out = None
-    points = [r.asDict() for r in splits.grid(bars.sparkSession, axes).collect()]
-    for point in points:
-        book = target_lots_pnl(rule(bars, **point).withColumn("lots", F.col(name) * lots), "lots", costs)
-        one = sharpe_table(book.withColumns({k: F.lit(v) for k, v in point.items()}), list(axes))
-        out = one if out is None else out.unionByName(one)
+
+def plateau(table: DataFrame, axes: dict[str, list]) -> DataFrame:
+    """Adds plateau: the mean sr of the grid's neighbours (by rank on every axis) of each point."""
+    out = table
     for k, values in axes.items():
-        at = F.coalesce(*[F.when(F.col(k) == v, F.lit(i)) for i, v in enumerate(sorted(values))])
-        out = out.withColumn(f"__{k}", at)
+        out = out.withColumn(f"__{k}", F.coalesce(*[F.when(F.col(k) == v, F.lit(i)) for i, v in enumerate(sorted(values))]))
     other = out.select(*[F.col(f"__{k}").alias(f"__o_{k}") for k in axes], F.col("sr").alias("__sr"))
-    near = F.lit(True)
-    same = F.lit(True)
+    near, same = F.lit(True), F.lit(True)
     for k in axes:
         near = near & (F.abs(F.col(f"__{k}") - F.col(f"__o_{k}")) <= 1)
         same = same & (F.col(f"__{k}") == F.col(f"__o_{k}"))
@@ -89,6 +83,27 @@ def sweep(bars: DataFrame, rule: Rule, name: str, axes: dict[str, list], costs:
     return out.drop(*[f"__{k}" for k in axes]).join(hood, list(axes))
 
 
+def sweep_rows(bars: DataFrame, rule: PointRule, axes: dict[str, list], costs: Costs, *, lots: float = 1.0) -> DataFrame:
+    """(axes.., bars, sr, skew, kurt, plateau) of every grid point, in one plan.
+
+    Points are exploded beside the bars, which are read once; everything is partitioned by point and series.
+    """
+    points = splits.grid(bars.sparkSession, axes)
+    base = Window.partitionBy(*axes, "series_id").orderBy("time")
+    rows = rule(bars.crossJoin(F.broadcast(points)), base).withColumn("lots", F.col("position") * lots).drop("position")
+    return plateau(sharpe_table(target_lots_pnl(rows, "lots", costs, base=base), list(axes)), axes)
+
+
+def sweep(bars: DataFrame, rule: Rule, name: str, axes: dict[str, list], costs: Costs, *, lots: float = 1.0) -> DataFrame:
+    """As sweep_rows, for rules that take their parameters as plain numbers.
+
+    The plan has one branch a point, so this is for small grids; sweep_rows has none.
+    """
+    points = [r.asDict() for r in splits.grid(bars.sparkSession, axes).collect()]
+    scored = [sharpe_table(target_lots_pnl(rule(bars, **p).withColumn("lots", F.col(name) * lots), "lots", costs).withColumns({k: F.lit(v) for k, v in p.items()}), list(axes)) for p in points]
+    return plateau(functools.reduce(DataFrame.unionByName, scored), axes)
+
+
 def deflate(table: DataFrame) -> list[dict]:
     """The rows of a (short) sweep table with psr and dsr; the best first."""
     rows = [r.asDict() for r in table.collect() if r["sr"] is not None]

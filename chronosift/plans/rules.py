@@ -100,39 +100,37 @@ def vol_squeeze(bars: DataFrame) -> DataFrame:
     return ewm.with_kernels(bars, {"vol_squeeze": _squeeze})
 
 
-def _kalman(p: pd.DataFrame, level: float = 1.0, slope: float = 0.01) -> pd.Series:
-    """The slope's t-statistic of a local linear trend with noise scaled to the returns'."""
+def steady_gain(level: float = 1.0, slope: float = 0.01, rounds: int = 500) -> tuple[np.ndarray, np.ndarray]:
+    """Gain and covariance of a local linear trend's filter once it has settled, by its Riccati recursion."""
+    step, noise, cov = np.array([[1.0, 1.0], [0.0, 1.0]]), np.diag([level, slope]), np.eye(2)
+    gain = np.zeros(2)
+    for _ in range(rounds):
+        ahead = step @ cov @ step.T + noise
+        gain = ahead[:, 0] / (ahead[0, 0] + 1.0)
+        cov = ahead - np.outer(gain, ahead[0])
+    return gain, cov
+
+
+def _kalman(p: pd.DataFrame, warm: int = 100) -> pd.Series:
+    """The slope's t-statistic, halved; noise comes from the first `warm` bars alone, whose forecasts are 0."""
     y = np.log(p["close"]).to_numpy()
-    if not len(y):
-        return pd.Series([], dtype=float)
-    noise = max(np.nanvar(np.diff(y)) if len(y) > 1 else 1e-8, 1e-12)
-    # steady-state gain by iterating the Riccati recursion
-    a, q = np.array([[1.0, 1.0], [0.0, 1.0]]), np.diag([level, slope]) * 1.0
-    cov = np.eye(2)
-    for _ in range(500):
-        prior = a @ cov @ a.T + q
-        gain = prior[:, 0] / (prior[0, 0] + 1.0)
-        cov = prior - np.outer(gain, prior[0])
-    x, out = np.array([y[0], 0.0]), np.zeros(len(y))
+    if len(y) <= warm:
+        return pd.Series(np.zeros(len(y)))
+    scale = 2 * math.sqrt(max(float(np.nanvar(np.diff(y[:warm]), ddof=1)), 1e-12))
+    gain, cov = steady_gain()
+    level, slope, out = y[0], 0.0, np.zeros(len(y))
     for i, v in enumerate(y):
-        x = a @ x
-        x = x + gain * (v - x[0])
-        out[i] = x[1] / math.sqrt(cov[1, 1] * noise)
-    return pd.Series(np.clip(out / 2, -1, 1))
-
-
-def _ordered_kalman(p: pd.DataFrame, warm: int = 100) -> pd.Series:
-    """Noise is estimated from the first `warm` bars only, whose forecasts are 0."""
-    if len(p) <= warm:
-        return pd.Series(np.zeros(len(p)))
-    head = np.log(p["close"].iloc[:warm]).diff().var()
-    y = _kalman(p) * math.sqrt(max(np.nanvar(np.diff(np.log(p["close"].to_numpy()))), 1e-12) / max(head, 1e-12))
-    return y.clip(-1, 1).where(np.arange(len(p)) >= warm, 0.0)
+        level += slope
+        miss = v - level
+        level, slope = level + gain[0] * miss, slope + gain[1] * miss
+        out[i] = slope / (scale * math.sqrt(cov[1, 1]))
+    out[:warm] = 0.0
+    return pd.Series(np.clip(out, -1, 1))
 
 
 @rule
 def kalman_trend(bars: DataFrame) -> DataFrame:
-    return ewm.with_kernels(bars, {"kalman_trend": _ordered_kalman})
+    return ewm.with_kernels(bars, {"kalman_trend": _kalman})
 
 
 def combine(forecasts: DataFrame, weights: dict[str, float], fdm: float = 1.0, out: str = "combined") -> DataFrame:

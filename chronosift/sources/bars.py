@@ -57,10 +57,20 @@ def validate(bars: DataFrame) -> DataFrame:
     return bars
 
 
-def content_hash(df: DataFrame) -> int:
-    """A hash of the rows that doesn't depend on their order."""
-    h = df.agg(F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("h"), F.count(F.lit(1)).alias("n")).head()
-    return hash((int(h["h"] or 0), h["n"]))
+def content_hash(df: DataFrame, order: tuple[str, ...] = ("series_id", "time"), block: int = 4096) -> str:
+    """SHA-256 of the rows in their order: of blocks first, then of the blocks' hashes.
+
+    A block holds the rows of one series and of as many periods of 2^38 microseconds (three days) as `block` / 4096;
+    only blocks are gathered in one place, as 64 characters each.
+    """
+    keys = [c for c in order if c in df.columns]
+    line = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in df.columns])
+    by_time = (F.unix_micros(F.col("time").cast("timestamp")) / (2.0**38 * block / 4096)).cast("long") if "time" in keys else F.lit(0)
+    rows = df.select(F.struct(*[F.col(c) for c in keys], F.sha2(line, 256).alias("h")).alias("r"), *[F.col(c).alias(f"__{c}") for c in keys if c != "time"], by_time.alias("__b"))
+    groups = [c for c in rows.columns if c != "r"]
+    blocks = rows.groupBy(*groups).agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["h"]), ","), 256).alias("h"))
+    whole = blocks.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*groups, "h"))), lambda b: b["h"]), ","), 256).alias("h"))
+    return whole.head()["h"]
 
 
 def save_bars(bars: DataFrame, path: str) -> dict:
@@ -70,7 +80,7 @@ def save_bars(bars: DataFrame, path: str) -> dict:
     return m | {"content_hash": content_hash(bars.select(*BAR_COLUMNS))}
 
 
-def load_bars(spark: SparkSession, path: str, *, content: int | None = None) -> DataFrame:
+def load_bars(spark: SparkSession, path: str, *, content: str | None = None) -> DataFrame:
     bars = spark.read.parquet(path).withColumn("series_id", F.col("series_id").cast("long")).select(*BAR_COLUMNS)
     if content is not None and content_hash(bars) != content:
         raise ValueError("the stored bars differ from their manifest")

@@ -20,7 +20,7 @@ def sf(spark, tmp_path_factory):
 
 
 def test_rollover_nights_of_all_events(spark, sf):
-    got = {r["event_id"]: r["nights"] for r in catalogue.queries()["rollover_nights_all"](spark, sf).collect()}
+    got = {r["event_id"]: r["nights"] for r in catalogue.queries()["rollover_nights"](spark, sf).collect()}
     want = {}
     for e in spark.read.parquet(f"{sf}/events.parquet").collect():
         stop = e["ts"] + dt.timedelta(hours=e["event_id"] % 200)
@@ -30,7 +30,7 @@ def test_rollover_nights_of_all_events(spark, sf):
 
 
 def test_folds_reach_the_last_day(spark, sf):
-    got = {tuple(r) for r in catalogue.queries()["walk_forward_membership_all"](spark, sf).select("fold", "part", "pos").collect()}
+    got = {tuple(r) for r in catalogue.queries()["walk_forward_membership"](spark, sf).select("fold", "part", "pos").collect()}
     want = set()
     for fold, start in enumerate(range(500, DAYS - 15, 250)):
         want |= {(fold, "train", i) for i in range(start - 500, start)} | {(fold, "test", i) for i in range(start + 15, min(start + 265, DAYS))}
