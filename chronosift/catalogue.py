@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from chronosift.plans import accounts, evidence, market, research
+from chronosift.plans import accounts, evidence, feature_queries, market, research
 
-_MODULES = (market, research, accounts, evidence)
+_MODULES = (market, research, accounts, evidence, feature_queries)
 
 
 def queries() -> dict:
