@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from chronosift.plans import accounts, evidence, feature_queries, market, research
+from chronosift.plans import accounts, evidence, extras, feature_queries, market, research
 
-_MODULES = (market, research, accounts, evidence, feature_queries)
+_MODULES = (market, research, accounts, evidence, feature_queries, extras)
 
 
 def queries() -> dict:

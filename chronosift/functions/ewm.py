@@ -128,3 +128,19 @@ def cusum_events(p: pd.DataFrame, threshold: float) -> pd.Series:
 def percentile_rank(x: pd.Series, n: int, least: int) -> pd.Series:
     """Average-rank percentile in a long window."""
     return x.rolling(n, min_periods=least).rank(pct=True)
+
+
+def ewma_mean(x: pd.Series, halflife: float, least: int = 1) -> pd.Series:
+    """The mean with weights that halve, normalised from the first value on."""
+    return x.ewm(halflife=halflife, adjust=True, min_periods=least).mean()
+
+
+def bar_volatility(p: pd.DataFrame, halflife: float, least: int) -> pd.Series:
+    """The normalised form of ewma_vol; what isn't positive is missing."""
+    v = np.sqrt((log_returns(p) ** 2).ewm(halflife=halflife, adjust=True, min_periods=least).mean())
+    return v.where(v > 0)
+
+
+def annual_volatility(p: pd.DataFrame, halflife: float, bars_per_year: float, least: int = 20, floor: float = 0.03, cap: float = 1.0, missing: float = 0.20) -> pd.Series:
+    """ewma_vol a year, within floor and cap, and a stated value where there is none."""
+    return (ewma_vol(p, halflife, least) * np.sqrt(bars_per_year)).clip(floor, cap).fillna(missing)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -76,3 +78,31 @@ def classify_event(name: Column) -> Column:
     up = F.upper(name)
     has = lambda *w: F.greatest(*[F.contains(up, F.lit(x)) for x in w]) if len(w) > 1 else F.contains(up, F.lit(w[0]))
     return F.when(has("NFP", "NONFARM", "NON-FARM"), "NFP").when(has("CPI", "CONSUMER PRICE"), "CPI").when(has("FOMC", "FED FUNDS"), "FOMC").otherwise("OTHER")
+
+
+def published(frame: DataFrame, now: str) -> DataFrame:
+    """The rows that were available by then; provisional ones go."""
+    return frame.filter(F.col("available_at") <= F.lit(now).cast("timestamp_ntz"))
+
+
+def lagged(dates: DataFrame, lag_days: int, at: str = "21 hours 30 minutes", *, date: str = "date", start: str | None = None, end: str | None = None) -> DataFrame:
+    """dates with available_at: at a time of day, so many US business days later (0: the same or the one before)."""
+    spark = dates.sparkSession
+    first, last = dates.agg(F.min(date), F.max(date)).head()
+    days = business_days(spark, start or str(first - dt.timedelta(days=10)), end or str(last + dt.timedelta(days=3 * lag_days + 20)))
+    every = spark.range((last - first).days + 1).select(F.date_add(F.lit(first), F.col("id").cast("int")).alias("__d"))
+    known = every.join(days.withColumnRenamed("date", "__b"), F.col("__d") == F.col("__b"), "left")
+    # the number of the day, or of the last business day before it
+    rolled = known.select("__d", F.last("n", ignorenulls=True).over(Window.orderBy("__d")).alias("__n"))
+    target = rolled.join(days.select(F.col("date").alias("__to"), (F.col("n") - lag_days).alias("__n")), "__n").select("__d", "__to")
+    out = dates.join(F.broadcast(target), F.col(date) == F.col("__d"), "left")
+    return out.withColumn("available_at", F.col("__to").cast("timestamp_ntz") + F.expr(f"INTERVAL {at}")).drop("__d", "__to")
+
+
+def save_macro(frame: DataFrame, path: str) -> None:
+    """All series in one table, a folder a name."""
+    frame.write.mode("overwrite").partitionBy("name").parquet(path)
+
+
+def load_macro(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).select("name", "date", "value", "available_at")
