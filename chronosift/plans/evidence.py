@@ -396,10 +396,10 @@ def sweep_grid(spark: SparkSession, sf: str) -> DataFrame:
     return runs.sweep_rows(T.bars(spark, sf), zscore_point, {"n": [10, 20, 40], "enter": [1.5, 2.0]}, COSTS)
 
 
-def zscore_point(rows: DataFrame, base) -> DataFrame:
+def zscore_point(rows: DataFrame, base, sizes: tuple[int, ...] = (10, 20, 40)) -> DataFrame:
     """zscore_fade with n and enter in columns: a frame per value of n, picked by the row's own."""
     z = None
-    for n in (10, 20, 40):
+    for n in sizes:
         frame = base.rowsBetween(-(n - 1), 0)
         own = F.when(F.count("close").over(frame) == n, F.try_divide(F.col("close") - F.avg("close").over(frame), F.stddev_samp("close").over(frame)))
         z = F.when(F.col("n") == n, own) if z is None else z.when(F.col("n") == n, own)
