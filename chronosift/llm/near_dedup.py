@@ -4,7 +4,7 @@ A document's set are the hashes of its distinct word shingles; POSITIONS minwise
 Equal word sequences form a class first, of which one representative goes on. In each of TREES
 independent trees a node picks one or two token positions (1 / 0.8 on average) by hash, and a
 document moves on to the child of each picked position and its token there; the first two levels are
-taken at once. Nodes of at most LEAF documents are compared exhaustively. A larger node is compared with
+taken at once. Nodes of at most LEAF documents are compared exhaustively (but for pairs that others connect). A larger node is compared with
 ROUNDS pivots first, each a member that is linked to nothing yet: a node whose members are all connected
 is finished; if few members are outside its largest component, those are compared with all; else the
 node branches again. Nodes that are still large after MAX_LEVEL levels compare their other members with
@@ -40,9 +40,9 @@ from pyspark.sql import functions as F
 from .common import Tables, small_batches
 
 WIDTH, THRESHOLD = 5, 80
-POSITIONS, TREES, LEAF, ROUNDS, REST, MAX_LEVEL, FLOOR = 128, 10, 1024, 3, 16, 5, 0.65
+POSITIONS, TREES, LEAF, ROUNDS, REST, MAX_LEVEL, FLOOR = 128, 10, 4096, 3, 16, 5, 0.65
 #: Rows of a few ids, rows of tokens, and bytes of sets that may be broadcast; more are joined by a shuffle.
-BROADCAST_IDS, BROADCAST_TOKENS, BROADCAST_SETS = 250_000, 20_000, 32 << 20
+BROADCAST_IDS, BROADCAST_TOKENS, BROADCAST_SETS = 50_000, 2_000, 4 << 20
 #: Links that one task may connect (8 MB); more take large-star and small-star steps.
 LOCAL_LINKS = 500_000
 _PIECE = 1 << 19
@@ -213,9 +213,13 @@ def _clusters(leaves: DataFrame) -> DataFrame:
             tokens, reps = _matrix(group["tokens"]), group["rep"].to_list()
             own = np.arange(len(reps))
             for i in range(len(reps) - 1):
-                hit = (tokens[i + 1 :] == tokens[i]).mean(axis=1) >= FLOOR
-                for other in np.unique(own[i + 1 :][hit]):
-                    own[own == other] = own[i]
+                # those that are connected already add nothing
+                apart = i + 1 + np.flatnonzero(own[i + 1 :] != own[i])
+                if not len(apart):
+                    continue
+                hit = apart[(tokens[apart] == tokens[i]).mean(axis=1) >= FLOOR]
+                if len(hit):
+                    own[np.isin(own, own[hit])] = own[i]
             members: dict[int, list] = {}
             for i, k in enumerate(own.tolist()):
                 members.setdefault(k, []).append(reps[i])
@@ -245,7 +249,7 @@ def _forest(clusters: DataFrame, threshold: int) -> DataFrame:
             _, own = np.unique(reps, return_inverse=True)
             links = []
             for i in range(len(reps)):
-                for j in range(i + 1, len(reps)):
+                for j in (i + 1 + np.flatnonzero(own[i + 1 :] != own[i])).tolist():
                     if own[i] != own[j] and _alike(sets[i], sets[j], threshold):
                         own[own == own[j]] = own[i]
                         links.append((reps[i], reps[j]))
@@ -363,9 +367,11 @@ class _Join:
 
         maybe = self.store(maybe.distinct(), "pairs")
         sets = self.sets(maybe.select(F.col("a").alias("rep")).union(maybe.select("b")))
-        small = (sets.agg(F.sum(F.length("shingles"))).head()[0] or 0) <= BROADCAST_SETS
-        side = lambda s: (F.broadcast if small else lambda t: t)(sets.select(F.col("rep").alias(s), F.col("shingles").alias(f"s{s}")))
-        self.links.append(self.store(maybe.join(side("a"), "a").join(side("b"), "b").mapInPandas(exact, "a long, b long"), "links"))
+        # pivots are few and stand in very many pairs
+        pivots = self.tables.store(sets.join(_light(self.store(maybe.select(F.col("b").alias("rep")).distinct(), "pivot-ids")), "rep", "left_semi").select(F.col("rep").alias("b"), F.col("shingles").alias("sb")), "pivot-sets")
+        small = (pivots.agg(F.sum(F.length("sb"))).head()[0] or 0) <= BROADCAST_SETS
+        both = maybe.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa")), "a").join(F.broadcast(pivots) if small else pivots, "b")
+        self.links.append(self.store(both.mapInPandas(exact, "a long, b long"), "links"))
 
     def all_links(self) -> DataFrame:
         out = self.links[0]
@@ -419,10 +425,10 @@ class _Join:
                 if len(batch):
                     yield batch.loc[(_matrix(batch["ta"]) == _matrix(batch["tb"])).mean(axis=1) >= FLOOR, ["a", "b"]]
 
-        few = tokens.count() <= BROADCAST_TOKENS
-        token = lambda s: (F.broadcast if few else lambda t: t)(tokens.select(F.col("rep").alias(s), F.col("tokens").alias(f"t{s}")))
         once = self.store(pairs.filter("a != b").distinct(), "pivot-pairs")
-        return once.join(token("a"), "a").join(token("b"), "b").mapInPandas(near, "a long, b long")
+        pivots = self.store(tokens.select(F.col("rep").alias("b"), F.col("tokens").alias("tb")).join(_light(once.select("b").distinct()), "b", "left_semi"), "pivot-tokens")
+        own = tokens.select(F.col("rep").alias("a"), F.col("tokens").alias("ta"))
+        return once.join(own, "a").join(_light(pivots, BROADCAST_TOKENS), "b").mapInPandas(near, "a long, b long")
 
     def against(self, rows: DataFrame, few: DataFrame, tokens: DataFrame) -> DataFrame:
         """Nominated pairs (a, b) of rows (node, rep) with the few (node, b) of each node."""
