@@ -39,7 +39,7 @@ from .common import scratch
 #: Vectors that k-means is fitted on (in expectation), lists at most, and rounds.
 SAMPLE_ROWS, MAX_LISTS, ROUNDS = 20_000, 4096, 8
 #: A list has LIST_ROWS vectors at least, else LIST_ROOT times the root of the number of all.
-LIST_ROWS, LIST_ROOT, NEAR, BLOCK_ROWS, COLUMNS, EPSILON, REACH_Z = 400, 4, 4, 4096, 16, 2.1, 2.0
+LIST_ROWS, LIST_ROOT, NEAR, BLOCK_ROWS, COLUMNS, EPSILON, REACH_Z = 400, 4, 4, 4096, 16, 2.1, 1.5
 
 
 def usable(vector: Column) -> Column:
