@@ -72,11 +72,11 @@ TERMS, LARGE = 90, 6.5
 def normal_cdf_of(x: Column) -> Column:
     """The normal distribution function by its series 1/2 + density * (x + x^3 / 3 + x^5 / 15 + ..)."""
     y = F.greatest(F.least(x, F.lit(LARGE)), F.lit(-LARGE))
-    total = F.lit(1.0)
-    for k in range(TERMS, 0, -1):
-        total = 1 + y * y / (2 * k + 1) * total
+    # the innermost term first; a fold, since so deep an expression wouldn't compile
+    odd = F.array(*[F.lit(float(2 * k + 1)) for k in range(TERMS, 0, -1)])
+    total = F.aggregate(odd, F.lit(1.0), lambda t, d: 1 + y * y / d * t)
     inner = 0.5 + F.exp(-y * y / 2) / math.sqrt(2 * math.pi) * y * total
-    return F.when(x >= LARGE, 1.0).when(x <= -LARGE, 0.0).otherwise(inner)
+    return F.when(x >= LARGE, 1.0).when(x <= -LARGE, 0.0).when(x.isNotNull(), inner)
 
 
 def z_to_forecast(z: Column, scalar: float = 0.5) -> Column:

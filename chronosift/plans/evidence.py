@@ -36,7 +36,7 @@ def phi(x: str) -> str:
     total = "1.0::DOUBLE"
     for k in range(S.TERMS, 0, -1):
         total = f"(1 + y2 / {2 * k + 1} * {total})"
-    return f"(SELECT CASE WHEN x0 >= {S.LARGE} THEN 1.0 WHEN x0 <= -{S.LARGE} THEN 0.0 ELSE 0.5 + exp(-y2 / 2) / {math.sqrt(2 * math.pi)!r}::DOUBLE * y0 * {total} END::DOUBLE FROM (SELECT y0 * y0 AS y2, y0, x0 FROM (SELECT {y} AS y0, {x} AS x0)))"
+    return f"(SELECT CASE WHEN x0 IS NULL THEN NULL WHEN x0 >= {S.LARGE} THEN 1.0 WHEN x0 <= -{S.LARGE} THEN 0.0 ELSE 0.5 + exp(-y2 / 2) / {math.sqrt(2 * math.pi)!r}::DOUBLE * y0 * {total} END::DOUBLE FROM (SELECT y0 * y0 AS y2, y0, x0 FROM (SELECT {y} AS y0, {x} AS x0)))"
 
 
 # ---- statistics of returns ---------------------------------------------------

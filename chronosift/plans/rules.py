@@ -227,3 +227,80 @@ def managed(bars: DataFrame, *, base: float = 0.5, span: int = 100) -> DataFrame
     rows = rows.withColumns({"__on": (F.col("close") < F.col("__e")) & (ratio > 1.2), "__off": (F.col("close") > F.col("__e")) | (ratio < 0.9)})
     risk = islands.latch(F.col("__on"), F.col("__off"), F.lit(False), F.lit(False))
     return rows.withColumn("managed", F.lit(base) * F.when(risk == 1, 0.5).otherwise(1.0)).drop("__e", "__a", "__b", "__on", "__off")
+
+
+def fear(vix: DataFrame, *, halflife: float = 60, least: int = 40, enter: float = 1.5, leave: float = 0.5) -> DataFrame:
+    """(series_id, date, available_at, z, fear): how far log values are above their average before, and a latched size.
+
+    On above `enter`, off below `leave`; half at the entry's level, more for larger moves, 1 at most.
+    vix has (series_id, date, available_at, value).
+    """
+
+    def z(p: pd.DataFrame) -> np.ndarray:
+        x = np.log(p["value"].astype(float))
+        before = x.ewm(halflife=halflife, adjust=True, min_periods=least)
+        return ((x - before.mean().shift(1)) / before.std().shift(1)).to_numpy()
+
+    rows = ewm.with_kernels(vix.filter("value > 0").select("series_id", "date", "available_at", "value"), {"z": z}, order="date")
+    by = Window.partitionBy("series_id").orderBy("date")
+    rows = rows.withColumn("z", F.when(~F.isnan("z"), F.col("z")))
+    on = islands.latch(F.col("z") > enter, F.coalesce(F.col("z") < leave, F.lit(True)), F.lit(False), F.lit(False), by)
+    rows = rows.withColumn("__on", on)
+    return rows.withColumn("fear", F.when(F.col("__on") > 0, clip(0.5 * (F.col("z") - leave) / (enter - leave), 0, 1)).otherwise(0.0)).drop("__on", "value")
+
+
+def risk_off(bars: DataFrame, vix: DataFrame, dollar: DataFrame | None = None, *, most: float = 2.0, horizon: int = 5, halflife: float = 60, stale: str = "10 days", **latch: float) -> DataFrame:
+    """Adds risk_off: fear() as of each bar, 0 where it is stale or the dollar's momentum is extreme."""
+    daily = fear(vix, halflife=halflife, **latch).select(F.col("available_at").alias("__k"), "fear")
+    out = asof_join(bars, daily, left_time="available_at", right_time="__k", columns=["fear"], tolerance=stale)
+    forecast = F.coalesce(F.col("fear"), F.lit(0.0))
+    if dollar is not None:
+        sized = ewm.with_kernels(dollar.filter("value > 0"), {"__s": lambda p: np.sqrt((np.log(p["value"]).diff() ** 2).ewm(halflife=halflife, adjust=True, min_periods=40).mean())}, order="date")
+        by = Window.partitionBy("series_id").orderBy("date")
+        squeeze = safe_div(F.ln(F.col("value") / F.lag("value", horizon).over(by)), F.col("__s") * math.sqrt(horizon))
+        out = asof_join(out, sized.select(F.col("available_at").alias("__k"), squeeze.alias("__z")), left_time="available_at", right_time="__k", columns=["__z"], tolerance=stale)
+        forecast = F.when(F.coalesce(F.col("__z") > most, F.lit(False)), 0.0).otherwise(forecast)
+    return out.withColumn("risk_off", forecast).drop("fear", "__z")
+
+
+def regime_switch(bars: DataFrame, base: str, train_to: str, *, flat: float = 0.3, full: float = 0.7, states: int = 2) -> DataFrame:
+    """Adds regime_switch: a rule's forecast, scaled by how likely the calm state is, by a model of bars before train_to.
+
+    Without enough bars to fit there is no forecast: 0.
+    """
+    from chronosift.functions.scalars import regime_scale
+    from chronosift.plans.models import regimes
+
+    rows = RULES[base](bars)
+    observed = bars.withColumn("r", 100 * rolling.log_return(F.col("close")))
+    calm = regimes(observed, train_to, states=states)
+    scaled = rows.join(calm, ["series_id", "time"], "left")
+    sure = F.when(~F.isnan("p_calm"), F.col("p_calm"))
+    return scaled.withColumn("regime_switch", F.coalesce(F.col(base) * regime_scale(sure, flat, full), F.lit(0.0))).drop("p_calm", base)
+
+
+def meta_label(bars: DataFrame, side: str, probability: str, *, dead: float = 0.0) -> DataFrame:
+    """Adds meta_label: a rule's side times the bet that the probability of its being right allows; never the other side."""
+    from chronosift.functions.scalars import dead_zone
+    from chronosift.plans.models import bet_size
+
+    size = F.greatest(F.coalesce(dead_zone(bet_size(F.col(probability)), dead), F.lit(0.0)), F.lit(0.0))
+    return bars.withColumn("meta_label", F.signum(F.coalesce(F.col(side), F.lit(0.0))) * size)
+
+
+def ml_forecast(bars: DataFrame, probability: str, *, dead: float = 0.05, scalar: float = 1.0) -> DataFrame:
+    """Adds ml_gbm: a calibrated probability as a forecast, flat in the dead zone."""
+    from chronosift.functions.scalars import dead_zone
+
+    f = dead_zone(clip(2 * F.col(probability) - 1, -1, 1), dead) * scalar
+    return bars.withColumn("ml_gbm", F.coalesce(clip(f, -1, 1), F.lit(0.0)))
+
+
+def skill(auc: float, up: float, down: float, uniqueness: float = 1.0) -> float:
+    """How many standard errors an area under the curve is above a half, with as many independent labels as are unique."""
+    a, b = up * uniqueness, down * uniqueness
+    if min(a, b) < 1:
+        return 0.0
+    q1, q2 = auc / (2 - auc), 2 * auc * auc / (1 + auc)
+    error = math.sqrt(max((auc * (1 - auc) + (a - 1) * (q1 - auc * auc) + (b - 1) * (q2 - auc * auc)) / (a * b), 1e-12))
+    return (auc - 0.5) / error
