@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronosift.operators import splits
-from chronosift.plans import features, rules
-from chronosift.plans.evidence import _VOL50
+from chronosift.plans import evidence, features, rules
+from chronosift.plans.evidence import _VOL50, _before
 from chronosift.plans.market import _HOLD, _LR, _RS, BARS, BPY, CALENDAR, MACRO, W, g, w
 from chronosift.sources import tables as T
 
@@ -196,3 +196,39 @@ def cpcv_paths(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(rows, "path int, grp int, combo int")
 
 
+
+
+# ---- the same, under the names of the first queries --------------------------
+_SQL["seasonality_forecast"] = _SQL["rule_seasonality"]
+_SQL["macro_forecast"] = _SQL["rule_macro_factor"]
+_SQL["managed_allocation"] = _SQL["rule_managed"]
+_SQL["opening_range_breakout"] = evidence._SQL["rule_orb"]
+_SQL["sweep_zscore_fade"] = evidence._SQL["sweep_grid"]
+
+
+def _walk_forward_sql() -> str:
+    """Donchian, z-score and band rules, weighted by each fold's training ratios, as one stitched book."""
+    don = f"{_HOLD.format('da', 'dx')} - {_HOLD.format('dc', 'dy')}"
+    zf = f"{_HOLD.format('z <= -2', 'z >= 0')} - {_HOLD.format('z >= 2', 'z <= 0')}"
+    bb = f"{_HOLD.format('py < -2 AND pz >= -2', 'pz >= 0 OR pz < -3.5')} - {_HOLD.format('py > 2 AND pz <= 2', 'pz <= 0 OR pz > 3.5')}"
+    names = ("donchian", "zscore_fade", "bollinger_revert")
+    sr = ", ".join(f"coalesce(avg({n} * nx) / nullif(stddev_samp({n} * nx), 0), 0) AS {n}" for n in names)
+    up = " + ".join(f"greatest(w.{n}, 0)" for n in names)
+    share = ", ".join(f"CASE WHEN {up} > 0 THEN greatest(w.{n}, 0) / ({up}) ELSE 1 / 3.0::DOUBLE END AS w_{n}" for n in names)
+    total = " + ".join(f"s.{n} * w_{n}" for n in names)
+    return (
+        f"WITH {BARS}, b1 AS (SELECT *, close > {_before('high', 55, 'max')} AS da, close < {_before('low', 20, 'min')} AS dx, close < {_before('low', 55, 'min')} AS dc, close > {_before('high', 20, 'max')} AS dy, {g(f'(close - avg(close) {w(20)}) / nullif(stddev_samp(close) {w(20)}, 0)', 'close', 20)} AS z, {g(f'(close - avg(close) {w(20)}) / nullif(stddev_pop(close) {w(20)}, 0)', 'close', 20)} AS pz, ln(lead(close) {W} / close) AS nx, row_number() {W} - 1 AS pos, count(*) OVER () AS nb FROM bars), "
+        f"b2 AS (SELECT *, lag(pz) {W} AS py FROM b1), s AS (SELECT series_id, time, open, high, low, close, spread, nx, pos, nb, ({don})::DOUBLE AS donchian, ({zf})::DOUBLE AS zscore_fade, ({bb})::DOUBLE AS bollinger_revert FROM b2), "
+        "f AS (SELECT k::INTEGER AS fold, k * 100 AS a, 200 + k * 100 AS b, 204 + k * 100 AS c, least(304 + k * 100, nb) AS d FROM (SELECT max(nb) AS nb FROM s), range(200) r(k) WHERE 204 + k * 100 < nb), "
+        f"w AS (SELECT fold, {sr} FROM s JOIN f ON pos >= a AND pos < b - 1 GROUP BY 1), v AS (SELECT fold, {share} FROM w), "
+        f"t AS (SELECT s.*, fold, {total} AS combined FROM s JOIN f ON pos >= c AND pos < d JOIN v USING (fold)), "
+        f"pa AS (SELECT *, coalesce(lag(combined) {W}, 0) AS position, coalesce(lag(combined, 2) {W}, 0) AS prior, coalesce(lag(close) {W}, open) AS pc FROM t), pb AS (SELECT *, abs(position - prior) AS traded FROM pa), "
+        f"pd AS (SELECT *, 100 * (prior * (open - pc) + position * (close - open)) - CASE WHEN traded > 0 THEN traded * 100 * (spread / 2 + 0.02::DOUBLE + 0.05::DOUBLE * (high - low)) + traded * 3.5::DOUBLE ELSE 0.0 END AS pnl FROM pb) SELECT time, fold, combined, position, pnl, 100000 + sum(pnl) {W} AS equity FROM pd"
+    )
+
+
+_SQL["walk_forward_book"] = _walk_forward_sql()
+_SQL["cusum_events"] = (
+    f"WITH RECURSIVE {BARS}, n AS (SELECT time, ln(close / lag(close) {W}) AS r, row_number() {W} AS i FROM bars), rec AS (SELECT i, time, 0.0::DOUBLE AS up, 0.0::DOUBLE AS dn, 0.0::DOUBLE AS event FROM n WHERE i = 1 UNION ALL "
+    "SELECT i, time, CASE WHEN u > 2 OR d < -2 THEN 0.0 ELSE u END::DOUBLE, CASE WHEN u > 2 OR d < -2 THEN 0.0 ELSE d END::DOUBLE, CASE WHEN u > 2 THEN 1.0 WHEN d < -2 THEN -1.0 ELSE 0.0 END::DOUBLE FROM (SELECT n.i, n.time, greatest(0, rec.up + n.r)::DOUBLE AS u, least(0, rec.dn + n.r)::DOUBLE AS d FROM rec JOIN n ON n.i = rec.i + 1)) SELECT time, event FROM rec WHERE event <> 0"
+)

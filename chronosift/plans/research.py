@@ -446,13 +446,13 @@ def opening_range_breakout(spark: SparkSession, sf: str) -> DataFrame:
 def seasonality_forecast(spark: SparkSession, sf: str) -> DataFrame:
     rows = T.bars(spark, sf)
     fitted = rules.fit_seasonality(rows.filter("time < TIMESTAMP_NTZ '2024-01-22'"))
-    return rules.seasonality(rows, fitted).select("time", "intraday_seasonality")
+    return rules.seasonality(rows, fitted).select("time", (F.col("intraday_seasonality") + 0.0).alias("intraday_seasonality"))
 
 
 @register()
 def macro_forecast(spark: SparkSession, sf: str) -> DataFrame:
     signs = {"1-URGENT": -1.0, "2-HIGH": 1.0}
-    return rules.macro_factor(T.bars(spark, sf), T.macro(spark, sf), signs).select("time", "macro_factor")
+    return rules.macro_factor(T.bars(spark, sf), T.macro(spark, sf), signs).select("time", (F.col("macro_factor") + 0.0).alias("macro_factor"))
 
 
 @register()

@@ -44,7 +44,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes repeated runs of lines, and documents of which nothing else was left."""
+    """Removes repeated runs of lines, and documents of which nothing else was left.
+
+    The first occurrence of a run stays (by doc_id, then text, then place); rows of one id and text lose the same; a null text
+    stays null and its row stays; n_chars follows where a text changed; an empty table stays empty; extra columns stay.
+    """
     # the row number keeps the optimiser from working the text out again for each use in the filter
     lean = remove_runs(docs).withColumn("__at", F.monotonically_increasing_id()).filter((F.col("__at") >= 0) & ((F.col("removed_runs") == 0) | (F.trim("text") != "")))
     n = F.when(F.col("removed_runs") > 0, F.char_length("text").cast("long"))
@@ -52,7 +56,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates, and one row of each id."""
+    """Keeps one document of each group of near duplicates (the least id), and one row of each id.
+
+    Of rows with one id the first by a hash of all columns stays; rows with a null id stay, and so do null and
+    wordless texts; an empty table stays empty; extra columns stay, whatever their names.
+    """
     gone = scratch(near_duplicates(docs).filter("NOT kept").select("doc_id").distinct(), "gone")
     kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti")
     several = scratch(kept.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "several")
@@ -63,12 +71,19 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts all documents into the order of the mixture; files and rows follow it."""
+    """Puts all documents into the order of the mixture; files and rows follow it.
+
+    A null source is a source of its own; ties in a source go by hash; every row stays, repeated ones too; an empty table
+    stays empty; extra columns stay, but for those named mix_block, mix_slot and mix_position.
+    """
     return mix(docs, WEIGHTS).repartitionByRange("mix_position").sortWithinPartitions("mix_position").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences of at most 1024 tokens, which follow the written order."""
+    """The pieces of all documents and their places in sequences of at most 1024 tokens, which follow the written order.
+
+    A null or empty text is its end token; repeated rows are packed each; an empty table gives no rows; other columns go.
+    """
     placed, n = written_order(docs, "__mixed")
     return pack_documents(placed, position="__mixed", positions=n).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
