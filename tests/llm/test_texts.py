@@ -255,6 +255,13 @@ def test_large_nodes_branch_on(spark, monkeypatch):
     assert all(r["component_id"] == want[r["doc_id"]] for r in got)
 
 
+def test_near_copies_of_very_long_texts(spark):
+    base = [f"w{i * i % 100_003}" for i in range(120_000)]
+    rows = [(1, " ".join(base)), (2, " ".join(base[:-5000])), (3, " ".join(base[60_000:])), (4, " ".join(reversed(base)))]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=4).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
 @pytest.mark.parametrize("local", [0, 500_000])
 def test_components_of_a_long_path(spark, local):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 502), (500, 502), (7, 7)], "a long, b long")
@@ -310,6 +317,34 @@ def test_language_id(spark, tmp_path):
     assert {r["lang_pred"] for r in op6_cross_parsing(spark, _write(bare, tmp_path / "bare")).collect()} == {"und"}
 
 
+def test_quality_against_the_definition(spark):
+    """Scores by plain covariances, inverses and determinants."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(40)] + ["Big", "x1", "!!", "a,b.", "\n"]
+    rows = [(i, " ".join(rng.choice(words, rng.integers(3, 60), p=None)) + ("!!! $$" * int(rng.integers(0, 4)) if i % 2 else ".")) for i in range(160)]
+    docs = spark.createDataFrame([(*r, "own", 1, 2.0) for r in rows], "doc_id long, text string, x string, y int, score double")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int")
+    got = {r["doc_id"]: r["score"] for r in quality.score(docs, labels, learn=F.lit(True), scratch=scratch).collect()}
+    x = np.array([quality.statistics(t) for _, t in rows])
+    y = np.array([i % 2 for i in range(120)])
+    cov = {k: np.cov(x[:120][y == k].T, ddof=0) for k in (0, 1)}
+    pooled = sum((y == k).mean() * cov[k] for k in (0, 1))
+    scale = np.sqrt(np.maximum(np.diag(pooled), 1e-9))
+    log = []
+    for k in (0, 1):
+        s = (0.9 * cov[k] + 0.1 * pooled) / np.outer(scale, scale)
+        s = 0.98 * s + 0.02 * np.trace(s) / len(s) * np.eye(len(s)) + 1e-9 * np.eye(len(s))
+        z = (x - x[:120][y == k].mean(axis=0)) / scale
+        log.append(np.log((y == k).mean()) - 0.5 * np.linalg.slogdet(s)[1] - 0.5 * np.einsum("ij,jk,ik->i", z, np.linalg.inv(s), z))
+    odds = log[1] - log[0]
+    grid = np.geomspace(1, 64, 25)
+    losses = [np.logaddexp(0, odds[:120] * np.where(y == 1, -1, 1) / t).sum() for t in grid]
+    want = 1 / (1 + np.exp(-odds / grid[int(np.argmin(losses))]))
+    assert len(got) == 160 and max(abs(got[i] - want[i]) for i in range(160)) < 1e-6
+
+
 def test_quality(spark, tmp_path):
     from chronosift.llm.queries import op4_quality_qda
 
