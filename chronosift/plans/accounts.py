@@ -235,6 +235,18 @@ def risk_event_table(spark: SparkSession, sf: str) -> DataFrame:
     return books.risk_event_table(e.select(F.col("ts").alias("time"), reasons.alias("reasons")))
 
 
+@register()
+def simulated_trades(spark: SparkSession, sf: str) -> DataFrame:
+    """Round trips of a stateful book a user, with stops, targets, cooldown and financing; tests hold them against equity."""
+    from chronosift.functions import ewm
+    from chronosift.operators import execution
+    from chronosift.plans import rules
+
+    rows = ewm.with_kernels(rules.zscore_fade(T.bars(spark, sf, "1 day", by_series=True), 5, 1.0), {"vol": lambda p: ewm.ewma_vol(p, 10, 3) * 252**0.5})
+    sim = execution.simulate(rows, "zscore_fade", COSTS, stop_mult=0.5, take_mult=1.0, cooldown=2, night_long=0.05, night_short=-0.02)
+    return execution.sim_trades(execution.sim_fills(sim))
+
+
 # ---- label weights ----------------------------------------------------------
 _UNIQ = f"{_CONC}, cl AS (SELECT row_number() OVER (ORDER BY time) - 1 AS pos, ln(close / lag(close) OVER (ORDER BY time)) AS r FROM bars)"
 

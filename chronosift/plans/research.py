@@ -310,7 +310,7 @@ def rule_forecasts(spark: SparkSession, sf: str) -> DataFrame:
 def simulated_books(spark: SparkSession, sf: str) -> DataFrame:
     """A stateful book per user series of daily bars."""
     rows = ewm.with_kernels(rules.zscore_fade(T.bars(spark, sf, "1 day", by_series=True), 5, 1.0), {"vol": lambda p: ewm.ewma_vol(p, 10, 3) * 252**0.5})
-    return execution.simulate(rows, "zscore_fade", COSTS, stop_mult=0.5)
+    return execution.simulate(rows, "zscore_fade", COSTS, stop_mult=0.5).drop("deals", "swap")
 
 
 @register()

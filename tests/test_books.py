@@ -192,3 +192,35 @@ def test_walk_of_har(spark):
 
 def test_registered_queries_have_unique_names():
     assert len(catalogue.queries()) == sum(len(m._Q) for m in catalogue._MODULES)
+
+
+def test_simulated_deals_add_up(spark):
+    """Fills and trades of stateful books against their equity; stops, targets, cooldown and financing."""
+    from chronosift.operators import execution
+
+    rows = ewm.with_kernels(rules.zscore_fade(make_bars(spark, 500, series=3, seed=8, annual_vol=0.4), 10, 1.0), {"vol": lambda p: ewm.ewma_vol(p, 10, 3)})
+    costs = execution.Costs(slip_fixed=0.02)
+    sim = execution.simulate(rows, "zscore_fade", costs, target=0.004, stop_mult=2.0, take_mult=3.0, cooldown=5, night_long=0.05, night_short=-0.02).cache()
+    fills = execution.sim_fills(sim)
+    trades = execution.sim_trades(fills).toPandas()
+    book = sim.orderBy("series_id", "time").toPandas()
+    assert {"stop", "target"} <= set(book["reason"]) and (book["swap"] != 0).any()
+    after = fills.toPandas()
+    for s, own in book.groupby("series_id"):
+        assert abs(own["equity"].iloc[-1] - 100_000 - own["pnl"].sum()) < 1e-6
+        done = trades[(trades["series_id"] == s)]
+        closed = done[~done["open"].astype(bool)]
+        assert len(done) - len(closed) == int(own["position"].iloc[-1] != 0)
+        flows = after[after["series_id"] == s]
+        cash = -(flows["lots"] * flows["price"]).sum() * 100 - flows["cost"].sum() + own["position"].iloc[-1] * own["price"].iloc[-1] * 100 + own["swap"].sum()
+        assert abs(cash - own["pnl"].sum()) < 1e-4
+        if len(done) == len(closed):
+            assert abs(closed["pnl"].sum() + own["swap"].sum() - own["pnl"].sum()) < 1e-4
+        assert (closed["exit_time"] >= closed["entry_time"]).all() and set(closed["side"]) <= {1.0, -1.0}
+        assert (after[after["series_id"] == s].groupby("time")["position_after"].last() == own.set_index("time")["position"].reindex(flows["time"].unique()).round(8)).all()
+        # after a protective exit nothing opens for five bars
+        held = own.reset_index(drop=True)
+        for i in held.index[held["reason"].isin(["stop", "target"])]:
+            assert (held["position"].iloc[i : i + 6] == 0).all()
+    none = execution.simulate(rows.filter("false"), "zscore_fade", costs)
+    assert none.count() == 0
