@@ -38,18 +38,32 @@ def asof_join(left: DataFrame, right: DataFrame, *, on: list[str] | None = None,
     # equal times: matching right rows stand on the near side of left rows
     near = F.col("__side") if not (strict ^ forward) else -F.col("__side")
     keys, edge = list(on), F.lit(1)
+    carry = None
     if slices:
         us = lambda c: F.unix_micros(c.cast("timestamp"))
         width = us(F.expr(f"TIMESTAMP '1970-01-01 00:00:00' + INTERVAL {slices}")) - us(F.expr("TIMESTAMP '1970-01-01 00:00:00'"))
-        both = both.withColumn("__slice", F.floor(us(F.col("__t")) / width))
+        slice_ = F.floor(us(F.col("__t")) / width)
         place = F.struct("__t", (-F.col("__seq") if forward else F.col("__seq")).alias("__seq"))
-        nearest = both.filter("__side = 1").groupBy(*on, "__slice").agg((F.min_by if forward else F.max_by)("__r", place).alias("__r"))
+        nearest = r.withColumn("__slice", slice_).groupBy(*on, "__slice").agg((F.min_by if forward else F.max_by)("__r", place).alias("__r"))
+        both = both.withColumn("__slice", slice_)
+        keys.append("__slice")
+    if slices and not on:
+        # from the right side alone: what each slice up to the next one with rows (and all beyond the last) takes over
+        along = Window.orderBy("__slice")
+        if forward:
+            span = F.sequence(F.coalesce(F.lag("__slice").over(along), F.col("__slice") - 1), F.col("__slice") - 1)
+            end, slot = F.min("__slice") - 1, F.greatest("__slice", "__end")
+        else:
+            span = F.sequence(F.col("__slice") + 1, F.coalesce(F.lead("__slice").over(along), F.col("__slice") + 1))
+            end, slot = F.max("__slice") + 1, F.least("__slice", "__end")
+        carry = nearest.withColumn("__span", span).select(F.explode("__span").alias("__slot"), F.col("__r").alias("__c"))
+        ends = nearest.agg(end.alias("__end"))
+    elif slices:
         present = both.select(*on, "__slice").distinct()
         over = Window.partitionBy(*on).orderBy(F.col("__slice").desc() if forward else F.col("__slice"))
         carried = F.last("__r", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1))
         more = present.join(nearest, [*on, "__slice"], "left").select(*on, "__slice", carried.alias("__r")).filter("__r IS NOT NULL AND __slice IS NOT NULL")
         both = both.unionByName(more.withColumns({"__side": F.lit(0), "__seq": F.lit(None).cast("long"), "__t": F.lit(None).cast(both.schema["__t"].dataType)}), allowMissingColumns=True)
-        keys.append("__slice")
         # the carried row opens its slice, or closes it
         edge = F.when(F.col("__side") == 0, 2 if forward else 0).otherwise(1)
     by = Window.partitionBy(*keys)
@@ -60,6 +74,9 @@ def asof_join(left: DataFrame, right: DataFrame, *, on: list[str] | None = None,
         order = by.orderBy(edge, F.col("__t").asc_nulls_first(), near, "__seq").rowsBetween(Window.unboundedPreceding, 0)
         picked = F.last("__r", ignorenulls=True).over(order)
     out = both.withColumn("__p", picked).filter("__side = 2")
+    if carry is not None:
+        slotted = out.crossJoin(F.broadcast(ends)).withColumn("__slot", slot)  # ends is one row
+        out = slotted.join(carry, "__slot", "left").withColumn("__p", F.coalesce("__p", "__c"))
     ok = F.col("__t").isNotNull()
     if tolerance:
         gap = (F.col("__p.__at") - F.col("__t")) if forward else (F.col("__t") - F.col("__p.__at"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from chronosift.operators import splits
 from chronosift.plans import evidence, features, rules
 from chronosift.plans.evidence import _VOL50, _before
-from chronosift.plans.market import _HOLD, _LR, _RS, BARS, BPY, CALENDAR, MACRO, W, g, w
+from chronosift.plans.market import _H4, _H4_COMPLETE, _HOLD, _LR, _RS, BAR_COLS, BARS, BPY, CALENDAR, MACRO, W, g, w
 from chronosift.sources import tables as T
 
 _Q: dict = {}
@@ -137,6 +137,69 @@ def features_regime(spark: SparkSession, sf: str) -> DataFrame:
     return _group(spark, sf, "regime")
 
 
+def _chain(name: str, rows: str, alpha: float, least: int) -> str:
+    """CTEs for a recursive average `name` (time, v) of rows (time, x), null until `least` values."""
+    return (
+        f"{name}_n AS MATERIALIZED (SELECT time, x, row_number() OVER (ORDER BY time) AS i FROM ({rows}) WHERE x IS NOT NULL), {name}_r AS (SELECT i, time, x::DOUBLE AS y FROM {name}_n WHERE i = 1 UNION ALL SELECT {name}_n.i, {name}_n.time, {name}_r.y * (1 - {alpha!r}::DOUBLE) + {alpha!r}::DOUBLE * {name}_n.x FROM {name}_r JOIN {name}_n ON {name}_n.i = {name}_r.i + 1), "
+        f"{name} AS MATERIALIZED (SELECT time, CASE WHEN i >= {least} THEN y END AS v FROM {name}_r)"
+    )
+
+
+def _rsi(name: str, bars: str, n: int) -> str:
+    d = f"SELECT time, close - lag(close) {W} AS d FROM {bars}"
+    return f"{_chain(name + 'u', f'SELECT time, greatest(d, 0) AS x FROM ({d}) WHERE d IS NOT NULL', 1 / n, n)}, {_chain(name + 'd', f'SELECT time, greatest(-d, 0) AS x FROM ({d}) WHERE d IS NOT NULL', 1 / n, n)}, {name} AS (SELECT a.time, CASE WHEN a.v + b.v = 0 THEN 50 ELSE 100 * a.v / (a.v + b.v) END AS v FROM {name}u a JOIN {name}d b USING (time))"
+
+
+def _tr(bars: str) -> str:
+    return f"SELECT time, greatest(high - low, abs(high - pc), abs(low - pc)) AS x FROM (SELECT *, lag(close) {W} AS pc FROM {bars})"
+
+
+_STO = g(f"coalesce(100 * (close - min(low) {w(14)}) / nullif(max(high) {w(14)} - min(low) {w(14)}, 0), 50)", "low", 14)
+_MZ = ", ".join(f"ln(close / lag(close, {h}) {W}) / nullif(vv.v * sqrt({h}.0::DOUBLE), 0) AS z{h}" for h in (24, 48, 120))
+
+
+@register(
+    f"WITH RECURSIVE {BARS}, {_chain('vq', f'SELECT time, pow(ln(close / lag(close) {W}), 2) AS x FROM bars', 1 - 0.5 ** (1 / 50), 20)}, vv AS (SELECT time, sqrt(v) AS v FROM vq), {_rsi('ra', 'bars', 2)}, {_rsi('rb', 'bars', 14)}, "
+    f"m AS (SELECT bars.series_id, bars.time, ra.v AS r2, rb.v AS r14, {_MZ.replace('PARTITION BY series_id ORDER BY time', 'PARTITION BY bars.series_id ORDER BY bars.time')}, ln(close / lag(close) OVER (PARTITION BY bars.series_id ORDER BY bars.time)) AS r, {_STO.replace('PARTITION BY series_id ORDER BY time', 'PARTITION BY bars.series_id ORDER BY bars.time')} AS k FROM bars LEFT JOIN vv ON vv.time = bars.time LEFT JOIN ra ON ra.time = bars.time LEFT JOIN rb ON rb.time = bars.time), "
+    f"u AS (SELECT *, CASE WHEN r IS NOT NULL THEN (r > 0)::INTEGER::DOUBLE END AS up FROM m) SELECT time, r2 AS momentum_rsi_2, r14 AS momentum_rsi_14, k AS momentum_stoch_k, {', '.join(f'z{h} AS momentum_z_{h}, z{h} * exp(-z{h} * z{h} / 4) / 0.89::DOUBLE AS momentum_resp_{h}' for h in (24, 48, 120))}, {g(f'avg(k) {w(3)}', 'k', 3)} AS momentum_stoch_d, {g(f'avg(up) {w(20)}', 'up', 20)} AS momentum_up_frac FROM u"
+)
+def features_momentum(spark: SparkSession, sf: str) -> DataFrame:
+    return _group(spark, sf, "momentum")
+
+
+@register(
+    f"WITH RECURSIVE {BARS}, {_H4}, h AS ({_H4_COMPLETE}), {_chain('hv', f'SELECT time, pow(ln(close / lag(close) {W}), 2) AS x FROM h', 1 - 0.5 ** (1 / 20), 10)}, {_rsi('hr', 'h', 14)}, {_chain('he', 'SELECT time, close AS x FROM h', 2 / 21, 20)}, {_chain('ha', _tr('h'), 1 / 14, 14)}, "
+    f"j AS (SELECT h.series_id, h.time, available_at, close, high, low, ln(close / lag(close) OVER (ORDER BY h.time)) / nullif(sqrt(hv.v), 0) AS mtf_ret_z, hr.v AS mtf_rsi, (close - he.v) / nullif(ha.v, 0) AS mtf_dist FROM h LEFT JOIN hv ON hv.time = h.time LEFT JOIN hr ON hr.time = h.time LEFT JOIN he ON he.time = h.time LEFT JOIN ha ON ha.time = h.time), "
+    f"k AS (SELECT *, {g(f'(close - min(low) {w(20)}) / nullif(max(high) {w(20)} - min(low) {w(20)}, 0)', 'low', 20)} AS mtf_pos FROM j) SELECT b.time, mtf_ret_z, mtf_rsi, mtf_dist, mtf_pos FROM bars b ASOF LEFT JOIN k ON b.available_at >= k.available_at"
+)
+def features_mtf(spark: SparkSession, sf: str) -> DataFrame:
+    return _group(spark, sf, "mtf")
+
+
+_UD = f"SELECT *, high - lag(high) {W} AS up, -(low - lag(low) {W}) AS dn FROM bars"
+_SPANS = (20, 50, 100)
+_EMAS = ", ".join(_chain(f"e{n}", "SELECT time, close AS x FROM bars", 2 / (n + 1), n) for n in _SPANS)
+_ADX = (
+    f"{_chain('pa', f'SELECT time, CASE WHEN up IS NULL THEN NULL WHEN up > dn AND up > 0 THEN up ELSE 0 END AS x FROM ({_UD})', 1 / 14, 14)}, {_chain('pb', f'SELECT time, CASE WHEN dn IS NULL THEN NULL WHEN dn > up AND dn > 0 THEN dn ELSE 0 END AS x FROM ({_UD})', 1 / 14, 14)}, {_chain('ax', _tr('bars'), 1 / 14, 14)}, "
+    f"di AS (SELECT ax.time, 100 * pa.v / ax.v AS p, 100 * pb.v / ax.v AS m FROM ax LEFT JOIN pa ON pa.time = ax.time LEFT JOIN pb ON pb.time = ax.time), {_chain('ad', 'SELECT time, CASE WHEN p + m = 0 THEN 0 ELSE 100 * abs(p - m) / (p + m) END AS x FROM di', 1 / 14, 14)}"
+)
+_MACD = f"{_chain('mf', 'SELECT time, close AS x FROM bars', 2 / 13, 12)}, {_chain('ms', 'SELECT time, close AS x FROM bars', 2 / 27, 26)}, ml AS (SELECT time, mf.v - ms.v AS l FROM mf JOIN ms USING (time)), {_chain('mg', 'SELECT time, l AS x FROM ml', 2 / 10, 9)}"
+
+
+@register(
+    f"WITH RECURSIVE {BARS}, {_EMAS}, {_ADX}, {_MACD}, t AS (SELECT bars.series_id, bars.time AS time, close, row_number() OVER (ORDER BY bars.time) AS pos, ax.v AS a, e20.v AS e20, e50.v AS e50, e100.v AS e100, ad.v AS adx, p - m AS did, l, mg.v AS sg FROM bars LEFT JOIN ax ON ax.time = bars.time LEFT JOIN e20 ON e20.time = bars.time LEFT JOIN e50 ON e50.time = bars.time LEFT JOIN e100 ON e100.time = bars.time LEFT JOIN ad ON ad.time = bars.time LEFT JOIN di ON di.time = bars.time LEFT JOIN ml ON ml.time = bars.time LEFT JOIN mg ON mg.time = bars.time) "
+    f"SELECT time, adx AS trend_adx, did AS trend_di_diff, l / nullif(a, 0) AS trend_macd_line, sg / nullif(a, 0) AS trend_macd_signal, (l - sg) / nullif(a, 0) AS trend_macd_hist, {', '.join(f'(close - e{n}) / nullif(a, 0) AS trend_dist_{n}, (e{n} - lag(e{n}, 5) {W}) / nullif(a, 0) AS trend_slope_{n}' for n in _SPANS)}, "
+    + ", ".join(f"{g(f'regr_slope(close, pos) {w(n)}', 'close', n)} * {n} / nullif(a, 0) AS trend_lin_t_{n}, {g(f'CASE WHEN var_pop(close) {w(n)} > 0 THEN regr_r2(close, pos) {w(n)} END', 'close', n)} AS trend_lin_r2_{n}" for n in _SPANS)
+    + " FROM t"
+)
+def features_trend(spark: SparkSession, sf: str) -> DataFrame:
+    return _group(spark, sf, "trend")
+
+
+_ALL = [k for k in _SQL if k.startswith("features_")]
+_SQL["feature_matrix"] = f"SELECT b.*, {', '.join(f'{k}.* EXCLUDE (time)' for k in _ALL)} FROM (WITH {BARS} SELECT {BAR_COLS} FROM bars) b " + " ".join(f"JOIN ({_SQL[k]}) {k} ON {k}.time = b.time" for k in _ALL)
+
+
 # ---- rules on other inputs ---------------------------------------------------
 @register(
     f"WITH {BARS}, {MACRO}, m AS (SELECT *, ln(value / lag(value, 20) OVER (PARTITION BY name ORDER BY date)) AS c FROM macro), z AS (SELECT *, CASE WHEN count(c) OVER k = 60 THEN c / nullif(stddev_samp(c) OVER k, 0) END AS z FROM m WINDOW k AS (PARTITION BY name ORDER BY date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)), "
