@@ -8,7 +8,7 @@ multiplicative weights: each length has a dual weight, a knapsack dynamic progra
 most weight, and the weights of what it covers fall. Every pricing also gives a lower bound of the
 program (all pieces' weight over the best pattern's), so the plan comes with a figure that no packing can
 go below. The solution is rounded down and what remains is packed by best fit: the longest piece left, filled up
-as far as subset sums allow. Where the bound isn't met, further learning rates are tried, and best fit alone (with subset sums, and decreasing); the
+as far as subset sums allow. Where the plan is more than GAP above it, further learning rates are tried, and best fit alone (with subset sums, and decreasing); the
 plan with the fewest sequences counts. The plan says, for each length, which places its pieces take in turn; every
 piece finds its own by its rank within its length.
 
@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 from .common import rank_within, scratch, small_batches
 
 CAPACITY, END_ID, ROUNDS, STEP, BEND = 1024, 2, 300, 0.5, 1.1
-#: Learning rates, the first of which is used alone if its plan meets the bound.
-LEARNING = (0.2, 1.0, 4.0)
+#: Learning rates, the first of which is used alone if its plan is so near to the bound.
+LEARNING, GAP = (0.2, 1.0, 4.0), 0.0005
 #: Slices of a plan at most, and entries of the plan in slices.
 MAX_SLICES, MAX_ENTRIES = 4096, 1 << 15
 
@@ -263,7 +263,7 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROU
             bound = max(bound, low)
             if sum(plan.values()) <= sum(best.values()):
                 best = plan
-            if sum(best.values()) <= math.ceil(bound - 1e-6):
+            if sum(best.values()) <= math.ceil(bound - 1e-6) * (1 + GAP):
                 break
     if full:
         best[(capacity,)] = full
