@@ -414,7 +414,7 @@ class _Join:
         members = self.tables.store(sets.distinct().select(F.xxhash64("members").alias("leaf"), F.explode("members").alias("rep")), "members")
         clusters = self.store(_clusters(members.join(self.only(self.tokens, members), "rep")), "clusters")
         full = self.sets(clusters)
-        self.links.append(self.store(_forest(clusters.join(full, "rep"), self.threshold), "links"))
+        self.links.append(self.tables.store(_forest(clusters.join(full, "rep"), self.threshold), "links"))
         return self.all_links()
 
     def paired(self, pairs: DataFrame, tokens: DataFrame) -> DataFrame:
