@@ -146,16 +146,16 @@ OP7_SQL = """
 WITH l AS (
   SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
 p AS (
-  SELECT doc_id, unnest(range(1, len(lines))) AS at, lines FROM l),
+  SELECT doc_id, unnest(range(1, len(lines))) AS pos, lines FROM l),
 s AS (
-  SELECT doc_id, at, lines[at] || chr(10) || lines[at + 1] AS said FROM p),
+  SELECT doc_id, pos, lines[pos] || chr(10) || lines[pos + 1] AS said FROM p),
 f AS (
-  SELECT *, first_value(doc_id) OVER w AS d0, first_value(at) OVER w AS a0, regexp_matches(said, '[\\p{L}\\p{N}]') AS says
-  FROM s WINDOW w AS (PARTITION BY said ORDER BY doc_id, at)),
+  SELECT *, first_value(doc_id) OVER w AS d0, first_value(pos) OVER w AS a0, regexp_matches(said, '[\\p{L}\\p{N}]') AS says
+  FROM s WINDOW w AS (PARTITION BY said ORDER BY doc_id, pos)),
 g AS (
-  SELECT doc_id, at, says, at - row_number() OVER (PARTITION BY doc_id ORDER BY at) AS run FROM f WHERE doc_id <> d0 OR at > a0 + 1),
+  SELECT doc_id, pos, says, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM f WHERE doc_id <> d0 OR pos > a0 + 1),
 r AS (
-  SELECT doc_id, min(at) AS a, max(at) + 1 AS b FROM g GROUP BY doc_id, run HAVING bool_or(says)),
+  SELECT doc_id, min(pos) AS a, max(pos) + 1 AS b FROM g GROUP BY doc_id, run HAVING bool_or(says)),
 n AS (
   SELECT doc_id, unnest(range(1, len(lines) + 1)) AS i, lines FROM l),
 k AS (
