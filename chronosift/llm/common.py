@@ -84,6 +84,34 @@ def small_batches(batches: Iterator, column: str, most: int = BATCH_BYTES) -> It
             at = end
 
 
+#: Bytes of words: digits, letters with A-Z lowered, and all bytes of code points beyond ASCII; 0 for what separates words.
+_WORD_BYTES = np.array([b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0 for b in range(256)], np.uint8)
+
+
+def cut_words(texts) -> tuple:
+    """The words of a string array's rows, as one Arrow array of bytes, and the number of words of each row (null: none).
+
+    Words are maximal runs of ASCII letters, digits and code points beyond ASCII; only A-Z are lowered.
+    Arrays from small_batches stay within a few bytes of work for each byte of text.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    said = texts.buffers()[2]
+    low = _WORD_BYTES[np.frombuffer(said, np.uint8)[at[0] : at[-1]]] if said is not None and at[-1] > at[0] else np.empty(0, np.uint8)
+    inside = low != 0
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    heads = at[:-1][at[1:] > at[:-1]] - at[0]
+    first[heads] = inside[heads]
+    starts = np.flatnonzero(first)
+    before = np.concatenate((np.cumsum(inside)[starts] - 1, [np.count_nonzero(inside)])).astype(np.int32) if len(starts) else np.zeros(1, np.int32)
+    counts = np.diff(np.searchsorted(starts, at - at[0]))
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(before), pa.py_buffer(np.ascontiguousarray(low[inside]))]), counts
+
+
 def written_order(docs: DataFrame, name: str) -> tuple[DataFrame, int]:
     """docs with their position (from 0) in the order of the files they are read from, and their number."""
     spark = docs.sparkSession

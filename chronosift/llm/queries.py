@@ -7,15 +7,20 @@ from pyspark.sql import functions as F
 
 from .ann import search
 from .chat_format import format_chat, loss_text, parse_chat
-from .common import scratch, table
+from .common import Tables, scratch, table
 from .fingerprints import edited, encode, fingerprint, likeness, with_next
 from .kd_sharding import kd_shards
 from .langid import identify
+from .lexical import build_index
+from .lexical import search as search_lexical
+from .licenses import scan_licenses
 from .line_dedup import remove_repeated, remove_runs
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .pfair_mix import mix
 from .quality import score
+from .scan_sql import OP11_SQL, OP12_SQL, OP13_SQL
+from .vector_codes import books_sha256, vector_codes
 
 
 def op1_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,6 +109,27 @@ def op10_typed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_id, rank, doc_id, score: the ten best documents of every benchmark item."""
+    tables = Tables(spark)
+    found = search_lexical(build_index(table(spark, sf_dir, "documents"), tables), table(spark, sf_dir, "benchmark"), tables)
+    tables.drop()
+    return found
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, code (two hex digits a part), error, label_error, codebooks_sha256 of every vector kept."""
+    tables = Tables(spark)
+    found, books = vector_codes(table(spark, sf_dir, "embeddings"), tables)
+    tables.drop()
+    code = F.array_join(F.transform("entries", lambda e: F.lpad(F.lower(F.hex(e)), 2, "0")), "")
+    return found.select("vec_id", code.alias("code"), "error", "label_error", F.lit(books_sha256(books)).alias("codebooks_sha256"))
+
+
 OP10_SQL = """
 WITH said AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -182,8 +208,11 @@ def queries() -> dict:
         "op8_kd_shards": op8_kd_shards,
         "op9_dimension_scan": op9_dimension_scan,
         "op10_typed_parts": op10_typed_parts,
+        "op11_impact_search": op11_impact_search,
+        "op12_license_scan": op12_license_scan,
+        "op13_vector_codes": op13_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_chunks": OP7_SQL, "op7_plain_chunks": OP7_PLAIN_SQL, "op10_typed_parts": OP10_SQL}
+    return {"op7_line_chunks": OP7_SQL, "op7_plain_chunks": OP7_PLAIN_SQL, "op10_typed_parts": OP10_SQL, "op11_impact_search": OP11_SQL, "op12_license_scan": OP12_SQL, "op13_vector_codes": OP13_SQL}
