@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from chronosift.plans import accounts, evidence, extras, feature_queries, learning_queries, market, research
+from chronosift.plans import accounts, evidence, extras, feature_queries, learning_queries, market, research, studies
 
-_MODULES = (market, research, accounts, evidence, feature_queries, extras, learning_queries)
+_MODULES = (market, research, accounts, evidence, feature_queries, extras, learning_queries, studies)
 
 
 def queries() -> dict:
