@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from chronosift.operators import references, resamples
-from chronosift.plans.research import PERF, _perf
+from chronosift.plans import learning_queries, sweeps
+from chronosift.plans.research import COSTS, PERF, _perf
 from chronosift.sources import tables as T
 
 _Q: dict = {}
@@ -153,3 +154,97 @@ _CSCV = (
 def cscv_median(spark: SparkSession, sf: str) -> DataFrame:
     """Cross-validated choice by a metric that sums of blocks can't give."""
     return resamples.cscv(_perf(spark, sf), F.median, blocks=6)
+
+
+# ---- sweeps ------------------------------------------------------------------
+AXES = {"fast": [4, 8], "slow": [20, 40]}
+_POINTS = [(f, s) for f in AXES["fast"] for s in AXES["slow"]]
+
+
+def crossover_point(rows: DataFrame, base: WindowSpec) -> DataFrame:
+    """The gap of two means, fast and slow in columns, in deviations of the slow one, within 1."""
+    full = lambda n: base.rowsBetween(-(n - 1), 0)
+    picked = lambda axis, f: F.coalesce(*[F.when(F.col(axis) == n, f(full(n))) for n in AXES[axis]])
+    mean = lambda n: F.avg("close").over(n)
+    spread = picked("slow", lambda n: F.stddev_samp("close").over(n))
+    whole = picked("slow", lambda n: F.count("close").over(n)) == F.col("slow")
+    z = F.when(whole, F.try_divide(picked("fast", mean) - picked("slow", mean), spread))
+    return rows.withColumn("position", F.coalesce(F.greatest(F.least(z, F.lit(1.0)), F.lit(-1.0)), F.lit(0.0)))
+
+
+def _oos(spark: SparkSession, sf: str) -> DataFrame:
+    rows = learning_queries.pooled_bars(spark, sf)
+    return sweeps.walk_forward_points(rows.select("series_id", "time", "open", "high", "low", "close", "spread"), crossover_point, AXES, learning_queries.folds_of(rows), COSTS)
+
+
+def _sweep_sql() -> str:
+    frame = lambda n: f"OVER (PARTITION BY series_id ORDER BY time ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    each = " UNION ALL ".join(
+        f"SELECT {f}::INTEGER AS fast, {s}::INTEGER AS slow, 'fast={f},slow={s}' AS label, series_id, time, pos, open, high, low, close, spread, coalesce(greatest(least(CASE WHEN count(close) {frame(s)} = {s} THEN (avg(close) {frame(f)} - avg(close) {frame(s)}) / nullif(stddev_samp(close) {frame(s)}, 0) END, 1), -1), 0) AS raw FROM feats"
+        for f, s in _POINTS
+    )
+    by = "OVER (PARTITION BY label, series_id ORDER BY time)"
+    return (
+        f"{learning_queries._FEATURED}, pt AS MATERIALIZED ({each}), mn AS (SELECT label, series_id, fold, avg(abs(raw)) AS mean FROM pt JOIN folds ON pos >= a AND pos < b GROUP BY ALL), "
+        "ho AS (SELECT pt.*, folds.fold, CASE WHEN mean > 0 THEN least(0.5 / mean, 4.0) ELSE 0.0 END AS scalar FROM pt JOIN folds ON pos >= c AND pos < d JOIN mn ON mn.label = pt.label AND mn.series_id = pt.series_id AND mn.fold = folds.fold), "
+        "ta AS (SELECT *, greatest(least(scalar * raw, 1.0), -1.0) AS target FROM ho), "
+        f"pa AS (SELECT *, coalesce(lag(target) {by}, 0) AS position, coalesce(lag(target, 2) {by}, 0) AS prior, coalesce(lag(close) {by}, open) AS pc FROM ta), "
+        "oos AS MATERIALIZED (SELECT *, 100 * (prior * (open - pc) + position * (close - open)) - CASE WHEN abs(position - prior) > 0 THEN abs(position - prior) * 100 * (spread / 2 + 0.02::DOUBLE + 0.05::DOUBLE * (high - low)) + abs(position - prior) * 3.5::DOUBLE ELSE 0.0 END AS pnl FROM pa)"
+    )
+
+
+_OOS = _sweep_sql()
+_HOURS = (
+    f"{_OOS}, dp AS (SELECT label, date_trunc('hour', time) AS date, sum(pnl) AS pnl FROM oos GROUP BY ALL), rt AS (SELECT label, date, pnl / nullif(10000000 + coalesce(sum(pnl) OVER (PARTITION BY label ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS ret FROM dp), "
+    "wh AS (SELECT * FROM rt WHERE ret IS NOT NULL AND date IN (SELECT date FROM rt WHERE ret IS NOT NULL GROUP BY date HAVING count(DISTINCT label) = (SELECT count(DISTINCT label) FROM rt WHERE ret IS NOT NULL)))"
+)
+_HALVES = ",".join(f"({i},{b},{str(b in c).lower()})" for i, c in enumerate(itertools.combinations(range(8), 4)) for b in range(8))
+_PBO = (
+    f"{_HOURS}, dd AS (SELECT date, ntile(8) OVER (ORDER BY date) - 1 AS block FROM (SELECT DISTINCT date FROM wh)), cc(combo, block, side) AS (VALUES {_HALVES}), "
+    "mm AS (SELECT combo, label, avg(ret) FILTER (WHERE side) / nullif(stddev_samp(ret) FILTER (WHERE side), 0) AS inside, avg(ret) FILTER (WHERE NOT side) / nullif(stddev_samp(ret) FILTER (WHERE NOT side), 0) AS outside FROM wh JOIN dd USING (date) JOIN cc USING (block) GROUP BY ALL), "
+    "rr AS (SELECT *, (rank() OVER (PARTITION BY combo ORDER BY outside NULLS FIRST) - 1 + (count(*) OVER (PARTITION BY combo, outside) + 1) / 2.0::DOUBLE) / (count(*) OVER (PARTITION BY combo) + 1) AS w, row_number() OVER (PARTITION BY combo ORDER BY inside DESC NULLS LAST, label) AS best FROM mm), "
+    "pb AS (SELECT combo, label AS chosen, inside, outside, w, ln(w / (1 - w)) AS logit FROM rr WHERE best = 1)"
+)
+
+
+@register(
+    f"WITH {_OOS}, st AS (SELECT fast, slow, label, count(DISTINCT fold) AS n_folds, count(pnl) AS bars, avg(pnl) / stddev_samp(pnl) AS sr, sum(pow(pnl - m, 3)) / count(*) / pow(stddev_pop(pnl), 3) AS skew, sum(pow(pnl - m, 4)) / count(*) / pow(stddev_pop(pnl), 4) AS kurt FROM (SELECT *, avg(pnl) OVER (PARTITION BY label) AS m FROM oos) GROUP BY ALL), "
+    "k AS (SELECT *, dense_rank() OVER (ORDER BY fast) AS i, dense_rank() OVER (ORDER BY slow) AS j FROM st) SELECT a.fast, a.slow, a.label, a.n_folds, a.bars, a.sr, a.skew, a.kurt, (SELECT avg(b.sr) FROM k b WHERE abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 AND NOT (a.i = b.i AND a.j = b.j)) AS plateau FROM k a"
+)
+def sweep_walk_forward(spark: SparkSession, sf: str) -> DataFrame:
+    """Every point of a crossover's grid through all folds of all pools."""
+    return sweeps.sweep_table(_oos(spark, sf), AXES)
+
+
+@register(f"WITH {_OOS} SELECT label, series_id, fold, time, scalar::DOUBLE AS scalar, position::DOUBLE AS position, pnl FROM oos")
+def sweep_positions(spark: SparkSession, sf: str) -> DataFrame:
+    """The out-of-sample bars of every point."""
+    return _oos(spark, sf).select("label", "series_id", "fold", "time", "scalar", "position", "pnl")
+
+
+@register(f"WITH {_PBO} SELECT combo, chosen, inside, outside, w, logit FROM pb")
+def sweep_pbo(spark: SparkSession, sf: str) -> DataFrame:
+    """What cross-validation of the sweep's hourly returns chooses, and how that does outside."""
+    return sweeps.grid_pbo(sweeps.period_returns(_oos(spark, sf), 1e7, "hour"))
+
+
+_ENTRIES = "e AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 11 <> 0 THEN o_orderpriority END AS symbol, o_orderdate AS a, o_orderdate + to_days((o_orderkey % 60)::INTEGER) AS b, ['c' || (o_orderkey % 7), 'c' || (o_custkey % 13)] AS hashes FROM orders WHERE o_orderkey % 17 <> 0)"
+
+
+@register(
+    f"WITH {_ENTRIES}, o AS (SELECT DISTINCT o_orderpriority AS symbol, date_trunc('year', o_orderdate) AS a, date_trunc('year', o_orderdate) + INTERVAL 100 DAY AS b FROM orders), "
+    "m AS (SELECT o.symbol, o.a, o.b, e.id, list_filter(e.hashes, lambda h: h <> 'c1' AND h <> 'c2') AS hs FROM o JOIN e ON (e.symbol IS NULL OR e.symbol = o.symbol) AND e.a <= o.b AND e.b >= o.a), "
+    "h AS (SELECT symbol, a, b, count(DISTINCT x) AS n FROM (SELECT symbol, a, b, unnest(hs) AS x FROM m) GROUP BY ALL) "
+    "SELECT o.symbol, o.a AS window_start, o.b AS window_end, count(DISTINCT m.id) AS n_sweeps, coalesce(max(h.n), 0) AS n_configs FROM o LEFT JOIN m USING (symbol, a, b) LEFT JOIN h USING (symbol, a, b) GROUP BY ALL"
+)
+def prior_sweep_trials(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as a ledger of earlier sweeps: how many overlap each year's first hundred days, with how many other configurations."""
+    orders = T.table(spark, sf, "orders")
+    later = lambda day, n: F.timestamp_add("DAY", n, day)
+    entries = orders.filter("o_orderkey % 17 <> 0").select(
+        F.when(F.col("o_orderkey") % 11 != 0, F.col("o_orderpriority")).alias("symbol"), F.col("o_orderdate").alias("window_start"), later(F.col("o_orderdate"), F.col("o_orderkey") % 60).alias("window_end"),
+        F.array(F.concat(F.lit("c"), F.col("o_orderkey") % 7), F.concat(F.lit("c"), F.col("o_custkey") % 13)).alias("config_hashes"),
+    )
+    year = F.date_trunc("year", "o_orderdate").cast("timestamp_ntz")
+    own = orders.select(F.col("o_orderpriority").alias("symbol"), year.alias("window_start")).distinct().select("symbol", "window_start", later(F.col("window_start"), F.lit(100)).alias("window_end"), F.array(F.lit("c1"), F.lit("c2")).alias("config_hashes"))
+    return sweeps.prior_trials(entries, own)
