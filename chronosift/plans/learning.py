@@ -88,7 +88,7 @@ def sample_weights(labels: DataFrame, bars: DataFrame, kind: str = "uniqueness",
     return lb.mean_one(out.withColumn("__w", F.coalesce(w, F.lit(0.0))), "__w", "weight").drop("__w", "__r", "__decay")
 
 
-def fold_cases(rows: DataFrame, features: list[str], labels: DataFrame, folds: list[dict], learner: Learner, *, weight: str = "uniqueness") -> DataFrame:
+def fold_cases(rows: DataFrame, features: list[str], labels: DataFrame, folds: list[dict], learner: Learner, steps: Steps, *, weight: str = "uniqueness") -> DataFrame:
     """(series_id, fold, pos, part, y, w, u, x): fit, val and test cases of every fold.
 
     rows has (series_id, pos) and the features, of which a case needs all; labels has (series_id, t_idx, t1_idx, y), one an event. A test case is
@@ -105,7 +105,7 @@ def fold_cases(rows: DataFrame, features: list[str], labels: DataFrame, folds: l
     train = known.join(spans, (t >= F.col("train_from")) & (t < F.col("train_to")) & (F.col("t1_idx") < F.col("train_to"))).select(F.struct(*KEY).alias("series_id"), "t_idx", "t1_idx", "y", "x")
     # bars of a fold's training span, for its own labels' concurrency
     bars = rows.select("series_id", "pos").join(spans, (p >= F.col("train_from")) & (p < F.col("train_to"))).select(F.struct(*KEY).alias("series_id"), "pos")
-    weighed = sample_weights(train, bars, weight).select("series_id.*", "t_idx", "t1_idx", "y", "x", "uniqueness", "weight")
+    weighed = sample_weights(steps.put(train, "labels"), bars, weight).select("series_id.*", "t_idx", "t1_idx", "y", "x", "uniqueness", "weight")
     own = Window.partitionBy(*KEY)
     nth = weighed.withColumn("__n", F.count(F.lit(1)).over(own)).withColumn("__back", F.row_number().over(own.orderBy(F.desc("t_idx"))))
     tail = F.col("__back") <= F.ceil(F.col("__n") * learner.validate)
@@ -184,7 +184,8 @@ def grow(cases: DataFrame, learner: Learner, steps: Steps) -> DataFrame:
         rows = rows.select(*KEY, "bins", F.lit(1).alias("node"), (F.col("w") * (p - F.col("y"))).alias("g"), (F.col("w") * p * (1 - p)).alias("h"))
         found = None
         for _ in range(learner.depth):
-            best = _best_splits(rows, learner)
+            # written, so that neither the next level nor the leaves work out a level again
+            best = steps.put(_best_splits(rows, learner), "splits")
             found = best if found is None else found.unionByName(best)
             at = _map(best, F.struct("feature", "bin"), "__cuts")
             cut = F.col("__cuts")[F.col("node")]

@@ -171,7 +171,7 @@ def _direction(spark: SparkSession, sf: str) -> learning.Fitted:
     whole = functools.reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(c) for c in FEATURES])
     events = learning.event_positions(rows.filter(whole).select("series_id", "pos"), stride=STRIDE)
     known = y.join(events.withColumnRenamed("pos", "t_idx"), ["series_id", "t_idx"]).select("series_id", "t_idx", "t1_idx", (F.col("label") > 0).cast("double").alias("y"))
-    return learning.fit_folds(learning.fold_cases(rows, FEATURES, steps.put(known, "labels"), folds_of(rows), LEARNER), len(FEATURES), LEARNER, steps)
+    return learning.fit_folds(learning.fold_cases(rows, FEATURES, steps.put(known, "labels"), folds_of(rows), LEARNER, steps), len(FEATURES), LEARNER, steps)
 
 
 def _bets(spark: SparkSession, sf: str) -> tuple[learning.Fitted, DataFrame]:
@@ -182,7 +182,7 @@ def _bets(spark: SparkSession, sf: str) -> tuple[learning.Fitted, DataFrame]:
     events = learning.event_positions(rows.select("series_id", "pos", "side"), kind="flip").select("series_id", F.col("pos").alias("t_idx"))
     sides = steps.put(rows.select("series_id", "pos", "side"), "sides", keep=True)
     known = steps.put(y.join(events, ["series_id", "t_idx"]), "labels")
-    return learning.fit_folds(learning.fold_cases(rows, FEATURES, known, folds_of(rows), LEARNER), len(FEATURES), LEARNER, steps), sides
+    return learning.fit_folds(learning.fold_cases(rows, FEATURES, known, folds_of(rows), LEARNER, steps), len(FEATURES), LEARNER, steps), sides
 
 
 _DEAD = "sign(2 * p - 1) * greatest(abs(2 * p - 1) - 0.02, 0) / 0.98"

@@ -29,7 +29,8 @@ def _rows(spark, n=N, shift=0.0):
 
 def _fit(spark, bars, known, folds=FOLDS):
     names = ["good", "noise", "late"]
-    return learning.fit_folds(learning.fold_cases(bars, names, known, folds, LEARNER), 3, LEARNER, Steps(spark)), names
+    steps = Steps(spark)
+    return learning.fit_folds(learning.fold_cases(bars, names, known, folds, LEARNER, steps), 3, LEARNER, steps), names
 
 
 @pytest.fixture(scope="module")
