@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -55,6 +55,33 @@ def cpcv_paths(groups: int, k: int) -> list[list[int]]:
     return [[queues[g][p] for g in range(groups)] for p in range(len(queues[0]))]
 
 
+def group_of(pos: Column, n: int, groups: int) -> Column:
+    """The number of the contiguous group that a position of n is in; the first n % groups are one longer."""
+    size, longer = divmod(n, groups)
+    head = longer * (size + 1)
+    return F.when(pos < head, F.floor(pos / (size + 1))).otherwise(longer + F.floor((pos - head) / max(size, 1))).cast("int")
+
+
+def path_segments(spark: SparkSession, groups: int, k: int) -> DataFrame:
+    """(path, grp, split): the split that predicts each group on each path, which is the path-th, in order, of those that test it.
+
+    A row a (split, tested group); groups and k bound it.
+    """
+    rows = [(c, g) for c, x in enumerate(itertools.combinations(range(groups), k)) for g in x]
+    nth = F.row_number().over(Window.partitionBy("grp").orderBy("split")) - 1
+    return spark.createDataFrame(rows, "split int, grp int").select(nth.alias("path"), "grp", "split")
+
+
+def assemble_paths(predictions: DataFrame, n: int, groups: int, k: int, keys: list[str] = (), *, split: str = "split", pos: str = "pos") -> DataFrame:
+    """The predictions (keys, split, pos, ..) of test rows with the path that each belongs to.
+
+    Every path has each position once. Rows of a split that doesn't test their group belong to none.
+    """
+    segments = F.broadcast(path_segments(predictions.sparkSession, groups, k).withColumnsRenamed({"split": "__split", "grp": "__grp"}))
+    placed = predictions.withColumn("__g", group_of(F.col(pos), n, groups))
+    return placed.join(segments, (F.col("__g") == F.col("__grp")) & (F.col(split) == F.col("__split"))).select("path", *keys, split, pos, *[c for c in predictions.columns if c not in (*keys, split, pos)])
+
+
 def grid(spark: SparkSession, axes: dict[str, list]) -> DataFrame:
     """The product of a few short parameter lists, by explosion of literals."""
     out = spark.range(1).drop("id")

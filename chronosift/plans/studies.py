@@ -7,7 +7,7 @@ import itertools
 from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from chronosift.operators import references, resamples
+from chronosift.operators import cycles, references, resamples, splits
 from chronosift.plans import learning_queries, sweeps
 from chronosift.plans.research import COSTS, PERF, _perf
 from chronosift.sources import tables as T
@@ -248,3 +248,65 @@ def prior_sweep_trials(spark: SparkSession, sf: str) -> DataFrame:
     year = F.date_trunc("year", "o_orderdate").cast("timestamp_ntz")
     own = orders.select(F.col("o_orderpriority").alias("symbol"), year.alias("window_start")).distinct().select("symbol", "window_start", later(F.col("window_start"), F.lit(100)).alias("window_end"), F.array(F.lit("c1"), F.lit("c2")).alias("config_hashes"))
     return sweeps.prior_trials(entries, own)
+
+
+# ---- combinatorial paths -----------------------------------------------------
+GROUPS, TESTED, PURGE = 6, 2, 5
+_SPLITS = list(itertools.combinations(range(GROUPS), TESTED))
+_BOUND = "CASE WHEN pos < (n % 6) * (n // 6 + 1) THEN pos // (n // 6 + 1) ELSE n % 6 + (pos - (n % 6) * (n // 6 + 1)) // (n // 6) END"
+_PATHS = (
+    f"{PERF}, days AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM perf WHERE ret IS NOT NULL)), "
+    f"gd AS (SELECT date, pos, ({_BOUND})::INTEGER AS grp FROM days), ends AS (SELECT grp, min(pos) AS a, max(pos) AS b FROM gd GROUP BY 1), "
+    f"tested(split, grp) AS (VALUES {','.join(f'({c},{g})' for c, x in enumerate(_SPLITS) for g in x)}), "
+    "rows_ AS MATERIALIZED (SELECT name, pos, grp, ret, lag(ret) OVER (PARTITION BY name ORDER BY pos) AS before FROM perf JOIN gd USING (date) WHERE ret IS NOT NULL), "
+    f"near AS (SELECT DISTINCT split, pos FROM tested JOIN ends USING (grp), gd WHERE pos BETWEEN a - {PURGE} AND b + {PURGE}), "
+    "fit AS (SELECT name, split, covar_pop(ret, before) / var_pop(before) AS slope, avg(ret) - covar_pop(ret, before) / var_pop(before) * avg(before) AS level FROM rows_, range(15) s(split) WHERE before IS NOT NULL AND (split, pos) NOT IN (SELECT split, pos FROM near) GROUP BY ALL), "
+    "seg AS (SELECT split, grp, row_number() OVER (PARTITION BY grp ORDER BY split) - 1 AS path FROM tested), "
+    "pth AS (SELECT path, r.name, split, pos, level + slope * before AS p, ret FROM rows_ r JOIN seg USING (grp) JOIN fit f USING (name, split) WHERE before IS NOT NULL)"
+)
+
+
+def _predictions(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
+    """(name, split, pos, p, ret): next returns by a line on the last one, fitted on each split's purged training days; and the number of days."""
+    perf = _perf(spark, sf)
+    days = perf.select("date").distinct().withColumn("pos", (F.row_number().over(Window.orderBy("date")) - 1).cast("long"))
+    n = days.count()
+    rows = perf.join(days, "date").withColumn("before", F.lag("ret").over(Window.partitionBy("name").orderBy("pos"))).filter("before IS NOT NULL")
+    size, longer = divmod(n, GROUPS)
+    edge = [g * size + min(g, longer) for g in range(GROUPS + 1)]
+    table = spark.createDataFrame([(c, [(edge[g], edge[g + 1] - 1) for g in x]) for c, x in enumerate(_SPLITS)], "split int, spans array<struct<a:long,b:long>>")
+    each = rows.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(len(_SPLITS) - 1)))).join(F.broadcast(table), "split")
+    pos = F.col("pos")
+    near = F.exists("spans", lambda s: (pos >= s["a"] - PURGE) & (pos <= s["b"] + PURGE))
+    slope = F.covar_pop("ret", "before") / F.var_pop("before")
+    fit = each.filter(~near).groupBy("name", "split").agg(slope.alias("slope"), (F.avg("ret") - slope * F.avg("before")).alias("level"))
+    tests = each.filter(F.exists("spans", lambda s: (pos >= s["a"]) & (pos <= s["b"])))
+    return tests.join(fit, ["name", "split"]).select("name", "split", "pos", (F.col("level") + F.col("slope") * F.col("before")).alias("p"), "ret"), n
+
+
+@register(f"WITH {_PATHS} SELECT path::INTEGER AS path, name, split, pos, p, ret FROM pth")
+def cpcv_prediction_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Every path of the combinatorial splits over a table of predictions; each has all days once."""
+    made, n = _predictions(spark, sf)
+    return splits.assemble_paths(made, n, GROUPS, TESTED, ["name"])
+
+
+@register(f"WITH {_PATHS}, q AS (SELECT path, name, sign(p) * ret AS x FROM pth) SELECT path::INTEGER AS path, name, count(*) AS days, avg(x) / stddev_samp(x) AS sr, sum(x) AS total FROM q GROUP BY ALL")
+def cpcv_path_ratios(spark: SparkSession, sf: str) -> DataFrame:
+    """The ratio that a sign rule has on each path: a distribution, where walk-forward has one."""
+    made, n = _predictions(spark, sf)
+    x = F.signum("p") * F.col("ret")
+    return splits.assemble_paths(made, n, GROUPS, TESTED, ["name"]).groupBy("path", "name").agg(F.count(F.lit(1)).alias("days"), (F.avg(x) / F.stddev_samp(x)).alias("sr"), F.sum(x).alias("total"))
+
+
+# ---- cycles ------------------------------------------------------------------
+@register()
+def seasonal_positions(spark: SparkSession, sf: str) -> DataFrame:
+    """Hours of the week in which a pool's mean move pays for the trade into it, and the positions held through the others."""
+    rows = learning_queries.pooled_bars(spark, sf).withColumn("slot", (F.weekday("time") * 24 + F.hour("time")).cast("int"))
+    ahead = F.ln(F.lead("close").over(Window.partitionBy("series_id").orderBy("time")) / F.col("close"))
+    rows = rows.withColumn("ahead", ahead)
+    own = rows.groupBy("series_id").agg(F.avg("ahead").alias("mean"), F.var_pop("ahead").alias("gamma"))
+    n = F.count("ahead")
+    slots = rows.join(own, "series_id").groupBy("series_id", "slot").agg(((F.avg("ahead") - F.first("mean")) * n / (n + 5)).alias("edge"), F.avg(F.col("spread") / F.col("close")).alias("cost"), F.first("gamma").alias("gamma"))
+    return cycles.cycle_positions(slots, ["series_id"])

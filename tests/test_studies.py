@@ -163,3 +163,42 @@ def test_ledgers(spark, tmp_path):
     own = spark.createDataFrame([("X", day(1, 15), day(2, 20), ["a"]), ("X", day(3, 1), day(3, 31), []), ("X", day(3, 6), day(4, 1), []), ("Y", day(2, 1), day(2, 2), None)], "symbol string, window_start timestamp_ntz, window_end timestamp_ntz, config_hashes array<string>")
     got = {(r["symbol"], r["window_start"].month, r["window_start"].day): (r["n_sweeps"], r["n_configs"]) for r in sweeps.prior_trials(entries, own).collect()}
     assert got == {("X", 1, 15): (2, 2), ("X", 3, 1): (1, 2), ("X", 3, 6): (0, 0), ("Y", 2, 1): (1, 2)}
+
+
+def _earned(f, edge, cost, gamma):
+    return sum(e * x - gamma / 2 * x * x - c * abs(x - y) for e, c, x, y in zip(edge, cost, f, [f[-1], *f[:-1]], strict=True))
+
+
+def test_cycles_earn_as_much_as_any(spark):
+    from chronosift.operators import cycles
+
+    rng = random.Random(4)
+    rows, want = [], {}
+    for s in range(40):
+        slots = rng.choice([1, 3, 5])
+        edge, cost, gamma = [rng.gauss(0, 1) for _ in range(slots)], [abs(rng.gauss(0, 0.6)) for _ in range(slots)], rng.uniform(0.5, 2)
+        rows += [(s, b, edge[b], cost[b], gamma, "x") for b in range(slots)]
+        want[s] = (edge, cost, gamma, max(_earned(f, edge, cost, gamma) for f in itertools.product([-1.0, -0.5, 0.0, 0.5, 1.0], repeat=slots)))
+    rows += [(99, 0, None, 0.1, 1.0, "x"), (99, 1, 1.0, None, 1.0, "x")]
+    found = {}
+    for r in cycles.cycle_positions(spark.createDataFrame(rows, "s int, slot int, edge double, cost double, gamma double, ring string").repartition(3), ["s"], points=5).orderBy("s", "slot").collect():
+        found.setdefault(r["s"], []).append(r["position"])
+        assert r["converged"]
+    for s, (edge, cost, gamma, most) in want.items():
+        assert _earned(found[s], edge, cost, gamma) == pytest.approx(most, abs=1e-6)
+    assert found[99] == [0.0, 0.0]  # nothing to earn, and no way to move
+    with pytest.raises(ValueError):
+        cycles.cycle_positions(spark.createDataFrame(rows, "s int, slot int, edge double, cost double, gamma double, ring string"), ["s"], points=4)
+
+
+def test_paths_take_every_day_once(spark):
+    from chronosift.operators import splits
+
+    n, groups, k = 23, 5, 2
+    combos = splits.cpcv(n, groups, k)
+    rows = [(c["combo"], p, float(c["combo"] * 1000 + p)) for c in combos for a, b in c["spans"] for p in range(a, b)]
+    got = splits.assemble_paths(spark.createDataFrame(rows, "split int, pos long, p double"), n, groups, k).collect()
+    paths = splits.cpcv_paths(groups, k)
+    edges = [i * (n // groups) + min(i, n % groups) for i in range(groups + 1)]
+    want = {(i, path[g], p): path[g] * 1000.0 + p for i, path in enumerate(paths) for g in range(groups) for p in range(edges[g], edges[g + 1])}
+    assert {(r["path"], r["split"], r["pos"]): r["p"] for r in got} == want and len(got) == len(want) == n * len(paths)
