@@ -1,7 +1,7 @@
 """Positions over a cycle of slots, such as the hours of a week, that pay for their own trades.
 
 Each slot has an edge and a cost of moving; the position of a slot earns edge * f - gamma / 2 * f^2 and pays cost * |change|, for ever round
-the cycle. Values of a grid of positions are iterated backwards round the cycle until the policy repeats. The best move from every position is the upper
+the cycle. Values of a grid of positions are iterated backwards round the cycle until they and the policy settle. The best move from every position is the upper
 envelope of values less the cost of the way there, which two running maxima give, so a slot takes time in proportion to the grid. All series
 of a batch go round together; a series is as many numbers as the cycle has slots.
 """
@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 GRID, SWEEPS, CYCLES = 81, 400, 50
+#: How little relative values may still change, so that a policy that only pauses isn't taken for the last one.
+SETTLED = 1e-10
 #: What a smaller position, and staying, are preferred by where values are equal.
 SMALL, STAY = 1e-12, 1e-15
 
@@ -36,7 +38,7 @@ def envelope(value: np.ndarray, grid: np.ndarray, cost: np.ndarray) -> tuple[np.
 
 
 def solve(edge: np.ndarray, cost: np.ndarray, gamma: np.ndarray, points: int = GRID) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(series x slots) positions, sweeps taken, and whether the policy came to repeat; from flat at the first slot."""
+    """(series x slots) positions, sweeps taken, and whether values and policy settled; from flat at the first slot."""
     grid = np.linspace(-1.0, 1.0, points)
     flat = points // 2
     n, slots = edge.shape
@@ -51,9 +53,11 @@ def solve(edge: np.ndarray, cost: np.ndarray, gamma: np.ndarray, points: int = G
             here = edge[go, b, None] * grid - 0.5 * gamma[go, None] * grid**2 - SMALL * np.abs(grid)
             v, move = envelope(here + v, grid, cost[go, b] + STAY)
             policy[b, go] = move
-        value[go] = v - v[:, [flat]]
+        v = v - v[:, [flat]]
+        moved = np.abs(v - value[go]).max(axis=1)
+        value[go] = v
         sweeps[go] += 1
-        done[go] = (policy[:, go] == before).all(axis=(0, 2))
+        done[go] = (policy[:, go] == before).all(axis=(0, 2)) & (moved < SETTLED)
     at, orbit, last, rows = np.full(n, flat), np.zeros((n, slots), int), None, np.arange(n)
     for _ in range(CYCLES):
         for b in range(slots):
