@@ -128,6 +128,12 @@ def written_order(docs: DataFrame, name: str) -> tuple[DataFrame, int]:
     return rows.join(F.broadcast(begin), "__file").select(*docs.columns, (F.col("__begin") + F.col("__index")).alias(name)), n
 
 
+def set_aside(docs: DataFrame, used: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """docs with all columns but those used under names that no operator works with, and what these stand for."""
+    aside = {f"aside {i}": c for i, c in enumerate(docs.columns) if c not in used}
+    return docs.withColumnsRenamed({c: k for k, c in aside.items()}), aside
+
+
 def small_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A frame of driver rows whose number a parameter bounds."""
     names = [x.split()[0] for x in schema.split(",")]

@@ -1,7 +1,7 @@
 """Sharding by a k-d tree over document metadata.
 
-Dimensions are the logarithms of a document's bytes and characters, and its language and source, as the places
-of these names in their order. Each dimension counts in units of its range over all rows. A node that must hold
+Dimensions are the logarithms of a document's bytes and characters, and its language and source, as places
+that hashes of the whole names give, so that each name is a point of its own. Each dimension counts in units of its range over all rows. A node that must hold
 k shards is cut along the dimension in which it is widest, at the distributed weighted quantile floor(k/2)/k of
 its bytes, until every leaf holds one shard. A quantile is found by histograms: over the dimension, twice, the second
 time within the bin that holds it, then, for ties, over text hashes, and at last over row hashes; so equal values
@@ -9,8 +9,7 @@ and equal texts part only where a cut falls among them, and a value
 that a third of all rows share is cut as finely as any other. Each histogram is a partial
 aggregate, and the driver sees at most `bins` rows a node; nothing else reaches it. Each level is a table of its own.
 
-Defined results: a null text counts as empty (8 bytes); null names as empty strings, names that agree in their first
-six bytes are ties; columns of names may lack; rows with equal id and text stay together; other columns are ignored,
+Defined results: a null text counts as empty (8 bytes); null names as empty strings; columns of names may lack; rows with equal id and text stay together; other columns are ignored,
 whatever their names; an empty table gives no rows.
 """
 
@@ -25,8 +24,8 @@ BINS, STEPS = 1024, 4
 
 
 def _place(name: Column) -> Column:
-    """A name's place in the order of names: its first six bytes as a number."""
-    return F.conv(F.rpad(F.hex(F.substring(F.encode(F.coalesce(name, F.lit("")), "utf-8"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    """A whole name's place among all that there could be: the upper 53 bits of its hash."""
+    return F.shiftrightunsigned(F.xxhash64(F.coalesce(name, F.lit(""))), 11).cast("double") / float(1 << 53)
 
 
 def metadata(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", names: tuple[str, ...] = ("lang", "source")) -> DataFrame:

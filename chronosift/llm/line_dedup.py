@@ -28,6 +28,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import set_aside
+
 WINDOW, DIVISOR, MIN_LINES = 2, 2, 2
 
 
@@ -89,7 +91,10 @@ def remove_runs(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     A line goes if it and a neighbour occurred next to each other before (in an earlier document, or further up
     without overlap) and a letter or digit is in the run of such lines. The first occurrence of every line stays.
     """
-    cols = [c for c in docs.columns if c not in ("n_lines", "removed_runs", "removed_lines")]
+    docs = docs.drop("n_lines", "removed_runs", "removed_lines")
+    order = docs.columns
+    docs, aside = set_aside(docs, [doc_id, text])
+    cols = docs.columns
     # both joins of the texts see the same columns, so that they can share one shuffle
     keyed = docs.select(*cols).withColumn("__row", F.xxhash64(text))
     lines = F.split(F.col(text), "\n", -1)
@@ -123,4 +128,5 @@ def remove_runs(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
         "removed_lines": F.coalesce(F.aggregate("__runs", F.lit(0), lambda n, r: n + r["stop"] - r["start"]), F.lit(0)),
         "__new": F.when(F.col("__runs").isNull(), F.col(text)).otherwise(F.array_join(kept_lines, "\n")),
     })
-    return out.select(*[F.col("__new").alias(c) if c == text else F.col(c) for c in cols], "n_lines", "removed_runs", "removed_lines")
+    named = {aside.get(c, c): F.col("__new") if c == text else F.col(c) for c in cols}
+    return out.select(*[named[c].alias(c) for c in order], "n_lines", "removed_runs", "removed_lines")

@@ -7,8 +7,9 @@ deadline, and earliest-deadline-first gives every block a slot between them; so
 source is less than one block away from its share. A source that runs out leaves its share to
 the others, in proportion to their weights; no row is dropped or repeated.
 
-Weights are whole numbers w with a sum of at most UNIT (shares are kept exactly where they have so small a
-common denominator, else rounded to 1 / UNIT). After every unit, in which each source is served w blocks, the
+Weights are whole numbers w with a sum of at most PARTS times the number of blocks, but from UNIT to UNIT_MOST (shares are kept exactly where
+they have so small a common denominator, else rounded by less than one part). So rounding adds less than 1 / PARTS of a block up
+to UNIT_MOST / PARTS blocks, and less than one block in UNIT_MOST beyond. After every unit, in which each source is served w blocks, the
 fluid schedule stands at whole blocks for all sources; so a unit's schedule depends on nothing but the number of blocks
 that each source has left for it, and there are at most two different units a source plus one. Each of these is scheduled
 by a task; a block finds its slot from its unit's place and its slot within. The block size is fixed,
@@ -34,9 +35,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rank_within, running, scratch, small_frame
+from .common import rank_within, running, scratch, set_aside, small_frame
 
-BLOCK_BYTES, UNIT = 1 << 16, 1 << 14
+BLOCK_BYTES, UNIT, UNIT_MOST, PARTS = 1 << 16, 1 << 14, 1 << 20, 16
 #: Rows of a plan, or blocks, that may be broadcast; more are joined by a shuffle.
 PLAN_ROWS = 100_000
 #: Slots that one task of the prefix sum over slots adds up.
@@ -84,7 +85,11 @@ def whole_weights(share: list[float], unit: int = UNIT) -> list[int]:
     if all(out) and sum(out) <= unit and all(math.isclose(float(f), x, rel_tol=1e-12) for f, x in zip(exact, share, strict=True)):
         return out
     total = sum(share)
-    return [max(1, int(x / total * unit)) for x in share]
+    parts = [x / total * unit for x in share]
+    out = [max(1, int(p)) for p in parts]
+    for s in sorted(range(len(out)), key=lambda s: int(parts[s]) - parts[s])[: max(0, unit - sum(out))]:
+        out[s] += 1
+    return out
 
 
 def units(blocks: list[int], weights: list[int]) -> list[tuple[int, int, list[int]]]:
@@ -113,15 +118,17 @@ def slots(spark, runs: list[tuple[int, int, list[int]]], weights: list[int]) ->
     return numbers.mapInPandas(plan, "run long, source int, nth long, slot long")
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, *, temperature: float = 2.0, doc_id: str = "doc_id", text: str = "text", source: str = "source", size: str | None = None, block_bytes: int = BLOCK_BYTES, unit: int = UNIT) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, *, temperature: float = 2.0, doc_id: str = "doc_id", text: str = "text", source: str = "source", size: str | None = None, block_bytes: int = BLOCK_BYTES, unit: int | None = None) -> DataFrame:
     """docs with mix_block, mix_slot and mix_position (gapless from 0).
 
     weights: by source; a source that it leaves out gets the least of them. By default a source
     weighs its bytes to the power 1 / temperature. size: a column with the bytes, else text's.
     """
     spark = docs.sparkSession
-    cols = [c for c in docs.columns if c not in ("mix_block", "mix_slot", "mix_position")]
-    docs = docs.select(*cols)
+    docs = docs.drop("mix_block", "mix_slot", "mix_position")
+    order = docs.columns
+    docs, aside = set_aside(docs, [doc_id, text, source, *([size] if size else [])])
+    cols = docs.columns
     key = F.when(F.col(source).isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), F.col(source)))
     bytes_ = F.col(size) if size else F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1
     tie = F.xxhash64(text) if text in cols else F.lit(0).cast("long")
@@ -133,7 +140,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, *, temp
     else:
         given = {("-" if k is None else f"={k}"): float(v) for k, v in weights.items()}
         share = [given.get(t[0], min(given.values(), default=1.0)) for t in totals]
-    whole = whole_weights(share, unit)
+    whole = whole_weights(share, unit or max(UNIT, min(UNIT_MOST, PARTS * sum(blocks))))
     runs = units(blocks, whole)
     plan = scratch(slots(spark, runs, whole), "mix-plan")
     counts = [(t[0], t[1]) for t in totals] or [("", 0)]
@@ -156,4 +163,5 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, *, temp
     shifted = placed.join(before, "mix_slot").select("__source", "mix_block", "mix_slot", (F.col("__start") - F.col("__first")).alias("__shift"))
     ranked = rank_within(keyed, "__source", by, counts, weight="__bytes", rank="__rank", before="__before").withColumn("mix_block", block)
     out = ranked.join(F.broadcast(shifted) if sum(blocks) <= PLAN_ROWS else shifted, ["__source", "mix_block"])
-    return out.select(*cols, "mix_block", "mix_slot", (F.col("__rank") + F.col("__shift")).alias("mix_position"))
+    named = {aside.get(c, c): F.col(c) for c in cols}
+    return out.select(*[named[c].alias(c) for c in order], "mix_block", "mix_slot", (F.col("__rank") + F.col("__shift")).alias("mix_position"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronosift.llm.common import scratch, table, written_order
+from chronosift.llm.common import scratch, set_aside, table, written_order
 from chronosift.llm.langid import UNKNOWN, identify
 from chronosift.llm.line_dedup import remove_runs
 from chronosift.llm.near_dedup import BROADCAST_IDS, near_duplicates
@@ -43,11 +43,23 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return marked.filter(stays).select(*[known.alias(c) if c == "lang" else F.col(c) for c in docs.columns])
 
 
+def _aside(stage):
+    """The stage on documents whose extra columns have names that it doesn't work with."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        renamed, aside = set_aside(docs, ["doc_id", "text", "lang", "source", "n_chars"])
+        return stage(spark, renamed, sf_dir).withColumnsRenamed(aside).select(*docs.columns)
+
+    run.__doc__, run.__name__ = stage.__doc__, stage.__name__
+    return run
+
+
+@_aside
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes repeated runs of lines, and documents of which nothing else was left.
 
     The first occurrence of a run stays (by doc_id, then text, then place); rows of one id and text lose the same; a null text
-    stays null and its row stays; n_chars follows where a text changed; an empty table stays empty; extra columns stay.
+    stays null and its row stays; n_chars follows where a text changed; an empty table stays empty; extra columns stay, whatever their names.
     """
     # the row number keeps the optimiser from working the text out again for each use in the filter
     lean = remove_runs(docs).withColumn("__at", F.monotonically_increasing_id()).filter((F.col("__at") >= 0) & ((F.col("removed_runs") == 0) | (F.trim("text") != "")))
@@ -70,11 +82,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(*docs.columns)
 
 
+@_aside
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts all documents into the order of the mixture; files and rows follow it.
 
     A null source is a source of its own; ties in a source go by hash; every row stays, repeated ones too; an empty table
-    stays empty; extra columns stay, but for those named mix_block, mix_slot and mix_position.
+    stays empty; extra columns stay, whatever their names.
     """
     return mix(docs, WEIGHTS).repartitionByRange("mix_position").sortWithinPartitions("mix_position").select(*docs.columns)
 
@@ -84,7 +97,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null or empty text is its end token; repeated rows are packed each; an empty table gives no rows; other columns go.
     """
-    placed, n = written_order(docs, "__mixed")
+    placed, n = written_order(docs.select("doc_id", "text"), "__mixed")
     return pack_documents(placed, position="__mixed", positions=n).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -121,10 +122,10 @@ def test_shards(spark):
 
 def test_shards_are_the_leaves_of_a_kd_tree(spark):
     """Brute force: every node is cut along its widest dimension, at its weighted quantile."""
-    rows = [(i, "x" * int(2 ** (1 + i * 7919 % 1000 / 100)) + ("é" * (i % 50)), "en de fr".split()[i % 3], f"host{i * 31 % 97}") for i in range(900)]
+    rows = [(i, "x" * int(2 ** (1 + i * 7919 % 1000 / 100)) + ("é" * (i % 50)), "en de fr".split()[i % 3], f"one_long_host{i * 31 % 97}") for i in range(900)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     shard = {r["doc_id"]: r["shard"] for r in kd_shards(docs, 6).collect()}
-    place = lambda t: int.from_bytes(t.encode()[:6].ljust(6, b"\0"), "big")
+    place = lambda t: (xxhash.xxh64(t.encode(), seed=42).intdigest() >> 11) / 2**53
     points = {i: (math.log2(len(t.encode()) + 8), math.log2(len(t) + 1), place(la), place(so)) for i, t, la, so in rows}
     size = {i: len(t.encode()) + 8 for i, t, _, _ in rows}
     unit = [max(p[d] for p in points.values()) - min(p[d] for p in points.values()) for d in range(4)]
@@ -248,3 +249,25 @@ def test_program_beats_best_fit_where_three_pieces_barely_fit():
     alone: dict = {}
     packing._best_fit(dict(sizes), 1024, alone)
     assert bound <= sum(t for _, t in plan) <= 0.96 * sum(alone.values())
+
+
+def test_rounded_weights_stay_near_the_given_ones():
+    """Shares that no small denominator has: what rounding moves a source by within as many blocks as are planned for."""
+    share = [math.sqrt(x) for x in (2, 3, 5, 7, 1000)]
+    for blocks in (10, 1000, 60_000):
+        whole = whole_weights(share, max(1 << 14, 16 * blocks))
+        assert all(abs(w / sum(whole) - s / sum(share)) * blocks < 1 / 8 for w, s in zip(whole, share, strict=True))
+
+
+def test_mixture_of_given_weights_row_by_row(spark):
+    """Every prefix of the mixture against the given weights, until a source runs out."""
+    rows = [(i, "x", "abc"[i % 3], 1) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size int")
+    given = {"a": math.sqrt(2), "b": math.sqrt(3), "c": math.pi}
+    got = [r["source"] for r in mix(docs, given, size="size", block_bytes=1).orderBy("mix_position").collect()]
+    served = {k: 0 for k in given}
+    for i, s in enumerate(got, 1):
+        served[s] += 1
+        if max(served.values()) == 300:
+            break
+        assert all(abs(served[k] - i * v / sum(given.values())) < 1 + 1 / 8 for k, v in given.items())

@@ -129,3 +129,26 @@ def test_sequences_follow_the_mixture(spark, tmp_path, monkeypatch):
         assert all(sum(n for _, n in s) <= 1024 and [o for o, _ in sorted(s)] == [sum(n for _, n in sorted(s)[:i]) for i in range(len(s))] for s in spans.values())
     assert {tuple(r) for r in tables[0]} != {tuple(r) for r in tables[1]}
     assert len(tables[0]) == len(tables[1]) and {r["sequence_id"] for r in tables[0]} == {r["sequence_id"] for r in tables[1]}
+
+
+INTERNAL = ["n_lines", "removed_runs", "removed_lines", "__at", "__row", "__id", "__said", "__lines", "__runs", "__h", "__n", "__new", "__l_id", "__n_id", "__pairs", "__source", "__key", "__bytes", "__tie", "__rank", "__before", "__chunk", "__first", "__shift", "mix_block", "mix_slot", "mix_position", "run", "nth", "slot", "__file", "__index", "__begin", "__mixed", "aside 0", "kept", "component_id"]
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    import corpus_pipeline as cp
+
+    docs = documents(spark).drop("size", "rank", "part").withColumns({c: F.concat(F.lit(c), F.lit("="), F.coalesce(F.col("doc_id").cast("string"), F.lit("?"))) for c in INTERNAL})
+    docs = cp.scratch(docs)
+    for name, stage in cp.STAGES[:-1]:
+        out = cp.scratch(stage(spark, docs, None))
+        assert out.columns == docs.columns, name
+        for r in out.collect():
+            said = "?" if r["doc_id"] is None else str(r["doc_id"])
+            assert all(r[c] == f"{c}={said}" for c in INTERNAL), name
+    assert cp.packing(spark, out, None).select("doc_id").distinct().count() == out.select("doc_id").distinct().count()
+
+
+def test_every_part_of_the_entry_is_there():
+    import __spark_entry__
+
+    assert __spark_entry__.ABSENT == {} and "pipeline" in __spark_entry__.queries()
