@@ -163,8 +163,10 @@ def simulate(
             share = 0.0 if f != f or v != v or v <= 0 else max(-max_leverage, min(max_leverage, f * target / v))
             lots = math.floor(abs(share) * max(cash, 0) / (close * costs.contract) / costs.lot_step + 1e-9) * costs.lot_step
             ask = math.copysign(min(lots, costs.max_lot), share) if lots else 0.0
-            full = max_leverage * max(cash, 0) / (close * costs.contract)
-            wanted = 0.0 if halted or (wait and not pos) else ask if abs(ask - pos) >= band * full or ask * pos < 0 or not ask else pos
+            # a change small beside the larger side is left, but never to or from flat, over to the other side, or above the cap
+            full = min(max_leverage * max(cash, 0) / (close * costs.contract), costs.max_lot)
+            stays = band > 0 and ask * pos > 0 and abs(pos) <= full + 1e-12 and abs(ask - pos) < band * max(abs(ask), abs(pos))
+            wanted = 0.0 if halted or (wait and not pos) else pos if stays else ask
             out.append((pos, cash - before, cash, halted, reason, swap, deals))
             last = close
         return out

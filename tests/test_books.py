@@ -224,3 +224,31 @@ def test_simulated_deals_add_up(spark):
             assert (held["position"].iloc[i : i + 6] == 0).all()
     none = execution.simulate(rows.filter("false"), "zscore_fade", costs)
     assert none.count() == 0
+
+
+def test_registered_books_trade(spark):
+    """Openings are never held back by the band: the registered books have positions, stops and round trips."""
+    from chronosift import catalogue
+    from pyspark.sql import functions as F
+
+    sf = "/root/testdata/sf0.01"
+    book = catalogue.queries()["simulated_books"](spark, sf)
+    held, stopped, moved = book.agg(F.count_if(F.col("position") != 0), F.count_if(F.col("reason") == "stop"), F.count_distinct("equity")).head()
+    assert held > 100 and stopped > 0 and moved > 100
+    trades = catalogue.queries()["simulated_trades"](spark, sf)
+    assert trades.count() > 100 and trades.filter("NOT open AND pnl IS NULL").count() == 0
+
+
+def test_band_holds_small_changes_alone(spark):
+    import datetime as dt
+
+    from chronosift.operators import execution
+
+    want = [0.5, 0.52, 0.6, -0.6, 0.0, 0.01, 0.0111]
+    start = dt.datetime(2024, 1, 1)
+    rows = [(1, start + dt.timedelta(days=i), 100.0, 100.0, 100.0, 100.0, 0.0, f, 0.1) for i, f in enumerate([*want, 0.0111])]
+    bars = spark.createDataFrame(rows, "series_id long, time timestamp_ntz, open double, high double, low double, close double, spread double, f double, vol double")
+    free = execution.Costs(commission=0.0, max_lot=1000.0)
+    got = [round(r["position"], 2) for r in execution.simulate(bars, "f", free, equity=1_000_000.0, target=0.1, band=0.1).orderBy("time").collect()]
+    # a forecast's lots: f * 1,000,000 / (100 * 100); 52 is within a tenth of 50, 60 isn't; 1.11 is just within a tenth of 1
+    assert got == [0.0, 50.0, 50.0, 60.0, -60.0, 0.0, 1.0, 1.0]
