@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from chronosift.operators import cycles, references, resamples, splits
-from chronosift.plans import learning_queries, sweeps
+from chronosift.plans import feature_queries, features, learning_queries, sweeps, warmup
+from chronosift.plans.market import BAR_COLS, BARS
 from chronosift.plans.research import COSTS, PERF, _perf
 from chronosift.sources import tables as T
 
@@ -310,3 +311,14 @@ def seasonal_positions(spark: SparkSession, sf: str) -> DataFrame:
     n = F.count("ahead")
     slots = rows.join(own, "series_id").groupBy("series_id", "slot").agg(((F.avg("ahead") - F.first("mean")) * n / (n + 5)).alias("edge"), F.avg(F.col("spread") / F.col("close")).alias("cost"), F.first("gamma").alias("gamma"))
     return cycles.cycle_positions(slots, ["series_id"])
+
+
+# ---- snapshots ---------------------------------------------------------------
+_NEAR = ["meanrev", "range", "microstructure", "session", "calendar"]
+
+
+@register(f"SELECT * FROM (SELECT b.*, {', '.join(f'{g}.* EXCLUDE (time)' for g in _NEAR)} FROM (WITH {BARS} SELECT {BAR_COLS} FROM bars) b {' '.join(f'JOIN ({feature_queries._SQL[f"features_{g}"]}) {g} ON {g}.time = b.time' for g in _NEAR)}) QUALIFY row_number() OVER (ORDER BY time DESC) <= 48")
+def feature_snapshot(spark: SparkSession, sf: str) -> DataFrame:
+    """Five groups on the newest 48 hourly bars, from no more bars than the groups look back; SQL takes them from all bars."""
+    pipe = features.Pipeline(_NEAR)
+    return warmup.snapshot(pipe, T.bars(spark, sf), 48, events=T.calendar(spark, sf))
