@@ -12,6 +12,7 @@ from chronosift.plans import feature_queries, features, learning_queries, sweeps
 from chronosift.plans.market import BAR_COLS, BARS
 from chronosift.plans.research import COSTS, PERF, _perf
 from chronosift.sources import tables as T
+from chronosift.streaming import retries
 
 _Q: dict = {}
 _SQL: dict[str, str] = {}
@@ -322,3 +323,46 @@ def feature_snapshot(spark: SparkSession, sf: str) -> DataFrame:
     """Five groups on the newest 48 hourly bars, from no more bars than the groups look back; SQL takes them from all bars."""
     pipe = features.Pipeline(_NEAR)
     return warmup.snapshot(pipe, T.bars(spark, sf), 48, events=T.calendar(spark, sf))
+
+
+# ---- decisions that wait -----------------------------------------------------
+_RULE = retries.Retry(most_wait=200_000.0, wait=1800.0, longest=40_000.0)
+
+
+def decisions(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as purchases that decide and other events that look whether the market is open."""
+    e = T.table(spark, sf, "events")
+    decides = F.col("event_type") == "purchase"
+    lots = lambda k: F.when(decides, F.col("event_id") % k - (k // 2)).cast("double")
+    return e.select(F.col("user_id").alias("series_id"), F.col("ts").alias("time"), F.col("event_id").alias("seq"), F.when(decides, "decision").otherwise("poll").alias("kind"), lots(5).alias("target"), lots(7).alias("current"), (~decides & (F.col("event_id") % 4 == 0)).alias("open"))
+
+
+@register(
+    "WITH RECURSIVE e AS (SELECT user_id AS s, epoch_us(ts) AS t, event_type = 'purchase' AS d, (event_id % 5 - 2)::DOUBLE AS target, (event_id % 7 - 3)::DOUBLE AS cur, event_type <> 'purchase' AND event_id % 4 = 0 AS open, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events), "
+    "st AS (SELECT s, 0::BIGINT AS n, NULL::BIGINT AS pt, 0.0::DOUBLE AS pg, 0.0::DOUBLE AS pc, 0 AS tries, 0::BIGINT AS nx, NULL::BIGINT AS o1, 0.0::DOUBLE AS og, NULL::VARCHAR AS oc, 0::BIGINT AS oat, 0 AS otr FROM (SELECT DISTINCT s FROM e) "
+    "UNION ALL SELECT s, n, CASE WHEN d THEN t WHEN ex OR done THEN NULL ELSE pt END, CASE WHEN d THEN target ELSE pg END, CASE WHEN d THEN cur ELSE pc END, CASE WHEN d THEN 0 WHEN go THEN tries + 1 ELSE tries END, "
+    f"CASE WHEN d THEN t WHEN go THEN t + round(least({_RULE.wait} * pow(2, least(tries + 1, 10)), {_RULE.longest}) * 1000000)::BIGINT ELSE nx END, "
+    "CASE WHEN ex OR sup OR done THEN pt END, pg, CASE WHEN ex THEN 'expired' WHEN sup THEN 'superseded' WHEN done THEN 'executed' END, CASE WHEN ex THEN pe ELSE t END, CASE WHEN done THEN tries + 1 ELSE tries END "
+    "FROM (SELECT *, d AND pt IS NOT NULL AND NOT ex AS sup, NOT d AND pt IS NOT NULL AND NOT ex AND t >= nx AS go, NOT d AND pt IS NOT NULL AND NOT ex AND t >= nx AND open AS done FROM (SELECT st.s, e.n, t, d, target, cur, open, pt, pg, pc, tries, nx, pe, coalesce(t > pe, false) AS ex "
+    f"FROM (SELECT *, CASE WHEN pt IS NOT NULL AND NOT (abs(pg) < abs(pc) - 1e-9 AND (abs(pg) < 1e-9 OR (pg > 0) = (pc > 0))) THEN pt + {round(_RULE.most_wait * 1e6)} END AS pe FROM st) st JOIN e ON e.s = st.s AND e.n = st.n + 1))) "
+    "SELECT s AS series_id, make_timestamp(o1) AS decision_time, og AS target, oc AS outcome, make_timestamp(oat) AS at, otr AS attempts FROM st WHERE oc IS NOT NULL"
+)
+def deferred_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    """What became of every user's decisions that had to wait for an open market."""
+    out = retries.retried(decisions(spark, sf), _RULE)
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("decision_time", "at")})
+
+
+@register(
+    f"WITH {learning_queries._FEATURED.split(', f0 AS')[0]}, b AS (SELECT *, time + INTERVAL 1 HOUR AS av FROM bars), f AS (SELECT user_id % {learning_queries.POOLS} AS series_id, ts AS time, CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END AS side, value + 1 AS price, event_id FROM events WHERE event_type = 'purchase'), "
+    "g AS (SELECT *, CASE WHEN event_id % 5 <> 0 THEN price * (1 - side * 0.5::DOUBLE) END AS sl, CASE WHEN event_id % 3 <> 0 THEN price * (1 + side * 0.9::DOUBLE) END AS tp, lead(time) OVER (PARTITION BY series_id ORDER BY time) AS til FROM f), "
+    "x AS (SELECT g.series_id, g.time, side, av, open, CASE WHEN (side > 0 AND open <= sl) OR (side < 0 AND open >= sl) THEN 'so' WHEN (side > 0 AND open >= tp) OR (side < 0 AND open <= tp) THEN 'to' WHEN (side > 0 AND low <= sl) OR (side < 0 AND high >= sl) THEN 'sl' WHEN (side > 0 AND high >= tp) OR (side < 0 AND low <= tp) THEN 'tp' END AS k, sl, tp "
+    "FROM g JOIN b ON b.series_id = g.series_id AND av > g.time AND (til IS NULL OR av <= til)) "
+    "SELECT series_id, time, side::INTEGER AS side, CASE WHEN k IN ('so', 'sl') THEN 'stop' ELSE 'target' END AS reason, av AS exit_time, CASE k WHEN 'sl' THEN sl WHEN 'tp' THEN tp ELSE open END AS price FROM x WHERE k IS NOT NULL QUALIFY row_number() OVER (PARTITION BY series_id, time, side ORDER BY av) = 1"
+)
+def protective_exits(spark: SparkSession, sf: str) -> DataFrame:
+    """Purchases as fills with levels: which of them a later bar has closed, and how."""
+    e = T.table(spark, sf, "events").filter("event_type = 'purchase'")
+    side, price = F.when(F.col("event_id") % 2 == 0, 1).otherwise(-1), F.col("value") + 1
+    fills = e.select((F.col("user_id") % learning_queries.POOLS).alias("series_id"), F.col("ts").alias("time"), side.alias("side"), F.when(F.col("event_id") % 5 != 0, price * (1 - side * 0.5)).alias("sl"), F.when(F.col("event_id") % 3 != 0, price * (1 + side * 0.9)).alias("tp"))
+    return retries.protective_exits(fills, learning_queries.pooled_bars(spark, sf))
