@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronosift.functions.scalars import normal_cdf_of
+from chronosift.operators.positions import auc
 
 
 def garch_filter(r: np.ndarray, omega: float, alpha: float, beta: float, start: float) -> np.ndarray:
@@ -249,11 +250,7 @@ def weighted_losses(rows: DataFrame, p: str = "p", y: str = "y", weight: str | N
     w = F.col(weight) if weight else F.lit(1.0)
     q = F.greatest(F.least(F.col(p), F.lit(1 - 1e-15)), F.lit(1e-15))
     loss = rows.agg((-F.sum(w * F.when(F.col(y) > 0, F.ln(q)).otherwise(F.ln(1 - q))) / F.sum(w)).alias("logloss"))
-    by = rows.groupBy(F.col(p).alias("s")).agg(F.sum(F.when(F.col(y) > 0, w).otherwise(0.0)).alias("up"), F.sum(F.when(F.col(y) > 0, 0.0).otherwise(w)).alias("down"))
-    # one row a distinct probability
-    below = F.coalesce(F.sum("down").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    auc = by.select("up", "down", below.alias("b")).agg(F.try_divide(F.sum(F.col("up") * (F.col("b") + F.col("down") / 2)), F.sum("up") * F.sum("down")).alias("auc"))
-    return loss.crossJoin(auc)
+    return loss.crossJoin(auc(rows, p, y, weight))
 
 
 def boosted_probability(rows: DataFrame, features: list[str], label: str, train: Column, *, weight: str | None = None, rounds: int = 20) -> DataFrame:

@@ -11,6 +11,7 @@ from chronosift.functions import ewm
 from chronosift.functions.scalars import normal_quantile
 from chronosift.operators import drawdown as dd
 from chronosift.operators import execution, quality, risk, rolling, splits
+from chronosift.operators.positions import numbered
 from chronosift.operators.rolling import series
 from chronosift.plans import features, rules
 from chronosift.plans.market import BARS, CALENDAR, DAILY, MACRO, RETURNS, SERIES_BARS, W
@@ -117,7 +118,7 @@ def walk_forward_membership(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("WITH l AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS t, 1 + o_orderkey % 7 AS h FROM orders), n AS (SELECT count(*) AS n FROM l), f AS (SELECT k::INTEGER AS fold, k * (n // 5) + least(k, n % 5) AS a, (k + 1) * (n // 5) + least(k + 1, n % 5) AS b FROM n, range(5) r(k)) SELECT fold, t AS pos FROM l JOIN f ON NOT (t < b + 3 AND t + h >= a)")
 def purged_kfold_train(spark: SparkSession, sf: str) -> DataFrame:
-    rows = T.table(spark, sf, "orders").select((F.row_number().over(Window.orderBy("o_orderkey")) - 1).cast("long").alias("t_idx"), (1 + F.col("o_orderkey") % 7).alias("h"))
+    rows = numbered(T.table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", "t_idx").select("t_idx", (1 + F.col("o_orderkey") % 7).alias("h"))
     return splits.purged_kfold(rows.withColumn("t1_idx", F.col("t_idx") + F.col("h")), rows.count(), 5, embargo=3)
 
 
