@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from chronosift.operators import cycles, references, resamples, splits
-from chronosift.plans import feature_queries, features, learning_queries, sweeps, warmup
+from chronosift.plans import feature_queries, features, learning_queries, regimes, sweeps, warmup
 from chronosift.plans.market import BAR_COLS, BARS
 from chronosift.plans.research import COSTS, PERF, _perf
 from chronosift.sources import tables as T
@@ -366,3 +366,12 @@ def protective_exits(spark: SparkSession, sf: str) -> DataFrame:
     side, price = F.when(F.col("event_id") % 2 == 0, 1).otherwise(-1), F.col("value") + 1
     fills = e.select((F.col("user_id") % learning_queries.POOLS).alias("series_id"), F.col("ts").alias("time"), side.alias("side"), F.when(F.col("event_id") % 5 != 0, price * (1 - side * 0.5)).alias("sl"), F.when(F.col("event_id") % 3 != 0, price * (1 + side * 0.9)).alias("tp"))
     return retries.protective_exits(fills, learning_queries.pooled_bars(spark, sf))
+
+
+# ---- regimes -----------------------------------------------------------------
+@register()
+def regime_states(spark: SparkSession, sf: str) -> DataFrame:
+    """Two regimes of each pool by its move and its range, fitted on its first two weeks from several starts; filtered throughout."""
+    rows = learning_queries.pooled_bars(spark, sf)
+    found = regimes.regime_probabilities(rows, ["mom_1", "range_1"], "2024-01-15", restarts=3, rounds=20)
+    return found.select("series_id", "time", F.get("p", F.lit(0)).alias("p_calm"), "state", "score")
