@@ -7,9 +7,9 @@ import itertools
 from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from chronosift.operators import cycles, references, resamples, splits
+from chronosift.operators import cycles, references, resamples, snapshots, splits
 from chronosift.plans import feature_queries, features, learning_queries, regimes, sweeps, warmup
-from chronosift.plans.market import BAR_COLS, BARS
+from chronosift.plans.market import BAR_COLS, BARS, CALENDAR, MACRO, W, g, w
 from chronosift.plans.research import COSTS, PERF, _perf
 from chronosift.sources import tables as T
 from chronosift.streaming import retries
@@ -375,3 +375,39 @@ def regime_states(spark: SparkSession, sf: str) -> DataFrame:
     rows = learning_queries.pooled_bars(spark, sf)
     found = regimes.regime_probabilities(rows, ["mom_1", "range_1"], "2024-01-15", restarts=3, rounds=20)
     return found.select("series_id", "time", F.get("p", F.lit(0)).alias("p_calm"), "state", "score")
+
+
+# ---- the desk ----------------------------------------------------------------
+_SHIFT = snapshots.shift_days("2024-01-01")
+
+
+@register(
+    f"WITH {BARS}, {MACRO}, {CALENDAR}, s AS (SELECT *, close / lag(close, 1) {W} - 1 AS ret_1, close / lag(close, 5) {W} - 1 AS ret_5, close / lag(close, 20) {W} - 1 AS ret_20, {g(f'close / avg(close) {w(50)} - 1', 'close', 50)} AS from_mean_50 FROM bars), "
+    "m AS (SELECT event_id, ts AS now FROM events WHERE event_type = 'signup'), j AS (SELECT m.*, s.* FROM m ASOF LEFT JOIN s ON m.now >= s.available_at), "
+    "mv AS (SELECT event_id, arg_max(value, date) FILTER (WHERE name LIKE '1%') AS urgent, count(DISTINCT name) AS n_macro FROM m JOIN macro ON macro.available_at <= now GROUP BY 1), "
+    "ev AS (SELECT event_id, count(*) FILTER (WHERE c.time > now) AS n_upcoming, count(*) FILTER (WHERE c.time <= now) AS n_past, min(c.time) FILTER (WHERE c.time > now) AS next_time, max(c.time) FILTER (WHERE c.time <= now) AS last_time FROM m JOIN calendar c ON c.time <= now + INTERVAL 6 HOUR AND c.time >= now - INTERVAL 3 HOUR GROUP BY 1) "
+    f"SELECT event_id, now + INTERVAL {_SHIFT} DAY AS now, time + INTERVAL {_SHIFT} DAY AS bar_time, ret_1, ret_5, ret_20, from_mean_50, urgent, coalesce(n_macro, 0) AS n_macro, coalesce(n_upcoming, 0) AS n_upcoming, coalesce(n_past, 0) AS n_past, next_time + INTERVAL {_SHIFT} DAY AS next_time, last_time + INTERVAL {_SHIFT} DAY AS last_time FROM j LEFT JOIN mv USING (event_id) LEFT JOIN ev USING (event_id)"
+)
+def desk_snapshots(spark: SparkSession, sf: str) -> DataFrame:
+    """What could be known at every signup, with dates moved and prices rebased."""
+    moments = T.table(spark, sf, "events").filter("event_type = 'signup'").select("event_id", F.col("ts").alias("now"))
+    stats = snapshots.bar_statistics(T.bars(spark, sf), means=(50,))
+    found = snapshots.snapshots(moments, stats, macro=T.macro(spark, sf), events=T.calendar(spark, sf), ahead_hours=6, back_hours=3, shift=_SHIFT)
+    size = lambda c: F.size(c).cast("long")
+    urgent = F.element_at("macro", F.filter(F.map_keys("macro"), lambda k: k.startswith("1"))[0])
+    return found.select("event_id", "now", "bar_time", "ret_1", "ret_5", "ret_20", "from_mean_50", urgent.alias("urgent"), F.when(F.col("macro").isNotNull(), size("macro")).otherwise(0).alias("n_macro"), size("upcoming").alias("n_upcoming"), size("past").alias("n_past"), F.get("upcoming", F.lit(0))["time"].alias("next_time"), F.try_element_at("past", F.lit(-1))["time"].alias("last_time"))
+
+
+_PRICES = [("click", 3.0, 15.0), ("view", 1.0, 5.0), ("error", 0.25, 1.25), ("purchase", 5.0, 25.0)]
+
+
+@register(
+    f"WITH p(model, pi, po) AS (VALUES {', '.join(f"('{m}', {i}::DOUBLE, {o}::DOUBLE)" for m, i, o in _PRICES)}), c AS (SELECT 'agent ' || (user_id % 50) AS agent, event_type AS model, event_id % 1000 AS i, event_id % 300 AS o, event_id % 70 AS cw, event_id % 900 AS cr, event_id % 23 = 0 AS free FROM events), "
+    "d AS (SELECT agent, CASE WHEN free THEN 0 ELSE i + o + cw + cr END AS tokens, CASE WHEN free THEN i + cw + cr ELSE 0 END AS unbilled, CASE WHEN free THEN 0 ELSE (coalesce(pi, 5) * (i + 1.25::DOUBLE * cw + 0.1::DOUBLE * cr) + coalesce(po, 25) * o) / 1000000 END AS cost FROM c LEFT JOIN p USING (model)), "
+    "s AS (SELECT agent, count(*) AS calls, sum(tokens)::BIGINT AS tokens, sum(unbilled)::BIGINT AS unbilled, sum(cost) AS cost FROM d GROUP BY GROUPING SETS ((agent), ())) SELECT *, greatest(0, cost / 1.5::DOUBLE, tokens / 200000) AS used, greatest(0, cost / 1.5::DOUBLE, tokens / 200000) >= 1 AS over FROM s"
+)
+def usage_by_agent(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as calls of agents to models: tokens, costs and shares of the budgets, by agent and in all."""
+    n = lambda k: F.col("event_id") % k
+    calls = T.table(spark, sf, "events").select(F.concat(F.lit("agent "), F.col("user_id") % 50).alias("agent"), F.col("event_type").alias("model"), n(1000).alias("input"), n(300).alias("output"), n(70).alias("cache_write"), n(900).alias("cache_read"), (n(23) == 0).alias("declined"))
+    return snapshots.usage_summary(snapshots.usage_costs(calls, spark.createDataFrame(_PRICES, snapshots.PRICED)), ["agent"], most_cost=1.5, most_tokens=200_000)
