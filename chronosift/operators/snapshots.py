@@ -121,8 +121,8 @@ def usage_costs(calls: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def usage_summary(costs: DataFrame, keys: list[str] = ("agent",), *, most_cost: float | None = None, most_tokens: int | None = None) -> DataFrame:
-    """(keys, calls, tokens, unbilled, cost, used, over): a row a group, and one with null keys for all; used is the greatest share of a budget."""
-    sums = [F.count(F.lit(1)).alias("calls"), F.sum("tokens").alias("tokens"), F.sum("unbilled").alias("unbilled"), F.sum("cost").alias("cost")]
+    """(keys, calls, tokens, unbilled, cost, used, over): a row a group, and one with null keys for all; costs are summed up in billionths, in any order alike; used is the greatest share of a budget."""
+    sums = [F.count(F.lit(1)).alias("calls"), F.sum("tokens").alias("tokens"), F.sum("unbilled").alias("unbilled"), (F.sum(F.round(F.col("cost") * 1e9).cast("long")) / 1e9).alias("cost")]
     rows = costs.groupingSets([[F.col(k) for k in keys], []], *[F.col(k) for k in keys]).agg(*sums)
     shares = [F.lit(0.0)] + ([F.col("cost") / most_cost] if most_cost else []) + ([F.col("tokens") / most_tokens] if most_tokens else [])
     used = F.greatest(*shares) if len(shares) > 1 else shares[0]

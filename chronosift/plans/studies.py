@@ -404,7 +404,7 @@ _PRICES = [("click", 3.0, 15.0), ("view", 1.0, 5.0), ("error", 0.25, 1.25), ("pu
 @register(
     f"WITH p(model, pi, po) AS (VALUES {', '.join(f"('{m}', {i}::DOUBLE, {o}::DOUBLE)" for m, i, o in _PRICES)}), c AS (SELECT 'agent ' || (user_id % 50) AS agent, event_type AS model, event_id % 1000 AS i, event_id % 300 AS o, event_id % 70 AS cw, event_id % 900 AS cr, event_id % 23 = 0 AS free FROM events), "
     "d AS (SELECT agent, CASE WHEN free THEN 0 ELSE i + o + cw + cr END AS tokens, CASE WHEN free THEN i + cw + cr ELSE 0 END AS unbilled, CASE WHEN free THEN 0 ELSE (coalesce(pi, 5) * (i + 1.25::DOUBLE * cw + 0.1::DOUBLE * cr) + coalesce(po, 25) * o) / 1000000 END AS cost FROM c LEFT JOIN p USING (model)), "
-    "s AS (SELECT agent, count(*) AS calls, sum(tokens)::BIGINT AS tokens, sum(unbilled)::BIGINT AS unbilled, sum(cost) AS cost FROM d GROUP BY GROUPING SETS ((agent), ())) SELECT *, greatest(0, cost / 1.5::DOUBLE, tokens / 200000) AS used, greatest(0, cost / 1.5::DOUBLE, tokens / 200000) >= 1 AS over FROM s"
+    "s AS (SELECT agent, count(*) AS calls, sum(tokens)::BIGINT AS tokens, sum(unbilled)::BIGINT AS unbilled, sum(round(cost * 1000000000)::BIGINT)::DOUBLE / 1000000000 AS cost FROM d GROUP BY GROUPING SETS ((agent), ())) SELECT *, greatest(0, cost / 1.5::DOUBLE, tokens / 200000) AS used, greatest(0, cost / 1.5::DOUBLE, tokens / 200000) >= 1 AS over FROM s"
 )
 def usage_by_agent(spark: SparkSession, sf: str) -> DataFrame:
     """Events as calls of agents to models: tokens, costs and shares of the budgets, by agent and in all."""
