@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import itertools
+import math
 
 from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from chronosift.operators import cycles, references, resamples, snapshots, splits
+from chronosift.functions.scalars import normal_quantile
+from chronosift.operators import cycles, references, reports, resamples, snapshots, splits
 from chronosift.plans import feature_queries, features, learning_queries, regimes, sweeps, warmup
+from chronosift.plans.evidence import phi
 from chronosift.plans.market import BAR_COLS, BARS, CALENDAR, MACRO, W, g, w
 from chronosift.plans.research import COSTS, PERF, _perf
 from chronosift.sources import tables as T
@@ -411,3 +414,24 @@ def usage_by_agent(spark: SparkSession, sf: str) -> DataFrame:
     n = lambda k: F.col("event_id") % k
     calls = T.table(spark, sf, "events").select(F.concat(F.lit("agent "), F.col("user_id") % 50).alias("agent"), F.col("event_type").alias("model"), n(1000).alias("input"), n(300).alias("output"), n(70).alias("cache_write"), n(900).alias("cache_read"), (n(23) == 0).alias("declined"))
     return snapshots.usage_summary(snapshots.usage_costs(calls, spark.createDataFrame(_PRICES, snapshots.PRICED)), ["agent"], most_cost=1.5, most_tokens=200_000)
+
+
+# ---- reports -----------------------------------------------------------------
+_ZQ = normal_quantile(0.05)
+_DENSITY = 0.3989422804014327 * 2.718281828459045 ** (-_ZQ * _ZQ / 2)
+
+
+@register(
+    "WITH p AS (SELECT o_orderpriority AS name, o_orderdate::DATE AS date, sum(o_totalprice) AS equity, max(o_totalprice) AS held FROM orders GROUP BY ALL), r AS (SELECT *, equity / lag(equity) OVER w - 1 AS r, 1 - equity / max(equity) OVER w AS dd FROM p WINDOW w AS (PARTITION BY name ORDER BY date)), "
+    "q AS (SELECT *, CASE WHEN count(r) OVER b = 100 THEN quantile_cont(r, 0.05) OVER b END AS q FROM r WINDOW b AS (PARTITION BY name ORDER BY date ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING)), "
+    "m AS (SELECT *, avg(r) OVER (PARTITION BY name) AS av FROM q), "
+    "s AS (SELECT name, count(r) AS periods, arg_max(equity, date) AS last_equity, arg_max(held, date) AS x, quantile_cont(r, 0.05) AS vq, avg(r) AS mean, stddev_samp(r) AS sd, sum(pow(r - av, 3)) / count(r) / pow(stddev_pop(r), 3) AS skew, sum(pow(r - av, 4)) / count(r) / pow(stddev_pop(r), 4) AS kurt, min(r) AS worst, max(r) AS best, max(dd) AS max_drawdown, arg_max(dd, date) AS current_drawdown, count(q) AS tests, count(*) FILTER (WHERE r < q) AS breaches FROM m GROUP BY name), "
+    "t AS (SELECT name, avg(r) FILTER (WHERE r <= vq) AS tail FROM q JOIN s USING (name) GROUP BY name), "
+    f"k AS (SELECT *, greatest(-2 * ((tests - breaches) * {math.log(0.95)!r}::DOUBLE + breaches * {math.log(1 - 0.95)!r}::DOUBLE - CASE WHEN tests > breaches THEN (tests - breaches) * ln(1 - breaches / tests) ELSE 0 END - CASE WHEN breaches > 0 THEN breaches * ln(breaches / tests) ELSE 0 END), 0) AS kupiec FROM s JOIN t USING (name)) "
+    f"SELECT name, periods, last_equity, -vq AS var_historical, greatest(-tail, -vq) AS es_historical, -(mean + {_ZQ!r}::DOUBLE * sd) AS var_gaussian, -(mean - {_DENSITY!r}::DOUBLE / 0.05::DOUBLE * sd) AS es_gaussian, "
+    f"-(mean + ({_ZQ!r}::DOUBLE + {_ZQ * _ZQ - 1!r}::DOUBLE * skew / 6 + {_ZQ**3 - 3 * _ZQ!r}::DOUBLE * (kurt - 3) / 24 - {2 * _ZQ**3 - 5 * _ZQ!r}::DOUBLE * skew * skew / 36) * sd) AS var_cornish_fisher, mean, sd, skew, kurt, worst, best, max_drawdown, current_drawdown, tests, breaches, kupiec, 2 * {phi('-sqrt(kupiec)')} AS kupiec_p, x * -0.1::DOUBLE / last_equity AS gap_down, x * 0.1::DOUBLE / last_equity AS gap_up FROM k"
+)
+def risk_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """Every priority's daily total as an account, the day's largest order as what it holds."""
+    rows = T.table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("name"), F.to_date("o_orderdate").alias("date")).agg(F.sum("o_totalprice").alias("equity"), F.max("o_totalprice").alias("held"))
+    return reports.risk_report(rows, ["name"], window=100, exposure="held", shocks={"gap_down": -0.1, "gap_up": 0.1})
