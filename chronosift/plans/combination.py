@@ -89,3 +89,31 @@ def fit(rows: DataFrame, names: list[str], costs: Costs | None, *, method: str =
     quad = float(held @ h @ held)
     fdm = min(max(held.sum() / np.sqrt(quad), 1.0), cap) if quad > 0 else 1.0
     return rows.sparkSession.createDataFrame([(n, float(x), float(fdm)) for n, x in zip(names, w, strict=True)], "strategy string, weight double, fdm double")
+
+
+def explain(rows: DataFrame, names: list[str], costs: Costs | None, fitted: DataFrame, *, vol: str = "vol", periods: float = 252.0) -> DataFrame:
+    """(strategy, weight, fdm, sharpe, sharpe_gross, turnover, cost, mean_size, mean_corr, unallocated): what a fitted combination rests on.
+
+    Ratios are a year's; mean_size is of the forecast, mean_corr of all pairs of forecasts, unallocated what the weights leave out.
+    """
+    table = stream_table(rows, names, costs, vol).select("strategy", (F.col("sr") * periods**0.5).alias("sharpe"), (F.col("sr_gross") * periods**0.5).alias("sharpe_gross"), "turnover", "cost")
+    live = streams(rows, names, costs, vol)
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    mean = sum((F.corr(a, b) for a, b in pairs), F.lit(0.0)) / len(pairs) if pairs else F.lit(None).cast("double")
+    sizes = F.array(*[F.struct(F.lit(n).alias("strategy"), F.avg(F.abs(F.col(n))).alias("mean_size")) for n in names])
+    beside = live.agg(sizes.alias("s"), mean.alias("mean_corr")).select(F.inline("s"), "mean_corr")
+    left = fitted.agg(F.greatest(1 - F.sum("weight"), F.lit(0.0)).alias("unallocated"))
+    small = lambda df: F.broadcast(df)  # noqa: E731  # a row a rule
+    return fitted.join(small(table), "strategy").join(small(beside), "strategy").withColumn("unallocated", F.lit(left.head()[0]))
+
+
+def attribution(rows: DataFrame, names: list[str], fitted: DataFrame, limit: float = 1.0) -> DataFrame:
+    """rows with combined, the clipped part, and contribution_<name> of each rule: they add up to combined + clipped.
+
+    A null forecast counts as 0. The combined forecast is fdm times the weighted sum, within the limit.
+    """
+    told = {r["strategy"]: (r["weight"], r["fdm"]) for r in fitted.collect()}  # a row a rule
+    parts = {f"contribution_{n}": F.coalesce(F.col(n), F.lit(0.0)) * (told[n][0] * told[n][1]) for n in names}
+    whole = rows.withColumns(parts)
+    total = sum((F.col(c) for c in parts), F.lit(0.0))
+    return whole.withColumn("combined", F.greatest(F.least(total, F.lit(limit)), F.lit(-limit))).withColumn("clipped", total - F.col("combined"))

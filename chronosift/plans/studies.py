@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from chronosift.functions.scalars import normal_quantile
 from chronosift.operators import cycles, references, reports, resamples, snapshots, splits
-from chronosift.plans import feature_queries, features, learning_queries, regimes, sweeps, warmup
+from chronosift.plans import combination, evidence, feature_queries, features, learning_queries, regimes, sweeps, warmup
 from chronosift.plans.evidence import phi
 from chronosift.plans.market import BAR_COLS, BARS, CALENDAR, MACRO, W, g, w
 from chronosift.plans.research import COSTS, PERF, _perf
@@ -435,3 +435,26 @@ def risk_reports(spark: SparkSession, sf: str) -> DataFrame:
     """Every priority's daily total as an account, the day's largest order as what it holds."""
     rows = T.table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("name"), F.to_date("o_orderdate").alias("date")).agg(F.sum("o_totalprice").alias("equity"), F.max("o_totalprice").alias("held"))
     return reports.risk_report(rows, ["name"], window=100, exposure="held", shocks={"gap_down": -0.1, "gap_up": 0.1})
+
+
+# ---- what a combination rests on ---------------------------------------------
+_FITTED = evidence._SQL["combiner_inverse_vol"].rsplit("SELECT strategy, weight, fdm FROM wt, fd", 1)[0]
+
+
+@register(
+    f"{_FITTED}SELECT strategy, weight, fdm, sr * sqrt(252::DOUBLE) AS sharpe, sr_gross * sqrt(252::DOUBLE) AS sharpe_gross, turnover, cost, (SELECT avg(abs(CASE strategy WHEN 'a' THEN a WHEN 'b' THEN b ELSE c END)) FROM fs WHERE nx IS NOT NULL) AS mean_size, (kab + kac + kbc) / 3 AS mean_corr, greatest(1 - (SELECT sum(weight) FROM wt), 0)::DOUBLE AS unallocated FROM wt JOIN stt USING (strategy), fd, co"
+)
+def combiner_explained(spark: SparkSession, sf: str) -> DataFrame:
+    """The combination of three rules by inverse volatility, and what it rests on."""
+    rows, names = evidence._three(spark, sf), ["a", "b", "c"]
+    return combination.explain(rows, names, COSTS, combination.fit(rows, names, COSTS, method="inverse_vol", largest=0.9))
+
+
+@register(
+    f"{_FITTED}SELECT time, contribution_a, contribution_b, contribution_c, greatest(least(total, 0.5), -0.5)::DOUBLE AS combined, total - greatest(least(total, 0.5), -0.5) AS clipped FROM (SELECT *, contribution_a + contribution_b + contribution_c AS total FROM (SELECT time, a * wa * fdm AS contribution_a, b * wb * fdm AS contribution_b, c * wc * fdm AS contribution_c FROM fs, pv, fd))"
+)
+def decision_attribution(spark: SparkSession, sf: str) -> DataFrame:
+    """What each rule adds to the combined forecast of every bar, and what the limit cuts off."""
+    rows, names = evidence._three(spark, sf), ["a", "b", "c"]
+    fitted = combination.fit(rows, names, COSTS, method="inverse_vol", largest=0.9)
+    return combination.attribution(rows, names, fitted, 0.5).select("time", "contribution_a", "contribution_b", "contribution_c", "combined", "clipped")
