@@ -42,6 +42,10 @@ SAMPLE_ROWS, MAX_LISTS, ROUNDS = 20_000, 4096, 8
 LIST_ROWS, LIST_ROOT, NEAR, BLOCK_ROWS, COLUMNS, EPSILON, REACH_Z = 400, 4, 4, 4096, 16, 2.1, 1.5
 
 
+#: Values that pairs of a query and a vector gather at a time.
+PAIR_VALUES = 1 << 21
+
+
 def usable(vector: Column) -> Column:
     """Whether a vector can take part."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) != float("inf")))
@@ -85,6 +89,14 @@ def probes(near: np.ndarray, limit: np.ndarray, least: np.ndarray, most: np.ndar
     return near + r * r - 2 * slope * r <= (limit**2)[:, None] + 1e-9
 
 
+def _by_pairs(f, q: np.ndarray, v: np.ndarray, width: int, most: int = PAIR_VALUES) -> np.ndarray:
+    """f over pairs of rows, so many pairs at a time that what it gathers stays within `most` values."""
+    step, out = max(1, most // max(1, width)), np.empty(len(q))
+    for s in range(0, len(q), step):
+        out[s : s + step] = f(q[s : s + step], v[s : s + step])
+    return out
+
+
 def scan(queries: np.ndarray, limit: np.ndarray, vectors: np.ndarray, columns: int = COLUMNS, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
     """(query, vector) index pairs of rotated vectors that survive the adaptive scan against limits."""
     d = vectors.shape[1]
@@ -99,7 +111,7 @@ def scan(queries: np.ndarray, limit: np.ndarray, vectors: np.ndarray, columns: i
             q, v = np.nonzero(near <= bound[:, None])
             part = near[q, v]
         else:
-            part = part + ((a[q] - b[v]) ** 2).sum(axis=1)
+            part = part + _by_pairs(lambda i, j, a=a, b=b: ((a[i] - b[j]) ** 2).sum(axis=1), q, v, e - s)
             bound = limit**2 * ((1 + epsilon / np.sqrt(e)) ** 2 * e / d if e < d else 1 + 1e-9) + 1e-9
             keep = part <= bound[q]
             q, v, part = q[keep], v[keep], part[keep]
@@ -112,7 +124,7 @@ def best(queries: np.ndarray, names: np.ndarray, pairs: tuple[np.ndarray, np.nda
     other = names[q] != ids[v]
     q, v = q[other], v[other]
     with np.errstate(over="ignore", invalid="ignore"):
-        score = (queries[q] * vectors[v]).sum(axis=1) if len(q) else np.empty(0)
+        score = _by_pairs(lambda i, j: (queries[i] * vectors[j]).sum(axis=1), q, v, queries.shape[1])
     score = np.where(np.isnan(score), -np.inf, score)
     order = np.lexsort((ids[v], -score, q))
     q, v, score = q[order], v[order], score[order]

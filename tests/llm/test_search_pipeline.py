@@ -152,3 +152,22 @@ def test_every_part_of_the_entry_is_there():
     import __spark_entry__
 
     assert __spark_entry__.ABSENT == {} and "pipeline" in __spark_entry__.queries()
+
+
+def test_wide_vectors_stay_within_memory():
+    """A full block of wide vectors before any limit is known: what pairs gather is bounded, the scores are the same."""
+    import tracemalloc
+
+    from chronosift.llm import ann
+
+    rng = np.random.default_rng(1)
+    q, v, inf = rng.standard_normal((256, 384)), rng.standard_normal((1024, 384)), np.full(256, np.inf)
+    tracemalloc.start()
+    pairs = ann.scan(q, inf, v)
+    got = ann.best(q, np.arange(256) - 1000, pairs, v, np.arange(1024), 20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6 and len(pairs[0]) == 256 * 1024
+    exact = q @ v.T
+    for i in range(0, 256, 50):
+        assert list(got[1][got[0] == i]) == list(np.argsort(-exact[i], kind="stable")[:20])
