@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from chronosift.functions.scalars import normal_quantile
 from chronosift.operators import cycles, references, reports, resamples, snapshots, splits
-from chronosift.plans import combination, evidence, feature_queries, features, learning_queries, regimes, sweeps, warmup
+from chronosift.operators.resample import ticks_to_bars
+from chronosift.plans import combination, crossframes, evidence, feature_queries, features, learning_queries, regimes, sweeps, warmup
 from chronosift.plans.evidence import phi
 from chronosift.plans.market import BAR_COLS, BARS, CALENDAR, MACRO, W, g, w
 from chronosift.plans.research import COSTS, PERF, _perf
@@ -458,3 +459,38 @@ def decision_attribution(spark: SparkSession, sf: str) -> DataFrame:
     rows, names = evidence._three(spark, sf), ["a", "b", "c"]
     fitted = combination.fit(rows, names, COSTS, method="inverse_vol", largest=0.9)
     return combination.attribution(rows, names, fitted, 0.5).select("time", "contribution_a", "contribution_b", "contribution_c", "combined", "clipped")
+
+
+# ---- across time frames ------------------------------------------------------
+def _cross_sql() -> str:
+    ticks = learning_queries._FEATURED.split(", f0 AS")[0]
+    over = lambda f, n, c: f"CASE WHEN count({c}) {w(n)} = {n} THEN {f}({c}) {w(n)} END"
+    own = f"{over('stddev_samp', 20, 'r')} AS volatility, close / lag(close, 10) {W} - 1 AS momentum, CASE WHEN count(close) {w(30)} = 30 THEN CASE WHEN avg(close) {w(10)} > avg(close) {w(30)} THEN 1.0 ELSE -1.0 END END::DOUBLE AS trend, close / ({over('max', 20, 'high')}) - 1 AS to_high, close / ({over('min', 20, 'low')}) - 1 AS to_low"
+    feats = lambda src: f"SELECT *, {own} FROM (SELECT *, close / lag(close) {W} - 1 AS r FROM {src})"
+    big = lambda name, width: (
+        f"{name}r AS (SELECT series_id, time_bucket(INTERVAL {width}, time) AS time, arg_min(open, time) AS open, max(high) AS high, min(low) AS low, arg_max(close, time) AS close, greatest(max(av), time_bucket(INTERVAL {width}, time) + INTERVAL {width}) AS av, max(av) AS la, min(time) AS ft FROM b1 GROUP BY series_id, time_bucket(INTERVAL {width}, time)), "
+        f"{name}k AS (SELECT * FROM {name}r QUALIFY (time > min(time) OVER (PARTITION BY series_id) OR ft = time) AND (time < max(time) OVER (PARTITION BY series_id) OR la >= time + INTERVAL {width})), {name}f AS ({feats(f'{name}k')})"
+    )
+    cols = lambda n, f: ", ".join(f"{f}.{c} AS {n}_{c}" for c in crossframes.OWN)
+    each = lambda c: [f"{n}_{c}" for n in ("base", "h4", "d1")]
+    known = lambda c: "(" + " + ".join(f"({x} IS NOT NULL)::INTEGER" for x in each(c)) + ")"
+    t = each("trend")
+    mean = f"(({' + '.join(f'coalesce({x}, 0)' for x in t)}) / nullif({known('trend')}, 0))"
+    near = lambda c, test: f"({' + '.join(f'coalesce({x} {test}, false)::INTEGER' for x in each(c))}) / nullif({known(c)}, 0)"
+    agree = lambda s: " AND ".join(f"coalesce({x} {s} 0, false)" for x in each("momentum"))
+    avg = lambda n: f"CASE WHEN count(base_volatility) {w(n)} = {n} THEN avg(base_volatility) {w(n)} END"
+    return (
+        f"WITH {ticks}, b1 AS (SELECT *, time + INTERVAL 1 HOUR AS av FROM bars), f1 AS ({feats('b1')}), {big('h4', '4 HOUR')}, {big('d1', '1 DAY')}, "
+        f"j AS (SELECT f1.series_id, f1.time, {cols('base', 'f1')}, {cols('h4', 'h4f')}, {cols('d1', 'd1f')} FROM f1 ASOF LEFT JOIN h4f ON f1.series_id = h4f.series_id AND f1.av >= h4f.av ASOF LEFT JOIN d1f ON f1.series_id = d1f.series_id AND f1.av >= d1f.av) "
+        f"SELECT *, {mean} AS trend_alignment, CASE WHEN {known('trend')} > 0 THEN {' * '.join(f'coalesce({x}, 1)' for x in t)} END AS trend_cascade, CASE WHEN {known('trend')} > 1 THEN sqrt(({' + '.join(f'coalesce(pow({x} - {mean}, 2), 0)' for x in t)}) / ({known('trend')} - 1)) END AS trend_divergence, "
+        f"h4_momentum * base_momentum AS momentum_h4_base, d1_momentum * h4_momentum AS momentum_d1_h4, base_volatility / nullif({avg(100)}, 0) AS vol_regime, (base_volatility > 2 * ({avg(20)}))::INTEGER::DOUBLE AS vol_spike, (base_volatility < ({avg(20)}) / 2)::INTEGER::DOUBLE AS vol_compression, "
+        f"{near('to_low', '< 0.02')} AS support, {near('to_high', '> -0.02')} AS resistance, (({agree('>')})::INTEGER - ({agree('<')})::INTEGER)::DOUBLE AS breakout FROM j"
+    )
+
+
+@register(_cross_sql())
+def cross_frame_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Hourly bars of pools with what finished bars of four hours and of a day say, and how the frames agree."""
+    ticks = T.ticks(spark, sf).withColumns({"series_id": F.col("series_id") % learning_queries.POOLS, "spread": 0.1 + 0.001 * (F.col("seq") % 50)})
+    out = crossframes.cross_features(ticks_to_bars(ticks, "1 hour"), {"h4": "4 hours", "d1": "1 day"})
+    return out.drop("open", "high", "low", "close", "volume", "spread", "available_at")
