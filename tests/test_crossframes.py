@@ -13,7 +13,7 @@ def test_no_later_price_shows(spark):
     bars = T.bars(spark, SF).cache()
     out = crossframes.cross_features(bars, {"h4": "4 hours", "d1": "1 day"})
     columns = [c for c in out.columns if c not in bars.columns]
-    assert len(columns) == 15 + 10
+    assert len(columns) == 15 + 11
     for cut in ("2024-01-12 10:00:00", "2024-01-20 00:00:00"):
         assert leakage(lambda b: crossframes.cross_features(b, {"h4": "4 hours", "d1": "1 day"}), bars, cut, columns) == 0
 
