@@ -42,6 +42,8 @@ SAMPLE_ROWS, MAX_LISTS, ROUNDS = 20_000, 4096, 8
 LIST_ROWS, LIST_ROOT, NEAR, BLOCK_ROWS, COLUMNS, EPSILON, REACH_Z = 400, 4, 4, 4096, 16, 2.1, 1.5
 
 
+#: One pair in so many of a block is many.
+DENSE = 8
 #: Values that pairs of a query and a vector gather at a time.
 PAIR_VALUES = 1 << 21
 
@@ -111,18 +113,37 @@ def scan(queries: np.ndarray, limit: np.ndarray, vectors: np.ndarray, columns: i
             q, v = np.nonzero(near <= bound[:, None])
             part = near[q, v]
         else:
-            part = part + _by_pairs(lambda i, j, a=a, b=b: ((a[i] - b[j]) ** 2).sum(axis=1), q, v, e - s)
+            if len(q) * DENSE > len(a) * len(b):  # most are still candidates: a product of matrices costs less than gathering rows
+                part = part + np.maximum((a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1)[None, :] - 2 * a @ b.T, 0.0)[q, v]
+            else:
+                part = part + _by_pairs(lambda i, j, a=a, b=b: ((a[i] - b[j]) ** 2).sum(axis=1), q, v, e - s)
             bound = limit**2 * ((1 + epsilon / np.sqrt(e)) ** 2 * e / d if e < d else 1 + 1e-9) + 1e-9
             keep = part <= bound[q]
             q, v, part = q[keep], v[keep], part[keep]
     return q, v
 
 
+def _foremost(queries: np.ndarray, vectors: np.ndarray, q: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that can be among the k best of their query: where there are many, those that a product of matrices puts near or above the k-th."""
+    if len(q) * DENSE <= len(queries) * len(vectors) or len(vectors) <= k:
+        return q, v
+    with np.errstate(over="ignore", invalid="ignore"):
+        about = queries @ vectors.T
+        slack = 1e-9 * np.abs(queries).max() * np.abs(vectors).max() * queries.shape[1]
+    if not (np.isfinite(about).all() and np.isfinite(slack)):
+        return q, v
+    allowed = np.full(about.shape, -np.inf)
+    allowed[q, v] = about[q, v]
+    least = np.partition(allowed, len(vectors) - k, axis=1)[:, len(vectors) - k]
+    keep = about[q, v] >= least[q] - slack
+    return q[keep], v[keep]
+
+
 def best(queries: np.ndarray, names: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query index, id, score) of the k best of the pairs of each query; none with the query's own id."""
     q, v = pairs
     other = names[q] != ids[v]
-    q, v = q[other], v[other]
+    q, v = _foremost(queries, vectors, q[other], v[other], k)
     with np.errstate(over="ignore", invalid="ignore"):
         score = _by_pairs(lambda i, j: (queries[i] * vectors[j]).sum(axis=1), q, v, queries.shape[1])
     score = np.where(np.isnan(score), -np.inf, score)
