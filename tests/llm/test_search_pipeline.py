@@ -171,3 +171,62 @@ def test_wide_vectors_stay_within_memory():
     exact = q @ v.T
     for i in range(0, 256, 50):
         assert list(got[1][got[0] == i]) == list(np.argsort(-exact[i], kind="stable")[:20])
+
+
+def _without_runs(rows):
+    """Line dedup in plain Python: (id, text) in order of id."""
+    first, out = {}, []
+    for i, text in sorted(rows):
+        lines = text.split("\n")
+        again = []
+        for at in range(len(lines) - 1):
+            pair = (lines[at], lines[at + 1])
+            seen = first.setdefault(pair, (i, at))
+            again.append(seen[0] != i or at > seen[1] + 1)
+        gone, at = set(), 0
+        while at < len(again):
+            end = at
+            while end < len(again) and again[end]:
+                end += 1
+            if end > at and any(c.isalnum() for line in lines[at : end + 1] for c in line):
+                gone |= set(range(at, end + 1))
+            at = max(end, at + 1)
+        kept = "\n".join(line for k, line in enumerate(lines) if k not in gone)
+        if not gone or kept.strip(" "):
+            out.append((i, kept))
+    return out
+
+
+def test_run_equals_plain_python(spark, tmp_path):
+    """All five stages over a small table: which documents are left, with which text, and that their tokens are packed once."""
+    import zlib
+
+    import corpus_pipeline as C
+    from tokenizers import Tokenizer
+
+    from .test_texts import _components
+
+    rows = [r for r in documents(spark).drop("size", "rank", "part").dropDuplicates(["doc_id"]).filter("doc_id IS NOT NULL").collect()]
+    rows += [(900, "Это предложение написано буквами, которых нет ни в одном из изученных языков.", None, "d", 0), (901, "A shared line number 1 of the passage.\nA shared line number 2 of the passage.", "en", "d", 0)]
+    spark.createDataFrame([tuple(r) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {}
+    for r in C.run(spark, str(tmp_path)).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+
+    spoken = [(r[0], r[1]) for r in rows if r[1] and any(c.isalpha() for c in r[1]) and r[0] != 900]
+    lean = _without_runs(spoken)
+    kept = _components(lean, 5)
+    left = [(i, t) for i, t in lean if kept[i] == i]
+    assert 901 not in dict(lean) and 2 not in dict(left) and set(got) == {i for i, _ in left}
+    coder = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
+    places = {}
+    for i, text in left:
+        ids = np.array([*coder.encode(text, add_special_tokens=False).ids, 2], np.uint32)
+        pieces = sorted(got[i], key=lambda r: r["piece"])
+        assert [r["piece"] for r in pieces] == list(range(len(pieces))) and sum(r["length"] for r in pieces) == len(ids)
+        for r in pieces:
+            assert r["ids_crc32"] == zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes())
+            places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for held in places.values():
+        held.sort()
+        assert [o for o, _ in held] == list(np.cumsum([0, *[n for _, n in held[:-1]]])) and sum(n for _, n in held) <= 1024
