@@ -26,12 +26,27 @@ def carried(rows: DataFrame, band: Column, order: list[Column | str], value: Col
     return within.join(F.broadcast(offsets), "__band").withColumn(name, F.col("__w") + F.col("__o")).drop("__band", "__v", "__w", "__o")
 
 
-def numbered(rows: DataFrame, key: str, name: str = "pos", ranges: int = RANGES) -> DataFrame:
-    """rows with their position (from 0) by a numeric key without nulls; ranges lie between approximate quantiles."""
+def extreme(rows: DataFrame, band: Column, order: str, value: Column, name: str, *, back: bool = False) -> DataFrame:
+    """rows with the greatest value so far in the order of (band, order), or the least one from there on (back); order has no ties."""
+    f, pick = (F.min, F.least) if back else (F.max, F.greatest)
+    along = (lambda c: F.desc(c)) if back else (lambda c: F.asc(c))  # a frame that ends with the last row would be gone through once a row
+    cut = rows.withColumns({"__band": band, "__v": value})
+    totals = cut.groupBy("__band").agg(f("__v").alias("__t"))
+    offsets = totals.select("__band", f("__t").over(Window.orderBy(along("__band")).rowsBetween(Window.unboundedPreceding, -1)).alias("__o"))
+    own = f("__v").over(Window.partitionBy("__band").orderBy(along(order)).rowsBetween(Window.unboundedPreceding, 0))
+    return cut.withColumn("__w", own).join(F.broadcast(offsets), "__band").withColumn(name, pick("__w", "__o")).drop("__band", "__v", "__w", "__o")
+
+
+def bands(rows: DataFrame, key: str, ranges: int = RANGES) -> Column:
+    """Which range between approximate quantiles a numeric key is in; nulls are in the first."""
     cuts = sorted(set(rows.approxQuantile(key, [i / ranges for i in range(1, ranges)], 0.25 / ranges)))
     edges = F.array(*[F.lit(c) for c in cuts]).cast("array<double>")
-    band = F.size(F.filter(edges, lambda e: e <= F.col(key)))
-    return carried(rows, band, [key], F.lit(1), name).withColumn(name, F.col(name).cast("long"))
+    return F.size(F.filter(edges, lambda e: e <= F.col(key)))
+
+
+def numbered(rows: DataFrame, key: str, name: str = "pos", ranges: int = RANGES) -> DataFrame:
+    """rows with their position (from 0) by a numeric key without nulls; ranges lie between approximate quantiles."""
+    return carried(rows, bands(rows, key, ranges), [key], F.lit(1), name).withColumn(name, F.col(name).cast("long"))
 
 
 def banded(p: Column, ranges: int = RANGES) -> Column:

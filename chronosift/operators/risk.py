@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronosift.functions.scalars import normal_cdf_of, normal_quantile
+from chronosift.operators import positions
 
 
 def var_es(returns: DataFrame, level: float, ret: str = "ret", method: str = "historical") -> DataFrame:
@@ -30,16 +31,32 @@ def rolling_var_breaches(returns: DataFrame, level: float, window: int, ret: str
     return rows.filter("q IS NOT NULL").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(ret) < F.col("q")).alias("breaches"))
 
 
-def adjust_pvalues(tests: DataFrame, p: str = "p", key: str = "name") -> DataFrame:
+def _stepped(tests: DataFrame, p: str) -> tuple[DataFrame, Column]:
+    """(p, __n, __k, __m, __band), a row a distinct p: its tests, those up to it, and all; and the band that it is in, which rises with p.
+
+    Equal p-values have equal adjusted ones (the last of them decides a minimum from there on, the first a maximum up to there), so that
+    distinct values stand for all tests and no order among equal ones is needed.
+    """
+    by = tests.groupBy(p).agg(F.count(F.lit(1)).alias("__n"))
+    band = positions.bands(by, p)
+    whole = F.broadcast(by.agg(F.sum("__n").alias("__m")))  # one row
+    return positions.carried(by, band, [p], F.col("__n"), "__k", own=True).crossJoin(whole), band
+
+
+def _back(tests: DataFrame, steps: DataFrame, p: str, new: dict[str, Column]) -> DataFrame:
+    """tests with columns of their p's step."""
+    found = steps.select(F.col(p).alias("__p"), *[c.alias(n) for n, c in new.items()])
+    return tests.join(found, F.col(p).eqNullSafe(F.col("__p")), "left").drop("__p")
+
+
+def adjust_pvalues(tests: DataFrame, p: str = "p") -> DataFrame:
     """Adds bonferroni, holm (running maximum) and bh (reverse running minimum)."""
-    up, whole = Window.orderBy(p, key), Window.partitionBy(F.lit(0))
-    m, rank = F.count(F.lit(1)).over(whole), F.row_number().over(up)
-    rows = tests.withColumns({"__m": m, "__k": rank})
+    steps, band = _stepped(tests, p)
+    m, k, x = F.col("__m"), F.col("__k"), F.col(p)
+    steps = positions.extreme(steps, band, p, x * (m - (k - F.col("__n"))), "__h")
+    steps = positions.extreme(steps, band, p, x * m / k, "__b", back=True)
     cap = lambda c: F.least(c, F.lit(1.0))
-    rows = rows.withColumns({"bonferroni": cap(F.col(p) * F.col("__m")), "__h": F.col(p) * (F.col("__m") - F.col("__k") + 1), "__b": F.col(p) * F.col("__m") / F.col("__k")})
-    holm = cap(F.max("__h").over(up.rowsBetween(Window.unboundedPreceding, 0)))
-    bh = cap(F.min("__b").over(up.rowsBetween(0, Window.unboundedFollowing)))
-    return rows.withColumns({"holm": holm, "bh": bh}).drop("__m", "__k", "__h", "__b")
+    return _back(tests, steps, p, {"bonferroni": cap(x * m), "holm": cap(F.col("__h")), "bh": cap(F.col("__b"))})
 
 
 def block_sums(perf: DataFrame, blocks: int, *, config: str = "name", order: str = "date", ret: str = "ret") -> DataFrame:
@@ -136,14 +153,19 @@ def gap_shocks(positions: DataFrame, shocks: list[float], *, contract: float = 1
     return s.withColumn("pnl", pnl).withColumn("equity_after", F.col("equity") + F.col("pnl"))
 
 
-def more_adjusted(tests: DataFrame, p: str = "p", key: str = "name") -> DataFrame:
+def harmonic(m: Column) -> Column:
+    """1 + 1/2 + .. + 1/m, by its expansion from 64 on."""
+    n = m.cast("double")
+    far = F.ln(n) + 0.5772156649015329 + 1 / (2 * n) - 1 / (12 * n * n) + 1 / (120 * F.pow(n, F.lit(4.0))) - 1 / (252 * F.pow(n, F.lit(6.0)))
+    return F.when(m < 64, F.aggregate(F.sequence(F.lit(1), F.least(m, F.lit(64)).cast("int")), F.lit(0.0), lambda s, k: s + 1 / k)).otherwise(far)
+
+
+def more_adjusted(tests: DataFrame, p: str = "p") -> DataFrame:
     """Adds sidak, and bhy (Benjamini and Yekutieli under any dependence)."""
-    up, whole = Window.orderBy(p, key), Window.partitionBy(F.lit(0))
-    m, rank = F.count(F.lit(1)).over(whole), F.row_number().over(up)
-    rows = tests.withColumns({"__m": m, "__k": rank}).withColumn("__c", F.sum(1 / F.col("__k")).over(whole))
-    step = rows.withColumn("__b", F.col(p) * F.col("__m") * F.col("__c") / F.col("__k"))
-    bhy = F.least(F.min("__b").over(up.rowsBetween(0, Window.unboundedFollowing)), F.lit(1.0))
-    return step.withColumns({"sidak": 1 - F.pow(1 - F.col(p), F.col("__m").cast("double")), "bhy": bhy}).drop("__m", "__k", "__c", "__b")
+    steps, band = _stepped(tests, p)
+    m, x = F.col("__m"), F.col(p)
+    steps = positions.extreme(steps, band, p, x * m * harmonic(m) / F.col("__k"), "__b", back=True)
+    return _back(tests, steps, p, {"sidak": 1 - F.pow(1 - x, m.cast("double")), "bhy": F.least(F.col("__b"), F.lit(1.0))})
 
 
 def moments(rows: DataFrame, keys: list[str], ret: str = "ret") -> DataFrame:
