@@ -30,3 +30,17 @@ def test_p_values_under_dependence(spark):
     assert got.keys() == want.keys() and all(got[n] == pytest.approx(want[n], rel=1e-12) for n in want)
     for n in (1, 63, 64, 500):
         assert spark.range(1).select(risk.harmonic(F.lit(n))).head()[0] == pytest.approx(sum(1 / k for k in range(1, n + 1)), rel=1e-14)
+
+
+def test_all_adjustments(spark):
+    rows, df = _p_values(spark)
+    out = risk.adjust_pvalues(df)
+    assert "unboundedfollowing" not in plan(out) and out.columns == ["name", "p", "bonferroni", "holm", "bh"]
+    m, order, want, most, least = len(rows), sorted(rows, key=lambda r: (r[1], r[0])), {}, 0.0, 1.0
+    for k, (name, p) in enumerate(order, 1):
+        most = max(most, p * (m - k + 1))
+        want[name] = [min(p * m, 1.0), min(most, 1.0)]
+    for k, (name, p) in reversed(list(enumerate(order, 1))):
+        least = min(least, p * m / k)
+        want[name].append(least)
+    assert {r["name"]: [r["bonferroni"], r["holm"], r["bh"]] for r in out.collect()} == want
