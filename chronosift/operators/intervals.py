@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronosift.operators import positions
 
 def _seconds(time: Column) -> Column:
     return F.unix_micros(time.cast("timestamp")) / 1_000_000
@@ -36,3 +37,23 @@ def blackout_spans(events: DataFrame, *, before: str, after: str, min_importance
     """The span around each event of at least min_importance; unknown importance counts as high."""
     some = events.filter(F.coalesce("importance", F.lit(3)) >= min_importance)
     return some.select((F.col(time) - F.expr(f"INTERVAL {before}")).alias("start"), (F.col(time) + F.expr(f"INTERVAL {after}")).alias("stop"))
+
+
+def counts_within(points: DataFrame, events: DataFrame, spans: dict[str, tuple[int, int]], *, time: str = "time", at: str = "time", width: int = 3_600_000_000) -> DataFrame:
+    """points with a number of events a span: of those from time + low on and before time + high, in microseconds.
+
+    Each count is the difference of two running counts, so that no point is held against its events. Running counts go by ranges of `width`.
+    """
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    offsets = sorted({x for span in spans.values() for x in span})
+    marks = points.select(us(time).alias("__us")).filter("__us IS NOT NULL").distinct().withColumn("__off", F.explode(F.array(*[F.lit(x).cast("long") for x in offsets])))
+    marks = marks.select("__us", "__off", (F.col("__us") + F.col("__off")).alias("__x"), F.lit(0).cast("long").alias("__n"))
+    none = F.lit(None).cast("long")
+    held = events.select(us(at).alias("__x")).filter("__x IS NOT NULL").groupBy("__x").agg(F.count(F.lit(1)).alias("__n")).select(none.alias("__us"), none.alias("__off"), "__x", "__n")
+    # marks stand before the events of their instant, and count for nothing
+    place = F.when(F.col("__off").isNull(), 1).otherwise(0)
+    so_far = positions.carried(marks.union(held), F.floor(F.col("__x") / width), ["__x", place], F.col("__n"), "__c").filter("__off IS NOT NULL")
+    until = lambda x: F.max(F.when(F.col("__off") == x, F.col("__c")))
+    counts = so_far.groupBy("__us").agg(*[(until(high) - until(low)).alias(name) for name, (low, high) in spans.items()])
+    joined = points.join(counts, us(time) == F.col("__us"), "left").drop("__us")
+    return joined.withColumns({name: F.coalesce(F.col(name), F.lit(0)).cast("long") for name in spans})

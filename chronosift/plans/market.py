@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronosift.functions.scalars import safe_div
 from chronosift.operators import drawdown as dd
 from chronosift.operators import islands, labels, rolling
 from chronosift.operators.asof import asof_join
-from chronosift.operators.intervals import blackout_spans, within
+from chronosift.operators.intervals import blackout_spans, counts_within, within
 from chronosift.operators.resample import resample_bars
 from chronosift.operators.rolling import series
 from chronosift.sources import tables as T
@@ -132,12 +132,8 @@ def next_last_event(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(f"WITH {BARS}, {CALENDAR} SELECT b.time, (SELECT count(*) FROM calendar c WHERE c.time >= b.time AND c.time < b.time + INTERVAL 24 HOUR) AS n_events FROM bars b")
 def events_in_24h(spark: SparkSession, sf: str) -> DataFrame:
-    """Counts by one range frame over the union of bars and events."""
-    both = T.bars(spark, sf).select("time", F.lit(0).alias("n")).union(T.calendar(spark, sf).select("time", F.lit(1).alias("n")))
-    at = both.withColumn("us", F.unix_micros(F.col("time").cast("timestamp")))
-    over = Window.partitionBy(F.lit(0)).orderBy("us").rangeBetween(0, 24 * 3600 * 1_000_000 - 1)
-    out = at.withColumn("n_events", F.sum("n").over(over))
-    return out.filter("n = 0").select("time", "n_events")
+    """Counts as differences of running counts over bars and events."""
+    return counts_within(T.bars(spark, sf).select("time"), T.calendar(spark, sf), {"n_events": (0, 24 * 3600 * 1_000_000)})
 
 
 _BLACK = f"{BARS}, {CALENDAR}"

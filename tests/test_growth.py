@@ -1,9 +1,12 @@
 """Steps whose work must grow no faster than their rows: results against plain Python, and plans without frames that are gone through once a row."""
 
+import datetime as dt
 import random
 
 import pytest
 from chronosift.operators import risk
+from chronosift.operators.intervals import counts_within
+from chronosift.plans import market
 from pyspark.sql import functions as F
 
 
@@ -44,3 +47,35 @@ def test_all_adjustments(spark):
         least = min(least, p * m / k)
         want[name].append(least)
     assert {r["name"]: [r["bonferroni"], r["holm"], r["bh"]] for r in out.collect()} == want
+
+
+T0 = dt.datetime(2024, 1, 1)
+SPANS = {"day": (0, 86_400_000_000), "next": (1, 21_600_000_001), "past": (-10_800_000_000, 1)}
+
+
+def _moments(spark):
+    """Moments (one without a time, two alike) and events, some at the very instant and at the ends of spans."""
+    rng = random.Random(5)
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    points = [(i, at(rng.randrange(400_000))) for i in range(60)] + [(60, None), (61, at(7200)), (62, at(7200)), (63, at(-500_000))]
+    events = [at(rng.randrange(400_000)) for _ in range(500)] + [at(7200)] * 3 + [at(7200 + 86_400), at(7200 + 21_600), at(7200 - 10_800)]
+    return points, events, spark.createDataFrame(points, "id int, time timestamp_ntz").repartition(3), spark.createDataFrame([(e,) for e in events] + [(None,)], "at timestamp_ntz").repartition(4)
+
+
+def test_counts_within_spans(spark):
+    points, events, p, e = _moments(spark)
+    out = counts_within(p, e, SPANS, at="at")
+    assert "rangeframe" not in plan(out).replace(" ", "")
+    us = lambda t: (t - T0) // dt.timedelta(microseconds=1)
+    want = {i: tuple(sum(lo <= us(x) - us(t) < hi for x in events) if t else 0 for lo, hi in SPANS.values()) for i, t in points}
+    assert {r["id"]: (r["day"], r["next"], r["past"]) for r in out.collect()} == want and want[61][2] >= 4
+
+
+def test_registered_counts_use_no_range_frame(spark, tmp_path):
+    rows = [(i, 1, T0 + dt.timedelta(minutes=17 * i), "error" if i % 3 else "view", 1.0) for i in range(400)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    out = market.events_in_24h(spark, str(tmp_path))
+    assert "rangeframe" not in plan(out).replace(" ", "")
+    errors = [t for i, _, t, kind, _ in rows if kind == "error"]
+    hours = {t.replace(minute=0) for _, _, t, _, _ in rows}
+    assert {r["time"]: r["n_events"] for r in out.collect()} == {h: sum(h <= t < h + dt.timedelta(days=1) for t in errors) for h in hours}
