@@ -68,8 +68,9 @@ def asof_join(left: DataFrame, right: DataFrame, *, on: list[str] | None = None,
         edge = F.when(F.col("__side") == 0, 2 if forward else 0).otherwise(1)
     by = Window.partitionBy(*keys)
     if forward:
-        order = by.orderBy(edge, F.col("__t").asc_nulls_first(), near, F.col("__seq").desc()).rowsBetween(0, Window.unboundedFollowing)
-        picked = F.first("__r", ignorenulls=True).over(order)
+        # from the end on: a frame that ends with the last row would be gone through once a row
+        order = by.orderBy(edge.desc(), F.col("__t").desc_nulls_last(), near.desc(), F.col("__seq").asc()).rowsBetween(Window.unboundedPreceding, 0)
+        picked = F.last("__r", ignorenulls=True).over(order)
     else:
         order = by.orderBy(edge, F.col("__t").asc_nulls_first(), near, "__seq").rowsBetween(Window.unboundedPreceding, 0)
         picked = F.last("__r", ignorenulls=True).over(order)

@@ -5,6 +5,7 @@ import random
 
 import pytest
 from chronosift.operators import risk
+from chronosift.operators.asof import asof_join
 from chronosift.operators.intervals import counts_within
 from chronosift.plans import market
 from pyspark.sql import functions as F
@@ -79,3 +80,12 @@ def test_registered_counts_use_no_range_frame(spark, tmp_path):
     errors = [t for i, _, t, kind, _ in rows if kind == "error"]
     hours = {t.replace(minute=0) for _, _, t, _, _ in rows}
     assert {r["time"]: r["n_events"] for r in out.collect()} == {h: sum(h <= t < h + dt.timedelta(days=1) for t in errors) for h in hours}
+
+
+def test_forward_joins_run_from_the_end(spark):
+    points, events, p, e = _moments(spark)
+    for strict in (False, True):
+        out = asof_join(p, e, right_time="at", columns=["at"], forward=True, strict=strict)
+        assert "currentrow$(),unboundedfollowing$()" not in plan(out).replace(" ", "")
+        want = {i: min((x for x in events if t and (x > t if strict else x >= t)), default=None) for i, t in points}
+        assert {r["id"]: r["at"] for r in out.collect()} == want
