@@ -1,8 +1,8 @@
 """References of feature distributions, drift against them, and bands of a running account.
 
 A reference has, for each column, the edges of its bins and the share of the training rows in each. All columns are
-summed up in two passes over one unpivoted frame: quantile summaries that merge (each edge is within rows / accuracy ranks
-of the exact quantile, and exact with fewer rows than accuracy), then counts of bins. What reaches the driver is a row a
+summed up in passes over one unpivoted frame: quantile summaries that merge, which bracket each edge; counts of what lies
+below and within the brackets, which give the exact quantiles; then counts of bins. What reaches the driver is a row a
 (column, bin), however many rows there are.
 """
 
@@ -62,24 +62,69 @@ def _place(value: Column, edges: Column) -> Column:
     return F.size(F.filter(edges, lambda e: e <= value))
 
 
+def _summaries(long: DataFrame, fractions: list[float], accuracy: int, *more: Column) -> list:
+    """A row a column with its quantiles q, each within rows / accuracy ranks."""
+    asked = F.array(*[F.lit(x) for x in fractions])
+    return long.groupBy("column").agg(F.percentile_approx("value", asked, accuracy).alias("q"), *more).collect()
+
+
+def _around(bins: int, reach: float) -> list[float]:
+    """Fractions that lie by reach below and above each of the quantiles."""
+    return [max(0.0, min(1.0, i / bins + d)) for d in (-reach, reach) for i in range(1, bins)]
+
+
+def _ranked(long: DataFrame, ranks: dict[str, list[int]], brackets: dict[str, list[float]]) -> dict[tuple[str, int], float]:
+    """(column, i) to the value of the i-th rank (from 1), for those within their bracket; brackets are all low ends, then all high ends, ascending.
+
+    Values within a bracket are summed up by value, others by the brackets that they lie between.
+    """
+    spark = long.sparkSession
+    table = spark.createDataFrame([(c, q[: len(q) // 2], q[len(q) // 2 :]) for c, q in brackets.items()], "column string, lows array<double>, highs array<double>")
+    begun = F.size(F.filter("lows", lambda e: e <= F.col("value")))
+    ended = F.size(F.filter("highs", lambda e: e < F.col("value")))
+    marked = long.join(F.broadcast(table), "column").select("column", begun.alias("begun"), ended.alias("ended"), "value")
+    counts = marked.groupBy("column", "begun", "ended", F.when(F.col("begun") > F.col("ended"), F.col("value")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    wanted = F.broadcast(spark.createDataFrame([(c, i, k) for c, own in ranks.items() for i, k in enumerate(own)], "column string, i int, rank long"))
+    below = counts.groupBy("column", "begun").agg(F.sum("n").alias("n")).join(wanted, "column").groupBy("column", "i").agg(F.coalesce(F.sum(F.when(F.col("begun") <= F.col("i"), F.col("n"))), F.lit(0)).alias("below"))
+    inside = counts.filter("begun > ended").withColumn("i", F.explode(F.sequence(F.col("ended"), F.col("begun") - 1)))
+    upto = F.sum("n").over(Window.partitionBy("column", "i").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    # brackets may overlap: a value counts once in each
+    totals = inside.groupBy("column", "i", "value").agg(F.sum("n").alias("n")).withColumn("upto", upto)
+    placed = totals.join(wanted, ["column", "i"]).join(F.broadcast(below), ["column", "i"])
+    hit = placed.filter((F.col("below") + F.col("upto") >= F.col("rank")) & (F.col("below") + F.col("upto") - F.col("n") < F.col("rank")))
+    return {(r["column"], r["i"]): r["value"] for r in hit.select("column", "i", "value").collect()}
+
+
 def reference(rows: DataFrame, columns: list[str], *, bins: int = 10, least: int = 50, accuracy: int = 100_000) -> Reference:
     """The reference of rows: bins between quantiles, or one a value for columns of at most `bins` values.
 
+    Quantiles are exact: of n values, those at the ranks n i / bins, rounded up. accuracy only says how narrowly they are looked for.
     Columns with fewer than `least` values, or with a single one, are left out.
     """
     spark = rows.sparkSession
     long = unpivoted(rows, columns)
-    asked = F.array(*[F.lit(i / bins) for i in range(1, bins)])
-    found = long.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.approx_count_distinct("value").alias("values"), F.percentile_approx("value", asked, accuracy).alias("q")).collect()
+    reach = 2 / accuracy
+    found = _summaries(long, _around(bins, reach), accuracy, F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.approx_count_distinct("value").alias("values"))
     found = {r["column"]: r for r in found if r["n"] >= least and r["low"] < r["high"]}
     # an estimate below four times as many stands for few values without doubt
     few = [c for c, r in found.items() if r["values"] <= 4 * bins]
     values = {r["column"]: r["values"] for r in long.filter(F.col("column").isin(few)).groupBy("column").agg(F.sort_array(F.collect_set("value")).alias("values")).collect()} if few else {}
+    many = [c for c in found if not 2 <= len(values.get(c, [])) <= bins]
+    ranks = {c: [-(-found[c]["n"] * i // bins) for i in range(1, bins)] for c in many}
+    brackets, exact = {c: list(found[c]["q"]) for c in many}, {}
+    while brackets:
+        exact |= _ranked(long, {c: ranks[c] for c in brackets}, brackets)
+        left = [c for c in brackets if any((c, i) not in exact for i in range(bins - 1))]
+        # a summary that was further off than it says: look more widely, in the end everywhere
+        reach *= 16
+        brackets = {r["column"]: list(r["q"]) for r in _summaries(long.filter(F.col("column").isin(left)), _around(bins, reach), accuracy)} if left else {}
+        if reach > 1:
+            brackets = {c: [found[c]["low"]] * (bins - 1) + [found[c]["high"]] * (bins - 1) for c in left}
     edges = {}
     for c in columns:
         if c in found:
             own = values.get(c, [])
-            edges[c] = [(a + b) / 2 for a, b in zip(own, own[1:], strict=False)] if 2 <= len(own) <= bins else sorted(set(found[c]["q"]))
+            edges[c] = sorted({exact[c, i] for i in range(bins - 1)}) if c in many else [(a + b) / 2 for a, b in zip(own, own[1:], strict=False)]
     if not edges:
         return Reference({}, {}, 0)
     placed = long.join(_bins(spark, edges), "column").groupBy("column", _place(F.col("value"), F.col("edges")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))

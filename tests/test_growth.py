@@ -4,7 +4,7 @@ import datetime as dt
 import random
 
 import pytest
-from chronosift.operators import risk
+from chronosift.operators import references, risk
 from chronosift.operators.asof import asof_join
 from chronosift.operators.intervals import counts_within
 from chronosift.plans import market
@@ -89,3 +89,19 @@ def test_forward_joins_run_from_the_end(spark):
         assert "currentrow$(),unboundedfollowing$()" not in plan(out).replace(" ", "")
         want = {i: min((x for x in events if t and (x > t if strict else x >= t)), default=None) for i, t in points}
         assert {r["id"]: r["at"] for r in out.collect()} == want
+
+
+def test_exact_quantiles_of_references(spark):
+    rng = random.Random(6)
+    wide, tied = [rng.random() ** 3 for _ in range(4001)], [float(rng.choice([1, 1, 1, 2, 5, *range(20, 60)])) for _ in range(4001)]
+    rows = spark.createDataFrame(list(zip(wide, tied, strict=True)), "wide double, tied double").repartition(8)
+    for accuracy in (20, 100_000):
+        known = references.reference(rows, ["wide", "tied"], accuracy=accuracy)
+        for name, xs in (("wide", sorted(wide)), ("tied", sorted(tied))):
+            assert known.edges[name] == sorted({xs[-(-len(xs) * i // 10) - 1] for i in range(1, 10)})
+
+
+def test_ranks_outside_their_brackets_are_not_told(spark):
+    long = spark.createDataFrame([("c", float(x)) for x in range(1, 101)], "column string, value double")
+    assert references._ranked(long, {"c": [10, 20, 90]}, {"c": [8.0, 30.0, 85.0, 12.0, 40.0, 90.0]}) == {("c", 0): 10.0, ("c", 2): 90.0}
+    assert references._ranked(long, {"c": [10, 20, 90]}, {"c": [1.0] * 3 + [100.0] * 3}) == {("c", 0): 10.0, ("c", 1): 20.0, ("c", 2): 90.0}
