@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronosift.operators.asof import asof_join
+from chronosift.operators.intervals import counts_within
 from chronosift.operators.rolling import series
 
 
@@ -31,30 +32,46 @@ def shift_days(first: str, epoch: str = "2101-01-03") -> int:
     return (dt.date.fromisoformat(epoch) - dt.date.fromisoformat(first)).days // 7 * 7
 
 
-def snapshots(moments: DataFrame, bars: DataFrame, *, macro: DataFrame | None = None, events: DataFrame | None = None, now: str = "now", ahead_hours: float = 72.0, back_hours: float = 24.0, shift: int | None = None) -> DataFrame:
+def snapshots(moments: DataFrame, bars: DataFrame, *, macro: DataFrame | None = None, events: DataFrame | None = None, now: str = "now", ahead_hours: float = 72.0, back_hours: float = 24.0, shift: int | None = None, listed: bool = True) -> DataFrame:
     """moments (now, ..) with the columns of bar_statistics (`bar_time`, `close`, ..), `macro` (name to value), `upcoming`, `past`.
 
     bars come from bar_statistics and are of one series; macro has (name, value, available_at); events have (time, name, and optionally surprise). A moment
-    before the first finished bar has null columns. shift: days by which dates are moved, whole weeks; prices are then divided by the close.
+    before the first finished bar has null columns. listed: False where a moment may have very many events; instead of their lists there are
+    `n_upcoming`, `n_past`, `next_time` and `last_time`, without meeting events one by one. shift: days by which dates are moved, whole weeks; prices are then divided by the close.
     """
     if shift is not None and shift % 7:
         raise ValueError("dates move by whole weeks, so that weekdays stay")
+    if events is not None and not listed:
+        moments = _with_event_counts(moments, events, now, ahead_hours, back_hours)
     told = [c for c in bars.columns if c not in ("series_id", "available_at", "volume", "spread", "open", "high", "low") and c not in moments.columns]
     known = bars.select(*[F.col(c).alias("bar_time" if c == "time" else c) for c in told], "available_at")
     out = asof_join(moments, known, left_time=now, right_time="available_at", columns=["bar_time" if c == "time" else c for c in told])
     if macro is not None:
         out = _with_macro(out, macro, now)
-    if events is not None:
+    if events is not None and listed:
         out = _with_events(out, events, now, ahead_hours, back_hours)
     if shift is None:
         return out
     moved = lambda c: c + F.make_dt_interval(F.lit(shift))
     out = out.withColumn("recent", F.transform("recent", lambda b: F.struct(moved(b["time"]).alias("time"), (b["close"] / F.col("close")).alias("close"))))
     event = {"upcoming": lambda e: F.struct(moved(e["time"]).alias("time"), e["name"].alias("name")), "past": lambda e: F.struct(moved(e["time"]).alias("time"), e["name"].alias("name"), e["surprise"].alias("surprise"))}
-    out = out.withColumns({c: F.transform(c, f) for c, f in event.items() if c in out.columns})
+    out = out.withColumns({c: F.transform(c, f) for c, f in event.items() if c in out.columns} if listed else {c: moved(F.col(c)) for c in ("next_time", "last_time") if events is not None})
     return out.withColumns({"close": F.when(F.col("close").isNotNull(), F.lit(1.0)), "bar_time": moved(F.col("bar_time")), now: moved(F.col(now))})
 
 
+def _with_event_counts(rows: DataFrame, events: DataFrame, now: str, ahead: float, back: float) -> DataFrame:
+    """How many events are ahead and past, the next of those and the last of these: running counts and as-of joins over distinct times."""
+    us = lambda hours: round(hours * 3_600_000_000)
+    at = events.filter("time IS NOT NULL").select("time").distinct()
+    times = rows.select(now).filter(F.col(now).isNotNull()).distinct()
+    found = counts_within(times, events, {"n_upcoming": (1, us(ahead) + 1), "n_past": (-us(back), 1)}, time=now)
+    found = asof_join(found, at.select(F.col("time").alias("next_time")), left_time=now, right_time="next_time", columns=["next_time"], forward=True, strict=True, tolerance=f"{us(ahead)} microseconds")
+    found = asof_join(found, at.select(F.col("time").alias("last_time")), left_time=now, right_time="last_time", columns=["last_time"], tolerance=f"{us(back)} microseconds")
+    none = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    joined = rows.join(found.withColumnRenamed(now, "__now"), F.col(now) == F.col("__now"), "left")
+    return joined.select(*rows.columns, none("n_upcoming"), none("n_past"), "next_time", "last_time")
+
+
 def _with_macro(rows: DataFrame, macro: DataFrame, now: str) -> DataFrame:
     """The values that have been published by each moment: a map that each publication of a series brings up to date.
 

@@ -396,10 +396,10 @@ def desk_snapshots(spark: SparkSession, sf: str) -> DataFrame:
     """What could be known at every signup, with dates moved and prices rebased."""
     moments = T.table(spark, sf, "events").filter("event_type = 'signup'").select("event_id", F.col("ts").alias("now"))
     stats = snapshots.bar_statistics(T.bars(spark, sf), means=(50,))
-    found = snapshots.snapshots(moments, stats, macro=T.macro(spark, sf), events=T.calendar(spark, sf), ahead_hours=6, back_hours=3, shift=_SHIFT)
+    found = snapshots.snapshots(moments, stats, macro=T.macro(spark, sf), events=T.calendar(spark, sf), ahead_hours=6, back_hours=3, shift=_SHIFT, listed=False)
     size = lambda c: F.size(c).cast("long")
     urgent = F.element_at("macro", F.filter(F.map_keys("macro"), lambda k: k.startswith("1"))[0])
-    return found.select("event_id", "now", "bar_time", "ret_1", "ret_5", "ret_20", "from_mean_50", urgent.alias("urgent"), F.when(F.col("macro").isNotNull(), size("macro")).otherwise(0).alias("n_macro"), size("upcoming").alias("n_upcoming"), size("past").alias("n_past"), F.get("upcoming", F.lit(0))["time"].alias("next_time"), F.try_element_at("past", F.lit(-1))["time"].alias("last_time"))
+    return found.select("event_id", "now", "bar_time", "ret_1", "ret_5", "ret_20", "from_mean_50", urgent.alias("urgent"), F.when(F.col("macro").isNotNull(), size("macro")).otherwise(0).alias("n_macro"), "n_upcoming", "n_past", "next_time", "last_time")
 
 
 _PRICES = [("click", 3.0, 15.0), ("view", 1.0, 5.0), ("error", 0.25, 1.25), ("purchase", 5.0, 25.0)]

@@ -4,7 +4,7 @@ import datetime as dt
 import random
 
 import pytest
-from chronosift.operators import references, risk
+from chronosift.operators import references, risk, snapshots
 from chronosift.operators.asof import asof_join
 from chronosift.operators.intervals import counts_within
 from chronosift.plans import evidence, market
@@ -111,3 +111,15 @@ def test_forecasts_of_size_zero_have_the_largest_scalar(spark, tmp_path):
     spark.createDataFrame([(1, 200.0), (2, 220.0), (3, 200.2)], "event_id long, value double").write.parquet(f"{tmp_path}/events.parquet")
     got = {r["event_id"]: r["scalar"] for r in evidence.forecast_shaping(spark, str(tmp_path)).collect()}
     assert got == {1: 10.0, 2: 0.5, 3: 10.0}  # as SQL's least() skips the null of a division by 0
+
+
+def test_counted_events_of_snapshots(spark):
+    points, events, p, e = _moments(spark)
+    bars = spark.createDataFrame([(0, T0, T0 + dt.timedelta(hours=1), 2.0, 0.1)], "series_id long, time timestamp_ntz, available_at timestamp_ntz, close double, spread double")
+    for shift in (None, 7000):
+        take = lambda **k: snapshots.snapshots(p.withColumnRenamed("time", "now"), snapshots.bar_statistics(bars), events=e.select(F.col("at").alias("time"), F.lit("x").alias("name")), ahead_hours=6, back_hours=3, shift=shift, **k)  # noqa: B023, E731
+        out = take(listed=False)
+        assert "collect_list(if" not in plan(out) and not {"upcoming", "past"} & set(out.columns)
+        want = {r["id"]: (len(r["upcoming"]), len(r["past"]), r["upcoming"][0]["time"] if r["upcoming"] else None, r["past"][-1]["time"] if r["past"] else None) for r in take().collect()}
+        got = {r["id"]: (r["n_upcoming"], r["n_past"], r["next_time"], r["last_time"]) for r in out.collect()}
+        assert got == want and got[61][1] >= 4 and got[63] == (0, 0, None, None)
