@@ -130,6 +130,21 @@ def percentile_rank(x: pd.Series, n: int, least: int) -> pd.Series:
     return x.rolling(n, min_periods=least).rank(pct=True)
 
 
+def linreg(y: pd.Series, n: int, block: int = 16_384) -> pd.DataFrame:
+    """slope a bar and r2 of the newest n values (rolling.linreg), a block of windows at once; a constant window has no r2."""
+    v, at = y.to_numpy(dtype=float), np.arange(n) - (n - 1) / 2
+    slope, r2 = np.full(len(v), np.nan), np.full(len(v), np.nan)
+    for a in range(n - 1, len(v), block):
+        b = min(a + block, len(v))
+        d = np.lib.stride_tricks.sliding_window_view(v[a - n + 1 : b], n)
+        d = d - d[:, :1]  # equal values become zeros
+        d -= d.mean(axis=1, keepdims=True)
+        both, own = d @ at, (d * d).sum(axis=1)
+        slope[a:b] = both / (at @ at)
+        r2[a:b] = np.divide(both * both, own * (at @ at), out=np.full(b - a, np.nan), where=own > 0)
+    return pd.DataFrame({"slope": slope, "r2": r2})
+
+
 def ewma_mean(x: pd.Series, halflife: float, least: int = 1) -> pd.Series:
     """The mean with weights that halve, normalised from the first value on."""
     return x.ewm(halflife=halflife, adjust=True, min_periods=least).mean()

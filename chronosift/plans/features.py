@@ -45,14 +45,15 @@ def trend(bars: DataFrame, spans=(20, 50, 100), atr_n: int = 14, windows=(20, 50
     for part in ("line", "signal", "hist"):
         kernels[f"m_{part}"] = lambda p, part=part: ewm.macd(p)[part]
     kernels |= {"trend_adx": lambda p: ewm.adx(p, atr_n)["adx"], "trend_di_diff": lambda p: (x := ewm.adx(p, atr_n))["plus_di"] - x["minus_di"]}
-    rows = ewm.with_kernels(bars, kernels).withColumn("pos", F.row_number().over(series()).cast("double"))
+    # frames of a series are one task's work, and regressions by frame by far the most of it
+    for n in windows:
+        kernels |= {f"l{n}": (lambda p, n=n: ewm.linreg(p["close"], n)["slope"]), f"trend_lin_r2_{n}": (lambda p, n=n: ewm.linreg(p["close"], n)["r2"])}
+    rows = ewm.with_kernels(bars, kernels)
     new: dict[str, Column] = {f"trend_dist_{s}": safe_div(F.col("close") - F.col(f"e{s}"), F.col("a")) for s in spans}
     new |= {f"trend_slope_{s}": safe_div(F.col(f"e{s}") - F.lag(f"e{s}", 5).over(series()), F.col("a")) for s in spans}
     new |= {f"trend_macd_{x}": safe_div(F.col(f"m_{x}"), F.col("a")) for x in ("line", "signal", "hist")}
-    for n in windows:
-        slope, r2 = rolling.linreg(F.col("close"), F.col("pos"), n)
-        new |= {f"trend_lin_t_{n}": safe_div(slope * n, F.col("a")), f"trend_lin_r2_{n}": r2}
-    return rows.withColumns(new).drop("pos", "a", *[k for k in kernels if not k.startswith("trend_")])
+    new |= {f"trend_lin_t_{n}": safe_div(F.col(f"l{n}") * n, F.col("a")) for n in windows}
+    return rows.withColumns(new).drop("a", *[k for k in kernels if not k.startswith("trend_")])
 
 
 @feature("momentum")

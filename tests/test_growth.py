@@ -1,13 +1,17 @@
 """Steps whose work must grow no faster than their rows: results against plain Python, and plans without frames that are gone through once a row."""
 
 import datetime as dt
+import math
 import random
 
+import pandas as pd
 import pytest
-from chronosift.operators import references, risk, snapshots
+from chronosift.functions import ewm
+from chronosift.operators import references, risk, rolling, snapshots
 from chronosift.operators.asof import asof_join
 from chronosift.operators.intervals import counts_within
-from chronosift.plans import evidence, market
+from chronosift.plans import evidence, features, market
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 
@@ -123,3 +127,25 @@ def test_counted_events_of_snapshots(spark):
         want = {r["id"]: (len(r["upcoming"]), len(r["past"]), r["upcoming"][0]["time"] if r["upcoming"] else None, r["past"][-1]["time"] if r["past"] else None) for r in take().collect()}
         got = {r["id"]: (r["n_upcoming"], r["n_past"], r["next_time"], r["last_time"]) for r in out.collect()}
         assert got == want and got[61][1] >= 4 and got[63] == (0, 0, None, None)
+
+
+def test_trend_has_no_regressions_by_frame(spark):
+    """A gap, a constant stretch longer than a window, and a drift, far from zero; two series, one shorter than a window."""
+    rng = random.Random(6)
+    close = [2000 + 0.1 * i + rng.random() if i < 150 or i > 230 else 2015.7 for i in range(400)]
+    rows = [(s, T0 + dt.timedelta(hours=i), c if i != 60 else None) for s, n in ((0, 400), (1, 15)) for i, c in enumerate(close[:n])]
+    bars = spark.createDataFrame(rows, "series_id long, time timestamp_ntz, close double").withColumns({c: F.col("close") + x for c, x in (("open", 0.0), ("high", 0.5), ("low", -0.5))})
+    out = features.trend(bars)
+    assert "regr" not in plan(out) and {"pos", "a", "l20"}.isdisjoint(out.columns)
+    by = Window.partitionBy("series_id").orderBy("time")
+    placed = out.withColumn("pos", F.row_number().over(by).cast("double"))
+    for n in (20, 50, 100):
+        slope, r2 = rolling.linreg(F.col("close"), F.col("pos"), n)
+        a = placed.withColumns({"slope": slope, "r2": r2}).orderBy("series_id", "time").select("series_id", "slope", "r2", f"trend_lin_r2_{n}").collect()
+        assert sum(r["r2"] is not None for r in a) > 150 and any(r["slope"] is not None and r["r2"] is None for r in a) == (n < 80)
+        for r in a:
+            assert (r["r2"] is None) == (r[f"trend_lin_r2_{n}"] is None) and r["r2"] == pytest.approx(r[f"trend_lin_r2_{n}"], abs=1e-9)
+        y = pd.Series([c if i != 60 else None for i, c in enumerate(close)], dtype=float)
+        for block in (7, 16_384):
+            got = ewm.linreg(y, n, block)["slope"]
+            assert [r["slope"] for r in a if r["series_id"] == 0] == pytest.approx([None if math.isnan(x) else x for x in got], abs=1e-9)
