@@ -35,6 +35,8 @@ from .common import Tables, cut_words, rank_within, small_batches
 
 #: Text of a shard, and of a block of items with ITEM_BYTES counted for each besides.
 SHARD_BYTES, BLOCK_BYTES, ITEM_BYTES = 2 << 20, 1 << 20, 256
+#: Shards in a row group of the index: a reader decodes a group whole, and Parquet's own limit comes after 100 shards at the earliest.
+GROUP_SHARDS = 4
 _SHARD = "ids array<long>, terms array<binary>, starts array<int>, docs array<int>, impacts array<int>"
 
 
@@ -96,7 +98,7 @@ def build_index(docs: DataFrame, tables: Tables, *, doc_id: str = "doc_id", text
                     ["ids", "terms", "starts", "docs", "impacts"],
                 )
 
-    return Index(tables.store(rows.mapInArrow(build, _SHARD), "lexical-index"), documents, words)
+    return Index(tables.store(rows.mapInArrow(build, _SHARD), "lexical-index", group_rows=GROUP_SHARDS), documents, words)
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:

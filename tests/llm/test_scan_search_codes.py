@@ -4,10 +4,12 @@ import hashlib
 import math
 import random
 import re
+import urllib.parse
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from chronosift.llm import lexical, licenses, queries, vector_codes
 from chronosift.llm.common import Tables, cut_words
@@ -69,6 +71,18 @@ def test_search_equals_brute_force_with_ties_and_copies(spark, monkeypatch):
     assert _found(spark, frame, asked, k=1000) == _ranked(docs, list(dict.fromkeys(items)), 1000)
 
 
+def test_index_is_read_a_few_shards_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "SHARD_BYTES", 2000)
+    tables = Tables(spark)
+    frame = spark.createDataFrame([(i, f"common w{i} " * 40) for i in range(200)], "doc_id long, text string").coalesce(1)
+    index = lexical.build_index(frame, tables)
+    held = [pq.ParquetFile(urllib.parse.unquote(urllib.parse.urlparse(f).path)).metadata for f in index.shards.inputFiles()]
+    shards = index.shards.count()
+    groups = [m.row_group(i).num_rows for m in held for i in range(m.num_row_groups)]
+    tables.drop()
+    assert sum(groups) == shards > 12 and max(groups) <= 4
+
+
 def test_search_of_nothing(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     some = spark.createDataFrame([(1, "quick fox")], "item_id long, text string")
